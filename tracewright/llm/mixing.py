@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     w = w.withColumn("left_size", F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(before), F.lit(0.0)))
     w = w.withColumn("level", F.col("left_size") / F.sum("weight").over(after))
     w = w.withColumn("is_bound", F.col("weight") * F.col("level") >= F.col("bound"))
-    level = F.min(F.when(~F.col("is_bound"), F.col("level"))).over(everything)
+    level = F.max(F.when(~F.col("is_bound"), F.col("level"))).over(everything)  # of the first that is not bound
     return w.select("source", "source_size", F.when(F.col("is_bound"), F.col("bound")).otherwise(F.col("weight") * level).alias("target"))
 
 

@@ -65,7 +65,7 @@ levels AS (
          / sum(weight) OVER (ORDER BY bound / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
   SELECT source, source_size, CASE WHEN weight * level >= bound THEN bound
-         ELSE weight * min(level) FILTER (WHERE weight * level < bound) OVER () END::DOUBLE AS target FROM levels),
+         ELSE weight * max(level) FILTER (WHERE weight * level < bound) OVER () END::DOUBLE AS target FROM levels),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS e FROM targets),
 placed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.e, t.target - t.e * t.source_size AS rest,
