@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.line_dedup import line_dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_docs=10, min_key=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.toxicity import fit_toxicity, held_out, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = toxicity(docs, model).withColumnRenamed("toxicity", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.url_filter import RULES, url_filter
 
@@ -31,7 +53,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op8_url_filter, op9_mixing, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_toxicity, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
 
 _URL = r"""
 WITH cut AS (
@@ -74,4 +96,15 @@ placed AS (
 SELECT doc_id, size, source_size, target, (e * size + CASE WHEN place + size / 2.0 <= rest THEN size ELSE 0 END)::BIGINT AS taken FROM placed
 """
 
-ORACLE_SQL = {"op8_url_filter": _URL, "op9_mixing": _MIX}
+_LINES = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keys AS (
+  SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keys WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM keys LEFT JOIN common c ON keys.k = c.k GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op3_line_dedup": _LINES, "op8_url_filter": _URL, "op9_mixing": _MIX}
