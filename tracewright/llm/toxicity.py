@@ -32,6 +32,8 @@ THREAT = set("kill murder shoot stab strangle töten umbringen erschießen tuer
 
 WORDS = re.compile(r"\w+(?:'\w+)?")
 CLAUSES = re.compile(r"[.!?;:,\n\"¡¿«»()]+")
+#: Lengths of word beginnings.
+STARTS = range(4, 10)
 #: Symbols of the machine: insult, threat, target, negation, reported speech, other.
 SYMBOLS = "ITGNRO"
 
@@ -110,13 +112,18 @@ def lowered(text: bytes) -> str:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic) with the number of documents; a term is a whole word, or the first 4 to 6 letters of a longer one."""
+    """(term, toxic) with the number of documents.
+
+    A term is a whole word (with a space), the first letters of a longer one, or (with a star) first letters that
+    at least three different words of the document share: rarer by chance, so fewer documents speak for it.
+    """
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
     seen: Counter = Counter()
     for batch in batches:
         for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
             words = set(WORDS.findall(lowered(text)))
-            terms = {f"{w} " for w in words} | {w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
+            starts = Counter(w[:k] for w in words for k in STARTS if len(w) > k)
+            terms = {f"{w} " for w in words} | {w for w in starts if len(w) <= 6} | {f"{w}*" for w, n in starts.items() if n >= 3}
             seen.update((t, toxic) for t in terms)
         if len(seen) > 300_000:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen]), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], schema=schema)
@@ -143,8 +150,12 @@ def lexicon(train: DataFrame, rows: dict[int, int], least_docs: int = 4, least_g
     p, n = F.col("p"), F.col("n")
     gain = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
     odds = F.log((p + 0.5) / (p_all + 1)) - F.log((n + 0.5) / (n_all + 1))
-    t = t.where(p >= least_docs).withColumn("gain", gain).withColumn("odds", odds).where((F.col("gain") >= least_gain) & (F.col("odds") >= 2))
-    found = {r.term: r.odds for r in t.orderBy(F.desc("gain"), "term").limit(most).select("term", "odds").collect()}
+    star = F.col("term").endswith("*").cast("int")
+    t = t.where(p >= least_docs - star).withColumn("gain", gain).withColumn("odds", odds)
+    t = t.where((F.col("gain") >= least_gain - 4 * star) & (F.col("odds") >= 2))
+    found: dict[str, float] = {}
+    for r in t.orderBy(F.desc("gain"), "term").limit(most).select("term", "odds").collect():
+        found[r.term.rstrip("*")] = max(r.odds, found.get(r.term.rstrip("*"), 0.0))
     out: dict[str, float] = {}
     for term in sorted(found, key=lambda x: (len(x), x)):  # the shortest beginning speaks for longer ones of no greater odds
         if not any(out.get(term[:k], 0.0) >= found[term] - 1.0 for k in range(4, len(term))):
