@@ -15,6 +15,33 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, min_docs=10, min_key=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+    import zlib
+
+    from tracewright.llm.common import arrow_map
+    from tracewright.llm.tiff import features, tiff_encoded, tiff_pages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = tiff_encoded(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    pages = tiff_pages(stored).select("doc_id", "n_bytes", "pixels", "media")
+
+    def digests(batch):
+        pixels, media = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        return {
+            "doc_id": batch.column(0),
+            "n_bytes": batch.column(1),
+            "payload_bytes": [len(p) for p in pixels],
+            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in pixels],
+            "tail_crc32": [zlib.crc32(p[-64:]) for p in pixels],
+            "media_bytes": [len(m) for m in media],
+            "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
+            "feature": [features(p) for p in pixels],
+        }
+
+    return arrow_map(pages, digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.toxicity import fit_toxicity, held_out, toxicity
 
@@ -53,7 +80,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_toxicity, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_tiff, op5_toxicity, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
 
 _URL = r"""
 WITH cut AS (
