@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), window=2048)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.line_dedup import line_dedup
 
@@ -80,7 +92,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_tiff, op5_toxicity, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_line_dedup, op4_tiff, op5_toxicity, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
 
 _URL = r"""
 WITH cut AS (
