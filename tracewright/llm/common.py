@@ -41,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder: lineage ends there and nothing runs twice."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

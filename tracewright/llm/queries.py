@@ -63,6 +63,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.minhash import near_duplicates
 
@@ -92,7 +98,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_line_dedup, op4_tiff, op5_toxicity, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_line_dedup, op4_tiff, op5_toxicity, op6_substring_dedup, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
 
 _URL = r"""
 WITH cut AS (
