@@ -1 +1,181 @@
-"""Queries."""
+"""Queries of the scorers and reward rules."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tracewright.functions import scoring as S
+from tracewright.functions import text as T
+from tracewright.plans.registry import query
+from tracewright.plans.text import literal, values
+from tracewright.sources import fixtures as X
+
+
+def _call(tool, **arguments):
+    import json
+
+    return "<tool_call>" + json.dumps({"name": tool, "arguments": arguments}) + "</tool_call>"
+
+
+M, D = "mobile_use", "computer_use"
+BOX, FAR = [0.0, 0.0, 100.0, 100.0], [200.0, 200.0, 300.0, 300.0]
+# (label, answer, box, box2, share, score): each rule with a full, a partial and an unreadable answer.
+CASES = [
+    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click", coordinate=[100, 0]), BOX, None, 1.0, 1.0),
+    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click", coordinate=[5, 5]), None, None, 1.0, 1.0),
+    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click", coordinate=[101, 5]), BOX, None, 0.5, -0.5),
+    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click"), BOX, None, 0.5, -0.5),
+    (_call(M, action="long_press", coordinate=[5, 5]), _call(M, action="click", coordinate=[5, 5]), BOX, None, 0.5, -0.5),
+    (_call(M, action="swipe", coordinate=[5, 5], coordinate2=[250, 250]), _call(M, action="swipe", coordinate=[9, 9], coordinate2=[299, 201]), BOX, FAR, 1.0, 1.0),
+    (_call(M, action="swipe", coordinate=[5, 5], coordinate2=[250, 250]), _call(M, action="swipe", coordinate=[9, 9], coordinate2=[9, 9]), BOX, FAR, 2 / 3, -0.5),
+    (_call(M, action="type", text=" Hello"), _call(M, action="type", text="hello "), None, None, 1.0, 1.0),
+    (_call(M, action="answer"), _call(M, action="answer", text=""), None, None, 1.0, 1.0),
+    (_call(M, action="system_button", button="Back"), _call(M, action="system_button", button="Home"), None, None, 0.5, -0.5),
+    (_call(M, action="system_button"), _call(M, action="system_button"), None, None, 1.0, 1.0),
+    (_call(M, action="wait"), _call(M, action="wait", time=9), None, None, 1.0, 1.0),
+    (_call(M, action="terminate", status="success"), _call(M, action="terminate", status="failure"), None, None, 0.5, -0.5),
+    (_call(D, action="left_click", coordinate=[5, 5]), _call(D, action="left_click", coordinate=[1, 1]), BOX, None, 1.0, 1.0),
+    (_call(D, action="left_click_drag", coordinate=[5, 5]), _call(D, action="left_click_drag", coordinate=[500, 1]), BOX, None, 0.5, -0.5),
+    (_call(D, action="key", keys=["Ctrl", "c"]), _call(D, action="key", keys=["C", "ctrl", "ctrl"]), None, None, 1.0, 1.0),
+    (_call(D, action="scroll", pixels=-5, coordinate=[5, 5]), _call(D, action="scroll", pixels=-1, coordinate=[6, 6]), BOX, None, 1.0, 1.0),
+    (_call(D, action="scroll", pixels=-5, coordinate=[5, 5]), _call(D, action="scroll", pixels=1, coordinate=[6, 6]), BOX, None, 2 / 3, -0.5),
+    (_call(D, action="hscroll", pixels=0), _call(D, action="hscroll"), None, None, 2 / 3, -0.5),
+    (_call(M, action="ask_user", text="x"), _call(M, action="ask_user", text="x"), None, None, None, -1.0),
+    (_call("other", action="click"), _call("other", action="click"), None, None, None, -1.0),
+    (_call(M, action="wait"), "no call", None, None, 0.0, -1.0),
+    (_call(M, action="wait"), "<tool_call>{bad</tool_call>", None, None, 0.0, -1.0),
+    (_call(M), _call(M, action="wait"), None, None, None, -1.0),
+]
+SCHEMA = "i int, truth string, response string, box array<double>, box2 array<double>"
+
+
+@query(f"SELECT i, round(share, 6) AS share, score, (score = 1)::INT::DOUBLE AS acc FROM ({values([(i, None if c[4] is None else float(c[4]), c[5]) for i, c in enumerate(CASES)])}) t(i, share, score)")
+def rw_rules(spark, d):
+    """Every reward rule on a full, a partial and an unreadable answer."""
+    c = literal(spark, [(i, *c[:4]) for i, c in enumerate(CASES)], SCHEMA)
+    share = S.part_share(T.tool_call(F.col("response")), T.tool_call(F.col("truth")), F.col("box"), F.col("box2"))
+    whole = S.compute_score(F.col("response"), F.col("truth"), F.col("box"), F.col("box2"))
+    return c.select("i", F.round(share, 6).alias("share"), whole["score"].alias("score"), whole["acc"].alias("acc"))
+
+
+def _answers(spark, d):
+    from tracewright.plans.text import calls
+
+    truth = F.lit(_call(M, action="click", coordinate=[500, 500]))
+    return calls(spark, d).withColumn("truth", truth).withColumn("box", F.array("x1", "y1", "x2", "y2")).withColumn("none", F.lit(None).cast("array<double>"))
+
+
+HIT = "px BETWEEN x1 AND x2 AND floor(py) BETWEEN y1 AND y2"
+SCORE = f"CASE WHEN l_linenumber = 7 THEN -1.0 WHEN l_linenumber IN (5, 6) THEN -0.5 WHEN {HIT} THEN 1.0 ELSE -0.5 END::DOUBLE"
+
+
+@query(f"WITH {X.BOXES} SELECT l_orderkey, l_linenumber, l_partkey, {SCORE} AS score FROM boxes")
+def score_gui(spark, d):
+    a = _answers(spark, d)
+    return a.select("l_orderkey", "l_linenumber", "l_partkey", S.gui_score(F.col("response"), F.col("truth"), F.col("box"), F.col("none")).alias("score"))
+
+
+@query(f"WITH {X.BOXES} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber < 5 AND px <= 600 THEN 1.0 ELSE {SCORE} END::DOUBLE AS score FROM boxes")
+def score_gui_planb(spark, d):
+    a = _answers(spark, d)
+    wide = F.array(F.lit(0.0), F.lit(0.0), F.lit(600.0), F.lit(1000.0))
+    s = S.gui_score_with_other(F.col("response"), F.col("truth"), F.col("box"), F.col("none"), F.col("truth"), wide, F.col("none"))
+    return a.select("l_orderkey", "l_linenumber", "l_partkey", s.alias("score"))
+
+
+@query(f"WITH {X.BOXES}, s AS (SELECT grp, {SCORE} AS score FROM boxes) SELECT grp, CASE WHEN score = 1 THEN '1.0' WHEN score = -0.5 THEN '-0.5' WHEN score = -1 THEN '-1.0' ELSE 'other' END AS bucket, count(*) AS n, count(*) FILTER (WHERE score < 0.5) AS kept FROM s GROUP BY 1, 2")
+def rejection_sample(spark, d):
+    a = _answers(spark, d).withColumn("score", S.gui_score(F.col("response"), F.col("truth"), F.col("box"), F.col("none")))
+    bucket = F.when(F.col("score") == 1, "1.0").when(F.col("score") == -0.5, "-0.5").when(F.col("score") == -1, "-1.0").otherwise("other")
+    return a.groupBy("grp", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("score") < 0.5).alias("kept"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END::DOUBLE AS score FROM events")
+def default_compute_score(spark, d):
+    source = F.expr("element_at(array('mobile', 'math', 'code'), cast(event_id % 3 as int) + 1)")
+    return X.read(spark, d, "events").select("event_id", S.dispatched(source, {"math": F.lit(0.5), "code": F.lit(0.25)}, F.lit(1.0)).alias("score"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 0.25 WHEN item_id % 4 = 3 THEN 0.1 ELSE 1.0 END::DOUBLE AS em, CASE WHEN item_id % 4 = 0 THEN 0.25 WHEN item_id % 4 = 3 THEN 1.0 ELSE 1.0 END::DOUBLE AS sub FROM benchmark")
+def score_qa_em(spark, d):
+    body = F.when(F.col("item_id") % 4 == 3, F.concat("text", F.lit(" and more"))).otherwise(F.concat(F.lit("The "), "text", F.lit("!!")))
+    tagged = F.concat(F.lit("<answer>"), body, F.lit("</answer>"))
+    b = X.read(spark, d, "benchmark").withColumn("t", F.when(F.col("item_id") % 4 == 0, F.repeat(tagged, F.lit(11))).otherwise(tagged))
+    golden = F.array(F.concat("text", F.lit(".")), F.lit("zz"))
+    return b.select("item_id", S.qa_score(F.col("t"), golden, wrong=0.1).alias("em"), S.qa_score(F.col("t"), golden, contained=True, wrong=0.1).alias("sub"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 OR l_linenumber % 2 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS score FROM lineitem")
+def score_math_dapo(spark, d):
+    line = X.read(spark, d, "lineitem")
+    text = F.expr(r"CASE WHEN l_linenumber = 7 THEN 'nothing' ELSE concat('Answer: 1\nso answer : $', l_partkey + CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END, '$') END")
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", S.math_dapo_score(text, F.col("l_partkey").cast("string")).alias("score"))
+
+
+@query("SELECT event_id, round(CASE WHEN p IS NULL THEN -1 WHEN g = -1 THEN CASE WHEN p = -1 THEN 1 ELSE -1 END WHEN p = -1 THEN -1 ELSE 1 - abs(p - g) / 10.0 END, 6)::DOUBLE AS score FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 5 - 1 END AS p, event_id % 4 - 1 AS g FROM events)")
+def score_fapo_genrm(spark, d):
+    e = X.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 5 - 1).alias("p"), (F.col("event_id") % 4 - 1).alias("g"))
+    return e.select("event_id", F.round(S.step_error_score(F.col("p"), F.col("g"), F.lit(10)), 6).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN NULL ELSE quality END::DOUBLE AS verdict, round(0.8 * coalesce(quality, 0) + 0.2 + CASE WHEN coalesce(quality, 0) = 1 AND toxic = 1 THEN 1.2 ELSE 0 END, 6)::DOUBLE AS total FROM documents LEFT JOIN labels USING (doc_id)")
+def score_from_verdicts(spark, d):
+    """Scores whose judgement is an input column: a verdict as it is, and a weighted sum of accuracy, form and tool use."""
+    docs = X.read(spark, d, "documents").select("doc_id").join(X.read(spark, d, "labels"), "doc_id", "left")
+    right = F.coalesce("quality", F.lit(0))
+    tool = F.when((right == 1) & (F.col("toxic") == 1), 1.2).otherwise(0.0)
+    return docs.select("doc_id", F.col("quality").cast("double").alias("verdict"), F.round(right * 0.8 + 0.2 + tool, 6).alias("total"))
+
+
+@query(f"WITH {X.BOXES}, p AS (SELECT l_orderkey, l_linenumber, l_partkey, [px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2, px + 200 BETWEEN x1 AND x2 AND py + 17 BETWEEN y1 AND y2, px BETWEEN x1 AND x2 AND py + 400 BETWEEN y1 AND y2] AS h FROM boxes) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_linenumber = 7 THEN -1.0 WHEN h[1] THEN 1 / sqrt(3) WHEN h[2] THEN 1 / sqrt(6) WHEN h[3] THEN 1 / sqrt(9) ELSE -1.0 / 3 END, 6)::DOUBLE AS score FROM p")
+def score_point_aer(spark, d):
+    b = X.boxes(spark, d)
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("px"), F.col("py")
+    points = F.when(F.col("l_linenumber") == 7, F.array(at(x, y), at(x + 1, y + 1), at(x + 2, y + 2))).otherwise(F.array(at(x, y), at(x + 200, y + 17), at(x, y + 400)))
+    score = S.ranked_point_score(points, *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(score, 6).alias("score"))
+
+
+@query(f"WITH {X.ROLLOUTS} SELECT row_id, length, score + least(-(length - 68) / 32.0, 0) AS last, 0.0::DOUBLE AS rest FROM rollouts")
+def score_dapo_manager(spark, d):
+    from tracewright.functions.geometry import overlong_penalty
+
+    r = X.rollouts(spark, d)
+    t = S.on_last_token(F.col("score") + overlong_penalty(F.col("length"), 100, 32), F.col("length"))
+    r = r.withColumn("t", t)
+    rest = F.aggregate(F.slice("t", 1, F.size("t") - 1), F.lit(0.0), lambda a, v: a + F.abs(v))
+    return r.select("row_id", F.size("t").alias("length"), F.element_at("t", -1).alias("last"), rest.alias("rest"))
+
+
+@query(f"WITH {X.ROLLOUTS}, j AS (SELECT *, CASE WHEN acc = 1 THEN k % 3 <> 0 END AS matched FROM rollouts) SELECT row_id, CASE WHEN acc = 1 AND NOT matched AND bool_or(coalesce(matched, false)) OVER (PARTITION BY uid) THEN -0.5 ELSE score END AS score FROM j")
+def consistency_penalty(spark, d):
+    """Right answers judged inconsistent lose, unless all judged ones of their group are inconsistent."""
+    r = X.rollouts(spark, d).withColumn("matched", F.when(F.col("acc") == 1, F.col("k") % 3 != 0))
+    some = r.groupBy("uid").agg(F.bool_or(F.coalesce("matched", F.lit(False))).alias("some"))
+    bad = (F.col("acc") == 1) & ~F.col("matched") & F.col("some")
+    return r.join(some, "uid").select("row_id", F.when(F.coalesce(bad, F.lit(False)), -0.5).otherwise(F.col("score")).alias("score"))
+
+
+@query("SELECT event_id, CASE k WHEN 0 THEN 'click' WHEN 1 THEN 'swipe' WHEN 2 THEN 'swipe' WHEN 3 THEN 'type' WHEN 4 THEN 'wait' ELSE 'system_button' END AS action, CASE k WHEN 1 THEN '500,700,500,300' WHEN 2 THEN '500,300,500,700' END AS path, CASE WHEN k = 4 THEN 2 END AS seconds FROM (SELECT event_id, event_id % 6 AS k FROM events)")
+def ac_ground_truth(spark, d):
+    """Benchmark records to expected actions: a scroll is the swipe that makes it, waiting is two seconds."""
+    from tracewright.functions.geometry import swipe_for_scroll
+
+    kind = F.expr("element_at(array('click', 'scroll_down', 'scroll_up', 'input_text', 'wait', 'navigate_back'), cast(event_id % 6 as int) + 1)")
+    e = X.read(spark, d, "events").select("event_id", kind.alias("kind"))
+    name = F.when(F.col("kind").startswith("scroll"), "swipe").otherwise(T.mapped(F.col("kind"), T.MOBILE_ACTIONS))
+    path = F.array_join(swipe_for_scroll(F.regexp_replace("kind", "scroll_", "")).cast("array<string>"), ",")
+    return e.select("event_id", name.alias("action"), path.alias("path"), F.when(F.col("kind") == "wait", 2).alias("seconds"))
+
+
+@query(f"WITH {X.STEPS}, s AS (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY step) AS idx, CASE WHEN step % 3 = 2 THEN -1 ELSE 60 + (episode_id + step) % 40 END AS score FROM steps) SELECT episode_id, CASE WHEN bool_or(score = -1) THEN NULL ELSE min(score) FILTER (WHERE score >= 0) END AS lowest, min(idx) FILTER (WHERE score BETWEEN 0 AND 69) AS first_failed, coalesce(bool_and(score = -1 OR score >= 70), true) AS passed FROM s WHERE episode_id % 2 = 0 OR score >= 0 GROUP BY 1")
+def agg_min_subtask(spark, d):
+    """An episode's least valid score, null if a judge failed; its first failed part; whether none failed."""
+    s = X.steps(spark, d).withColumn("idx", F.row_number().over(Window.partitionBy("episode_id").orderBy("step")).cast("long"))
+    s = s.withColumn("score", F.when(F.col("step") % 3 == 2, -1).otherwise(60 + (F.col("episode_id") + F.col("step")) % 40)).where("episode_id % 2 = 0 OR score >= 0")
+    valid = F.when(F.col("score") >= 0, F.col("score"))
+    return s.groupBy("episode_id").agg(
+        F.when(~F.bool_or(F.col("score") == -1), F.min(valid)).alias("lowest"),
+        F.min(F.when(F.col("score").between(0, 69), F.col("idx"))).alias("first_failed"),
+        F.coalesce(F.bool_and((F.col("score") == -1) | (F.col("score") >= 70)), F.lit(True)).alias("passed"),
+    )

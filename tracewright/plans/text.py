@@ -1 +1,296 @@
-"""Queries."""
+"""Queries of text parsing, geometry and the GUI scorer's inputs."""
+
+from pyspark.sql import functions as F
+
+from tracewright.functions import geometry as G
+from tracewright.functions import text as T
+from tracewright.plans.registry import query
+from tracewright.sources import fixtures as X
+
+
+def literal(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def values(rows) -> str:
+    def one(v):
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+# Desktop actions made from line items: ten kinds, whose plans are known from their numbers.
+ACTION = r"""CASE (l_orderkey + l_linenumber) % 10
+ WHEN 0 THEN format_string('pyautogui.click(%d, %d)', x, y) WHEN 1 THEN format_string('pyautogui.doubleClick(%d, %d)', x, y)
+ WHEN 2 THEN format_string('pyautogui.moveTo(%d, %d)\npyautogui.scroll(-%d)', x, y, l_linenumber) WHEN 3 THEN format_string('pyautogui.typewrite("part %d")', x)
+ WHEN 4 THEN "pyautogui.hotkey('ctrl', 'c')" WHEN 5 THEN "pyautogui.press('enter')"
+ WHEN 6 THEN "pyautogui.keyDown('ctrl')\npyautogui.keyDown('v')\npyautogui.keyUp('v')\npyautogui.keyUp('ctrl')"
+ WHEN 7 THEN format_string('pyautogui.moveTo(%d, %d)\npyautogui.dragTo(%d, %d)', x, y, y, x) WHEN 8 THEN 'time.sleep(1.5)' ELSE 'DONE' END"""
+
+
+def desktop_actions(spark, d):
+    line = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 1000).cast("int").alias("x"), (F.col("l_suppkey") * 9 % 1000).cast("int").alias("y"))
+    return line.withColumn("action", F.expr(ACTION))
+
+
+NUMBERS = "n AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 1000)::INT AS x, (l_suppkey * 9 % 1000)::INT AS y, (l_orderkey + l_linenumber) % 10 AS k FROM lineitem)"
+
+
+@query(f"""WITH {NUMBERS} SELECT l_orderkey, l_linenumber, l_partkey,
+ CASE k WHEN 0 THEN 'left_click' WHEN 1 THEN 'double_click' WHEN 2 THEN 'scroll' WHEN 3 THEN 'type' WHEN 4 THEN 'key' WHEN 5 THEN 'key' WHEN 6 THEN 'key' WHEN 7 THEN 'left_click_drag' WHEN 8 THEN 'wait' ELSE 'terminate' END AS action,
+ CASE WHEN k IN (0, 1, 2) THEN round_even(x * 999 / 1920.0, 0)::INT || ',' || round_even(y * 999 / 1080.0, 0)::INT WHEN k = 7 THEN round_even(y * 999 / 1920.0, 0)::INT || ',' || round_even(x * 999 / 1080.0, 0)::INT END AS place,
+ CASE WHEN k = 7 THEN round_even(x * 999 / 1920.0, 0)::INT || ',' || round_even(y * 999 / 1080.0, 0)::INT END AS start_place,
+ CASE WHEN k = 2 THEN -l_linenumber END AS pixels, CASE WHEN k = 3 THEN 'part ' || x END AS text,
+ CASE k WHEN 4 THEN 'ctrl+c' WHEN 5 THEN 'enter' WHEN 6 THEN 'ctrl+v' END AS keys, CASE WHEN k = 8 THEN 1.5 END::DOUBLE AS seconds, CASE WHEN k = 9 THEN 'success' END AS status FROM n""")
+def fn_action_to_plan(spark, d):
+    a = desktop_actions(spark, d).withColumn("p", T.action_plan(F.col("action")))
+    at = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",")
+    return a.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("p.action").alias("action"), at("p.coordinate").alias("place"), at("p.start_coordinate").alias("start_place"),
+        F.col("p.pixels").cast("int").alias("pixels"), F.col("p.text").alias("text"), F.array_join("p.keys", "+").alias("keys"), F.col("p.time").alias("seconds"), F.col("p.status").alias("status"),
+    )
+
+
+ODD = [
+    ("pyautogui.click(1.5, 2)", "left_click", None, None, None), ("pyautogui.click()", "left_click", None, None, None), ("unknown()", "left_click", None, None, None),
+    ("FAIL", "terminate", None, None, None), ("WAIT", "wait", None, None, 5.0), ("pyautogui.scroll(-3.7, 960, 540)", "scroll", "500,500", None, None),
+    ('pyautogui.write(message=\'it "is"\')', "type", None, 'it "is"', None), ("pyautogui.typewrite(\"\"\"a\nb\"\"\")", "left_click" if False else "type", None, "a\nb", None),
+    ("pyautogui.sleep()", "wait", None, None, 0.5), ("pyautogui.click(0, 0)\npyautogui.typewrite('x')\npyautogui.keyDown('enter')\npyautogui.keyUp('enter')", "type", None, "x", None),
+    ("# note\npyautogui.rightClick(1920, 1080)", "right_click", "999,999", None, None), ("# only\n# notes", "wait", None, None, 1.0),
+]
+ODD = [r for r in ODD if '"""' not in r[0]]
+
+
+@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(ODD)])}) t(i, action, place, text, seconds)")
+def fn_action_to_plan_odd(spark, d):
+    a = literal(spark, [(i, r[0]) for i, r in enumerate(ODD)], "i int, raw string").withColumn("p", T.action_plan(F.col("raw")))
+    place = F.array_join(F.transform("p.coordinate", lambda v: v.cast("int").cast("string")), ",")
+    return a.select("i", F.col("p.action").alias("action"), place.alias("place"), F.col("p.text").alias("text"), F.col("p.time").alias("seconds"))
+
+
+@query(f"WITH {NUMBERS} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = 3 THEN 'tap(' || x || ')|swipe' ELSE '' END AS unknown FROM n")
+def flt_action_space(spark, d):
+    a = desktop_actions(spark, d)
+    a = a.withColumn("action", F.when(F.col("action").startswith("pyautogui.typewrite"), F.concat(F.lit("tap("), F.col("x").cast("string"), F.lit(")\n# ok\npyautogui.click(1, 2)\nswipe"))).otherwise(F.col("action")))
+    return a.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(T.unknown_lines(F.col("action")), "|").alias("unknown"))
+
+
+KIND = "element_at(array('click', 'long_press', 'input_text', 'scroll', 'drag', 'navigate_back', 'navigate_home', 'keyboard_enter', 'wait', 'status', 'answer', 'ask_user', 'fling'), cast(event_id % 13 as int) + 1)"
+DUCK_KIND = "['click', 'long_press', 'input_text', 'scroll', 'drag', 'navigate_back', 'navigate_home', 'keyboard_enter', 'wait', 'status', 'answer', 'ask_user', 'fling'][(event_id % 13)::INT + 1]"
+
+
+def _mobile(spark, d):
+    e = X.read(spark, d, "events")
+    return e.select("event_id", F.expr(KIND).alias("kind"), F.floor("value").cast("double").alias("x"), F.col("user_id").cast("double").alias("y"), F.col("event_type").alias("text"), F.when(F.col("user_id") % 2 == 0, "complete").otherwise("infeasible").alias("status"))
+
+
+@query(f"""WITH m AS (SELECT event_id, {DUCK_KIND} AS kind, floor(value)::INT AS x, user_id AS y, event_type AS text FROM events)
+SELECT event_id, CASE kind WHEN 'input_text' THEN 'type' WHEN 'status' THEN 'terminate' WHEN 'drag' THEN 'swipe' WHEN 'scroll' THEN 'swipe' WHEN 'fling' THEN NULL WHEN 'navigate_back' THEN 'system_button' WHEN 'navigate_home' THEN 'system_button' WHEN 'keyboard_enter' THEN 'system_button' ELSE kind END AS action,
+ CASE WHEN kind IN ('click', 'long_press') THEN x || ',' || y END AS place, CASE WHEN kind IN ('input_text', 'answer', 'ask_user') THEN text END AS text,
+ CASE kind WHEN 'navigate_back' THEN 'Back' WHEN 'navigate_home' THEN 'Home' WHEN 'keyboard_enter' THEN 'Enter' END AS button,
+ CASE WHEN kind = 'status' THEN CASE WHEN y % 2 = 0 THEN 'success' ELSE 'failure' END END AS status, kind IN ('click', 'long_press', 'input_text', 'scroll', 'drag', 'navigate_back', 'navigate_home', 'keyboard_enter', 'wait', 'status', 'answer', 'ask_user') AS valid FROM m""")
+def fn_map_mobile_action(spark, d):
+    m = _mobile(spark, d)
+    m = m.withColumn("p", T.mobile_plan(*[F.col(c) for c in ("kind", "x", "y", "text", "status")]))
+    place = F.array_join(F.transform("p.coordinate", lambda v: v.cast("int").cast("string")), ",")
+    return m.select("event_id", F.col("p.action").alias("action"), place.alias("place"), F.col("p.text").alias("text"), F.col("p.button").alias("button"), F.col("p.status").alias("status"), F.col("kind").isin(*T.MOBILE_TYPES).alias("valid"))
+
+
+@query(f"""WITH m AS (SELECT event_id, {DUCK_KIND} AS kind, floor(value)::INT AS x, user_id AS y, event_type AS text FROM events)
+SELECT event_id, CASE kind WHEN 'click' THEN 'Click at (' || x || ', ' || y || ').' WHEN 'long_press' THEN 'Long press at (' || x || ', ' || y || ').' WHEN 'scroll' THEN 'Scroll down.' WHEN 'input_text' THEN 'Type: ' || text
+ WHEN 'answer' THEN 'Answer: ' || text WHEN 'ask_user' THEN 'Ask user: ' || text WHEN 'navigate_back' THEN 'Navigate back.' WHEN 'navigate_home' THEN 'Navigate to home screen.' WHEN 'keyboard_enter' THEN 'Press enter.' WHEN 'wait' THEN 'Wait for screen to update.' END AS words FROM m""")
+def fn_action_desc(spark, d):
+    m = _mobile(spark, d)
+    return m.select("event_id", T.mobile_description(F.col("kind"), F.col("x"), F.col("y"), F.col("text"), F.lit("down")).alias("words"))
+
+
+CALLS = """concat('<think>t', l_linenumber, '</think>\nAction: tap\n<tool_call>\n', CASE WHEN l_linenumber = 7 THEN '{broken' ELSE concat('{"name": "mobile_use", "arguments": {"action": "', CASE WHEN l_linenumber = 6 THEN 'terminate' ELSE 'click' END, '"', CASE WHEN l_linenumber = 5 THEN '' ELSE concat(', "coordinate": [', cast(px as int), ', ', cast(floor(py) as int), ']') END, '}}') END, '\n</tool_call>')"""
+
+
+def calls(spark, d):
+    return X.boxes(spark, d).withColumn("response", F.expr(CALLS))
+
+
+@query(f"WITH {X.BOXES} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 'terminate' ELSE 'click' END AS action, CASE WHEN l_linenumber IN (5, 7) THEN 0 ELSE px END::DOUBLE AS x, CASE WHEN l_linenumber IN (5, 7) THEN 0 ELSE floor(py) END::DOUBLE AS y, l_linenumber = 6 AS refusal, 2 AS thought FROM boxes")
+def fn_tool_call(spark, d):
+    c = calls(spark, d).withColumn("c", T.tool_call(F.col("response")))
+    at = T.coordinate_or_origin(F.col("c"))
+    return c.select("l_orderkey", "l_linenumber", "l_partkey", F.col("c.arguments.action").alias("action"), at[0].alias("x"), at[1].alias("y"), T.is_refusal(F.col("c")).alias("refusal"), T.thought_length(F.col("response")).alias("thought"))
+
+
+TEXTS = [
+    ("Thought:  look here \nAction: {\"action_type\": \"click\"} ", "look here", '{"action_type": "click"}', "{\"action_type\": \"click\"}"),
+    ("no thought {\"a\": 1} tail", "", '{"a": 1}', ""),
+    ("Action: go\n\nmore", "", "", "go"),
+    ("## Action:\nTap it.\n## Next\nx", "", "", "Tap it."),
+    ("Action: press<tool_call>{}</tool_call>", "", "{}", "press"),
+    ("plain", "", "", ""),
+]
+
+
+@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(TEXTS)])}) t(i, thought, raw, description)")
+def fn_prediction(spark, d):
+    t = literal(spark, [(i, r[0]) for i, r in enumerate(TEXTS)], "i int, t string").withColumn("p", T.prediction(F.col("t")))
+    return t.select("i", F.col("p.thought").alias("thought"), F.col("p.raw").alias("raw"), T.action_description(F.col("t")).alias("description"))
+
+
+BOXED = [('{"bbox": [1, 2, 3, 4]}', "1,2,3,4", "1,2,3,4"), ("box 10 20 1000 40 50", "10,20,1000,40", "10,20,999,40"), ("-5 2 3 4", "-5,2,3,4", None), ("1 2 3", None, None), ('{"bbox": [0.5, 1.5, 2.5, 1001]}', "0,2,2,1001", None)]
+
+
+@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(BOXED)])}) t(i, box, clamped)")
+def fn_bbox_json(spark, d):
+    t = literal(spark, [(i, r[0]) for i, r in enumerate(BOXED)], "i int, t string").withColumn("b", T.box_numbers(F.col("t")))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return t.select("i", text(F.col("b")).alias("box"), text(T.clamped_box(F.col("b"))).alias("clamped"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE (l_partkey % 1000) || ',' || (l_suppkey % 1000) || ' ' || l_linenumber || ',' || round_even(l_quantity + 0.5, 0)::INT END AS pairs FROM lineitem")
+def fn_coords_pair(spark, d):
+    line = X.read(spark, d, "lineitem")
+    text = F.expr("concat('from [', l_partkey % 1000, ', ', l_suppkey % 1000, '] to [ ', l_linenumber, ',', l_quantity + CASE WHEN l_linenumber = 7 THEN 1000.5 ELSE 0.5 END, ' ] or [1, 1]')")
+    pairs = T.number_pairs(text)
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.transform(pairs, lambda p: F.array_join(p.cast("array<string>"), ",")), " ").alias("pairs"))
+
+
+@query(f"WITH {X.STEPS} SELECT episode_id, step, '<think>' || chr(10) || role || chr(10) || '</think>' || chr(10) || CASE WHEN device = 'mobile' THEN 'Thought' ELSE 'Action' END || ': ' || action || chr(10) || '<tool_call>' || chr(10) || '{{}}' || chr(10) || '</tool_call>' AS truth, action AS without FROM steps")
+def fn_ground_truth_text(spark, d):
+    s = X.steps(spark, d)
+    make = lambda label: T.ground_truth(F.col("role"), F.col("action"), F.lit("{}"), label)
+    truth = F.when(F.col("device") == "mobile", make("Thought")).otherwise(make("Action"))
+    return s.select("episode_id", "step", truth.alias("truth"), T.without_thought(F.concat(F.lit("<think>x\ny</think>"), "action")).alias("without"))
+
+
+@query("SELECT o_orderkey, 'Task' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '_v3_' || lower(o_orderstatus) ELSE '' END AS base, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE '' END AS suffix, 'Task' || o_custkey AS task FROM orders")
+def fn_folder_parse(spark, d):
+    o = X.read(spark, d, "orders")
+    folder = F.expr("concat('Task', o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN concat('_v3_', lower(o_orderstatus)) ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN '_backup_20240101_7' ELSE '' END)")
+    return o.select("o_orderkey", T.folder_parts(folder).alias("p")).select("o_orderkey", "p.base", "p.suffix", "p.task")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey::VARCHAR END AS strict, CASE WHEN l_linenumber = 7 THEN '7' ELSE '1,' || l_partkey END AS flexible, CASE WHEN l_linenumber = 7 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM lineitem")
+def fn_gsm8k_answer(spark, d):
+    from tracewright.functions.scoring import gsm8k_score
+
+    text = F.expr("CASE WHEN l_linenumber = 7 THEN 'it is 7' ELSE concat(repeat('pad ', 90), '#### 12 and #### ', l_partkey, ' so 1,', l_partkey, ' . ') END")
+    line = X.read(spark, d, "lineitem").withColumn("t", text)
+    score = gsm8k_score(F.col("t"), F.col("l_partkey").cast("string"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", T.gsm8k_strict(F.col("t")).alias("strict"), T.gsm8k_flexible(F.col("t")).alias("flexible"), score.alias("score"))
+
+
+@query("""SELECT item_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g')), '\\s+'), lambda w: w NOT IN ('a', 'an', 'the')), ' ') AS plain FROM benchmark""")
+def fn_qa_normalize(spark, d):
+    return X.read(spark, d, "benchmark").select("item_id", T.qa_normalized(F.col("text")).alias("plain"))
+
+
+TAGS = [("<answer>x</answer> <answer> y </answer>", "y", 2), ("none", None, 0), ("<answer>\n</answer>", "", 1), ("<answer>open", None, 0)]
+
+
+@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(TAGS)])}) t(i, body, n)")
+def fn_answer_tag(spark, d):
+    t = literal(spark, [(i, r[0]) for i, r in enumerate(TAGS)], "i int, t string")
+    return t.select("i", F.regexp_replace(T.answer_tag(F.col("t")), r"^\s+|\s+$", "").alias("body"), F.regexp_count("t", F.lit("</answer>")).alias("n"))
+
+
+@query("SELECT doc_id, position('heon' IN lower(text))::INT AS first, len(regexp_extract_all(lower(text), 'heon'))::INT AS n FROM documents WHERE position('heon' IN lower(text)) > 0")
+def fn_highlight(spark, d):
+    docs = X.read(spark, d, "documents").withColumn("l", F.lower("text"))
+    return docs.where(F.instr("l", "heon") > 0).select("doc_id", F.instr("l", "heon").alias("first"), F.regexp_count("l", F.lit("heon")).alias("n"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), ''), 'none') AS title FROM pages")
+def fn_tag_text(spark, d):
+    title = T.found(F.col("html"), r"(?s)<title>(.*?)</title>")
+    return X.read(spark, d, "pages").select("page_id", F.coalesce(F.nullif(title, F.lit("")), F.lit("none")).alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image|text|video' WHEN doc_id % 3 = 1 THEN 'text' ELSE 'text|image|image' END AS kinds, substr(text, 1, 20) AS body FROM documents WHERE length(text) > 0")
+def prj_mask_media(spark, d):
+    body = F.substring("text", 1, 20)
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<image>"), body, F.lit("<video>"))).when(F.col("doc_id") % 3 == 1, body).otherwise(F.concat(body, F.lit("<image><image>")))
+    s = X.read(spark, d, "documents").where("length(text) > 0").select("doc_id", T.media_segments(t).alias("s"))
+    return s.select("doc_id", F.array_join("s.type", "|").alias("kinds"), F.array_join(F.filter("s.text", lambda v: v.isNotNull()), "").alias("body"))
+
+
+MESSAGES = [("plain", True), ("<think>a</think> b", True), ("<think></think>b", False), ("<think>a</think>", False), ("<think>a b", False), ("</think>a<think>b", False), ("<think>a</think><think>b</think>c", False), ("<think>a</think>b<|im_end|>", True), ("<|im_end|>", False)]
+
+
+@query(f"SELECT * FROM ({values([(i, r[1]) for i, r in enumerate(MESSAGES)])}) t(i, valid)")
+def flt_valid_messages(spark, d):
+    t = literal(spark, [(i, r[0]) for i, r in enumerate(MESSAGES)], "i int, t string")
+    return t.select("i", T.valid_message(F.col("t")).alias("valid"))
+
+
+@query("SELECT doc_id, source AS reasoning, lang AS content FROM documents")
+def prj_reasoning_split(spark, d):
+    t = F.concat(F.lit("<think>"), "source", F.lit("</think>"), "lang")
+    docs = X.read(spark, d, "documents").withColumn("t", t)
+    return docs.select("doc_id", T.found(F.col("t"), r"(?s)<think>(.*?)</think>").alias("reasoning"), T.without_thought(F.col("t")).alias("content"))
+
+
+MATH = [(r"x = \frac{1}{2}", "1/2", 0.5), (r"\text{3 dollars}", "3", 3.0), ("1,234.0", "1234", 1234.0), (r"\boxed{7}", "7", 7.0), (r"50\%", "50", 50.0), ("$12.$", "12", 12.0), (r"\sqrt{2}", "sqrt(2)", None)]
+
+
+@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(MATH)])}) t(i, plain, number)")
+def fn_math_normalize(spark, d):
+    t = literal(spark, [(i, r[0]) for i, r in enumerate(MATH)], "i int, t string").withColumn("plain", T.math_normalized(F.col("t")))
+    return t.select("i", "plain", T.math_value(F.col("plain")).alias("number"))
+
+
+EQUALS = [("0.5", r"\frac{1}{2}", True), ("50\\%", "0.5", True), ("3", "4", False), ("x+1", "x + 1", True), ("x", "y", False), ("1,000", "1000.0", True)]
+
+
+@query(f"SELECT * FROM ({values([(i, r[2]) for i, r in enumerate(EQUALS)])}) t(i, same)")
+def fn_math_equal(spark, d):
+    return literal(spark, [(i, *r[:2]) for i, r in enumerate(EQUALS)], "i int, a string, b string").select("i", T.math_equal(F.col("a"), F.col("b")).alias("same"))
+
+
+PYTHON = [(r"so \boxed{\frac{1}{2}} and \boxed{a{b}c}", "a{b}c", None, None, False), ("```json\n{\"b\": 1, \"a\": {\"c\": 2}}\n```", None, '{"b": 1, "a": {"c": 2}}', None, False), ('{"b":1,"a":2}', None, '{"b": 1, "a": 2}', '{"a": 2, "b": 1}', False), (r"\boxed{open", None, None, None, False), ("ab" * 40, None, None, None, True)]
+
+
+@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(PYTHON)])}) t(i, boxed, first_json, canonical, repetitive)")
+def fn_python_text(spark, d):
+    """Balanced braces, fenced JSON, sorted keys and repetitiveness: the text functions that run as pandas UDFs."""
+    t = literal(spark, [(i, r[0]) for i, r in enumerate(PYTHON)], "i int, t string")
+    return t.select("i", T.boxed("t").alias("boxed"), T.first_json("t").alias("first_json"), T.canonical_json("t").alias("canonical"), T.is_repetitive("t").alias("repetitive"))
+
+
+# ---- geometry ----
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity * 999 / 1920.0, 0)::INT AS gx, round_even(l_extendedprice * 999 / 100000.0, 0)::INT AS gy, greatest(0, least(1000, round_even(l_extendedprice * 1000 / 50000.0, 0)))::INT AS clamped, round(l_quantity / 1000 * 1920, 6) AS px FROM lineitem")
+def fn_permille_normalize(spark, d):
+    q, e = F.col("l_quantity"), F.col("l_extendedprice")
+    return X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", G.on_grid(q, F.lit(1920.0)).alias("gx"), G.on_grid(e, F.lit(100000.0)).alias("gy"), G.clamped_on_grid(e, F.lit(50000.0)).alias("clamped"), F.round(G.off_grid(q, F.lit(1920.0)), 6).alias("px"))
+
+
+@query(f"WITH {X.BOXES} SELECT l_orderkey, l_linenumber, l_partkey, floor((x1 + x2) / 2)::BIGINT AS cx, floor((y1 + y2) / 2)::BIGINT AS cy, px + x1 AS right, py + y1 AS bottom FROM boxes")
+def fn_bbox_center_xyxy(spark, d):
+    b = X.boxes(spark, d)
+    c = G.box_center(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    r = G.xywh_to_xyxy(*[F.col(c) for c in ("px", "py", "x1", "y1")])
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", c[0].cast("long").alias("cx"), c[1].cast("long").alias("cy"), r[2].alias("right"), r[3].alias("bottom"))
+
+
+@query("""WITH s AS (SELECT p_partkey, 100 + p_size * 37 AS h, 50 + (p_partkey % 90) * 20 AS w FROM part),
+r AS (SELECT *, greatest(28, round_even(h / 28.0, 0) * 28) AS rh, greatest(28, round_even(w / 28.0, 0) * 28) AS rw FROM s)
+SELECT p_partkey, (CASE WHEN rh * rw > 1003520 THEN greatest(28, floor(h / sqrt(h * w / 1003520.0) / 28) * 28) WHEN rh * rw < 200704 THEN ceil(h * sqrt(200704.0 / (h * w)) / 28) * 28 ELSE rh END)::INT AS height,
+ (CASE WHEN rh * rw > 1003520 THEN greatest(28, floor(w / sqrt(h * w / 1003520.0) / 28) * 28) WHEN rh * rw < 200704 THEN ceil(w * sqrt(200704.0 / (h * w)) / 28) * 28 ELSE rw END)::INT AS width FROM r""")
+def fn_smart_resize(spark, d):
+    s = X.read(spark, d, "part").select("p_partkey", (F.lit(100) + F.col("p_size") * 37).cast("double").alias("h"), (F.lit(50) + (F.col("p_partkey") % 90) * 20).cast("double").alias("w"))
+    return s.select("p_partkey", G.smart_resize(F.col("h"), F.col("w"), 28, 200704, 1003520).alias("r")).select("p_partkey", "r.height", "r.width")
+
+
+@query("SELECT event_id, ['500,700,500,300', '500,300,500,700', '300,500,700,500', '700,500,300,500', NULL][(event_id % 5)::INT + 1] AS swipe FROM events")
+def fn_scroll_fallback(spark, d):
+    direction = F.expr("element_at(array('down', 'up', 'left', 'right', 'away'), cast(event_id % 5 as int) + 1)")
+    return X.read(spark, d, "events").select("event_id", F.array_join(G.swipe_for_scroll(direction).cast("array<string>"), ",").alias("swipe"))
+
+
+@query("SELECT event_id, (event_id % 3 = 0) AS line, least(-((event_id % 97) - 64) / 32.0, 0)::DOUBLE AS penalty, (event_id % 97) * 24576 + (event_id % 97) * (event_id % 97) AS work FROM events")
+def fn_collinear_overlong_workload(spark, d):
+    e = X.read(spark, d, "events")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    k = F.col("event_id") % 50
+    points = F.array(at(k, F.lit(1)), at(k + 2, F.lit(3)), at(k + 4, F.when(F.col("event_id") % 3 == 0, 5).otherwise(6)), at(k + 1, F.lit(100)))
+    n = F.col("event_id") % 97
+    return e.select("event_id", G.any_collinear(points).alias("line"), G.overlong_penalty(n, 96, 32).alias("penalty"), G.workload(n).alias("work"))
