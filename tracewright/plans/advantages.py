@@ -17,31 +17,31 @@ def rows(spark, d):
     return r.withColumn("uid", F.when(F.col("row_id") % 501 == 0, -F.col("row_id") - 1).otherwise(F.col("uid")))
 
 
-def shown(df):
-    return df.select("row_id", F.round("advantage", 6).alias("advantage"))
+def shown(df, digits=9):
+    return df.select("row_id", F.round("advantage", digits).alias("advantage"))
 
 
-@query(f"{STATS} SELECT row_id, round((score - mean) / (sd + 1e-6), 6) AS advantage FROM s")
+@query(f"{STATS} SELECT row_id, round((score - mean) / (sd + 1e-6), 9) AS advantage FROM s")
 def adv_grpo(spark, d):
     return shown(A.grpo(rows(spark, d)))
 
 
-@query(f"{STATS} SELECT row_id, round(score - mean, 6) AS advantage FROM s")
+@query(f"{STATS} SELECT row_id, round(score - mean, 9) AS advantage FROM s")
 def adv_grpo_unscaled(spark, d):
     return shown(A.grpo(rows(spark, d), normalize=False))
 
 
-@query(f"{STATS} SELECT row_id, round((score - mean) / (CASE WHEN n = 1 THEN 1 ELSE sqrt(greatest(v, 1e-6)) END + 1e-6), 6) AS advantage FROM s")
+@query(f"{STATS} SELECT row_id, round((score - mean) / (CASE WHEN n = 1 THEN 1 ELSE sqrt(greatest(v, 1e-6)) END + 1e-6), 9) AS advantage FROM s")
 def adv_grpo_vectorized(spark, d):
     return shown(A.grpo_floored(rows(spark, d)))
 
 
-@query(f"{STATS}, r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_id) AS rn, lead(score) OVER (PARTITION BY uid ORDER BY score DESC, row_id) AS next FROM s) SELECT row_id, round(CASE WHEN rn = 1 THEN (score - next) / (sqrt(v) + 1e-6) WHEN n > 1 THEN 0 END, 6) AS advantage FROM r")
+@query(f"{STATS}, r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_id) AS rn, lead(score) OVER (PARTITION BY uid ORDER BY score DESC, row_id) AS next FROM s) SELECT row_id, round(CASE WHEN rn = 1 THEN (score - next) / (sqrt(v) + 1e-6) WHEN n > 1 THEN 0 END, 9) AS advantage FROM r")
 def adv_grpo_passk(spark, d):
     return shown(A.grpo_passk(rows(spark, d)))
 
 
-RLOO = STATS + ", r AS (SELECT *, avg(score) OVER (PARTITION BY uid) AS m FROM s) SELECT row_id, round(CASE WHEN n > 1 THEN (score - m) * n / (n - 1) ELSE {0} END, 6) AS advantage FROM r"
+RLOO = STATS + ", r AS (SELECT *, avg(score) OVER (PARTITION BY uid) AS m FROM s) SELECT row_id, round(CASE WHEN n > 1 THEN (score - m) * n / (n - 1) ELSE {0} END, 9) AS advantage FROM r"
 
 
 @query(RLOO.format("score"))
@@ -54,12 +54,12 @@ def adv_rloo_vectorized(spark, d):
     return shown(A.rloo(rows(spark, d), single="zero"))
 
 
-@query(f"{R} SELECT row_id, round(score - sum(score * length) OVER (PARTITION BY uid) / sum(length) OVER (PARTITION BY uid), 6) AS advantage FROM g")
+@query(f"{R} SELECT row_id, round(score - sum(score * length) OVER (PARTITION BY uid) / sum(length) OVER (PARTITION BY uid), 9) AS advantage FROM g")
 def adv_opo(spark, d):
     return shown(A.opo(rows(spark, d)))
 
 
-@query(f"{STATS}, t AS (SELECT count(*) AS b, greatest(count(*) FILTER (WHERE acc <> 0), 1) AS nz FROM g), q AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE avg(acc) OVER (PARTITION BY uid) END AS am FROM s) SELECT row_id, round(b / nz * (acc - am), 6) AS advantage FROM q, t")
+@query(f"{STATS}, t AS (SELECT count(*) AS b, greatest(count(*) FILTER (WHERE acc <> 0), 1) AS nz FROM g), q AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE avg(acc) OVER (PARTITION BY uid) END AS am FROM s) SELECT row_id, round(b / nz * (acc - am), 9) AS advantage FROM q, t")
 def adv_gpg(spark, d):
     return shown(A.gpg(rows(spark, d), score="acc"))
 

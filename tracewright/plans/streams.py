@@ -1 +1,74 @@
-"""Queries."""
+"""Queries of streams: what a stream gives once its input has run through, against the same in batch."""
+
+from pyspark.sql import functions as F
+
+from tracewright.plans.registry import query
+from tracewright.sources import files
+from tracewright.sources import fixtures as X
+from tracewright.streaming import stateful as S
+
+R = "WITH " + X.ROLLOUTS
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def st_tumbling(spark, d):
+    return S.drained(S.windowed(S.table_stream(spark, d, "events"), "6 hours"), "complete")
+
+
+@query("SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) o(k) GROUP BY 1, 2")
+def st_sliding(spark, d):
+    return S.windowed(X.read(spark, d, "events"), "6 hours", "3 hours")
+
+
+@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def st_sessions(spark, d):
+    return S.sessions(X.read(spark, d, "events"), "4 hours")
+
+
+RATIO = "o AS (SELECT uid, row_id, acc, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM rollouts), e AS (SELECT uid, max(n) - coalesce(max(n) FILTER (WHERE acc = 0), 0) AS streak FROM o GROUP BY 1)"
+
+
+@query(f"{R}, {RATIO} SELECT uid, round(greatest(0.04, pow(0.5, streak)), 6) AS ratio FROM e")
+def st_replay_sampler(spark, d):
+    e = S.table_stream(spark, d, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), (F.col("value") > 50).cast("double").alias("acc"))
+    return S.drained(S.replay_ratios(e), "update", ["uid"]).withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def st_thought_buffer_stream(spark, d):
+    e = S.table_stream(spark, d, "events").where("value > 50")
+    e = e.select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").alias("entry"))
+    return S.drained(S.buffers(e, 5), "update", ["uid"])
+
+
+@query()
+def st_rate_limit(spark, d):
+    e = S.table_stream(spark, d, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.unix_micros("ts").cast("double").alias("us"))
+    return S.drained(S.rate_limited(e.select("uid", "row_id", (F.col("us") / 1e6).alias("seconds")), 1 / 7200, 2.0), "append")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents) ORDER BY doc_id LIMIT 50")
+def scan_parquet_multi(spark, d):
+    path = f"{d}/documents.parquet"
+    return files.several(spark, [path, path], 50, key="doc_id").select("doc_id", "source")
+
+
+@query(f"{R}, m AS (SELECT data_source AS metric, avg(score) AS value FROM rollouts GROUP BY 1) SELECT metric, round(value, 6) AS value, 3::BIGINT AS step FROM m")
+def sink_metrics(spark, d):
+    """A metrics table, appended to and read back."""
+    from tracewright.streaming.place import shared_dir
+
+    root = shared_dir(spark)
+    files.append_metrics(X.rollouts(spark, d).groupBy(F.col("data_source").alias("metric")).agg(F.avg("score").alias("value")), root, 3)
+    return spark.read.parquet(root).select("metric", F.round("value", 6).alias("value"), "step")
+
+
+@query(f"WITH {X.STEPS}, r AS (SELECT episode_id, row_number() OVER (ORDER BY md5('42:' || episode_id), episode_id) AS n FROM (SELECT DISTINCT episode_id FROM steps)) SELECT CASE WHEN n <= 5 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM steps JOIN r USING (episode_id) GROUP BY 1")
+def sink_parquet(spark, d):
+    """Splits written, read back and counted."""
+    from tracewright.operators.trajectory import split_first
+    from tracewright.streaming.place import shared_dir
+
+    s = split_first(X.steps(spark, d), "episode_id", 5)
+    counts = files.write_splits(s.where("split = 'train'"), s.where("split = 'test'"), shared_dir(spark))
+    return spark.createDataFrame([(k, v) for k, v in counts.items()], "split string, n long")

@@ -14,7 +14,7 @@ def literal(spark, rows, schema):
 
 def values(rows) -> str:
     def one(v):
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
 
     return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
@@ -54,11 +54,10 @@ def fn_action_to_plan(spark, d):
 ODD = [
     ("pyautogui.click(1.5, 2)", "left_click", None, None, None), ("pyautogui.click()", "left_click", None, None, None), ("unknown()", "left_click", None, None, None),
     ("FAIL", "terminate", None, None, None), ("WAIT", "wait", None, None, 5.0), ("pyautogui.scroll(-3.7, 960, 540)", "scroll", "500,500", None, None),
-    ('pyautogui.write(message=\'it "is"\')', "type", None, 'it "is"', None), ("pyautogui.typewrite(\"\"\"a\nb\"\"\")", "left_click" if False else "type", None, "a\nb", None),
+    ('pyautogui.write(message=\'it "is"\')', "type", None, 'it "is"', None), ('pyautogui.typewrite("""a "b" c""")', "type", None, 'a "b" c', None), ('pyautogui.typewrite("""a\nb""")', "type", None, "", None),
     ("pyautogui.sleep()", "wait", None, None, 0.5), ("pyautogui.click(0, 0)\npyautogui.typewrite('x')\npyautogui.keyDown('enter')\npyautogui.keyUp('enter')", "type", None, "x", None),
     ("# note\npyautogui.rightClick(1920, 1080)", "right_click", "999,999", None, None), ("# only\n# notes", "wait", None, None, 1.0),
 ]
-ODD = [r for r in ODD if '"""' not in r[0]]
 
 
 @query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(ODD)])}) t(i, action, place, text, seconds)")
