@@ -34,26 +34,27 @@ def xywh_to_xyxy(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.array(x, y, x + w, y + h)
 
 
-def smart_resize(height: Column, width: Column, factor: int, least: int, most: int) -> Column:
-    """(height, width) in multiples of ``factor`` whose area is within bounds, at about the same aspect."""
-    h = F.greatest(F.lit(factor), F.bround(height / factor, 0) * factor)
-    w = F.greatest(F.lit(factor), F.bround(width / factor, 0) * factor)
-    shrink, grow = F.sqrt(height * width / most), F.sqrt(F.lit(float(least)) / (height * width))
-    small = lambda v: F.greatest(F.lit(factor), F.floor(v / shrink / factor) * factor)
-    large = lambda v: F.ceil(v * grow / factor) * factor
-    pick = lambda v, r: F.when(h * w > most, small(v)).when(h * w < least, large(v)).otherwise(r).cast("int")
-    return F.struct(pick(height, h).alias("height"), pick(width, w).alias("width"))
+def smart_resize(height: Column, width: Column, least: int, most: int, factor: int = 28) -> Column:
+    """(height, width) in multiples of ``factor``, scaled so that the area comes within bounds."""
+    area = height * width
+    scale = F.when(area < least, F.sqrt(F.lit(float(least)) / area)).when(area > most, F.sqrt(F.lit(float(most)) / area)).otherwise(1.0)
+    side = lambda v: F.greatest(F.lit(factor), F.bround(v * scale / factor, 0) * factor).cast("int")
+    return F.struct(side(height).alias("height"), side(width).alias("width"))
 
 
-#: Start and end of a swipe on a grid of 999 for each scroll direction: the finger moves against the content.
-SWIPES = {"down": ((500, 700), (500, 300)), "up": ((500, 300), (500, 700)), "left": ((300, 500), (700, 500)), "right": ((700, 500), (300, 500))}
+#: Start and end of a swipe on a grid of 1000 for each scroll direction (fixed values of the recordings' fallback).
+FALLBACK_SWIPES = {"down": (500, 750, 500, 250), "up": (500, 250, 500, 750), "left": (250, 500, 750, 500), "right": (750, 500, 250, 500)}
+#: The same in the benchmark's expected actions, with the direction the finger goes (fixed values of the benchmark).
+EXPECTED_SWIPES = {"down": (500, 650, 500, 350), "up": (500, 350, 500, 650), "left": (650, 500, 350, 500), "right": (350, 500, 650, 500)}
+FINGER = {"down": "up", "up": "down", "left": "left", "right": "right"}
 
 
-def swipe_for_scroll(direction: Column) -> Column:
+def swipe_for_scroll(direction: Column, swipes: dict[str, tuple[int, ...]] = FALLBACK_SWIPES) -> Column:
+    """array(x1, y1, x2, y2); null for an unknown direction."""
     out = None
-    for name, (a, b) in SWIPES.items():
-        swipe = F.array(*[F.lit(v) for v in (*a, *b)])
-        out = F.when(direction == name, swipe) if out is None else out.when(direction == name, swipe)
+    for name, swipe in swipes.items():
+        ends = F.array(*[F.lit(v) for v in swipe])
+        out = F.when(direction == name, ends) if out is None else out.when(direction == name, ends)
     return out
 
 

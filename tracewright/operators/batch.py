@@ -77,10 +77,38 @@ def required(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
-def weights_for_resampling(score: Column, method: str = "pow", power: float = 2.0) -> Column:
-    """Unnormalised weights: |score|**power; or 1 for the extreme scores (given as a flag column) and 0, or 0.4, for others."""
+def weights_for_resampling(score: Column, method: str = "pow", power: float = 2.0, low: Column | None = None, high: Column | None = None) -> Column:
+    """Positive weights: |score|**power; or 1 for the batch's extreme scores and 0 for others; or 0.4 for the best and 0.1 for others."""
     if method == "pow":
-        return F.pow(F.abs(score), F.lit(power))
-    if method in ("max_min", "max_random"):
-        return F.when(score, 1.0).otherwise(0.0 if method == "max_min" else 0.4)
-    raise ValueError(method)
+        weight = F.pow(F.abs(score), F.lit(power))
+    elif method == "max_min":
+        weight = F.when((score == high) | (score == low), 1.0).otherwise(0.0)
+    elif method == "max_random":
+        weight = F.when(score == high, 0.4).otherwise(0.1)
+    else:
+        raise ValueError(method)
+    return F.greatest(weight + 1e-8, F.lit(1e-8))
+
+
+def resampled(df: DataFrame, weight: str, key: str, seed: object = 42) -> DataFrame:
+    """As many rows as ``df`` has, drawn with replacement by weight: each draw is a hashed point on the line of weights.
+
+    Rows own spans of the running sum of weights, dealt out in ranges of a hash of their key; draws find their span by
+    an equi-join on the range's part of the line and a comparison inside it.
+    """
+    from pyspark.sql import Window
+
+    from tracewright.operators.order import seeded
+
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(256)))
+    parts = rows.groupBy("_part").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_end", F.sum("_w").over(ends)).withColumn("_start", F.col("_end") - F.col("_w"))
+    total = parts.agg(F.max("_end").alias("_total"))
+    inside = Window.partitionBy("_part").orderBy(seeded(key, seed=seed), key).rowsBetween(Window.unboundedPreceding, 0)
+    spans = rows.join(F.broadcast(parts.select("_part", "_start")), "_part").withColumn("_to", F.col("_start") + F.sum(weight).over(inside))
+    spans = spans.withColumn("_from", F.col("_to") - F.col(weight)).drop("_start")
+    u = (F.conv(F.substring(seeded(key, seed=f"draw-{seed}"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    draws = df.select(u.alias("_u")).crossJoin(F.broadcast(total)).select((F.col("_u") * F.col("_total")).alias("_point"))
+    draws = draws.join(F.broadcast(parts.select("_part", "_start", "_end")), (F.col("_point") >= F.col("_start")) & (F.col("_point") < F.col("_end"))).select("_part", "_point")
+    return draws.join(spans, "_part").where("_point >= _from AND _point < _to").drop("_part", "_point", "_from", "_to")

@@ -156,16 +156,17 @@ def consistency_penalty(spark, d):
     return r.join(some, "uid").select("row_id", F.when(F.coalesce(bad, F.lit(False)), -0.5).otherwise(F.col("score")).alias("score"))
 
 
-@query("SELECT event_id, CASE k WHEN 0 THEN 'click' WHEN 1 THEN 'swipe' WHEN 2 THEN 'swipe' WHEN 3 THEN 'type' WHEN 4 THEN 'wait' ELSE 'system_button' END AS action, CASE k WHEN 1 THEN '500,700,500,300' WHEN 2 THEN '500,300,500,700' END AS path, CASE WHEN k = 4 THEN 2 END AS seconds FROM (SELECT event_id, event_id % 6 AS k FROM events)")
+@query("SELECT event_id, CASE k WHEN 0 THEN 'click' WHEN 1 THEN 'swipe' WHEN 2 THEN 'swipe' WHEN 3 THEN 'type' WHEN 4 THEN 'wait' ELSE 'system_button' END AS action, CASE k WHEN 1 THEN '500,650,500,350' WHEN 2 THEN '500,350,500,650' END AS path, CASE k WHEN 1 THEN 'up' WHEN 2 THEN 'down' END AS finger, CASE WHEN k = 4 THEN 2 END AS seconds FROM (SELECT event_id, event_id % 6 AS k FROM events)")
 def ac_ground_truth(spark, d):
     """Benchmark records to expected actions: a scroll is the swipe that makes it, waiting is two seconds."""
-    from tracewright.functions.geometry import swipe_for_scroll
+    from tracewright.functions.geometry import EXPECTED_SWIPES, FINGER, swipe_for_scroll
 
     kind = F.expr("element_at(array('click', 'scroll_down', 'scroll_up', 'input_text', 'wait', 'navigate_back'), cast(event_id % 6 as int) + 1)")
     e = X.read(spark, d, "events").select("event_id", kind.alias("kind"))
     name = F.when(F.col("kind").startswith("scroll"), "swipe").otherwise(T.mapped(F.col("kind"), T.MOBILE_ACTIONS))
-    path = F.array_join(swipe_for_scroll(F.regexp_replace("kind", "scroll_", "")).cast("array<string>"), ",")
-    return e.select("event_id", name.alias("action"), path.alias("path"), F.when(F.col("kind") == "wait", 2).alias("seconds"))
+    way = F.regexp_replace("kind", "scroll_", "")
+    path = F.array_join(swipe_for_scroll(way, EXPECTED_SWIPES).cast("array<string>"), ",")
+    return e.select("event_id", name.alias("action"), path.alias("path"), T.mapped(way, FINGER).alias("finger"), F.when(F.col("kind") == "wait", 2).alias("seconds"))
 
 
 @query(f"WITH {X.STEPS}, s AS (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY step) AS idx, CASE WHEN step % 3 = 2 THEN -1 ELSE 60 + (episode_id + step) % 40 END AS score FROM steps) SELECT episode_id, CASE WHEN bool_or(score = -1) THEN NULL ELSE min(score) FILTER (WHERE score >= 0) END AS lowest, min(idx) FILTER (WHERE score BETWEEN 0 AND 69) AS first_failed, coalesce(bool_and(score = -1 OR score >= 70), true) AS passed FROM s WHERE episode_id % 2 = 0 OR score >= 0 GROUP BY 1")

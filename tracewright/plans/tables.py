@@ -258,16 +258,24 @@ def sample_val_log(spark, d):
     return X.read(spark, d, "documents").select("doc_id", "text").orderBy(seeded("doc_id"), "doc_id").limit(10)
 
 
-@query(f"""{R}, w AS (SELECT row_id, score, abs(score) ** 2 AS pow_w, score = max(score) OVER () OR score = min(score) OVER () AS extreme FROM rollouts)
-SELECT row_id, round(pow_w / sum(pow_w) OVER (), 9) AS pow_p, CASE WHEN extreme THEN 1.0 ELSE 0.0 END::DOUBLE AS max_min_w, CASE WHEN extreme THEN 1.0 ELSE 0.4 END::DOUBLE AS max_random_w FROM w""")
+@query(f"""{R}, w AS (SELECT row_id, score, greatest(abs(score) ** 2 + 1e-8, 1e-8) AS pow_w, max(score) OVER () AS high, min(score) OVER () AS low FROM rollouts)
+SELECT row_id, round(pow_w / sum(pow_w) OVER (), 9) AS pow_p, round(CASE WHEN score IN (high, low) THEN 1.0 ELSE 0.0 END + 1e-8, 9)::DOUBLE AS max_min_w, round(CASE WHEN score = high THEN 0.4 ELSE 0.1 END + 1e-8, 9)::DOUBLE AS max_random_w FROM w""")
 def weighted_resample_weights(spark, d):
     r = X.rollouts(spark, d)
     # One row of totals, whatever the number of rows.
     all_ = r.agg(F.sum(B.weights_for_resampling(F.col("score"))).alias("total"), F.min("score").alias("low"), F.max("score").alias("high"))
     r = r.crossJoin(F.broadcast(all_))
-    extreme = (F.col("score") == F.col("low")) | (F.col("score") == F.col("high"))
+    weight = lambda how: F.round(B.weights_for_resampling(F.col("score"), how, low=F.col("low"), high=F.col("high")), 9)
     pow_p = F.round(B.weights_for_resampling(F.col("score")) / F.col("total"), 9)
-    return r.select("row_id", pow_p.alias("pow_p"), B.weights_for_resampling(extreme, "max_min").alias("max_min_w"), B.weights_for_resampling(extreme, "max_random").alias("max_random_w"))
+    return r.select("row_id", pow_p.alias("pow_p"), weight("max_min").alias("max_min_w"), weight("max_random").alias("max_random_w"))
+
+
+@query(f"""{R}, w AS (SELECT row_id, abs(score) ** 2 + 1e-8 AS w FROM rollouts) SELECT count(*) AS n, true AS heavier FROM w""")
+def weighted_resample(spark, d):
+    """A resampled batch: as many rows, with heavier ones more often."""
+    r = X.rollouts(spark, d).withColumn("w", B.weights_for_resampling(F.col("score")))
+    out = B.resampled(r, "w", "row_id").agg(F.count("*").alias("n"), F.avg("score").alias("after"))
+    return out.crossJoin(F.broadcast(r.agg(F.avg("score").alias("before")))).select("n", (F.col("after") > F.col("before")).alias("heavier"))
 
 
 @query("SELECT n_nationkey, string_agg(s_name, '|' ORDER BY slot) AS variants FROM (SELECT s_nationkey AS n_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS slot FROM supplier) WHERE slot <= 15 GROUP BY 1")

@@ -271,15 +271,14 @@ def fn_bbox_center_xyxy(spark, d):
 
 
 @query("""WITH s AS (SELECT p_partkey, 100 + p_size * 37 AS h, 50 + (p_partkey % 90) * 20 AS w FROM part),
-r AS (SELECT *, greatest(28, round_even(h / 28.0, 0) * 28) AS rh, greatest(28, round_even(w / 28.0, 0) * 28) AS rw FROM s)
-SELECT p_partkey, (CASE WHEN rh * rw > 1003520 THEN greatest(28, floor(h / sqrt(h * w / 1003520.0) / 28) * 28) WHEN rh * rw < 200704 THEN ceil(h * sqrt(200704.0 / (h * w)) / 28) * 28 ELSE rh END)::INT AS height,
- (CASE WHEN rh * rw > 1003520 THEN greatest(28, floor(w / sqrt(h * w / 1003520.0) / 28) * 28) WHEN rh * rw < 200704 THEN ceil(w * sqrt(200704.0 / (h * w)) / 28) * 28 ELSE rw END)::INT AS width FROM r""")
+f AS (SELECT *, CASE WHEN h * w < 200704 THEN sqrt(200704.0 / (h * w)) WHEN h * w > 1003520 THEN sqrt(1003520.0 / (h * w)) ELSE 1.0 END::DOUBLE AS k FROM s)
+SELECT p_partkey, greatest(28, round_even(h * k / 28, 0) * 28)::INT AS height, greatest(28, round_even(w * k / 28, 0) * 28)::INT AS width FROM f""")
 def fn_smart_resize(spark, d):
     s = X.read(spark, d, "part").select("p_partkey", (F.lit(100) + F.col("p_size") * 37).cast("double").alias("h"), (F.lit(50) + (F.col("p_partkey") % 90) * 20).cast("double").alias("w"))
-    return s.select("p_partkey", G.smart_resize(F.col("h"), F.col("w"), 28, 200704, 1003520).alias("r")).select("p_partkey", "r.height", "r.width")
+    return s.select("p_partkey", G.smart_resize(F.col("h"), F.col("w"), 200704, 1003520).alias("r")).select("p_partkey", "r.height", "r.width")
 
 
-@query("SELECT event_id, ['500,700,500,300', '500,300,500,700', '300,500,700,500', '700,500,300,500', NULL][(event_id % 5)::INT + 1] AS swipe FROM events")
+@query("SELECT event_id, ['500,750,500,250', '500,250,500,750', '250,500,750,500', '750,500,250,500', NULL][(event_id % 5)::INT + 1] AS swipe FROM events")
 def fn_scroll_fallback(spark, d):
     direction = F.expr("element_at(array('down', 'up', 'left', 'right', 'away'), cast(event_id % 5 as int) + 1)")
     return X.read(spark, d, "events").select("event_id", F.array_join(G.swipe_for_scroll(direction).cast("array<string>"), ",").alias("swipe"))
