@@ -34,6 +34,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def mapped(key: Column, values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
 
@@ -54,21 +59,21 @@ def is_refusal(call: Column) -> Column:
 
 def prediction(text: Column) -> Column:
     """struct(thought, raw) of ``Thought: ... Action: {...}``; without a closing action any braces count."""
-    thought = F.trim(F.coalesce(found(text, r"(?s)Thought:\s*(.*?)\s*Action:"), F.lit("")))
+    thought = stripped(F.coalesce(found(text, r"(?s)Thought:\s*(.*?)\s*Action:"), F.lit("")))
     raw = F.coalesce(found(text, r"(?s)Action:\s*(\{.*\})\s*$"), found(text, r"(?s)(\{.*\})"), F.lit(""))
-    return F.struct(thought.alias("thought"), F.trim(raw).alias("raw"))
+    return F.struct(thought.alias("thought"), stripped(raw).alias("raw"))
 
 
 def action_description(text: Column) -> Column:
     """The section under ``## Action:``, else what follows ``Action:`` up to a blank line or a tool call."""
     section = found(text, r"(?s)##\s*Action:\s*(.*?)(?:\n##|\z)")
-    return F.trim(F.coalesce(section, found(text, r"(?s)Action:\s*(.*?)(?:\n\s*\n|<tool_call>|\z)"), F.lit("")))
+    return stripped(F.coalesce(section, found(text, r"(?s)Action:\s*(.*?)(?:\n\s*\n|<tool_call>|\z)"), F.lit("")))
 
 
 def thought_length(text: Column) -> Column:
     """Characters of the think block, or of all before a lone closing tag; 0 without either."""
     inner = F.coalesce(found(text, r"(?s)<think(?:ing)?>(.*?)</think(?:ing)?>"), found(text, r"(?s)\A(.*?)</think(?:ing)?>"), F.lit(""))
-    return F.length(F.regexp_replace(inner, r"(?U)^\s+|\s+$", ""))
+    return F.length(stripped(inner))
 
 
 def without_thought(text: Column) -> Column:
@@ -237,7 +242,7 @@ def qa_normalized(text: Column) -> Column:
 def answer_tag(text: Column) -> Column:
     """The last answer tag's body; null without one."""
     hits = F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))
-    return F.trim(F.when(F.size(hits) > 0, F.element_at(hits, -1)))
+    return stripped(F.when(F.size(hits) > 0, F.element_at(hits, -1)))
 
 
 def media_segments(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("trajectories", "tables", "text", "scores", "metrics", "advantages", "arrays", "streams")
+MODULES = ("trajectories", "tables", "text", "scores", "metrics", "advantages", "arrays", "streams", "rest")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -13,7 +13,7 @@ STEP = (
     + ">>, bbox array<array<int>>, bbox2 array<array<int>>, screenshot string, code string, is_use boolean, is_reviewed boolean, is_delete boolean, train_test string, raw_thought string"
 )
 EPISODE = "task string, app string, device string, screen_resolution array<int>, query string, episode_id string, is_delete boolean, is_mock boolean, verified boolean, task_completed boolean"
-DESKTOP_LOG = "step_num int, action_timestamp string, action string, response string, natural_language_action string, screenshot_file string, _corrupt string"
+DESKTOP_LOG = "step_num int, action_timestamp string, action string, response string, natural_language_action string, screenshot_file string"
 MOBILE_LOG = "map<string, struct<traj: array<struct<task_goal: string, step: int, prediction: string, action: string>>>>"
 
 
@@ -21,9 +21,15 @@ def path() -> Column:
     return F.col("_metadata.file_path")
 
 
+def read_episodes(spark: SparkSession, root: str, glob: str = "task.json", lines: bool = True) -> DataFrame:
+    """Episodes of all matching files below a folder; a file holds one document, or one a line."""
+    kind = T.StructType.fromDDL(EPISODE).add("data", T.ArrayType(T.StructType.fromDDL(STEP)))
+    return spark.read.schema(kind).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(root)
+
+
 def episodes(spark: SparkSession, root: str) -> DataFrame:
     """Every ``task.json`` below a folder, one row each, with its folder; files inside another trajectory's folder don't count."""
-    df = spark.read.schema(T.StructType.fromDDL(EPISODE).add("data", T.ArrayType(T.StructType.fromDDL(STEP)))).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "task.json").json(root)
+    df = read_episodes(spark, root, lines=False)
     df = df.withColumn("folder", F.regexp_replace(path(), "/task\\.json$", ""))
     above = df.select(F.concat("folder", F.lit("/")).alias("_above"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("folder", "/")) - 1), lambda n: F.concat(F.array_join(F.slice(F.split("folder", "/"), 1, n), "/"), F.lit("/")))
@@ -47,10 +53,12 @@ def exploded(df: DataFrame) -> DataFrame:
 
 def json_lines(spark: SparkSession, root: str, schema: str = DESKTOP_LOG, strict: bool = False) -> DataFrame:
     """Lines of ``*.jsonl`` files with their file; a bad line is left out, or an error if ``strict``."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    if strict:
-        return reader.option("mode", "FAILFAST").json(root).withColumn("file", path())
-    return reader.option("mode", "DROPMALFORMED").json(root).withColumn("file", path())
+    return read_json_lines(spark, root, "*.jsonl", schema, strict)
+
+
+def read_json_lines(spark: SparkSession, root: str, glob: str, schema: str = DESKTOP_LOG, strict: bool = False) -> DataFrame:
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return reader.option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(root).withColumn("file", path())
 
 
 def mobile_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -97,7 +105,10 @@ def app_definitions(spark: SparkSession, root: str) -> DataFrame:
 
 def annotations(spark: SparkSession, root: str, box: str = "bbox", form: str = "xyxy") -> DataFrame:
     """JSON arrays of grounding samples with their box as array(x1, y1, x2, y2)."""
-    df = spark.read.option("multiLine", True).json(root)
+    return boxed(spark.read.option("multiLine", True).json(root), box, form)
+
+
+def boxed(df: DataFrame, box: str, form: str) -> DataFrame:
     b = F.transform(box, lambda v: v.cast("double"))
     return df.withColumn("box", b if form == "xyxy" else F.array(b[0], b[1], b[0] + b[2], b[1] + b[3]))
 
