@@ -45,11 +45,11 @@ def rows_of(seed):
     return rows + [(100, None, None), (101, "", None), (None, rows[0][1], None), (3, rows[1][1], None), (3, "x y", None), (102, "same " * 3000, None), (5, "same " * 20, None)]
 
 
-@pytest.mark.parametrize(("keys", "spans", "hot"), [(10**6, 10**6, 10**6), (0, 0, 3)])
-def test_matches_brute_force(spark, keys, spans, hot):
+@pytest.mark.parametrize(("keys", "hot"), [(10**6, 10**6), (0, 3)])
+def test_matches_brute_force(spark, keys, hot):
     rows = rows_of(hot)
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    out = substring_dedup(df, window=10, gram=3, broadcast_keys=keys, broadcast_spans=spans, hot=hot).collect()
+    out = substring_dedup(df, window=10, gram=3, broadcast_keys=keys, hot=hot).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out], key=str) == brute(rows, 10)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in out)
 

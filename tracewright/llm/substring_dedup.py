@@ -221,7 +221,6 @@ def substring_dedup(
     ident: str = "doc_id",
     text: str = "text",
     broadcast_keys: int = 2_000_000,
-    broadcast_spans: int = 500_000,
     hot: int = 5000,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``.
@@ -241,9 +240,7 @@ def substring_dedup(
     spans = spans.withColumn("runs", runs).where(F.size("runs") > 0)
     span = F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (window - 1)).alias("b")))
     spans = written(spans.select("doc_id", "rid", span.alias("spans")).groupBy("doc_id", "rid").agg(F.flatten(F.collect_set("spans")).alias("spans")))
-    n = spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
-    # Some 16 bytes for each span; beyond the bound the texts are joined by a shuffle.
-    marked = slim.join(F.broadcast(spans) if n <= broadcast_spans else spans, ["doc_id", "rid"], "left").select("doc_id", "text", "spans")
+    marked = slim.join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "spans")
 
     def cut(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
