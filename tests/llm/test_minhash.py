@@ -42,7 +42,7 @@ def test_matches_brute_force(spark):
     for k, percent, rounds in ((3, 85, 2), (5, 80, 0)):
         rows = rows_of(k)
         df = spark.createDataFrame(rows, SCHEMA)
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k, percent, leader_rounds=rounds, broadcast_ids=0 if rounds else 1000).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k, percent, block=3, cluster_most=6 if rounds else 1000, broadcast_ids=0 if rounds else 1000).collect()}
         assert got == brute(rows, k, percent)
 
 

@@ -1,21 +1,26 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, confirmed links, components.
 
 Texts with equal shingle sets form one class, which counts once. Classes that share a band are candidates, but a
-bucket never emits all its pairs: each member meets the bucket's least member first, later a few members picked by
-hash, and only members that are still in different components meet each other in full. Every candidate is first
-held against the signatures, then confirmed on the full shingle sets, which are made again from the texts of
-candidates only. Two members that links already join need no link of their own, so components lose nothing.
+bucket never emits its pairs. First each member meets one leader: the member that leads most of its buckets. Links
+confirmed there make components. What shares a bucket and isn't joined yet is gathered in clusters (by the same
+components algorithm over components and buckets); in a cluster, the members outside its largest component stream
+past blocks of all its members, in tiles of bounded size. A tile compares signatures, confirms on full shingle sets,
+and leaves out pairs that its links already join, so it returns a link for each merger, never all pairs. A cluster of
+over ``cluster_most`` members is tiled by bucket instead. Shingle sets are made again from the texts of those that
+meet, and only of those.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_map, texts, written
+from tracewright.llm.common import arrow_map, sliced, texts, written
 from tracewright.llm.components import connected_components
 from tracewright.llm.shingles import scrambled, shingle_set
 
@@ -69,71 +74,144 @@ def _banded(batch: pa.RecordBatch) -> dict:
     return {"cid": batch.column(0), "keys": list(band_keys(sigs))}
 
 
-def _likely(percent: int):
-    least = percent / 100 - MARGIN
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(a) + len(b)
+    shared = both - len(np.unique(np.concatenate([a, b])))
+    return 100 * shared >= percent * (both - shared)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for k in (2, 3))
-        near = (a == b).mean(axis=1) >= least
-        return {"x": batch.column(0).filter(pa.array(near)), "y": batch.column(1).filter(pa.array(near))}
 
-    return run
+def _short(s: np.ndarray) -> np.ndarray:
+    """A byte of each minimum: agreement can only grow by this."""
+    return signature(s).astype(np.uint8)
 
 
-def _confirmed(percent: int):
+def _pairs_confirmed(percent: int):
+    """Pairs (x, y) whose signatures are near and whose sets are linked."""
+    least = percent / 100 - MARGIN
+
     def run(batch: pa.RecordBatch) -> dict:
         xs, ys = [], []
-        for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
-            both = len(a) + len(b)
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                continue
-            shared = both - len(np.unique(np.concatenate([a, b])))
-            if 100 * shared >= percent * (both - shared):
-                xs.append(x), ys.append(y)
+        for x, y, f, g, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+            near = np.count_nonzero(np.frombuffer(f, np.uint8) == np.frombuffer(g, np.uint8)) >= least * BANDS * ROWS
+            if near and linked(np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8"), percent):
+                xs.append(x)
+                ys.append(y)
         return {"x": xs, "y": ys}
 
     return run
 
 
-class _Links:
-    """Confirms candidate pairs of class ids on full sets."""
+def _tiles(percent: int):
+    """Rows in order of tile and side: a block of a group's members, then those outside the main component, held against it."""
+    least = (percent / 100 - MARGIN) * BANDS * ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, root = None, {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x] = root[root[x]]
+            return x
+
+        for batch in (part for whole in batches for part in sliced(whole)):
+            xs, ys = [], []
+            for g, block, side, main, comp, cid, sig, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, block) != tile:
+                    tile, root = (g, block), {}
+                    ids, comps, mains, sigs, sets, matrix = [], [], [], [], [], None
+                if side == 0:
+                    ids.append(cid)
+                    comps.append(comp)
+                    mains.append(main)
+                    sigs.append(np.frombuffer(sig, np.uint8))
+                    sets.append(np.frombuffer(s, "<u8"))
+                    continue
+                if not ids:
+                    continue
+                if matrix is None:
+                    # Two members outside the main component meet in both orders: once is enough.
+                    matrix, order, outside = np.stack(sigs), np.array(ids), ~np.array(mains)
+                agree = np.count_nonzero(matrix == np.frombuffer(sig, np.uint8), axis=1)
+                near = np.flatnonzero((agree >= least) & ~(outside & (order >= cid)))
+                mine = np.frombuffer(s, "<u8")
+                for k in near[np.argsort(-agree[near], kind="stable")].tolist():
+                    a, b = find(comps[k]), find(comp)
+                    if a != b and linked(sets[k], mine, percent):
+                        root[max(a, b)] = min(a, b)
+                        xs.append(cid)
+                        ys.append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+    return run
+
+
+class _Sets:
+    """Signatures and shingle sets of chosen documents, made again from their texts."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, broadcast_ids: int) -> None:
-        self.docs, self.classes, self.k, self.percent, self.broadcast_ids = docs, classes, k, percent, broadcast_ids
+    def __init__(self, docs: DataFrame, k: int, broadcast_ids: int) -> None:
+        self.docs, self.k, self.broadcast_ids = docs, k, broadcast_ids
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        sig = self.classes.select("cid", "sig")
-        p = pairs.join(sig.select(F.col("cid").alias("x"), F.col("sig").alias("sx")), "x")
-        p = p.join(sig.select(F.col("cid").alias("y"), F.col("sig").alias("sy")), "y").select("x", "y", "sx", "sy")
-        p = written(arrow_map(p, _likely(self.percent), "x long, y long"))
-        ids = written(p.select(F.col("x").alias("doc_id")).unionAll(p.select("y")).distinct())
-        n = ids.count()
-        if not n:
-            return p
+    def of(self, ids: DataFrame) -> DataFrame:
+        ids = written(ids.distinct())
         k = self.k
 
         def sets(batch: pa.RecordBatch) -> dict:
-            return {"cid": batch.column(0), "s": [shingle_set(t, k).tobytes() for t in texts(batch.column(1))]}
+            made = [shingle_set(t, k) for t in texts(batch.column(1))]
+            return {"cid": batch.column(0), "f": [_short(s).tobytes() for s in made], "s": [s.tobytes() for s in made]}
 
         # A long for each of at most broadcast_ids ids is a few MB; beyond, the texts are joined by a shuffle.
-        near = self.docs.join(F.broadcast(ids) if n <= self.broadcast_ids else ids, "doc_id", "left_semi")
-        s = written(arrow_map(near, sets, "cid long, s binary").where(F.length("s") > 0))
-        p = p.join(s.select(F.col("cid").alias("x"), F.col("s").alias("s")), "x")
-        p = p.join(s.select(F.col("cid").alias("y"), F.col("s").alias("t")), "y").select("x", "y", "s", "t")
-        return written(arrow_map(p, _confirmed(self.percent), "x long, y long"))
+        near = self.docs.join(F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids, "doc_id", "left_semi")
+        return written(arrow_map(near, sets, "cid long, f binary, s binary").where(F.length("s") > 0))
 
 
-def _open_buckets(bands: DataFrame, component: DataFrame) -> DataFrame:
-    """Members (key, cid, comp) of buckets of three and more that lie in more than one component."""
-    b = bands.join(component.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    b = b.select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = b.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("z")).where("n > 2 and a <> z")
-    return written(b.join(mixed.select("key"), "key"))
+def _led(bands: DataFrame) -> DataFrame:
+    """(x, y): each member and the leader of most of its buckets."""
+    met = bands.where("cid <> lead").groupBy("cid", "lead").count()
+    best = met.groupBy("cid").agg(F.max_by("lead", F.struct("count", F.negative("lead"))).alias("y"))
+    return best.select(F.col("cid").alias("x"), "y")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x > y").distinct()
+def _confirmed(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    pairs = written(pairs)
+    s = sets.of(pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")))
+    p = pairs.join(s.select(F.col("cid").alias("x"), "f", "s"), "x").join(s.select(F.col("cid").alias("y"), F.col("f").alias("g"), F.col("s").alias("t")), "y")
+    return written(arrow_map(p.select("x", "y", "f", "g", "s", "t"), _pairs_confirmed(percent), "x long, y long"))
+
+
+def _open_buckets(bands: DataFrame, component: DataFrame) -> DataFrame:
+    """Members (key, cid, comp) of buckets that hold more than one component."""
+    b = bands.join(component.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    b = written(b.select("key", "cid", F.coalesce("component", "cid").alias("comp")))
+    mixed = b.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return written(b.join(mixed, "key"))
+
+
+def _groups(buckets: DataFrame, labels: DataFrame, cluster_most: int) -> DataFrame:
+    """(g, cid, comp): members of clusters of components that share buckets; of too large ones, members by bucket."""
+    clusters = connected_components(buckets.where("comp <> low").select("comp", "low").distinct())
+    members = written(labels.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("g")), "comp").select("g", "cid", "comp"))
+    large = written(members.groupBy("g").count().where(F.col("count") > cluster_most).select("g"))
+    if large.isEmpty():
+        return members
+    by_bucket = buckets.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("g")), "comp").join(large, "g", "left_semi")
+    return written(members.join(large, "g", "left_anti").unionByName(by_bucket.select(F.col("key").alias("g"), "cid", "comp")))
+
+
+def _links_in_groups(groups: DataFrame, sets: _Sets, percent: int, block: int) -> DataFrame:
+    """Links between components of a group: one for each merger and tile at most."""
+    sizes = groups.groupBy("g", "comp").count().groupBy("g").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.ceil(F.sum("count") / block).alias("blocks"))
+    rows = groups.join(written(sizes), "g").withColumn("main", F.col("comp") == F.col("main"))
+    each = F.when(~F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array().cast("array<long>"))
+    own = F.struct(F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
+    places = F.concat(F.array(own), F.transform(each, lambda k: F.struct(k.alias("block"), F.lit(1).alias("side"))))
+    rows = written(rows.select("g", "main", "comp", "cid", F.explode(places).alias("p")).select("g", "p.block", "p.side", "main", "comp", "cid"))
+    columns = ["g", "block", "side", "main", "comp", "cid", "f", "s"]
+    rows = rows.join(sets.of(rows.select(F.col("cid").alias("doc_id"))), "cid").select(columns)
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartition(n, "g", "block").sortWithinPartitions("g", "block", "side", "cid").mapInArrow(_tiles(percent), "x long, y long"))
 
 
 def near_duplicates(
@@ -142,8 +220,8 @@ def near_duplicates(
     percent: int = 80,
     ident: str = "doc_id",
     text: str = "text",
-    leader_rounds: int = 2,
-    leaders: int = 4,
+    block: int = 512,
+    cluster_most: int = 20_000,
     broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; ``docs`` is read more than once.
@@ -159,28 +237,14 @@ def near_duplicates(
     bands = arrow_map(classes.select("cid", "sig"), _banded, "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
     least = bands.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("most")).where("lead < most")
     bands = written(bands.join(least, "key").select("key", "cid", "lead"))
-    links = _Links(slim.where("doc_id is not null"), classes, k, percent, broadcast_ids)
-    edges = links.confirmed(_ordered(bands.select(F.col("cid").alias("x"), F.col("lead").alias("y"))))
-    component = connected_components(edges)
-    bands = bands.select("key", "cid")
-    for turn in range(leader_rounds + 1):
-        bands = _open_buckets(bands, component)
-        if bands.isEmpty():
-            break
-        if turn < leader_rounds:
-            picks = [F.min(F.struct(F.xxhash64("cid", F.lit(turn * leaders + i)), "cid", "comp")).alias(f"p{i}") for i in range(leaders)]
-            lead = bands.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.cid", f"p{i}.comp") for i in range(leaders)]))).alias("l"))
-            pairs = bands.join(lead, "key").where("comp <> l.comp").select(F.col("cid").alias("x"), F.col("l.cid").alias("y"))
-        else:
-            # All that is left: members outside the bucket's largest component, each with all of other components.
-            sizes = bands.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"))
-            outside = bands.join(sizes.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main")
-            other = bands.select("key", F.col("cid").alias("y"), F.col("comp").alias("other"))
-            pairs = outside.join(other, "key").where("comp <> other").select(F.col("cid").alias("x"), "y")
-        more = links.confirmed(_ordered(pairs))
+    sets = _Sets(slim.where("doc_id is not null"), k, broadcast_ids)
+    component = connected_components(_confirmed(_led(bands), sets, percent))
+    buckets = _open_buckets(bands.select("key", "cid"), component)
+    if not buckets.isEmpty():
+        labels = classes.select("cid").distinct().join(component.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp"))
+        more = _links_in_groups(_groups(buckets, labels, cluster_most), sets, percent, block)
         if not more.isEmpty():
-            edges = written(component.toDF("x", "y").unionAll(more))
-            component = connected_components(edges)
+            component = connected_components(component.toDF("x", "y").unionAll(more))
     of_class = classes.select("digest", "cid").join(component.withColumnRenamed("node", "cid"), "cid", "left")
     of_class = of_class.select(F.col("digest"), F.coalesce("component", "cid").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
