@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy_loads(df: DataFrame, by: str, weight: str, order: str, bins: int) -> DataFrame:
-    """Loads after giving rows, in order, each to the least loaded bin (the first of equals)."""
-    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, weight))).alias("rows"))
+def greedy_loads(df: DataFrame, by: list[str], weight: str, order: str, bins: int) -> DataFrame:
+    """Loads after giving each block's rows, in order, each to the least loaded bin (the first of equals)."""
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, weight))).alias("rows"))
     start = F.array(*[F.lit(0) for _ in range(bins)]).cast("array<int>")
 
     def give(load, row):
         least = F.array_position(load, F.array_min(load))
         return F.transform(load, lambda b, i: F.when(i + 1 == least, b + row[weight]).otherwise(b))
 
-    return rows.select(by, F.aggregate("rows", start, give).alias("bins"))
+    return rows.select(*by, F.aggregate("rows", start, give).alias("bins"))
 
 
 def differenced(weights: list[int], parts: int, equal: bool) -> list[list[int]]:

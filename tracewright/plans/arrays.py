@@ -239,9 +239,9 @@ def topk_divergence(spark, d):
 
 @query(f"WITH RECURSIVE {X.ROLLOUTS}, o AS (SELECT data_source, length, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS i FROM rollouts WHERE row_id < 400), f AS (SELECT data_source, 0::BIGINT AS i, [0, 0, 0, 0]::INT[] AS bins FROM (SELECT DISTINCT data_source FROM o) UNION ALL SELECT o.data_source, o.i, list_transform(f.bins, lambda b, k: CASE WHEN k = list_position(f.bins, list_min(f.bins)) THEN b + o.length ELSE b END) FROM f JOIN o ON o.data_source = f.data_source AND o.i = f.i + 1) SELECT data_source, array_to_string(arg_max(bins, i), ',') AS bins FROM f GROUP BY 1")
 def pack_greedy(spark, d):
-    """Rows in order go to the least loaded of four bins: a fold over each part's lengths."""
-    r = X.rollouts(spark, d).where("row_id < 400")
-    return P.greedy_loads(r, "data_source", "length", "row_id", 4).select("data_source", F.array_join(F.col("bins").cast("array<string>"), ",").alias("bins"))
+    """Rows in order go to the least loaded of four bins: a fold over the lengths of each source's blocks of 64 ids."""
+    r = X.rollouts(spark, d).withColumn("block", F.floor(F.col("row_id") / 64))
+    return P.greedy_loads(r, ["block", "data_source"], "length", "row_id", 4).select("block", "data_source", F.array_join(F.col("bins").cast("array<string>"), ",").alias("bins"))
 
 
 @query()
