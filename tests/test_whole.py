@@ -1,6 +1,9 @@
 """Queries over whole tables against brute force."""
 
+from pyspark.sql import functions as F
+
 from tracewright.plans import registry
+from tracewright.sources import files
 from tracewright.sources import fixtures as X
 
 
@@ -12,3 +15,19 @@ def test_pack_greedy_gives_every_row_a_bin(spark, sf_dir):
     got = registry.queries()["pack_greedy"](spark, sf_dir).collect()
     assert len(got) == len(want)
     assert {(r.block, r.data_source): r.bins for r in got} == {k: ",".join(map(str, v)) for k, v in want.items()}
+
+
+def test_st_dynamic_dataset_takes_late_rows(spark, sf_dir, tmp_path):
+    e = X.read(spark, sf_dir, "events")
+    late = e.withColumns({"event_id": F.col("event_id") + 6000, "user_id": F.col("user_id") + 100000})
+    e.union(late).write.parquet(str(tmp_path / "events.parquet"))
+    want = {-i - 1 if i % 501 == 0 else u for i, u in e.union(late).select("event_id", "user_id").collect()}
+    got = [r.uid for r in registry.queries()["st_dynamic_dataset"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_growing_table_is_filtered_batch_by_batch(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for k in range(3):
+        files.grow(spark.createDataFrame([(k * 2, 5), (k * 2 + 1, 9)], "uid int, length int"), root, 5)
+    assert sorted(r.uid for r in spark.read.parquet(root).collect()) == [0, 2, 4]

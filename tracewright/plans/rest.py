@@ -325,10 +325,12 @@ def checkpoint_state(spark, d):
 
 @query(f"{GROUPS}, o AS (SELECT uid, min(row_id) AS first FROM g GROUP BY 1) SELECT uid FROM o WHERE first < 5000")
 def st_dynamic_dataset(spark, d):
-    """A table that grows by a batch and is filtered again for what it has seen."""
+    """A table that grows by four batches, each a share of the range of ids and filtered by length before it is appended."""
     root = _folder(spark)
-    r = rows(spark, d).select("uid", "row_id")
-    r.where("row_id < 2500").write.parquet(root)
-    new = r.where("row_id >= 2500 AND row_id < 5000")
-    new.write.mode("append").parquet(root)
-    return spark.read.schema(r.schema).parquet(root).select("uid").distinct()
+    r = rows(spark, d).select("uid", "row_id", "length")
+    low, high = r.agg(F.min("row_id").cast("double"), F.max("row_id").cast("double")).first()
+    share = F.floor((F.col("row_id").cast("double") - F.lit(low)) * 4 / F.lit((high or 0.0) - (low or 0.0) + 1.0))
+    r = r.withColumn("batch", F.coalesce(F.least(share, F.lit(3)), F.lit(0)))
+    for k in range(4):
+        files.grow(r.where(F.col("batch") == k).drop("batch"), root, 1024)
+    return spark.read.schema(r.drop("batch").schema).parquet(root).select("uid").distinct()

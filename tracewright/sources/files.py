@@ -154,6 +154,11 @@ def append_metrics(df: DataFrame, root: str, step: int) -> None:
     df.select("metric", F.col("value").cast("double").alias("value"), F.lit(step).cast("long").alias("step")).write.mode("append").parquet(root)
 
 
+def grow(batch: DataFrame, root: str, longest: int) -> None:
+    """Appends a batch to a growing table, without prompts longer than ``longest``."""
+    batch.where(F.col("length") <= longest).write.mode("append").parquet(root)
+
+
 def save_state(state: DataFrame, root: str, step: int) -> None:
     """A sampler's state of a step; steps stay side by side."""
     state.write.mode("overwrite").parquet(f"{root}/step={step}")
