@@ -1,5 +1,7 @@
 """Queries over whole tables against brute force."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tracewright.plans import registry
@@ -31,3 +33,24 @@ def test_growing_table_is_filtered_batch_by_batch(spark, tmp_path):
     for k in range(3):
         files.grow(spark.createDataFrame([(k * 2, 5), (k * 2 + 1, 9)], "uid int, length int"), root, 5)
     assert sorted(r.uid for r in spark.read.parquet(root).collect()) == [0, 2, 4]
+
+
+def test_prj_mask_media_splits_whole_texts(spark, sf_dir, tmp_path):
+    late = [(10**6 + i, "a" * 30 + "<image>" + "b" * 40 + "<video>") for i in range(3)]
+    docs = X.read(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(late, "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, text in docs.where("length(text) > 0").collect():
+        parts = [p for p in re.split("(<image>|<video>)", [f"<image>{text}<video>", text, f"{text}<image><image>"][i % 3]) if p]
+        want[i] = ("|".join(p[1:-1] if p in ("<image>", "<video>") else "text" for p in parts), "".join(p for p in parts if p not in ("<image>", "<video>")))
+    got = registry.queries()["prj_mask_media"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.kinds, r.body) for r in got} == want
+
+
+def test_join_prev_queries_lists_whole_queries(spark, sf_dir):
+    want = {}
+    for s in X.steps(spark, sf_dir).where("role = 'user'").orderBy("episode_id", "step").collect():
+        want.setdefault(s.episode_id, []).append(s.action)
+    got = registry.queries()["join_prev_queries"](spark, sf_dir).collect()
+    assert {r.c_custkey: r.earlier for r in got} == {r.c_custkey: "|".join(want.get(r.c_custkey, [])) for r in X.read(spark, sf_dir, "customer").collect()}
+    assert any(len(q) > 20 for r in got for q in r.earlier.split("|"))

@@ -61,7 +61,7 @@ def join_teacher_route(spark, d):
 
 @query(f"WITH {X.STEPS} SELECT c.c_custkey, coalesce(array_to_string(q.qs, '|'), '') AS earlier FROM customer c LEFT JOIN (SELECT episode_id, list(substr(action, 1, 20) ORDER BY step) AS qs FROM steps WHERE role = 'user' GROUP BY 1) q ON q.episode_id = c.c_custkey")
 def join_prev_queries(spark, d):
-    q = X.steps(spark, d).where("role = 'user'").groupBy(F.col("episode_id").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("step", F.substring("action", 1, 20).alias("q")))).alias("qs"))
+    q = X.steps(spark, d).where("role = 'user'").groupBy(F.col("episode_id").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("step", F.col("action").alias("q")))).alias("qs"))
     return X.read(spark, d, "customer").select("c_custkey").join(q, "c_custkey", "left").select("c_custkey", F.coalesce(F.array_join("qs.q", "|"), F.lit("")).alias("earlier"))
 
 

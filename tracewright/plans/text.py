@@ -204,8 +204,7 @@ def fn_tag_text(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image|text|video' WHEN doc_id % 3 = 1 THEN 'text' ELSE 'text|image|image' END AS kinds, substr(text, 1, 20) AS body FROM documents WHERE length(text) > 0")
 def prj_mask_media(spark, d):
-    body = F.substring("text", 1, 20)
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<image>"), body, F.lit("<video>"))).when(F.col("doc_id") % 3 == 1, body).otherwise(F.concat(body, F.lit("<image><image>")))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<image>"), "text", F.lit("<video>"))).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat("text", F.lit("<image><image>")))
     s = X.read(spark, d, "documents").where("length(text) > 0").select("doc_id", T.media_segments(t).alias("s"))
     return s.select("doc_id", F.array_join("s.type", "|").alias("kinds"), F.array_join(F.filter("s.text", lambda v: v.isNotNull()), "").alias("body"))
 
