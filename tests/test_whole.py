@@ -1,9 +1,11 @@
 """Queries over whole tables against brute force."""
 
+import math
 import re
 
 from pyspark.sql import functions as F
 
+from tracewright.operators import tokenwise as K
 from tracewright.plans import registry
 from tracewright.sources import files
 from tracewright.sources import fixtures as X
@@ -54,3 +56,28 @@ def test_join_prev_queries_lists_whole_queries(spark, sf_dir):
     got = registry.queries()["join_prev_queries"](spark, sf_dir).collect()
     assert {r.c_custkey: r.earlier for r in got} == {r.c_custkey: "|".join(want.get(r.c_custkey, [])) for r in X.read(spark, sf_dir, "customer").collect()}
     assert any(len(q) > 20 for r in got for q in r.earlier.split("|"))
+
+
+def divergences(a, b, k, alpha):
+    """Forward, backward, generalised Jensen-Shannon over the k most likely of ``a`` and the tail, and the entropy of ``a``."""
+    p, q = ([math.exp(v) / sum(map(math.exp, x)) for v in x] for x in (a, b))
+    top = sorted(range(len(p)), key=lambda i: (-p[i], i))[:k]
+    s, t = ([x[i] for i in top] + [max(1 - sum(x[i] for i in top), 1e-7)] for x in (p, q))
+    mix = [alpha * u + (1 - alpha) * v for u, v in zip(s, t)]
+    kl = lambda x, y: sum(u * math.log(u / v) for u, v in zip(x, y))
+    return kl(s, t), kl(t, s), alpha * kl(s, mix) + (1 - alpha) * kl(t, mix), -sum(u * math.log(u) for u in p)
+
+
+def test_topk_divergence_chooses_and_has_a_tail(spark, sf_dir):
+    want = {r.id: divergences(r.a, r.b, 8, 0.5) for r in X.token_pairs(spark, sf_dir).collect()}
+    got = registry.queries()["topk_divergence"](spark, sf_dir).collect()
+    assert len(got) == len(want)
+    assert all(abs(u - v) < 2e-5 for r in got for u, v in zip((r.forward, r.backward, r.jensen, r.entropy), want[r.id]))
+
+
+def test_divergence_of_unequal_shares(spark):
+    a, b = [0.0, 3.0, -1.0, 2.0, 3.0], [1.0, 0.0, 2.0, -3.0, 0.5]
+    df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(K.log_softmax("a").alias("a"), K.log_softmax("b").alias("b"))
+    df = df.withColumn("top", K.most_likely("a", 3)).select("top", K.with_tail("a", "top").alias("a"), K.with_tail("b", "top").alias("b"))
+    r = df.select("top", *[K.divergence("a", "b", x) for x in (0.0, 1.0, 0.3)]).first()
+    assert r[0] == [1, 4, 3] and all(abs(u - v) < 1e-9 for u, v in zip(r[1:], divergences(a, b, 3, 0.3)))

@@ -100,3 +100,37 @@ def last_after_marker(values: C, marker: Column) -> Column:
     """1 after the first marker, all ones without it."""
     at = F.array_position(values, marker)
     return F.transform(values, lambda v, i: F.when(i + 1 > at, 1.0).otherwise(0.0))
+
+
+def bound(value: C, body) -> Column:
+    """``body`` of a value that is computed once a row; a lambda that holds the value's expression would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def log_softmax(values: C) -> Column:
+    """Log-probabilities of an array of logits."""
+    total = lambda high: high + F.log(add(F.transform(values, lambda v: F.exp(v - high))))
+    return bound(bound(F.array_max(values), total), lambda t: F.transform(values, lambda v: v - t))
+
+
+def most_likely(log_probs: C, k: int) -> Column:
+    """Places from 0 of the k greatest, the first of equals first."""
+    order = F.array_sort(F.transform(log_probs, lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
+    return F.transform(F.slice(order, 1, k), lambda s: s["i"])
+
+
+def with_tail(log_probs: C, places: C) -> Column:
+    """Log-probabilities at the places, then that of all others together."""
+    at = bound(log_probs, lambda p: F.transform(places, lambda i: F.get(p, i)))
+    tail = lambda p: F.log(-F.expm1(F.least(F.log(add(F.transform(p, F.exp))), F.lit(-1e-7))))
+    return bound(at, lambda p: F.concat(p, F.array(tail(p))))
+
+
+def divergence(target: C, source: C, alpha: float) -> Column:
+    """Of arrays of log-probabilities: KL(target, source) at 0, KL(source, target) at 1, the generalised Jensen-Shannon between."""
+    kl = lambda x, y: add(F.zip_with(x, y, lambda u, v: F.exp(u) * (u - v)))
+    if alpha in (0.0, 1.0):
+        return kl(source, target) if alpha else kl(target, source)
+    mixed = lambda u, v: F.log(F.exp(u) * alpha + F.exp(v) * (1 - alpha))
+    each = lambda u, v: F.exp(u) * (u - mixed(u, v)) * alpha + F.exp(v) * (v - mixed(u, v)) * (1 - alpha)
+    return add(F.zip_with(target, source, each))

@@ -227,14 +227,12 @@ def offpolicy_metrics(spark, d):
 
 @query(f"{PAIRS}, z AS (SELECT id, ln(sum(exp(a))) AS za, ln(sum(exp(b))) AS zb FROM pairs WHERE t < 8 GROUP BY 1), q AS (SELECT p.id, a - za AS la, b - zb AS lb FROM pairs p JOIN z USING (id) WHERE t < 8) SELECT id, round(sum(exp(la) * (la - lb)), 5) AS forward, round(sum(exp(lb) * (lb - la)), 5) AS backward, round(0.5 * sum(exp(la) * (la - ln(0.5 * exp(la) + 0.5 * exp(lb)))) + 0.5 * sum(exp(lb) * (lb - ln(0.5 * exp(la) + 0.5 * exp(lb)))), 5) AS jensen, round(-sum(exp(la) * la), 5) AS entropy FROM q GROUP BY 1")
 def topk_divergence(spark, d):
-    """Divergences of two distributions over the first eight tokens as choices, and the entropy of one."""
-    p = pairs(spark, d)
-    norm = lambda c: F.transform(F.slice(c, 1, 8), lambda v: v - F.log(K.add(F.transform(F.slice(c, 1, 8), F.exp))))
-    p = p.select("id", norm("a").alias("la"), norm("b").alias("lb"))
-    kl = lambda x, y: K.add(F.zip_with(x, y, lambda u, v: F.exp(u) * (u - v)))
-    mix = lambda u, v: F.log(F.exp(u) * 0.5 + F.exp(v) * 0.5)
-    jensen = (K.add(F.zip_with("la", "lb", lambda u, v: F.exp(u) * (u - mix(u, v)))) + K.add(F.zip_with("la", "lb", lambda u, v: F.exp(v) * (v - mix(u, v))))) / 2
-    return out(p, forward=kl("la", "lb"), backward=kl("lb", "la"), jensen=jensen, entropy=-K.add(F.transform("la", lambda u: F.exp(u) * u)))
+    """Divergences over the eight entries that the first of two distributions holds most likely and the tail of all others, and its entropy over all."""
+    p = pairs(spark, d).select("id", K.log_softmax("a").alias("la"), K.log_softmax("b").alias("lb"))
+    p = p.withColumn("top", K.most_likely("la", 8))
+    p = p.select("id", "la", K.with_tail(F.col("la"), F.col("top")).alias("ta"), K.with_tail(F.col("lb"), F.col("top")).alias("tb"))
+    of = lambda alpha: K.divergence("ta", "tb", alpha)
+    return out(p, forward=of(0.0), backward=of(1.0), jensen=of(0.5), entropy=-K.add(F.transform("la", lambda u: F.exp(u) * u)))
 
 
 @query(f"WITH RECURSIVE {X.ROLLOUTS}, o AS (SELECT data_source, length, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS i FROM rollouts WHERE row_id < 400), f AS (SELECT data_source, 0::BIGINT AS i, [0, 0, 0, 0]::INT[] AS bins FROM (SELECT DISTINCT data_source FROM o) UNION ALL SELECT o.data_source, o.i, list_transform(f.bins, lambda b, k: CASE WHEN k = list_position(f.bins, list_min(f.bins)) THEN b + o.length ELSE b END) FROM f JOIN o ON o.data_source = f.data_source AND o.i = f.i + 1) SELECT data_source, array_to_string(arg_max(bins, i), ',') AS bins FROM f GROUP BY 1")
