@@ -3,6 +3,7 @@
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import tokenwise as K
@@ -81,3 +82,9 @@ def test_divergence_of_unequal_shares(spark):
     df = df.withColumn("top", K.most_likely("a", 3)).select("top", K.with_tail("a", "top").alias("a"), K.with_tail("b", "top").alias("b"))
     r = df.select("top", *[K.divergence("a", "b", x) for x in (0.0, 1.0, 0.3)]).first()
     assert r[0] == [1, 4, 3] and all(abs(u - v) < 1e-9 for u, v in zip(r[1:], divergences(a, b, 3, 0.3)))
+
+
+@pytest.mark.parametrize("name", ["win_last3_passrate", "st_replay_ratio", "st_bounded_queue"])
+def test_newest_rows_are_limited_before_the_shuffle(spark, sf_dir, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "WindowGroupLimit" in plan and "Partial" in plan

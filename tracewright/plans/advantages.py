@@ -17,6 +17,11 @@ def rows(spark, d):
     return r.withColumn("uid", F.when(F.col("row_id") % 501 == 0, -F.col("row_id") - 1).otherwise(F.col("uid")))
 
 
+def newest(df, by, n):
+    """The n rows of greatest row_id of each key, with their place from 1; each task keeps n of a key before the shuffle."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("row_id")))).where(F.col("place") <= n)
+
+
 def shown(df, digits=9):
     return df.select("row_id", F.round("advantage", digits).alias("advantage"))
 
@@ -114,10 +119,8 @@ def adv_prime_rloo(spark, d):
 @query(f"{R}, o AS (SELECT uid, acc, row_number() OVER (PARTITION BY uid ORDER BY row_id DESC) AS k FROM g) SELECT uid, round(avg(acc) FILTER (WHERE k <= 3), 6) AS rate, count(*) >= 2 AND avg(acc) FILTER (WHERE k <= 3) > 46.9999 / 48 AS solved FROM o GROUP BY 1")
 def win_last3_passrate(spark, d):
     """A prompt's mean over its last three observations; solved ones leave the sampler."""
-    r = rows(spark, d)
-    last = r.groupBy("uid").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("row_id", "acc")), asc=False), 1, 3).alias("l"))
-    rate = F.aggregate("l", F.lit(0.0), lambda a, v: a + v["acc"]) / F.size("l")
-    return last.select("uid", F.round(rate, 6).alias("rate"), ((F.col("n") >= 2) & (rate > 46.9999 / 48)).alias("solved"))
+    last = newest(rows(spark, d), "uid", 3).groupBy("uid").agg(F.count("*").alias("n"), F.avg("acc").alias("rate"))
+    return last.select("uid", F.round("rate", 6).alias("rate"), ((F.col("n") >= 2) & (F.col("rate") > 46.9999 / 48)).alias("solved"))
 
 
 @query(f"{R}, o AS (SELECT uid, row_id, acc, sum(acc) OVER (PARTITION BY uid ORDER BY row_id) AS island FROM g), z AS (SELECT uid, row_id, row_number() OVER (PARTITION BY uid, island ORDER BY row_id) AS k, acc, island FROM o WHERE acc = 0) SELECT uid, count(*) FILTER (WHERE k % 3 = 0) AS fired FROM z GROUP BY 1")
@@ -141,8 +144,10 @@ def st_thought_buffer(spark, d):
 def st_bounded_queue(spark, d):
     """A queue of the newest hundred of each source, and what it dropped."""
     r = X.rollouts(spark, d)
-    held = r.groupBy("data_source").agg(F.count("*").alias("produced"), F.slice(F.sort_array(F.collect_list("row_id"), asc=False), 1, 100).alias("h"))
-    return held.select("data_source", "produced", F.size("h").cast("long").alias("held"), (F.col("produced") - F.size("h")).alias("dropped"), F.element_at("h", -1).alias("oldest"))
+    made = r.groupBy(F.col("data_source").alias("source")).agg(F.count("*").alias("produced"))
+    held = newest(r, "data_source", 100).groupBy("data_source").agg(F.count("*").alias("held"), F.min("row_id").alias("oldest"))
+    held = held.join(made, F.col("data_source").eqNullSafe(F.col("source")))
+    return held.select("data_source", "produced", "held", (F.col("produced") - F.col("held")).alias("dropped"), "oldest")
 
 
 @query(f"{R} SELECT row_id FROM rollouts WHERE row_id NOT IN (SELECT row_id FROM rollouts WHERE length > 50)")
@@ -153,8 +158,10 @@ def st_resume(spark, d):
 
 @query(f"{R}, o AS (SELECT uid, row_id, acc, lag(acc) OVER (PARTITION BY uid ORDER BY row_id) AS prev, sum(1 - acc) OVER (PARTITION BY uid ORDER BY row_id) AS fails, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM g), e AS (SELECT uid, max(n) - coalesce(max(n) FILTER (WHERE acc = 0), 0) AS streak FROM o GROUP BY 1) SELECT uid, round(greatest(0.04, pow(0.5, streak)), 6) AS ratio FROM e")
 def st_replay_ratio(spark, d):
-    """Each prompt's chance of being sampled again: halved at every success in a row, 1 after a failure, 0.04 at least."""
-    o = rows(spark, d).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("row_id", "acc")), asc=False).alias("l"))
-    failed = F.array_position(F.transform("l", lambda v: v["acc"]), F.lit(0.0))
-    streak = F.when(failed == 0, F.size("l")).otherwise(failed - 1)
+    """Each prompt's chance of being sampled again: halved at every success in a row, 1 after a failure, 0.04 at least.
+
+    Five successes in a row reach the least chance, so what came before the newest five rows has no effect.
+    """
+    o = newest(rows(spark, d), "uid", 5).groupBy("uid").agg(F.min(F.when(F.col("acc") == 0, F.col("place"))).alias("failed"), F.count("*").alias("n"))
+    streak = F.coalesce(F.col("failed") - 1, F.col("n"))
     return o.select("uid", F.round(F.greatest(F.lit(0.04), F.pow(F.lit(0.5), streak)), 6).alias("ratio"))
