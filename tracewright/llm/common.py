@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words and is stripped from lines (a fixed value of the contracts).
 SPACE = b" \t\n\x0b\x0c\r"
@@ -22,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where it is unset (local tests) a folder of
-    this machine is used and set.
+    ``spark.checkpoint.dir`` names it on a cluster, where it must be set; under a local master without it a folder
+    of this machine is used and set.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not top:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/tracewright-{uuid.uuid4().hex}"
@@ -37,6 +42,13 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return found.get() if found.isDefined() else None
 
 
+def opened(uri: str):
+    """File system and path of a shared folder's file; both local and remote stores work."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if urlsplit(uri).scheme else f"file://{uri}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder: lineage ends there and nothing runs twice."""
     spark = df.sparkSession
@@ -51,6 +63,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The most rows that ``join_totals`` broadcasts, and the fewest rows of a key that it takes for hot.
+HOT_KEYS, HOT = 50_000, 500
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, total: int, size: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with a row for each key, whose column ``size`` is the key's number of rows.
+
+    A hot key would land in one task. Keys with more than their share of ``total``, the number of rows at most, are
+    broadcast, which are HOT_KEYS at most; the others are joined as Spark sees fit. ``totals`` is read twice. Columns
+    of ``rows`` and ``totals`` differ but for the key.
+    """
+    hot = max(HOT, total // HOT_KEYS)
+    crowded = totals.where(F.col(size) > hot).withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(crowded), key, "left")
+    usual = met.where("_hot is null").select(*rows.columns).join(totals.where(F.col(size) <= hot), key)
+    columns = [*rows.columns, *[c for c in totals.columns if c != key]]
+    return usual.select(*columns).unionAll(met.where("_hot is not null").select(*columns))
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
     """mapInArrow for functions from a batch to columns by name, with one output type check."""
     from pyspark.sql.pandas.types import to_arrow_schema

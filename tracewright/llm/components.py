@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
 Every step is a grouped minimum, a join and a distinct, all over edges that Spark deals out by key; neither
-neighbour lists nor labels are ever collected. A node with very many neighbours is one key of a join, which AQE
-splits, and of a minimum, which is combined before the shuffle.
+neighbour lists nor labels are ever collected. Minima are combined before the shuffle. A node with very many
+neighbours would be one key of the join: the minima of such nodes, whose number is bounded, are broadcast instead.
 """
 
 from __future__ import annotations
@@ -10,20 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed
+from tracewright.llm.common import checkpointed, join_totals
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v), ``n`` at most, each with m, the least v of its u."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_totals(rows, least, "u", n)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))  # repeats go in the other step
+    return _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))  # repeats go in the other step
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Edges have u > v here."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    kept = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return kept.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    met = _with_least(edges, n)
+    kept = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return kept.unionAll(met.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -44,7 +49,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not state[0]:
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges, state[0]), state[0]))
         now = _state(edges)
         if now == state:
             break

@@ -12,14 +12,13 @@ import base64
 import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_map, shared_dir, sliced, texts, written
+from tracewright.llm.common import arrow_map, opened, shared_dir, sliced, texts, written
 
 TOKENIZER = "byte_bpe_50k"
 #: <|endoftext|> of that vocabulary, which no encoded text contains.
@@ -58,13 +57,6 @@ def decoded(column: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") for t in texts(column)]
 
 
-def opened(uri: str):
-    """File system and path of a shared folder's file; both local and remote stores work."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if urlsplit(uri).scheme else f"file://{uri}")
-
-
 def token_files(docs: DataFrame, ident: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Writes one token file a task; the manifest has (file, ordinal, doc_id, file_tokens), a row for each document.
 
