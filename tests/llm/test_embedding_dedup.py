@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
-from tracewright.llm.components import connected_components
-from tracewright.llm.embedding_dedup import Block, close_pairs, embedding_dedup, join_roots, unit
+from tracewright.llm.components import connected_components, join_roots
+from tracewright.llm.embedding_dedup import Block, close_pairs, embedding_dedup, unit
 
 SCHEMA = "vec_id long, embedding array<double>, n_links string, weight string, b string, digest string"
 
@@ -80,9 +80,9 @@ def test_roots_are_least_places():
     assert (root == want).all()
 
 
-@pytest.mark.parametrize("hot", [3, 500])
-def test_components_with_hot_nodes(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "each"), [(3, 4), (500, 20), (500, 1 << 20)])
+def test_components_with_hot_nodes(spark, monkeypatch, hot, each):
     monkeypatch.setattr(common, "HOT", hot)
     edges = [(0, i) for i in range(5, 60)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7), (None, 8), (130, 101), (90, 7)]
-    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), each=each).collect()
     assert {r.node: r.component for r in got} == {i: 0 for i in [0, *range(5, 60), 90]} | {i: 100 for i in range(100, 131)}

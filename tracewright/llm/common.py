@@ -71,15 +71,19 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str, total: int, size:
     """Inner join of ``rows`` with a row for each key, whose column ``size`` is the key's number of rows.
 
     A hot key would land in one task. Keys with more than their share of ``total``, the number of rows at most, are
-    broadcast, which are HOT_KEYS at most; the others are joined as Spark sees fit. ``totals`` is read twice. Columns
-    of ``rows`` and ``totals`` differ but for the key.
+    broadcast, which are HOT_KEYS at most; their rows go to the join of all other keys too, but under a hash of the
+    row, so that they are spread, and what they may meet there is left aside. ``totals`` is read twice. Columns of
+    ``rows`` and ``totals`` differ but for the key; rows with a null key go.
     """
-    hot = max(HOT, total // HOT_KEYS)
-    crowded = totals.where(F.col(size) > hot).withColumn("_hot", F.lit(True))
-    met = rows.join(F.broadcast(crowded), key, "left")
-    usual = met.where("_hot is null").select(*rows.columns).join(totals.where(F.col(size) <= hot), key)
-    columns = [*rows.columns, *[c for c in totals.columns if c != key]]
-    return usual.select(*columns).unionAll(met.where("_hot is not null").select(*columns))
+    hot, others = max(HOT, total // HOT_KEYS), [c for c in totals.columns if c != key]
+    crowded = totals.where(F.col(size) > hot).select(key, *[F.col(c).alias(f"_hot_{c}") for c in others], F.lit(True).alias("_hot"))
+    usual = totals.where(F.col(size) <= hot).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_usual_{c}") for c in others], F.lit(True).alias("_usual"))
+    met = rows.where(F.col(key).isNotNull()).join(F.broadcast(crowded), key, "left")
+    spread = F.xxhash64(*rows.columns).cast("string").cast(rows.schema[key].dataType)
+    met = met.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread)).join(usual, "_key", "left")
+    is_hot = F.col("_hot").isNotNull()
+    met = met.where(is_hot | F.col("_usual").isNotNull())
+    return met.select(*rows.columns, *[F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(f"_usual_{c}")).alias(c) for c in others])
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import arrow_map, opened, shared_dir, sliced, written
-from tracewright.llm.components import connected_components
+from tracewright.llm.components import connected_components, join_roots
 
 #: Vectors of a strip, the unit in which products are ruled out.
 STRIP = 512
@@ -144,20 +144,6 @@ def close_pairs(a: Block, b: Block, threshold: float, same: bool) -> Iterator[tu
                 yield i[linked] + u, j[linked] + v
 
 
-def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins places under links in place; each points to the least place of its tree."""
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            higher = root[root]
-            if (higher == root).all():
-                break
-            root[:] = higher
-
-
 def tile(a: Block, b: Block, weight_a: np.ndarray, weight_b: np.ndarray, threshold: float, same: bool, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places with links (those of ``b`` after those of ``a``), their numbers of linked rows, their trees' least places."""
     n = 0 if same else a.n
