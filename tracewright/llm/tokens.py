@@ -57,43 +57,48 @@ def decoded(column: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") for t in texts(column)]
 
 
+#: A document's place in the file of ids beside a token file: the id, and whether there is one.
+IDENT = np.dtype([("id", "<i8"), ("there", "u1")])
+
+
 def token_files(docs: DataFrame, ident: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Writes one token file a task; the manifest has (file, ordinal, doc_id, file_tokens), a row for each document.
+    """Writes one token file a task, and beside it one of its documents' ids in order; a row (file, file_tokens) for each.
 
-    Null and empty texts are documents of no tokens. Repeated rows are documents of their own.
+    Null and empty texts are documents of no tokens; ids may be null. Repeated rows are documents of their own. An
+    empty table gives no files. Texts are taken whole; strings of special tokens are ordinary text.
     """
     folder = shared_dir(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, n, ordinal = Tokenizer(tokenizer, ordinary=True), None, 0, 0
+        encoder, files, n = Tokenizer(tokenizer, ordinary=True), [], 0
         name = f"{folder}/{uuid.uuid4().hex}.tokens"
         try:
             for batch in (part for whole in batches for part in sliced(whole)):
-                if out is None:
+                if not files:
                     store, path = opened(name)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(path)
-                ids = [x for t in decoded(batch.column(1)) for x in (encoder.ids(t), [SEPARATOR])]
-                flat = np.concatenate(ids).astype("<u2")
-                out.write(flat.tobytes())
+                    files = [store.open_output_stream(path), store.open_output_stream(f"{path}.ids")]
+                flat = np.concatenate([x for t in decoded(batch.column(1)) for x in (encoder.ids(t), [SEPARATOR])]).astype("<u2")
+                files[0].write(flat.tobytes())
                 n += len(flat)
-                k = batch.num_rows
-                ordinals = range(ordinal, ordinal + k)
-                ordinal += k
-                yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array(ordinals, pa.int64()), batch.column(0), pa.array([n] * k, pa.int64())], names=["file", "ordinal", "doc_id", "file_tokens"])
+                idents = np.zeros(batch.num_rows, IDENT)
+                idents["id"], idents["there"] = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                files[1].write(idents.tobytes())
         finally:
-            if out is not None:
+            for out in files:
                 out.close()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "file_tokens"])
 
     slim = docs.select(F.col(ident).cast("long"), F.col(text).cast("string"))
-    return written(slim.mapInArrow(write, "file string, ordinal long, doc_id long, file_tokens long"))
+    return written(slim.mapInArrow(write, "file string, file_tokens long"))
 
 
-def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_tokens: int = 4 << 20) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of each document in the files (file, file_tokens), the separator not counted.
+def scanned_blocks(files: DataFrame, separator: int = SEPARATOR, block_tokens: int = 4 << 20) -> DataFrame:
+    """(file, ends, base, carry) of each block of the files (file, file_tokens).
 
-    Tokens after a file's last separator are a last document; an empty document is one of no tokens. A file without
-    tokens has no documents. Files that are listed twice are scanned once.
+    ``ends`` are the places of the block's separators, and the file's end if tokens follow the last one. ``base`` is
+    the number of documents that end before the block, ``carry`` the place of the last separator before it, or -1.
     """
     sized = files.groupBy("file").agg(F.max("file_tokens").alias("file_tokens")).where("file_tokens > 0")
     blocks = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("file_tokens") - 1).cast("long"), F.lit(block_tokens).cast("long"))))
@@ -117,6 +122,16 @@ def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_tokens: i
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("base", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
     found = found.withColumn("carry", F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1)))
+    return found.select("file", "ends", "base", "carry")
+
+
+def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_tokens: int = 4 << 20) -> DataFrame:
+    """(file, ordinal, start, n_tokens) of each document in the files (file, file_tokens), the separator not counted.
+
+    Tokens after a file's last separator are a last document; an empty document is one of no tokens. A file without
+    tokens has no documents. Files that are listed twice are scanned once.
+    """
+    found = scanned_blocks(files, separator, block_tokens)
     starts = F.transform(F.concat(F.array("carry"), "ends"), lambda x: x + 1)
     rows = found.withColumn("starts", starts).select("file", "base", "starts", F.posexplode("ends").alias("pos", "end"))
     rows = rows.withColumn("start", F.element_at("starts", F.col("pos") + 1))
@@ -124,7 +139,26 @@ def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_tokens: i
 
 
 def token_counts(docs: DataFrame, ident: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, block_tokens: int = 4 << 20) -> DataFrame:
-    """(doc_id, n_tokens) of each row of ``docs``: token files are written, then scanned."""
-    manifest = token_files(docs, ident, text, tokenizer)
-    counts = separator_scan(manifest.select("file", "file_tokens"), block_tokens=block_tokens)
-    return manifest.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    """(doc_id, n_tokens) of each row of ``docs``: token files are written, then scanned.
+
+    Null and empty texts have no tokens, whole texts are read however long, repeated rows and rows without an id are
+    counted each; an empty table gives none. Other columns are ignored. The string of a special token, such as
+    <|endoftext|>, counts as ordinary text, which keeps the separator apart from texts: such a text can have more
+    tokens here than where its special tokens are single ids. The ids of the documents that end in a block are read
+    from the file beside, at the block's place in the running count, so counts and ids are never joined.
+    """
+    found = scanned_blocks(token_files(docs, ident, text, tokenizer), block_tokens=block_tokens)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, ends, base, carry in zip(*(c.to_pylist() for c in batch.columns)):
+                if not ends:
+                    continue
+                store, path = opened(f"{name}.ids")
+                with store.open_input_file(path) as f:
+                    f.seek(IDENT.itemsize * base)
+                    idents = np.frombuffer(f.read(IDENT.itemsize * len(ends)), IDENT)
+                n = np.diff(np.array([carry, *ends], np.int64)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(idents["id"]), mask=idents["there"] == 0), pa.array(n)], names=["doc_id", "n_tokens"])
+
+    return found.mapInArrow(counted, "doc_id long, n_tokens long")
