@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.once import bound
+
 
 def on_grid(v: Column, size: Column, grid: int = 999) -> Column:
     """A pixel on a grid of 0..grid, rounded half to even."""
@@ -60,15 +62,18 @@ def swipe_for_scroll(direction: Column, swipes: dict[str, tuple[int, ...]] = FAL
 
 def any_collinear(points: Column) -> Column:
     """Whether three points of an array of (x, y) lie on one line, by the area of their triangle."""
-    n = F.size(points)
 
     def area(a, b, c):
         return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
 
-    at = lambda i: F.element_at(points, i)
-    later = lambda i: F.when(i < n, F.sequence(i + 1, n)).otherwise(F.array().cast("array<int>"))
-    three = F.exists(F.sequence(F.lit(1), n), lambda i: F.exists(later(i), lambda j: F.exists(later(j), lambda k: F.abs(area(at(i), at(j), at(k))) < 1e-9)))
-    return F.when(n >= 3, three).otherwise(False)
+    def three(points: Column) -> Column:
+        later = lambda i: F.slice(points, i + 2, F.size(points))
+        of = lambda i, a: F.transform(later(i), lambda b, j: F.struct(b.alias("b"), (i + j + 1).alias("j")))
+        pair = lambda i, a: F.exists(of(i, a), lambda p: F.exists(later(p["j"]), lambda c: F.abs(area(a, p["b"], c)) < 1e-9))
+        each = F.transform(points, lambda a, i: F.struct(a.alias("a"), i.alias("i")))
+        return F.exists(each, lambda x: pair(x["i"], x["a"]))
+
+    return bound(points, lambda p: F.when(F.size(p) >= 3, three(p)).otherwise(False))
 
 
 def overlong_penalty(length: Column, most: int, buffer: int, factor: float = 1.0) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
 from tracewright.functions.geometry import any_collinear, point_in_box
+from tracewright.functions.once import bound
 
 # Which parts count for each action of each tool (fixed values of the scoring rules).
 PARTS = {
@@ -48,35 +49,44 @@ def parts(predict: Column, label: Column, box: Column, box2: Column) -> dict[str
     }
 
 
+#: The parts in order, and for each tool and action the places of those that count (from 1; the action always does).
+HELD = ("action", "place", "end", "text", "button", "status", "keys", "turn")
+
+
+def counted_parts(label: Column) -> Column:
+    pairs = [(f"{tool} {action}", F.array(*[F.lit(1 + HELD.index(n)) for n in ("action", *names)])) for tool, actions in PARTS.items() for action, names in actions.items()]
+    return F.create_map(*[x for name, places in pairs for x in (F.lit(name), places)])[F.concat_ws(" ", label["name"], label["arguments"]["action"])]
+
+
 def part_share(predict: Column, label: Column, box: Column, box2: Column) -> Column:
     """The share of counted parts that hold, by the label's tool and action; null for actions without a rule."""
-    held = {k: F.when(v, 1.0).otherwise(0.0) for k, v in parts(predict, label, box, box2).items()}
-    out = None
-    for tool, actions in PARTS.items():
-        for action, names in actions.items():
-            share = sum((held[n] for n in names), held["action"]) / (1 + len(names))
-            mine = (label["name"] == tool) & (label["arguments"]["action"] == action)
-            out = F.when(mine, share) if out is None else out.when(mine, share)
-    return out
+
+    def share(p: Column, q: Column) -> Column:
+        each = parts(p, q, box, box2)
+        held = F.array(*[F.when(each[n], 1.0).otherwise(0.0) for n in HELD])
+        return bound(held, lambda h: bound(counted_parts(q), lambda c: F.aggregate(c, F.lit(0.0), lambda a, i: a + h[i - 1]) / F.size(c)))
+
+    return bound(predict, lambda p: bound(label, lambda q: share(p, q)))
 
 
 def gui_score(response: Column, truth: Column, box: Column, box2: Column) -> Column:
-    """1 if all parts hold, -0.5 if not, -1 if an answer can't be read or the action has no rule."""
-    share = part_share(X.tool_call(response), X.tool_call(truth), box, box2)
-    read = X.tool_call(response).isNotNull() & X.tool_call(truth).isNotNull() & share.isNotNull()
-    return F.when(~_sure(read), -1.0).when(share == 1, 1.0).otherwise(-0.5)
+    """1 if all parts hold, -0.5 if not, -1 if an answer can't be read or the action has no rule. Each text is parsed once."""
+
+    def score(p: Column, q: Column) -> Column:
+        return bound(F.when(p.isNotNull() & q.isNotNull(), part_share(p, q, box, box2)), lambda s: F.when(s.isNull(), -1.0).when(s == 1, 1.0).otherwise(-0.5))
+
+    return bound(X.tool_call(response), lambda p: bound(X.tool_call(truth), lambda q: score(p, q)))
 
 
 def gui_score_with_other(response: Column, truth: Column, box: Column, box2: Column, other: Column, other_box: Column, other_box2: Column) -> Column:
     """The second label can only lift a score to 1; its boxes stand in where it has them."""
-    first = gui_score(response, truth, box, box2)
     second = gui_score(response, other, F.coalesce(other_box, box), F.coalesce(other_box2, box2))
-    return F.when((first != 1) & other.isNotNull() & (second == 1), 1.0).otherwise(first)
+    return bound(gui_score(response, truth, box, box2), lambda first: F.when((first != 1) & other.isNotNull(), F.when(second == 1, 1.0).otherwise(first)).otherwise(first))
 
 
 def compute_score(response: Column, truth: Column, box: Column, box2: Column) -> Column:
-    score = gui_score(response, truth, box, box2)
-    return F.struct(score.alias("score"), F.when(score == 1, 1.0).otherwise(0.0).alias("acc"), X.thought_length(response).alias("thought_length"))
+    made = lambda s: F.struct(s.alias("score"), F.when(s == 1, 1.0).otherwise(0.0).alias("acc"), X.thought_length(response).alias("thought_length"))
+    return bound(gui_score(response, truth, box, box2), made)
 
 
 def gsm8k_score(text: Column, truth: Column, strict: bool = True, wrong: float = 0.0) -> Column:
@@ -111,11 +121,14 @@ def step_error_score(predicted: Column, truth: Column, total: Column) -> Column:
 
 def ranked_point_score(points: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """1 / sqrt(n k) for the first of n points, the k-th, in the box; -1/n if none is; -1 for no points or three in a line."""
-    n = F.size(points)
-    hits = F.transform(points, lambda p: F.when(point_in_box(p["x"], p["y"], x1, y1, x2, y2), 1).otherwise(0))
-    k = F.array_position(hits, 1)
-    bad = points.isNull() | (n == 0) | any_collinear(points)
-    return F.when(F.coalesce(bad, F.lit(True)), -1.0).when(k > 0, 1 / F.sqrt(n * k)).otherwise(-1 / n)
+
+    def score(points: Column) -> Column:
+        n = F.size(points)
+        hits = F.transform(points, lambda p: F.when(point_in_box(p["x"], p["y"], x1, y1, x2, y2), 1).otherwise(0))
+        bad = F.coalesce(points.isNull() | (n == 0) | any_collinear(points), F.lit(True))
+        return bound(F.array_position(hits, 1), lambda k: F.when(bad, -1.0).when(k > 0, 1 / F.sqrt(n * k)).otherwise(-1 / n))
+
+    return bound(points, score)
 
 
 def on_last_token(score: Column, length: Column) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from tracewright.functions.once import bound
+
 TOOL_CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 
 # First words of recorded desktop action lines (fixed values of the recording format).
@@ -46,7 +48,7 @@ def mapped(key: Column, values: dict) -> Column:
 def tool_call(text: Column) -> Column:
     """struct(name, arguments) of the first tool call; null if there is none, it isn't JSON, or it has no action."""
     parsed = F.from_json(found(text, TOOL_CALL), f"name string, arguments struct<{ARGUMENTS.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double')}>")
-    return F.when(parsed["arguments"]["action"].isNotNull(), parsed)
+    return bound(parsed, lambda c: F.when(c["arguments"]["action"].isNotNull(), c))
 
 
 def coordinate_or_origin(call: Column) -> Column:
@@ -100,8 +102,8 @@ def unknown_lines(action: Column, most: int = 3) -> Column:
 
 def call_point(line: Column) -> Column:
     """array(x, y) of a call's first two arguments if both are whole numbers; else null."""
-    pattern = r"\(\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*[,)]"
-    return F.when(F.regexp_like(line, F.lit(pattern)), F.array(F.regexp_extract(line, pattern, 1).cast("double"), F.regexp_extract(line, pattern, 2).cast("double")))
+    found_ = F.regexp_extract(line, r"\(\s*([+-]?\d+\s*,\s*[+-]?\d+)\s*[,)]", 1)
+    return bound(F.split(found_, r"\s*,\s*"), lambda p: F.when(F.size(p) == 2, F.array(p[0].cast("double"), p[1].cast("double"))))
 
 
 def quoted(line: Column, function: str) -> Column:
@@ -118,55 +120,67 @@ def _args(**columns: Column) -> Column:
 
 
 def _scaled(point: Column, width: int, height: int, grid: int) -> Column:
-    return F.when(point.isNotNull(), F.array(F.bround(point[0] * grid / width, 0), F.bround(point[1] * grid / height, 0)))
+    return bound(point, lambda p: F.when(p.isNotNull(), F.array(F.bround(p[0] * grid / width, 0), F.bround(p[1] * grid / height, 0))))
 
 
 def line_plan(line: Column, width: int = 1920, height: int = 1080, grid: int = 999) -> Column:
     """Tool arguments of one recorded line; an unknown line is a left click without a place."""
-    name = F.regexp_extract(line, r"^(?:pyautogui|time)\.(\w+)\(", 1)
-    point = _scaled(call_point(line), width, height, grid)
-    inner = F.regexp_extract(line, r"\((.+)\)", 1)
-    amount = F.regexp_extract(line, r"\(\s*([+-]?\d+(?:\.\d+)?)", 1).try_cast("double")
-    scroll_at = _scaled(call_point(F.regexp_replace(line, r"\(\s*[+-]?[\d.]+\s*,", "(")), width, height, grid)
-    keys = F.transform(F.split(inner, ","), lambda k: F.regexp_replace(F.trim(k), r"^['\"]+|['\"]+$", ""))
-    seconds = F.coalesce(F.regexp_extract(line, r"sleep\(\s*([\d.]+)\s*\)", 1).try_cast("double"), F.lit(0.5))
-    return (
-        F.when(name.isin(*POINTER), _args(action=mapped(name, POINTER), coordinate=point))
-        .when(name.isin("scroll", "hscroll"), _args(action=name, pixels=F.when(amount >= 0, F.floor(amount)).otherwise(F.ceil(amount)), coordinate=scroll_at))
-        .when(name == "typewrite", _args(action=F.lit("type"), text=quoted(line, "typewrite")))
-        .when(name == "write", _args(action=F.lit("type"), text=quoted(line, "write")))
-        .when(name == "sleep", _args(action=F.lit("wait"), time=seconds))
-        .when((name == "hotkey") & (inner != ""), _args(action=F.lit("key"), keys=keys))
-        .when((name == "press") & F.regexp_like(line, F.lit(r"['\"].+?['\"]")), _args(action=F.lit("key"), keys=F.array(F.regexp_extract(line, r"['\"](.+?)['\"]", 1))))
-        .when(name.isin(*DRAGS), _args(action=F.lit("left_click_drag"), coordinate=point))
-        .otherwise(_args(action=F.lit("left_click")))
-    )
+
+    def plan(line: Column, name: Column) -> Column:
+        point = lambda: _scaled(call_point(line), width, height, grid)
+        inner = F.regexp_extract(line, r"\((.+)\)", 1)
+        amount = F.regexp_extract(line, r"\(\s*([+-]?\d+(?:\.\d+)?)", 1).try_cast("double")
+        scroll_at = _scaled(call_point(F.regexp_replace(line, r"\(\s*[+-]?[\d.]+\s*,", "(")), width, height, grid)
+        keys = F.transform(F.split(inner, ","), lambda k: F.regexp_replace(F.trim(k), r"^['\"]+|['\"]+$", ""))
+        seconds = F.coalesce(F.regexp_extract(line, r"sleep\(\s*([\d.]+)\s*\)", 1).try_cast("double"), F.lit(0.5))
+        return (
+            F.when(name.isin(*POINTER), _args(action=mapped(name, POINTER), coordinate=point()))
+            .when(name.isin("scroll", "hscroll"), _args(action=name, pixels=bound(amount, lambda n: F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n))), coordinate=scroll_at))
+            .when(name == "typewrite", _args(action=F.lit("type"), text=quoted(line, "typewrite")))
+            .when(name == "write", _args(action=F.lit("type"), text=quoted(line, "write")))
+            .when(name == "sleep", _args(action=F.lit("wait"), time=seconds))
+            .when((name == "hotkey") & (inner != ""), _args(action=F.lit("key"), keys=keys))
+            .when((name == "press") & F.regexp_like(line, F.lit(r"['\"].+?['\"]")), _args(action=F.lit("key"), keys=F.array(F.regexp_extract(line, r"['\"](.+?)['\"]", 1))))
+            .when(name.isin(*DRAGS), _args(action=F.lit("left_click_drag"), coordinate=point()))
+            .otherwise(_args(action=F.lit("left_click")))
+        )
+
+    return bound(line, lambda x: bound(F.regexp_extract(x, r"^(?:pyautogui|time)\.(\w+)\(", 1), lambda name: plan(x, name)))
 
 
 def action_plan(action: Column, width: int = 1920, height: int = 1080, grid: int = 999, result_score: float = 1.0) -> Column:
     """Tool arguments of a recorded action of one or more lines, or of a closing word."""
-    text = F.trim(action)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    n, first, second, third = F.size(lines), lines[0], F.try_element_at(lines, F.lit(2)), F.try_element_at(lines, F.lit(3))
     starts = lambda c, s: F.coalesce(c.startswith(f"pyautogui.{s}("), F.lit(False))
     at = lambda c: _scaled(call_point(c), width, height, grid)
-    downs = F.transform(F.filter(lines, lambda x: starts(x, "keyDown")), lambda x: F.regexp_extract(x, r"keyDown\(\s*['\"](.+?)['\"]\s*\)", 1))
-    chord = F.forall(lines, lambda x: starts(x, "keyDown") | starts(x, "keyUp")) & (F.size(downs) > 0)
-    moved = F.filter(lines, lambda x: x.startswith("pyautogui.") & ~x.startswith("pyautogui.sleep("))
-    scrolled = F.regexp_extract(second, r"\(\s*([+-]?\d+)", 1).try_cast("double")
     closing = {"DONE": "success" if result_score >= 1 else "failure", "FAIL": "failure"}
-    return (
-        F.when(text.isin(*closing), _args(action=F.lit("terminate"), status=mapped(text, closing)))
-        .when(text == "WAIT", _args(action=F.lit("wait"), time=F.lit(5)))
-        .when(n == 1, line_plan(first, width, height, grid))
-        .when((n == 2) & starts(first, "moveTo") & starts(second, "scroll"), _args(action=F.lit("scroll"), pixels=scrolled, coordinate=at(first)))
-        .when((n == 2) & starts(first, "moveTo") & starts(second, "dragTo"), _args(action=F.lit("left_click_drag"), coordinate=at(second), start_coordinate=at(first)))
-        .when((n >= 3) & starts(first, "click") & starts(second, "typewrite") & starts(third, "keyDown"), _args(action=F.lit("type"), text=quoted(second, "typewrite")))
-        .when((n == 3) & starts(first, "typewrite") & starts(second, "keyDown") & starts(third, "keyUp"), _args(action=F.lit("type"), text=quoted(first, "typewrite")))
-        .when(chord, _args(action=F.lit("key"), keys=downs))
-        .when(F.size(moved) > 0, line_plan(moved[0], width, height, grid))
-        .otherwise(_args(action=F.lit("wait"), time=F.lit(1)))
-    )
+
+    def several(lines: Column) -> Column:
+        n, first, second, third = F.size(lines), lines[0], F.try_element_at(lines, F.lit(2)), F.try_element_at(lines, F.lit(3))
+        downs = F.transform(F.filter(lines, lambda x: starts(x, "keyDown")), lambda x: F.regexp_extract(x, r"keyDown\(\s*['\"](.+?)['\"]\s*\)", 1))
+        chord = F.forall(lines, lambda x: starts(x, "keyDown") | starts(x, "keyUp")) & F.exists(lines, lambda x: starts(x, "keyDown"))
+        moved = F.filter(lines, lambda x: x.startswith("pyautogui.") & ~x.startswith("pyautogui.sleep("))
+        scrolled = F.regexp_extract(second, r"\(\s*([+-]?\d+)", 1).try_cast("double")
+        # One line, or the first that moves something; null where neither is.
+        single = bound(F.when(n == 1, first).otherwise(F.try_element_at(moved, F.lit(1))), lambda x: F.when(x.isNotNull(), line_plan(x, width, height, grid)))
+        return (
+            F.when(n == 1, single)
+            .when((n == 2) & starts(first, "moveTo") & starts(second, "scroll"), _args(action=F.lit("scroll"), pixels=scrolled, coordinate=at(first)))
+            .when((n == 2) & starts(first, "moveTo") & starts(second, "dragTo"), _args(action=F.lit("left_click_drag"), coordinate=at(second), start_coordinate=at(first)))
+            .when((n >= 3) & starts(first, "click") & starts(second, "typewrite") & starts(third, "keyDown"), _args(action=F.lit("type"), text=quoted(second, "typewrite")))
+            .when((n == 3) & starts(first, "typewrite") & starts(second, "keyDown") & starts(third, "keyUp"), _args(action=F.lit("type"), text=quoted(first, "typewrite")))
+            .when(chord, _args(action=F.lit("key"), keys=downs))
+            .otherwise(F.coalesce(single, _args(action=F.lit("wait"), time=F.lit(1))))
+        )
+
+    def plan(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+        return (
+            F.when(text.isin(*closing), _args(action=F.lit("terminate"), status=mapped(text, closing)))
+            .when(text == "WAIT", _args(action=F.lit("wait"), time=F.lit(5)))
+            .otherwise(bound(lines, several))
+        )
+
+    return bound(F.trim(action), plan)
 
 
 def mobile_plan(kind: Column, x: Column, y: Column, text: Column, status: Column) -> Column:
@@ -221,16 +235,20 @@ def folder_parts(folder: Column) -> Column:
     return F.struct(base.alias("base"), F.coalesce(found(base, r"_v\d+_(.*)$"), F.lit("")).alias("suffix"), F.coalesce(found(base, r"^(.*?)_v\d+"), base).alias("task"))
 
 
+#: An answer's mark, one space, the answer (a fixed value of the benchmark).
+GSM8K_ANSWER = r"#### (\-?[0-9\.\,]+)"
+
+
 def gsm8k_strict(text: Column) -> Column:
     """The last ``#### n`` of the last 300 characters, without commas and dollars; null if there is none."""
-    hits = F.regexp_extract_all(F.right(text, F.lit(300)), F.lit(r"####\s*(\-?[0-9\.\,]+)"), F.lit(1))
+    hits = F.regexp_extract_all(F.right(text, F.lit(300)), F.lit(GSM8K_ANSWER), F.lit(1))
     return F.regexp_replace(F.when(F.size(hits) > 0, F.element_at(hits, -1)), r"[,$]", "")
 
 
 def gsm8k_flexible(text: Column) -> Column:
-    """The last thing like a number in the last 300 characters that is more than a point."""
-    hits = F.filter(F.regexp_extract_all(F.right(text, F.lit(300)), F.lit(r"\-?[0-9\.\,]+"), F.lit(0)), lambda v: ~v.isin("", "."))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1))
+    """The last thing like a number in the last 300 characters that is more than a point; the first if all are points; else null."""
+    hits = F.regexp_extract_all(F.right(text, F.lit(300)), F.lit(r"\-?[0-9\.\,]+"), F.lit(0))
+    return bound(hits, lambda h: F.coalesce(F.try_element_at(F.filter(h, lambda v: v != "."), F.lit(-1)), F.try_element_at(h, F.lit(1))))
 
 
 def qa_normalized(text: Column) -> Column:
@@ -283,20 +301,51 @@ def boxed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _last_balanced(t, "\\boxed{"))
 
 
-@F.pandas_udf(StringType())
-def first_json(texts: pd.Series) -> pd.Series:
-    """The first balanced JSON object of a text, with or without a code fence, in compact form; null if there is none."""
-    decoder = json.JSONDecoder()
-
-    def first(t: str | None) -> str | None:
-        for hit in re.finditer(r"\{", t or ""):
+def _candidates(text: str, at: int, end: int) -> tuple[list[int], int]:
+    """In a start of JSON, text[at:end]: where objects begin that close there, and braces in strings; and where to look on."""
+    open_, found, quote, k = [], [], -1, at
+    while k < end:
+        c = text[k]
+        if quote >= 0:
+            if c == "\\":
+                k += 1
+            elif c == '"':
+                quote = -1
+            elif c == "{":
+                found.append(k)
+        elif c == '"':
+            quote = k
+        elif c == "{":
+            open_.append(k)
+        elif c == "}" and open_:
+            found.append(open_.pop())
+        k += 1
+    return sorted(found), quote if quote >= 0 else end
+
+
+def _first_json(text: str | None) -> str | None:
+    """Reading stops at an error; what is still open there isn't JSON, so only what closed before it, or lies in a string, is tried."""
+    decoder, at = json.JSONDecoder(), (text or "").find("{")
+    while at >= 0:
+        try:
+            return json.dumps(decoder.raw_decode(text, at)[0], ensure_ascii=False)
+        except json.JSONDecodeError as e:
+            inner, on = _candidates(text, at, e.pos)
+        except RecursionError:
+            inner, on = [], at + 1
+        for k in inner:
             try:
-                return json.dumps(decoder.raw_decode(t, hit.start())[0], ensure_ascii=False)
-            except ValueError:
+                return json.dumps(decoder.raw_decode(text, k)[0], ensure_ascii=False)
+            except (json.JSONDecodeError, RecursionError):
                 continue
-        return None
+        at = text.find("{", max(on, at + 1))
+    return None
+
 
-    return texts.map(first)
+@F.pandas_udf(StringType())
+def first_json(texts: pd.Series) -> pd.Series:
+    """The first balanced JSON object of a text, with or without a code fence, in compact form; null if there is none."""
+    return texts.map(_first_json)
 
 
 @F.pandas_udf(StringType())
@@ -312,24 +361,45 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(form)
 
 
+def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes in order, and each suffix's rank: ranks of 1, 2, 4, ... characters, each pair sorted by its halves."""
+    rank, n, k = np.unique(codes, return_inverse=True)[1].astype(np.int64), len(codes), 1
+    while True:
+        half = np.full(n, -1, np.int64)
+        half[: n - k] = rank[k:]
+        key = rank * (n + 1) + half + 1
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) > 0)])
+        k *= 2
+        if rank[order[-1]] == n - 1 or k >= n:
+            return order, rank
+
+
+def repeatness(text: str) -> float:
+    """What neighbouring suffixes in order share, of the n(n+1)/2 characters of all suffixes."""
+    n = len(text)
+    if n <= 1:
+        return 0.0
+    order, rank = suffix_order(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    order, rank, shared, k = order.tolist(), rank.tolist(), 0, 0
+    for i in range(n):  # from one suffix to the next shorter one, at most one shared character is lost
+        if rank[i] == n - 1:
+            k = 0
+            continue
+        j = order[rank[i] + 1]
+        most = n - max(i, j)
+        while k < most and text[i + k] == text[j + k]:
+            k += 1
+        shared += k
+        k = max(0, k - 1)
+    return shared * 2 / (n * (n + 1))
+
+
 @F.pandas_udf(BooleanType())
 def is_repetitive(texts: pd.Series) -> pd.Series:
-    """Whether neighbouring suffixes in order share, in all, over a fifth of the n(n+1)/2 characters of all suffixes."""
-
-    def judge(t: str | None) -> bool:
-        n = len(t or "")
-        if n <= 1:
-            return False
-        order = sorted(range(n), key=lambda i: t[i : i + 512])
-        shared = 0
-        for a, b in zip(order, order[1:]):
-            k, most = 0, n - max(a, b)
-            while k < most and t[a + k] == t[b + k]:
-                k += 1
-            shared += k
-        return shared * 2 / (n * (n + 1)) > 0.2
-
-    return texts.map(judge)
+    """Whether neighbouring suffixes share over a fifth; of whole texts, in time that grows with n log² n."""
+    return texts.map(lambda t: repeatness(t or "") > 0.2)
 
 
 def math_normalized(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.once import bound
+
 C = Column | str
 
 
@@ -102,11 +104,6 @@ def last_after_marker(values: C, marker: Column) -> Column:
     return F.transform(values, lambda v, i: F.when(i + 1 > at, 1.0).otherwise(0.0))
 
 
-def bound(value: C, body) -> Column:
-    """``body`` of a value that is computed once a row; a lambda that holds the value's expression would compute it for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def log_softmax(values: C) -> Column:
     """Log-probabilities of an array of logits."""
     total = lambda high: high + F.log(add(F.transform(values, lambda v: F.exp(v - high))))

@@ -13,7 +13,6 @@ from tracewright.operators.order import numbered, seeded
 from tracewright.plans.advantages import R as GROUPS
 from tracewright.plans.advantages import rows
 from tracewright.plans.registry import query
-from tracewright.plans.text import literal, values
 from tracewright.sources import files
 from tracewright.sources import fixtures as X
 
@@ -76,14 +75,13 @@ def fn_user_prompt(spark, d):
     return h.select("episode_id", "step", F.concat(head, past).alias("prompt"))
 
 
-TRIPLES = [("<think>t\n</think>\nAction: do it\n<tool_call>\n{\"name\": \"m\"}\n</tool_call>", "t", "do it", '{"name": "m"}'), ("nothing", None, "", None)]
-
-
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(TRIPLES)])}) t(i, thought, action, func)")
+@query(f"""{W} SELECT episode_id, step, CASE WHEN episode_id % 2 = 0 THEN role END AS thought, CASE WHEN episode_id % 2 = 0 THEN 'do ' || step ELSE '' END AS action, CASE WHEN episode_id % 2 = 0 THEN '{{"name": "m' || step || '"}}' END AS func FROM steps""")
 def fn_tva_extract(spark, d):
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(TRIPLES)], "i int, t string")
+    """Thought, action and call of an answer; nulls and an empty action of a text without them."""
+    made = F.expr("""CASE WHEN episode_id % 2 = 0 THEN concat('<think>', role, '\\n</think>\\nAction: do ', step, '\\n<tool_call>\\n{"name": "m', step, '"}\\n</tool_call>') ELSE concat('nothing ', role) END""")
+    t = X.steps(spark, d).select("episode_id", "step", made.alias("t"))
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return t.select("i", strip(T.found(F.col("t"), r"(?s)<think>(.*?)</think>")).alias("thought"), T.action_description(F.col("t")).alias("action"), strip(T.found(F.col("t"), T.TOOL_CALL)).alias("func"))
+    return t.select("episode_id", "step", strip(T.found(F.col("t"), r"(?s)<think>(.*?)</think>")).alias("thought"), T.action_description(F.col("t")).alias("action"), strip(T.found(F.col("t"), T.TOOL_CALL)).alias("func"))
 
 
 @query(f"WITH {X.BOXES} SELECT l_orderkey, l_linenumber, l_partkey, trunc(x1 * 999 / 1080)::INT AS gx1, trunc(y2 * 999 / 2400)::INT AS gy2 FROM boxes")
@@ -99,20 +97,20 @@ def fn_flops(spark, d):
     return p.select("p_partkey", F.round(F.col("p_size") * 6e6 * 2048 + (F.col("p_size") % 7 + 1) * (12.0 * 512 * 2048 * 2048), 0).alias("flops"))
 
 
-GRADED = [
-    (r"<think>x</think> \boxed{\frac{1}{2}}", "0.5", 1.0, 1.0, 1.0), (r"so \boxed{3}", "4", 0.0, 0.0, 0.0), ("no box", "4", 0.0, 0.0, 0.0),
-    (r"<think>x</think> \boxed{9}", "4", 0.0, 0.1, 0.0), (r"\boxed{True}", "True", 1.0, 0.9, 1.0),
-]
+GRADED = r"""CASE l_linenumber % 5 WHEN 0 THEN concat('<think>x</think> \\boxed{\\frac{', 2 * l_partkey + 1, '}{2}}') WHEN 1 THEN concat('so \\boxed{', l_partkey, '}') WHEN 2 THEN concat('no box ', l_partkey)
+ WHEN 3 THEN concat('<think>x</think> \\boxed{', l_partkey, '}') ELSE '\\boxed{True}' END"""
+TRUTH = "CASE l_linenumber % 5 WHEN 0 THEN concat(l_partkey, '.5') WHEN 4 THEN 'True' ELSE string(2 * l_partkey + 1) END"
 
 
-@query(f"SELECT * FROM ({values([(i, *r[2:]) for i, r in enumerate(GRADED)])}) t(i, math, geo3k, genrm_or_math)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 IN (0, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS math, CASE l_linenumber % 5 WHEN 0 THEN 1.0 WHEN 3 THEN 0.1 WHEN 4 THEN 0.9 ELSE 0.0 END::DOUBLE AS geo3k, CASE WHEN l_linenumber % 5 IN (0, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS genrm_or_math FROM lineitem")
 def score_math(spark, d):
     """The last boxed answer against the truth: right or not; 0.9 for that and 0.1 for the form; a judge's boxed verdict."""
-    t = literal(spark, [(i, *r[:2]) for i, r in enumerate(GRADED)], "i int, t string, truth string").withColumn("b", T.boxed("t"))
+    t = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(GRADED).alias("t"), F.expr(TRUTH).alias("truth")).withColumn("b", T.boxed("t"))
     right = F.when(F.col("b").isNotNull() & T.math_equal(F.col("b"), F.col("truth")), 1.0).otherwise(0.0)
     form = F.when(F.regexp_like("t", F.lit(r"(?s)<think>.*</think>.*\\boxed\{.*\}.*")), 1.0).otherwise(0.0)
-    verdict = F.when(F.col("b") == "True", 1.0).otherwise(right)
-    return t.select("i", right.alias("math"), F.round(right * 0.9 + form * 0.1, 6).alias("geo3k"), verdict.alias("genrm_or_math"))
+    t = t.withColumn("right", right)
+    verdict = F.when(F.col("b") == "True", 1.0).otherwise(F.col("right"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.col("right").alias("math"), F.round(F.col("right") * 0.9 + form * 0.1, 6).alias("geo3k"), verdict.alias("genrm_or_math"))
 
 
 @query(f"{R} SELECT row_id, 1 + (row_number() OVER (PARTITION BY row_id ORDER BY h, c) - 1) AS place, c AS choice FROM (SELECT row_id, c, md5('9:' || row_id || ':' || c) AS h FROM rollouts, (VALUES ('gold'), ('w1'), ('w2'), ('w3')) v(c))")
@@ -323,7 +321,7 @@ def checkpoint_state(spark, d):
     return files.latest_state(spark, root)
 
 
-@query(f"{GROUPS}, o AS (SELECT uid, min(row_id) AS first FROM g GROUP BY 1) SELECT uid FROM o WHERE first < 5000")
+@query(f"{GROUPS} SELECT DISTINCT uid FROM g WHERE length <= 1024")
 def st_dynamic_dataset(spark, d):
     """A table that grows by four batches, each a share of the range of ids and filtered by length before it is appended."""
     root = _folder(spark)
@@ -334,3 +332,77 @@ def st_dynamic_dataset(spark, d):
     for k in range(4):
         files.grow(r.where(F.col("batch") == k).drop("batch"), root, 1024)
     return spark.read.schema(r.drop("batch").schema).parquet(root).select("uid").distinct()
+
+
+# ---- files of the formats that tools write, one for each episode ----
+
+
+def _episode_files(spark, d, name, content, root, *folders):
+    """A file for each episode, below the folders made from its columns."""
+    e = X.steps(spark, d).groupBy("episode_id", "device").agg(F.array_sort(F.collect_list(F.struct("step", "role"))).alias("data"))
+    path = F.concat_ws("/", *folders, F.concat(F.lit("e"), F.col("episode_id").cast("string")), F.lit(name))
+    files.write_files(e.select(path.alias("path"), content.alias("content")), root)
+
+
+def _episode(column):
+    return F.regexp_extract(column, r"/e(\d+)(?:/|$)", 1).cast("long").alias("episode_id")
+
+
+@query(f"{W} SELECT episode_id, CASE WHEN episode_id % 2 = 0 THEN device END AS app, count(*) AS n FROM steps GROUP BY 1, 2")
+def scan_two_level(spark, d):
+    """Trajectories in root/app/episode and in root/episode: app and episode come from the path."""
+    root = _folder(spark)
+    content = F.to_json(F.struct("device", F.transform("data", lambda s: F.struct(s["step"].alias("step"), s["role"].alias("action"))).alias("data")))
+    _episode_files(spark, d, "task.json", content, root, F.when(F.col("episode_id") % 2 == 0, F.concat(F.lit("two/"), "device")).otherwise(F.lit("one")))
+    deep = files.placed(files.episodes(spark, f"{root}/two"), 2)
+    flat = files.placed(files.episodes(spark, f"{root}/one"), 1)
+    both = deep.unionByName(flat)
+    return both.select(F.substring("folder_episode", 2, 20).cast("long").alias("episode_id"), F.col("folder_app").alias("app"), F.size("data").cast("long").alias("n"))
+
+
+@query(f"{W} SELECT episode_id, step, role FROM steps WHERE step % 2 = 1")
+def scan_traj_json(spark, d):
+    """Steps of the first run of each mobile log; the second run, with the even steps, is left out."""
+    root = _folder(spark)
+    run = lambda odd: F.create_map(F.lit("traj"), F.transform(F.filter("data", lambda s: s["step"] % 2 == odd), lambda s: F.struct(s["step"].alias("step"), s["role"].alias("prediction"))))
+    _episode_files(spark, d, "traj.json", F.to_json(F.create_map(F.lit("0"), run(1), F.lit("1"), run(0))), root)
+    return files.mobile_logs(spark, root).select(_episode(F.col("file")), "step", F.col("prediction").alias("role"))
+
+
+@query(f"{W}, e AS (SELECT DISTINCT episode_id FROM steps) SELECT episode_id, CASE WHEN episode_id % 3 = 1 THEN 0.0 ELSE episode_id % 7 / 4.0 END::DOUBLE AS score, CASE WHEN episode_id % 3 = 1 THEN episode_id % 7 / 4.0 END::DOUBLE AS labelled FROM e")
+def scan_result_score(spark, d):
+    """Scores of result files: a plain number (0 for what is none), or after a label (null without it)."""
+    root = _folder(spark)
+    number = (F.col("episode_id") % 7 / 4.0).cast("string")
+    _episode_files(spark, d, "result.txt", F.when(F.col("episode_id") % 3 == 1, F.concat(F.lit("score: "), number)).otherwise(F.concat(number, F.lit("\n"))), root)
+    plain, labelled = files.results(spark, root), files.results(spark, root, labelled=True).withColumnRenamed("score", "labelled")
+    return plain.join(labelled, "folder").select(_episode(F.col("folder")), "score", "labelled")
+
+
+@query(f"{W} SELECT episode_id, step AS run, (step * 3)::INT AS step FROM steps")
+def scan_screenshots(spark, d):
+    """Run and step from the names of screenshots; contents aren't read."""
+    root = _folder(spark)
+    s = X.steps(spark, d)
+    name = F.concat(F.lit("e"), F.col("episode_id").cast("string"), F.lit("/shot-"), F.col("step").cast("string"), F.lit("-"), (F.col("step") * 3).cast("string"), F.lit(".png"))
+    files.write_files(s.select(name.alias("path"), F.lit("x").alias("content")), root)
+    return files.screenshots(spark, root).select(_episode(F.col("file")), "run", "step")
+
+
+@query(f"{W}, c AS (SELECT 'Task' || step AS name, device || '_' || episode_id % 9 AS app FROM steps) SELECT name, min(app) AS app FROM c GROUP BY 1")
+def scan_app_definitions(spark, d):
+    """Classes in Python files with their folder; of a name that is in several, the first path wins."""
+    root = _folder(spark)
+    app = F.concat("device", F.lit("_"), (F.col("episode_id") % 9).cast("string"))
+    c = X.steps(spark, d).select(app.alias("app"), "step").distinct().groupBy("app").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    content = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("class Task"), s.cast("string"), F.lit("(Base):\n    pass\n"))), "\n")
+    files.write_files(c.select(F.concat("app", F.lit("/tasks.py")).alias("path"), content.alias("content")), root)
+    return files.app_definitions(spark, root)
+
+
+@query(f"{W} SELECT episode_id, step FROM steps ORDER BY episode_id, step LIMIT 100")
+def scan_jsonl_strict(spark, d):
+    """The first hundred lines, in order, of logs of which every line must be sound."""
+    root = _folder(spark)
+    X.steps(spark, d).select(F.to_json(F.struct("episode_id", "step")).alias("value")).write.text(root)
+    return files.read_json_lines(spark, root, "*.txt", "episode_id long, step int", strict=True).select("episode_id", "step").orderBy("episode_id", "step").limit(100)

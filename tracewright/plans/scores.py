@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tracewright.functions import scoring as S
 from tracewright.functions import text as T
 from tracewright.plans.registry import query
-from tracewright.plans.text import literal, values
 from tracewright.sources import fixtures as X
 
 
@@ -17,44 +16,38 @@ def _call(tool, **arguments):
 
 
 M, D = "mobile_use", "computer_use"
-BOX, FAR = [0.0, 0.0, 100.0, 100.0], [200.0, 200.0, 300.0, 300.0]
-# (label, answer, box, box2, share, score): each rule with a full, a partial and an unreadable answer.
-CASES = [
-    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click", coordinate=[100, 0]), BOX, None, 1.0, 1.0),
-    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click", coordinate=[5, 5]), None, None, 1.0, 1.0),
-    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click", coordinate=[101, 5]), BOX, None, 0.5, -0.5),
-    (_call(M, action="click", coordinate=[5, 5]), _call(M, action="click"), BOX, None, 0.5, -0.5),
-    (_call(M, action="long_press", coordinate=[5, 5]), _call(M, action="click", coordinate=[5, 5]), BOX, None, 0.5, -0.5),
-    (_call(M, action="swipe", coordinate=[5, 5], coordinate2=[250, 250]), _call(M, action="swipe", coordinate=[9, 9], coordinate2=[299, 201]), BOX, FAR, 1.0, 1.0),
-    (_call(M, action="swipe", coordinate=[5, 5], coordinate2=[250, 250]), _call(M, action="swipe", coordinate=[9, 9], coordinate2=[9, 9]), BOX, FAR, 2 / 3, -0.5),
-    (_call(M, action="type", text=" Hello"), _call(M, action="type", text="hello "), None, None, 1.0, 1.0),
-    (_call(M, action="answer"), _call(M, action="answer", text=""), None, None, 1.0, 1.0),
-    (_call(M, action="system_button", button="Back"), _call(M, action="system_button", button="Home"), None, None, 0.5, -0.5),
-    (_call(M, action="system_button"), _call(M, action="system_button"), None, None, 1.0, 1.0),
-    (_call(M, action="wait"), _call(M, action="wait", time=9), None, None, 1.0, 1.0),
-    (_call(M, action="terminate", status="success"), _call(M, action="terminate", status="failure"), None, None, 0.5, -0.5),
-    (_call(D, action="left_click", coordinate=[5, 5]), _call(D, action="left_click", coordinate=[1, 1]), BOX, None, 1.0, 1.0),
-    (_call(D, action="left_click_drag", coordinate=[5, 5]), _call(D, action="left_click_drag", coordinate=[500, 1]), BOX, None, 0.5, -0.5),
-    (_call(D, action="key", keys=["Ctrl", "c"]), _call(D, action="key", keys=["C", "ctrl", "ctrl"]), None, None, 1.0, 1.0),
-    (_call(D, action="scroll", pixels=-5, coordinate=[5, 5]), _call(D, action="scroll", pixels=-1, coordinate=[6, 6]), BOX, None, 1.0, 1.0),
-    (_call(D, action="scroll", pixels=-5, coordinate=[5, 5]), _call(D, action="scroll", pixels=1, coordinate=[6, 6]), BOX, None, 2 / 3, -0.5),
-    (_call(D, action="hscroll", pixels=0), _call(D, action="hscroll"), None, None, 2 / 3, -0.5),
-    (_call(M, action="ask_user", text="x"), _call(M, action="ask_user", text="x"), None, None, None, -1.0),
-    (_call("other", action="click"), _call("other", action="click"), None, None, None, -1.0),
-    (_call(M, action="wait"), "no call", None, None, 0.0, -1.0),
-    (_call(M, action="wait"), "<tool_call>{bad</tool_call>", None, None, 0.0, -1.0),
-    (_call(M), _call(M, action="wait"), None, None, None, -1.0),
-]
-SCHEMA = "i int, truth string, response string, box array<double>, box2 array<double>"
-
-
-@query(f"SELECT i, round(share, 6) AS share, score, (score = 1)::INT::DOUBLE AS acc FROM ({values([(i, None if c[4] is None else float(c[4]), c[5]) for i, c in enumerate(CASES)])}) t(i, share, score)")
+# Each line of the table is an answer to one of fifteen kinds of label: tool and action by (l_orderkey + l_partkey) % 15.
+KINDS = [(M, "click"), (M, "long_press"), (M, "swipe"), (M, "type"), (M, "answer"), (M, "system_button"), (M, "wait"), (M, "terminate"), (D, "left_click"), (D, "left_click_drag"), (D, "key"), (D, "scroll"), (D, "hscroll"), (M, "ask_user"), ("other", "click")]
+# Answers of lines 1 to 4 differ from the label by even and odd l_partkey; line 4 has no box; 5 leaves the place out; 6 has another action; 7 can't be read.
+HIT = "px BETWEEN x1 AND x2 AND floor(py) BETWEEN y1 AND y2"
+HIT2 = "px + 17 BETWEEN x1 AND x2 AND floor(py) + 5 BETWEEN y1 AND y2"
+RULES = f"""a AS (SELECT *, (l_orderkey + l_partkey) % 15 AS k, (l_linenumber <> 6)::INT AS same, CASE WHEN l_linenumber = 5 THEN 0 WHEN l_linenumber = 4 THEN (l_partkey % 2 = 0)::INT ELSE ({HIT})::INT END AS place,
+ CASE WHEN l_linenumber = 4 THEN 0 ELSE ({HIT2})::INT END AS far, (l_partkey % 2 = 0)::INT AS other FROM boxes),
+r AS (SELECT *, CASE WHEN l_linenumber = 7 THEN NULL WHEN k IN (0, 1, 8, 9) THEN (same + place) / 2.0::DOUBLE WHEN k = 2 THEN (same + place + far) / 3.0::DOUBLE WHEN k IN (3, 4, 5, 7, 10) THEN (same + other) / 2.0::DOUBLE WHEN k = 6 THEN same WHEN k IN (11, 12) THEN (same + place + other) / 3.0::DOUBLE END AS share FROM a)"""
+
+
+def _ruled(spark, d):
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("k") + 1)
+    b = X.boxes(spark, d).withColumn("k", ((F.col("l_orderkey") + F.col("l_partkey")) % 15).cast("int")).withColumn("even", F.col("l_partkey") % 2 == 0)
+    b = b.withColumn("tool", pick([t for t, _ in KINDS])).withColumn("action", pick([a for _, a in KINDS])).withColumn("x", F.col("px").cast("int")).withColumn("y", F.floor("py").cast("int"))
+    plain = F.expr("""concat('"coordinate": [', CASE WHEN even THEN concat(x, ', ', y) ELSE '1, 2' END, '], "coordinate2": [3, 4], "text": "Part ', x, '", "button": "Back", "status": "success", "keys": ["Ctrl", "C"], "pixels": -5')""")
+    other = F.expr("""concat(CASE WHEN l_linenumber = 5 THEN '' ELSE concat('"coordinate": [', x, ', ', y, '], ') END, '"coordinate2": [', x + 17, ', ', y + 5, '], ',
+      CASE WHEN even THEN concat('"text": " part ', x, ' ", "button": "Back", "status": "success", "keys": ["c", "ctrl", "C"], "pixels": ', -l_linenumber) ELSE '"text": "else", "button": "Home", "status": "failure", "keys": ["ctrl"], "pixels": 3' END)""")
+    call = lambda action, rest: F.concat(F.lit('<think>so</think>\n<tool_call>\n{"name": "'), "tool", F.lit('", "arguments": {"action": "'), action, F.lit('", '), rest, F.lit("}}\n</tool_call>"))
+    answer = F.when(F.col("l_linenumber") == 7, "<tool_call>{broken</tool_call>").otherwise(call(F.when(F.col("l_linenumber") == 6, "noop").otherwise(F.col("action")), other))
+    box = F.when(F.col("l_linenumber") != 4, F.array("x1", "y1", "x2", "y2"))
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", call(F.col("action"), plain).alias("truth"), answer.alias("response"), box.alias("box"))
+
+
+@query(f"WITH {X.BOXES}, {RULES} SELECT l_orderkey, l_linenumber, l_partkey, round(share, 6)::DOUBLE AS share, CASE WHEN share IS NULL THEN -1.0 WHEN share = 1 THEN 1.0 ELSE -0.5 END::DOUBLE AS score, CASE WHEN share = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS acc, CASE WHEN l_linenumber = 7 THEN 0 ELSE 2 END AS thought FROM r")
 def rw_rules(spark, d):
-    """Every reward rule on a full, a partial and an unreadable answer."""
-    c = literal(spark, [(i, *c[:4]) for i, c in enumerate(CASES)], SCHEMA)
-    share = S.part_share(T.tool_call(F.col("response")), T.tool_call(F.col("truth")), F.col("box"), F.col("box2"))
-    whole = S.compute_score(F.col("response"), F.col("truth"), F.col("box"), F.col("box2"))
-    return c.select("i", F.round(share, 6).alias("share"), whole["score"].alias("score"), whole["acc"].alias("acc"))
+    """Every reward rule over a whole table: right, partly right and unreadable answers to each kind of label."""
+    c = _ruled(spark, d)
+    call = T.tool_call(F.col("response"))
+    share = F.when(call.isNotNull(), S.part_share(call, T.tool_call(F.col("truth")), F.col("box"), F.col("box")))
+    whole = S.compute_score(F.col("response"), F.col("truth"), F.col("box"), F.col("box"))
+    c = c.select("l_orderkey", "l_linenumber", "l_partkey", F.round(share, 6).alias("share"), whole.alias("s"))
+    return c.select("l_orderkey", "l_linenumber", "l_partkey", "share", "s.score", "s.acc", F.col("s.thought_length").alias("thought"))
 
 
 def _answers(spark, d):
@@ -64,7 +57,6 @@ def _answers(spark, d):
     return calls(spark, d).withColumn("truth", truth).withColumn("box", F.array("x1", "y1", "x2", "y2")).withColumn("none", F.lit(None).cast("array<double>"))
 
 
-HIT = "px BETWEEN x1 AND x2 AND floor(py) BETWEEN y1 AND y2"
 SCORE = f"CASE WHEN l_linenumber = 7 THEN -1.0 WHEN l_linenumber IN (5, 6) THEN -0.5 WHEN {HIT} THEN 1.0 ELSE -0.5 END::DOUBLE"
 
 

@@ -8,17 +8,6 @@ from tracewright.plans.registry import query
 from tracewright.sources import fixtures as X
 
 
-def literal(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-def values(rows) -> str:
-    def one(v):
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
-
-    return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
 # Desktop actions made from line items: ten kinds, whose plans are known from their numbers.
 ACTION = r"""CASE (l_orderkey + l_linenumber) % 10
  WHEN 0 THEN format_string('pyautogui.click(%d, %d)', x, y) WHEN 1 THEN format_string('pyautogui.doubleClick(%d, %d)', x, y)
@@ -51,20 +40,24 @@ def fn_action_to_plan(spark, d):
     )
 
 
-ODD = [
-    ("pyautogui.click(1.5, 2)", "left_click", None, None, None), ("pyautogui.click()", "left_click", None, None, None), ("unknown()", "left_click", None, None, None),
-    ("FAIL", "terminate", None, None, None), ("WAIT", "wait", None, None, 5.0), ("pyautogui.scroll(-3.7, 960, 540)", "scroll", "500,500", None, None),
-    ('pyautogui.write(message=\'it "is"\')', "type", None, 'it "is"', None), ('pyautogui.typewrite("""a "b" c""")', "type", None, 'a "b" c', None), ('pyautogui.typewrite("""a\nb""")', "type", None, "", None),
-    ("pyautogui.sleep()", "wait", None, None, 0.5), ("pyautogui.click(0, 0)\npyautogui.typewrite('x')\npyautogui.keyDown('enter')\npyautogui.keyUp('enter')", "type", None, "x", None),
-    ("# note\npyautogui.rightClick(1920, 1080)", "right_click", "999,999", None, None), ("# only\n# notes", "wait", None, None, 1.0),
-]
+# Recorded actions outside the plain forms, made from a line's numbers.
+ODD = r'''CASE (l_orderkey + l_linenumber) % 13
+ WHEN 0 THEN format_string('pyautogui.click(1.5, %d)', y) WHEN 1 THEN 'pyautogui.click()' WHEN 2 THEN format_string('unknown(%d)', x) WHEN 3 THEN 'FAIL' WHEN 4 THEN 'WAIT'
+ WHEN 5 THEN format_string('pyautogui.scroll(-3.7, %d, %d)', x, y) WHEN 6 THEN format_string("pyautogui.write(message='it \"%d\"')", x)
+ WHEN 7 THEN format_string('pyautogui.typewrite("""a "%d" c""")', x) WHEN 8 THEN format_string('pyautogui.typewrite("""a\n%d""")', x) WHEN 9 THEN 'pyautogui.sleep()'
+ WHEN 10 THEN format_string("pyautogui.click(0, 0)\npyautogui.typewrite('%d')\npyautogui.keyDown('enter')\npyautogui.keyUp('enter')", x)
+ WHEN 11 THEN '# note\npyautogui.rightClick(1920, 1080)' ELSE '# only\n# notes' END'''
 
 
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(ODD)])}) t(i, action, place, text, seconds)")
+@query(f"""WITH {NUMBERS}, o AS (SELECT *, (l_orderkey + l_linenumber) % 13 AS c FROM n) SELECT l_orderkey, l_linenumber, l_partkey,
+ CASE WHEN c IN (0, 1, 2) THEN 'left_click' WHEN c = 3 THEN 'terminate' WHEN c IN (4, 9, 12) THEN 'wait' WHEN c = 5 THEN 'scroll' WHEN c = 11 THEN 'right_click' ELSE 'type' END AS action,
+ CASE WHEN c = 5 THEN round_even(x * 999 / 1920.0, 0)::INT || ',' || round_even(y * 999 / 1080.0, 0)::INT WHEN c = 11 THEN '999,999' END AS place,
+ CASE c WHEN 6 THEN 'it "' || x || '"' WHEN 7 THEN 'a "' || x || '" c' WHEN 8 THEN '' WHEN 10 THEN x::VARCHAR END AS text,
+ CASE c WHEN 4 THEN 5.0 WHEN 9 THEN 0.5 WHEN 12 THEN 1.0 END::DOUBLE AS seconds FROM o""")
 def fn_action_to_plan_odd(spark, d):
-    a = literal(spark, [(i, r[0]) for i, r in enumerate(ODD)], "i int, raw string").withColumn("p", T.action_plan(F.col("raw")))
+    a = desktop_actions(spark, d).withColumn("p", T.action_plan(F.expr(ODD)))
     place = F.array_join(F.transform("p.coordinate", lambda v: v.cast("int").cast("string")), ",")
-    return a.select("i", F.col("p.action").alias("action"), place.alias("place"), F.col("p.text").alias("text"), F.col("p.time").alias("seconds"))
+    return a.select("l_orderkey", "l_linenumber", "l_partkey", F.col("p.action").alias("action"), place.alias("place"), F.col("p.text").alias("text"), F.col("p.time").alias("seconds"))
 
 
 @query(f"WITH {NUMBERS} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = 3 THEN 'tap(' || x || ')|swipe' ELSE '' END AS unknown FROM n")
@@ -117,30 +110,27 @@ def fn_tool_call(spark, d):
     return c.select("l_orderkey", "l_linenumber", "l_partkey", F.col("c.arguments.action").alias("action"), at[0].alias("x"), at[1].alias("y"), T.is_refusal(F.col("c")).alias("refusal"), T.thought_length(F.col("response")).alias("thought"))
 
 
-TEXTS = [
-    ("Thought:  look here \nAction: {\"action_type\": \"click\"} ", "look here", '{"action_type": "click"}', "{\"action_type\": \"click\"}"),
-    ("no thought {\"a\": 1} tail", "", '{"a": 1}', ""),
-    ("Action: go\n\nmore", "", "", "go"),
-    ("## Action:\nTap it.\n## Next\nx", "", "", "Tap it."),
-    ("Action: press<tool_call>{}</tool_call>", "", "{}", "press"),
-    ("plain", "", "", ""),
-]
+PREDICTIONS = r"""CASE o_orderkey % 4 WHEN 0 THEN concat('Thought:  ', o_orderpriority, ' \nAction: {"id": ', o_custkey, '} ') WHEN 1 THEN concat('no thought {"a": ', o_custkey, '} tail')
+ WHEN 2 THEN concat('## Action:\nTap ', o_custkey, '.\n## Next\nx') ELSE concat('Action: press ', o_custkey, '<tool_call>{}</tool_call>') END"""
 
 
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(TEXTS)])}) t(i, thought, raw, description)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE '' END AS thought, CASE o_orderkey % 4 WHEN 0 THEN '{"id": ' || o_custkey || '}' WHEN 1 THEN '{"a": ' || o_custkey || '}' WHEN 2 THEN '' ELSE '{}' END AS raw,
+ CASE o_orderkey % 4 WHEN 0 THEN '{"id": ' || o_custkey || '}' WHEN 1 THEN '' WHEN 2 THEN 'Tap ' || o_custkey || '.' ELSE 'press ' || o_custkey END AS description FROM orders""")
 def fn_prediction(spark, d):
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(TEXTS)], "i int, t string").withColumn("p", T.prediction(F.col("t")))
-    return t.select("i", F.col("p.thought").alias("thought"), F.col("p.raw").alias("raw"), T.action_description(F.col("t")).alias("description"))
+    o = X.read(spark, d, "orders").select("o_orderkey", F.expr(PREDICTIONS).alias("t")).withColumn("p", T.prediction(F.col("t")))
+    return o.select("o_orderkey", F.col("p.thought").alias("thought"), F.col("p.raw").alias("raw"), T.action_description(F.col("t")).alias("description"))
 
 
-BOXED = [('{"bbox": [1, 2, 3, 4]}', "1,2,3,4", "1,2,3,4"), ("box 10 20 1000 40 50", "10,20,1000,40", "10,20,999,40"), ("-5 2 3 4", "-5,2,3,4", None), ("1 2 3", None, None), ('{"bbox": [0.5, 1.5, 2.5, 1001]}', "0,2,2,1001", None)]
+BOXED = r"""CASE l_linenumber % 4 WHEN 0 THEN concat('{"bbox": [', l_partkey % 1000, ', ', l_suppkey % 1000, ', 3, 1000]}') WHEN 1 THEN concat('box ', l_partkey % 1000, ' ', l_suppkey % 1000, ' 40 50 60')
+ WHEN 2 THEN concat('-', l_partkey % 1000 + 1, ' ', l_suppkey % 1000, ' 3 4') ELSE concat(l_partkey, ' ', l_suppkey, ' 3') END"""
 
 
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(BOXED)])}) t(i, box, clamped)")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN l_partkey % 1000 || ',' || l_suppkey % 1000 || ',3,1000' WHEN 1 THEN l_partkey % 1000 || ',' || l_suppkey % 1000 || ',40,50' WHEN 2 THEN '-' || (l_partkey % 1000 + 1) || ',' || l_suppkey % 1000 || ',3,4' END AS box,
+ CASE l_linenumber % 4 WHEN 0 THEN l_partkey % 1000 || ',' || l_suppkey % 1000 || ',3,999' WHEN 1 THEN l_partkey % 1000 || ',' || l_suppkey % 1000 || ',40,50' END AS clamped FROM lineitem""")
 def fn_bbox_json(spark, d):
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(BOXED)], "i int, t string").withColumn("b", T.box_numbers(F.col("t")))
+    t = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.box_numbers(F.expr(BOXED)).alias("b"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return t.select("i", text(F.col("b")).alias("box"), text(T.clamped_box(F.col("b"))).alias("clamped"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", text(F.col("b")).alias("box"), text(T.clamped_box(F.col("b"))).alias("clamped"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE (l_partkey % 1000) || ',' || (l_suppkey % 1000) || ' ' || l_linenumber || ',' || round_even(l_quantity + 0.5, 0)::INT END AS pairs FROM lineitem")
@@ -181,13 +171,11 @@ def fn_qa_normalize(spark, d):
     return X.read(spark, d, "benchmark").select("item_id", T.qa_normalized(F.col("text")).alias("plain"))
 
 
-TAGS = [("<answer>x</answer> <answer> y </answer>", "y", 2), ("none", None, 0), ("<answer>\n</answer>", "", 1), ("<answer>open", None, 0)]
-
-
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(TAGS)])}) t(i, body, n)")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 2 THEN '' END AS body, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n FROM documents""")
 def fn_answer_tag(spark, d):
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(TAGS)], "i int, t string")
-    return t.select("i", F.regexp_replace(T.answer_tag(F.col("t")), r"^\s+|\s+$", "").alias("body"), F.regexp_count("t", F.lit("</answer>")).alias("n"))
+    tagged = F.expr(r"CASE doc_id % 4 WHEN 0 THEN concat('<answer>x</answer> <answer> ', source, ' </answer>') WHEN 1 THEN concat('none ', lang) WHEN 2 THEN '<answer>\n</answer>' ELSE concat('<answer>open ', lang) END")
+    t = X.read(spark, d, "documents").select("doc_id", tagged.alias("t"))
+    return t.select("doc_id", F.regexp_replace(T.answer_tag(F.col("t")), r"^\s+|\s+$", "").alias("body"), F.regexp_count("t", F.lit("</answer>")).alias("n"))
 
 
 @query("SELECT doc_id, position('heon' IN lower(text))::INT AS first, len(regexp_extract_all(lower(text), 'heon'))::INT AS n FROM documents WHERE position('heon' IN lower(text)) > 0")
@@ -202,20 +190,23 @@ def fn_tag_text(spark, d):
     return X.read(spark, d, "pages").select("page_id", F.coalesce(F.nullif(title, F.lit("")), F.lit("none")).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image|text|video' WHEN doc_id % 3 = 1 THEN 'text' ELSE 'text|image|image' END AS kinds, substr(text, 1, 20) AS body FROM documents WHERE length(text) > 0")
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<image>' || text || '<video>' WHEN 1 THEN text ELSE text || '<image><image>' END AS t FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, list_filter(string_split(replace(replace(t, '<image>', chr(1) || '<image>' || chr(1)), '<video>', chr(1) || '<video>' || chr(1)), chr(1)), lambda p: p <> '') AS s FROM t)
+SELECT doc_id, array_to_string(list_transform(s, lambda p: CASE p WHEN '<image>' THEN 'image' WHEN '<video>' THEN 'video' ELSE 'text' END), '|') AS kinds, array_to_string(list_filter(s, lambda p: p NOT IN ('<image>', '<video>')), '') AS body FROM s""")
 def prj_mask_media(spark, d):
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<image>"), "text", F.lit("<video>"))).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat("text", F.lit("<image><image>")))
     s = X.read(spark, d, "documents").where("length(text) > 0").select("doc_id", T.media_segments(t).alias("s"))
     return s.select("doc_id", F.array_join("s.type", "|").alias("kinds"), F.array_join(F.filter("s.text", lambda v: v.isNotNull()), "").alias("body"))
 
 
-MESSAGES = [("plain", True), ("<think>a</think> b", True), ("<think></think>b", False), ("<think>a</think>", False), ("<think>a b", False), ("</think>a<think>b", False), ("<think>a</think><think>b</think>c", False), ("<think>a</think>b<|im_end|>", True), ("<|im_end|>", False)]
-
-
-@query(f"SELECT * FROM ({values([(i, r[1]) for i, r in enumerate(MESSAGES)])}) t(i, valid)")
+@query("SELECT doc_id, doc_id % 9 IN (0, 1, 7) AS valid FROM documents")
 def flt_valid_messages(spark, d):
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(MESSAGES)], "i int, t string")
-    return t.select("i", T.valid_message(F.col("t")).alias("valid"))
+    """Nine forms of a message: without thoughts, with one, empty, alone, left open, in the wrong order, with two, ended, nothing but the end."""
+    forms = [("w", ""), ("<think>a</think> w", ""), ("<think></think>w", ""), ("<think>w", "</think>"), ("<think>a w", ""), ("</think>a<think>w", ""), ("<think>a</think><think>b</think>w", ""), ("<think>a</think>w", "<|im_end|>"), ("<|im_end|>", None)]
+    k = (F.col("doc_id") % 9).cast("int") + 1
+    before, after = (F.element_at(F.array(*[F.lit(f[i]) for f in forms]), k) for i in (0, 1))
+    t = F.when(after.isNull(), before).otherwise(F.concat(before, F.col("doc_id").cast("string"), after))
+    return X.read(spark, d, "documents").select("doc_id", T.valid_message(t).alias("valid"))
 
 
 @query("SELECT doc_id, source AS reasoning, lang AS content FROM documents")
@@ -225,31 +216,35 @@ def prj_reasoning_split(spark, d):
     return docs.select("doc_id", T.found(F.col("t"), r"(?s)<think>(.*?)</think>").alias("reasoning"), T.without_thought(F.col("t")).alias("content"))
 
 
-MATH = [(r"x = \frac{1}{2}", "1/2", 0.5), (r"\text{3 dollars}", "3", 3.0), ("1,234.0", "1234", 1234.0), (r"\boxed{7}", "7", 7.0), (r"50\%", "50", 50.0), ("$12.$", "12", 12.0), (r"\sqrt{2}", "sqrt(2)", None)]
+MATH = r"""CASE l_linenumber % 7 WHEN 0 THEN concat('x = \\frac{', l_partkey, '}{', l_suppkey + 1, '}') WHEN 1 THEN concat('\\text{', l_partkey, ' dollars}') WHEN 2 THEN concat(1 + l_partkey % 9, ',', lpad(l_suppkey % 1000, 3, '0'), '.0')
+ WHEN 3 THEN concat('\\boxed{', l_partkey, '}') WHEN 4 THEN concat(l_partkey, '\\%') WHEN 5 THEN concat('$', l_partkey, '.$') ELSE concat('\\sqrt{', l_partkey, '}') END"""
 
 
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(MATH)])}) t(i, plain, number)")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 7 WHEN 0 THEN l_partkey || '/' || (l_suppkey + 1) WHEN 2 THEN (1 + l_partkey % 9) || lpad((l_suppkey % 1000)::VARCHAR, 3, '0') WHEN 6 THEN 'sqrt(' || l_partkey || ')' ELSE l_partkey::VARCHAR END AS plain,
+ round(CASE l_linenumber % 7 WHEN 0 THEN l_partkey / (l_suppkey + 1)::DOUBLE WHEN 2 THEN 1000 * (1 + l_partkey % 9) + l_suppkey % 1000 WHEN 6 THEN NULL ELSE l_partkey END, 6)::DOUBLE AS number FROM lineitem""")
 def fn_math_normalize(spark, d):
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(MATH)], "i int, t string").withColumn("plain", T.math_normalized(F.col("t")))
-    return t.select("i", "plain", T.math_value(F.col("plain")).alias("number"))
-
-
-EQUALS = [("0.5", r"\frac{1}{2}", True), ("50\\%", "0.5", True), ("3", "4", False), ("x+1", "x + 1", True), ("x", "y", False), ("1,000", "1000.0", True)]
+    t = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.math_normalized(F.expr(MATH)).alias("plain"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "plain", F.round(T.math_value(F.col("plain")), 6).alias("number"))
 
 
-@query(f"SELECT * FROM ({values([(i, r[2]) for i, r in enumerate(EQUALS)])}) t(i, same)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 6 IN (0, 1, 3, 5) AS same FROM lineitem")
 def fn_math_equal(spark, d):
-    return literal(spark, [(i, *r[:2]) for i, r in enumerate(EQUALS)], "i int, a string, b string").select("i", T.math_equal(F.col("a"), F.col("b")).alias("same"))
+    """A fraction and its decimal, a percentage and its share, other numbers, other spacing, other names, thousands."""
+    a = F.expr(r"CASE l_linenumber % 6 WHEN 0 THEN concat(l_partkey, '.5') WHEN 1 THEN concat(l_partkey, '\\%') WHEN 2 THEN string(l_partkey) WHEN 3 THEN concat('x+', l_partkey) WHEN 4 THEN concat('x', l_partkey) ELSE concat(1 + l_partkey % 9, ',', lpad(l_suppkey % 1000, 3, '0')) END")
+    b = F.expr(r"CASE l_linenumber % 6 WHEN 0 THEN concat('\\frac{', 2 * l_partkey + 1, '}{2}') WHEN 1 THEN string(cast(l_partkey / 100 AS decimal(20, 2))) WHEN 2 THEN string(2 * l_partkey + 1) WHEN 3 THEN concat('x + ', l_partkey) WHEN 4 THEN concat('y', l_partkey) ELSE concat(1 + l_partkey % 9, lpad(l_suppkey % 1000, 3, '0'), '.0') END")
+    return X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.math_equal(a, b).alias("same"))
 
 
-PYTHON = [(r"so \boxed{\frac{1}{2}} and \boxed{a{b}c}", "a{b}c", None, None, False), ("```json\n{\"b\": 1, \"a\": {\"c\": 2}}\n```", None, '{"b": 1, "a": {"c": 2}}', None, False), ('{"b":1,"a":2}', None, '{"b": 1, "a": 2}', '{"a": 2, "b": 1}', False), (r"\boxed{open", None, None, None, False), ("ab" * 40, None, None, None, True)]
+PYTHON = r"""CASE p_partkey % 5 WHEN 0 THEN concat('so \\boxed{\\frac{1}{2}} and \\boxed{', p_partkey, '{b}c}') WHEN 1 THEN concat('```json\n{"b": ', p_partkey, ', "a": {"c": 2}}\n```') WHEN 2 THEN concat('{"b":', p_partkey, ',"a":2}')
+ WHEN 3 THEN concat('\\boxed{open ', p_partkey) ELSE repeat(concat('ab', p_partkey), 40) END"""
 
 
-@query(f"SELECT * FROM ({values([(i, *r[1:]) for i, r in enumerate(PYTHON)])}) t(i, boxed, first_json, canonical, repetitive)")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_partkey || '{b}c' END AS boxed, CASE p_partkey % 5 WHEN 1 THEN '{"b": ' || p_partkey || ', "a": {"c": 2}}' WHEN 2 THEN '{"b": ' || p_partkey || ', "a": 2}' END AS first_json,
+ CASE WHEN p_partkey % 5 = 2 THEN '{"a": 2, "b": ' || p_partkey || '}' END AS canonical, p_partkey % 5 = 4 AS repetitive FROM part""")
 def fn_python_text(spark, d):
     """Balanced braces, fenced JSON, sorted keys and repetitiveness: the text functions that run as pandas UDFs."""
-    t = literal(spark, [(i, r[0]) for i, r in enumerate(PYTHON)], "i int, t string")
-    return t.select("i", T.boxed("t").alias("boxed"), T.first_json("t").alias("first_json"), T.canonical_json("t").alias("canonical"), T.is_repetitive("t").alias("repetitive"))
+    t = X.read(spark, d, "part").select("p_partkey", F.expr(PYTHON).alias("t"))
+    return t.select("p_partkey", T.boxed("t").alias("boxed"), T.first_json("t").alias("first_json"), T.canonical_json("t").alias("canonical"), T.is_repetitive("t").alias("repetitive"))
 
 
 # ---- geometry ----

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,6 +153,26 @@ def write_json(df: DataFrame, root: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).option("ignoreNullFields", False).json(root)
 
 
+def write_files(df: DataFrame, root: str) -> None:
+    """A file for each row of (path below ``root``, content): written by the tasks, a task that runs again writes the same."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if urlsplit(root).scheme else f"file://{root}")
+        n = 0
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                name = f"{base}/{path}"
+                store.create_dir(name.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(name) as out:
+                    out.write((content or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    df.select(df[df.columns[0]].cast("string"), df[df.columns[1]].cast("string")).mapInArrow(write, "n long").collect()
+
+
 def append_metrics(df: DataFrame, root: str, step: int) -> None:
     """(metric, value) rows of a step to one table for all trackers."""
     df.select("metric", F.col("value").cast("double").alias("value"), F.lit(step).cast("long").alias("step")).write.mode("append").parquet(root)
