@@ -93,22 +93,32 @@ def weights_for_resampling(score: Column, method: str = "pow", power: float = 2.
 def resampled(df: DataFrame, weight: str, key: str, seed: object = 42) -> DataFrame:
     """As many rows as ``df`` has, drawn with replacement by weight: each draw is a hashed point on the line of weights.
 
-    Rows own spans of the running sum of weights, dealt out in ranges of a hash of their key; draws find their span by
-    an equi-join on the range's part of the line and a comparison inside it.
+    Rows own spans of the running sum of weights in order of a hash of their key, which deals them out in parts; a draw
+    falls to the last span that starts before it in its part of the line. Parts are cut fine enough to be sorted in a
+    task; of each part only a row is broadcast. ``key`` must be unique; null and negative weights count for nothing.
     """
     from pyspark.sql import Window
 
-    from tracewright.operators.order import seeded
+    from tracewright.operators.order import _in_cells, seeded
 
-    rows = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(256)))
-    parts = rows.groupBy("_part").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    h = seeded(key, seed=seed)
+    rows = df.select(key, F.coalesce(F.col(weight), F.lit(0.0)).alias("_w"), h.alias("_h"), F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("_part")).where("_w > 0")
+    parts = rows.groupBy("_part").agg(F.sum("_w").alias("_sum"))
     ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_end", F.sum("_w").over(ends)).withColumn("_start", F.col("_end") - F.col("_w"))
-    total = parts.agg(F.max("_end").alias("_total"))
-    inside = Window.partitionBy("_part").orderBy(seeded(key, seed=seed), key).rowsBetween(Window.unboundedPreceding, 0)
-    spans = rows.join(F.broadcast(parts.select("_part", "_start")), "_part").withColumn("_to", F.col("_start") + F.sum(weight).over(inside))
-    spans = spans.withColumn("_from", F.col("_to") - F.col(weight)).drop("_start")
+    parts = parts.withColumn("_start", F.sum("_sum").over(ends) - F.col("_sum"))
+    known = sorted((r["_start"], r["_part"], r["_sum"]) for r in parts.collect() if r["_sum"] > 0)  # 4096 at most
+    if not known:
+        return df.limit(0)
+    total = known[-1][0] + known[-1][2]
+    inside = Window.partitionBy("_part").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
+    starts = df.sparkSession.createDataFrame([(p, s) for s, p, _ in known], "_part int, _start double")
+    spans = rows.join(F.broadcast(starts), "_part").withColumn("_at", F.col("_start") + F.sum("_w").over(inside) - F.col("_w")).select("_part", "_at", F.col(key).alias("_k"))
     u = (F.conv(F.substring(seeded(key, seed=f"draw-{seed}"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    draws = df.select(u.alias("_u")).crossJoin(F.broadcast(total)).select((F.col("_u") * F.col("_total")).alias("_point"))
-    draws = draws.join(F.broadcast(parts.select("_part", "_start", "_end")), (F.col("_point") >= F.col("_start")) & (F.col("_point") < F.col("_end"))).select("_part", "_point")
-    return draws.join(spans, "_part").where("_point >= _from AND _point < _to").drop("_part", "_point", "_from", "_to")
+    draws = _in_cells(df.select((u * F.lit(total)).alias("_at")), "_at", [s for s, _, _ in known[1:]], "_cell")
+    place = F.array(*[F.lit(p) for _, p, _ in known])
+    draws = draws.select(place[F.col("_cell")].alias("_part"), "_at", F.lit(None).cast(df.schema[key].dataType).alias("_k"))
+    both = spans.withColumn("_draw", F.lit(0)).unionByName(draws.withColumn("_draw", F.lit(1)))
+    before = Window.partitionBy("_part").orderBy("_at", "_draw").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = both.withColumn("_k", F.last("_k", ignorenulls=True).over(before)).where("_draw = 1").groupBy("_k").agg(F.count("*").cast("int").alias("_n"))
+    out = df.join(drawn, F.col(key) == F.col("_k")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return out.drop("_k", "_n")

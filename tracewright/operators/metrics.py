@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.order import ranked
+
 
 def share(hit: Column) -> Column:
     return F.avg(hit.cast("int"))
@@ -28,6 +30,11 @@ def action_metrics(df: DataFrame, same: str, grounded: str, hit: str) -> DataFra
     )
 
 
+def weighted_sum(weights: dict[str, float]) -> Column:
+    """Columns times their weights; a null measure counts for nothing."""
+    return sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+
+
 def mean_and_deviation(df: DataFrame, by: list[str], *columns: str) -> DataFrame:
     aggs = [f(c).alias(f"_{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
     out = df.groupBy(*by).agg(*aggs)
@@ -37,16 +44,18 @@ def mean_and_deviation(df: DataFrame, by: list[str], *columns: str) -> DataFrame
 def best_and_worst_of(df: DataFrame, by: str, value: str, draws: list[int]) -> DataFrame:
     """Expected maximum and minimum of n draws with replacement from a group's values, for each n.
 
-    The i-th smallest of c values is the maximum with probability (i/c)^n - ((i-1)/c)^n.
+    The i-th smallest of c values is the maximum with probability (i/c)^n - ((i-1)/c)^n. Places are counted in ranges of
+    the values, so a group's values are never gathered.
     """
-    g = df.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("n", F.explode(F.array(*[F.lit(k) for k in draws])))
-    c = F.size("v")
-
-    def expected(values: Column) -> Column:
-        terms = F.transform(values, lambda x, i: x * (F.pow((i + 1) / c, F.col("n")) - F.pow(i / c, F.col("n"))))
-        return F.round(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t), 6)
-
-    return g.select(by, "n", expected(F.col("v")).alias("best"), expected(F.reverse("v")).alias("worst"))
+    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
+    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    placed = ranked(rows, by, ["_v"], {"_range": F.floor((F.col("_v") - F.lit(low or 0.0)) / F.lit(width))}, to="_i")
+    placed = placed.join(rows.groupBy(by).agg(F.count("*").alias("_c")), by).withColumn("n", F.explode(F.array(*[F.lit(k) for k in draws])))
+    i, c, n = F.col("_i").cast("double"), F.col("_c"), F.col("n")
+    best = F.col("_v") * (F.pow((i + 1) / c, n) - F.pow(i / c, n))
+    worst = F.col("_v") * (F.pow((c - i) / c, n) - F.pow((c - i - 1) / c, n))
+    return placed.groupBy(by, "n").agg(F.round(F.sum(best), 6).alias("best"), F.round(F.sum(worst), 6).alias("worst"))
 
 
 def majority(df: DataFrame, by: str, answer: str, value: str, order: str) -> DataFrame:

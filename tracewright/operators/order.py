@@ -11,32 +11,75 @@ def seeded(*columns: str, seed: object = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *columns))
 
 
-def numbered(df: DataFrame, key: str, *ties: str, to: str = "pos", buckets: int = 256) -> DataFrame:
+#: The most ranges that positions are counted in: what is broadcast has a row for each.
+MOST_CELLS = 4096
+
+
+def _quantiles(df: DataFrame, key: str, cells: int) -> list[float]:
+    found = df.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / cells for i in range(1, cells)], 1 / (8 * cells))
+    return sorted({v for v in found if v == v and abs(v) != float("inf")})
+
+
+def _in_cells(df: DataFrame, key: str, bounds: list[float], to: str) -> DataFrame:
+    """Numbers the range a key falls into; nulls are in -1, NaN in the last."""
+    from pyspark.ml.feature import Bucketizer
+
+    infinity = float("inf")
+    keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(-infinity)))
+    cut = Bucketizer(splits=[-infinity, *bounds, infinity], inputCol="_key", outputCol=to, handleInvalid="keep")
+    return cut.transform(keyed).drop("_key").withColumn(to, F.when(F.col(key).isNull(), -1).otherwise(F.col(to).cast("int")))
+
+
+def numbered(df: DataFrame, key: str, *ties: str, to: str = "pos", each: int = 100_000) -> DataFrame:
     """Adds each row's position from 0 in order of a numeric key, then ``ties``; null keys come first.
 
-    Rows fall into equal ranges of the key; a range's rows are numbered in one task each and start where the counts
-    of the ranges before end. ``df`` is read twice, for the range and counts, then for the rows.
+    Rows fall into ranges of about ``each`` rows between quantiles of the key. A range's rows are numbered in one task
+    each and start where the counts of the ranges before end. A key that fills more than two ranges alone is cut by
+    quantiles of the first tie, if that is numeric. ``df`` is read several times; of a small table there is one range.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None or high == low:
-        bucket = F.when(F.col(key).isNull(), -1).otherwise(0)
-    else:
-        bucket = F.coalesce(F.least(F.floor((F.col(key) - F.lit(low)) / F.lit((high - low) / buckets)), F.lit(buckets - 1)), F.lit(-1))
-    return _numbered(df.withColumn("_bucket", bucket.cast("int")), [F.asc_nulls_first(key), *ties], to)
+    cells = min(MOST_CELLS, -(-df.count() // each))
+    order = [F.asc_nulls_first(key), *ties]
+    if cells <= 1:
+        return _numbered(df.withColumn("_cell", F.lit(0)), ["_cell"], order, to)
+    df = _in_cells(df, key, _quantiles(df, key, cells), "_cell")
+    numeric = ties and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    stats = df.groupBy("_cell").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    crowded = stats.where(F.col("low").eqNullSafe(F.col("high")) & (F.col("n") > 2 * each)).collect() if numeric else []
+    sub = F.lit(0)
+    for row in crowded:
+        inside = df.where(F.col("_cell") == row["_cell"])
+        bounds = _quantiles(inside, ties[0], min(MOST_CELLS, -(-row.n // each)))
+        above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda v: v <= F.col(ties[0]).cast("double"))) if bounds else F.lit(0)
+        sub = F.when(F.col("_cell") == row["_cell"], F.greatest(above, F.lit(0))).otherwise(sub)
+    return _numbered(df.withColumn("_sub", sub), ["_cell", "_sub"], order, to)
 
 
 def numbered_by_hash(df: DataFrame, hex_key: str, *ties: str, to: str = "pos") -> DataFrame:
     """The same in order of a hexadecimal digest, whose first digits deal out rows evenly."""
-    bucket = F.conv(F.substring(hex_key, 1, 2), 16, 10).cast("int")
-    return _numbered(df.withColumn("_bucket", bucket), [hex_key, *ties], to)
+    cell = F.conv(F.substring(hex_key, 1, 3), 16, 10).cast("int")
+    return _numbered(df.withColumn("_cell", cell), ["_cell"], [hex_key, *ties], to)
+
+
+def _numbered(df: DataFrame, cells: list[str], order: list, to: str) -> DataFrame:
+    counts = df.groupBy(*cells).count()
+    before = Window.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*cells, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*cells).orderBy(*order)))
+    return rows.join(F.broadcast(starts), cells).withColumn(to, F.col("_start") + F.col("_row") - 1).drop(*cells, "_row", "_start")
 
 
-def _numbered(df: DataFrame, order: list, to: str) -> DataFrame:
-    counts = df.groupBy("_bucket").count()
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return rows.join(F.broadcast(starts), "_bucket").withColumn(to, F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start")
+def ranked(df: DataFrame, by: str, order: list, cells: dict[str, Column], to: str = "pos") -> DataFrame:
+    """Adds each row's position from 0 within its ``by`` in order; of a key with very many rows no task holds all.
+
+    ``cells`` are columns that grow with the order: a key's rows of one cell are numbered together and start where the
+    counts of its cells before end.
+    """
+    columns, df = df.columns, df.withColumns(cells)
+    keys = [by, *cells]
+    before = Window.partitionBy(by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*keys).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows.join(starts, keys).select(*columns, (F.col("_start") + F.col("_row") - 1).alias(to))
 
 
 def first_n(df: DataFrame, n: int, *order) -> DataFrame:

@@ -3,54 +3,86 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def valid(vector: Column) -> Column:
+    """Not null or empty, without null or non-finite components, not zero."""
+    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
+
+
+def _units(column: pa.Array, size: int) -> np.ndarray:
+    x = np.array(column.to_pylist(), np.float64).reshape(-1, size)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    sizes = np.array([len(v) for v in vectors.to_pylist()], int)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        mine = pa.array(np.flatnonzero(sizes == size))
+        out[size] = ids.take(mine).to_numpy(zero_copy_only=False), _units(vectors.take(mine), size)
+    return out
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, portion: int = 65_536) -> DataFrame:
     """(query_id, vec_id, rank): the k vectors of greatest cosine of each query, itself left out; ties by id.
 
-    Both sides are (id, array). Queries are gathered in blocks of bounded size that meet every batch of vectors in a
-    task; each task keeps a top k of each query, so what is shuffled grows with queries and tasks, not with pairs.
+    Both sides are (id, array). Vectors that are null, empty or zero, or hold null or non-finite components, neither
+    ask nor answer, and only vectors of one length meet. Queries are a table of blocks in the folder that executors
+    share, never in the driver; vectors are read once, and each portion of a task meets block after block. A portion
+    gives a top k of each query, so what is shuffled grows with queries and portions, not with pairs.
     """
-    ident, column = queries.columns[:2]
-    out, at = None, queries.select(ident, F.col(column).cast("array<double>")).toLocalIterator()
-    done = False
-    while not done:
-        rows = []
-        for r in at:
-            rows.append((r[0], r[1]))
-            if len(rows) == block:
-                break
-        done = len(rows) < block
-        if not rows:
-            break
-        part = _block(rows, vectors, k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank")
-
+    from tracewright.streaming.place import shared_dir
 
-def _block(rows: list, vectors: DataFrame, k: int) -> DataFrame:
-    ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    spark, root = vectors.sparkSession, shared_dir(vectors.sparkSession)
+    slim = lambda df: df.select(F.col(df.columns[0]).cast("long").alias("id"), F.col(df.columns[1]).cast("array<double>").alias("v")).where(valid(F.col("v")) & F.col("id").isNotNull())
+    q = slim(queries)
+    q.repartition(max(1, -(-q.count() // block))).write.parquet(root)
+    blocks = spark.read.parquet(root).inputFiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            if not b.num_rows:
-                continue
-            vid = b.column(0).to_numpy()
-            c = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            c[ids[:, None] == vid[None, :]] = -np.inf
-            top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(c, top, 1).ravel()
-            keep = np.isfinite(score)
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, top.shape[1])[keep], "vec_id": vid[top.ravel()][keep], "c": score[keep]})
-
-    return vectors.select(vectors[vectors.columns[0]], F.col(vectors.columns[1]).cast("array<double>")).mapInArrow(run, "query_id long, vec_id long, c double")
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sides = _by_length(t.column(0).combine_chunks(), t.column(1).combine_chunks())
+            for uri in blocks:
+                store, path = fs.FileSystem.from_uri(uri if urlsplit(uri).scheme else f"file://{uri}")
+                asked = pq.read_table(store.open_input_file(path))
+                if not asked.num_rows:
+                    continue
+                for size, (ids, x) in _by_length(asked.column(0).combine_chunks(), asked.column(1).combine_chunks()).items():
+                    if size not in sides:
+                        continue
+                    vid, v = sides[size]
+                    c = x @ v.T
+                    c[ids[:, None] == vid[None, :]] = -np.inf
+                    # By score, then by id: what ties with the last place may not be cut off by chance.
+                    order = np.argsort(vid, kind="stable")
+                    top = order[np.argsort(-c[:, order], axis=1, kind="stable")[:, :k]]
+                    score = np.take_along_axis(c, top, 1).ravel()
+                    keep = np.isfinite(score)
+                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, top.shape[1])[keep], "vec_id": vid[top.ravel()][keep], "c": score[keep]})
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= portion:
+                yield from best(held)
+                held, n = [], 0
+        if n:
+            yield from best(held)
+
+    out = slim(vectors).mapInArrow(run, "query_id long, vec_id long, c double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank")

@@ -102,10 +102,14 @@ def accumulate_batches(spark, d):
 
 @query(f"{R}, b AS (SELECT uid, avg(acc) AS m, max(length) AS longest, min(row_id) AS first, count(*) AS n FROM g GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY NOT (m BETWEEN 0.2 AND 0.6 AND longest < 99), first) AS k FROM b) SELECT uid, m BETWEEN 0.2 AND 0.6 AND longest < 99 AS passed FROM o WHERE k <= (SELECT count(*) FROM o) // 4")
 def flt_oversample_prime(spark, d):
-    """Groups that pass come first; the first quarter stays: a top-n, not a sorted partition."""
+    """Groups that pass come first; the first quarter stays, by positions: neither a sorted partition nor a quarter of all in one task."""
+    from tracewright.operators.order import numbered
+
     b = rows(spark, d).groupBy("uid").agg(F.avg("acc").alias("m"), F.max("length").alias("longest"), F.min("row_id").alias("first"))
     b = b.withColumn("passed", F.col("m").between(0.2, 0.6) & (F.col("longest") < 99))
-    return b.orderBy(F.desc("passed"), "first").limit(b.count() // 4).select("uid", "passed")
+    low, high, n = b.agg(F.min("first"), F.max("first"), F.count("*")).first()
+    b = b.withColumn("key", F.when(F.col("passed"), F.col("first")).otherwise(F.col("first") + F.lit((high or 0) - (low or 0) + 1)))
+    return numbered(b, "key").where(F.col("pos") < n // 4).select("uid", "passed")
 
 
 @query(f"{R}, t AS (SELECT *, floor(row_id / 8)::BIGINT AS block FROM rollouts) SELECT row_id, round(score - (sum(score) OVER (PARTITION BY block) - score) / greatest(count(*) OVER (PARTITION BY block) - 1, 1), 6) AS advantage FROM t")

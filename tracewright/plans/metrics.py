@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import point_in_box
 from tracewright.operators import metrics as M
+from tracewright.operators.order import ranked
 from tracewright.plans.registry import query
 from tracewright.sources import fixtures as X
 
@@ -129,6 +130,20 @@ def agg_token_amount(spark, d):
     return X.steps(spark, d).groupBy("episode_id").agg(F.sum(words).alias("words"))
 
 
+# Weights of a conversation's measures; tokens count against it.
+MEASURES = {"accuracy": 1.0, "bleu": 0.5, "pass_rate": 1.0, "interactivity": 0.3, "token_amount": -0.001}
+
+
+@query(f"""WITH {X.STEPS}, m AS (SELECT episode_id, sum(CASE WHEN step > 1 THEN len(regexp_extract_all(action, '\\S+')) ELSE 0 END)::DOUBLE AS token_amount, avg((role = 'assistant')::INT) AS interactivity FROM steps GROUP BY 1)
+SELECT episode_id, round((episode_id % 2) + 0.5 * (episode_id % 11) / 10.0 + 1.0 * (episode_id % 5) / 4.0 + 0.3 * interactivity - 0.001 * token_amount, 6)::DOUBLE AS reward FROM m""")
+def agg_pass_rates(spark, d):
+    """A conversation's reward: the weighted sum of its measures. Judges' measures are input columns, the tokens are counted."""
+    words = F.when(F.col("step") > 1, F.size(F.regexp_extract_all("action", F.lit(r"\S+"), 0))).otherwise(0)
+    m = X.steps(spark, d).groupBy("episode_id").agg(F.sum(words).cast("double").alias("token_amount"), F.avg((F.col("role") == "assistant").cast("int")).alias("interactivity"))
+    m = m.withColumns({"accuracy": F.col("episode_id") % 2, "bleu": F.col("episode_id") % 11 / 10.0, "pass_rate": F.col("episode_id") % 5 / 4.0})
+    return m.select("episode_id", F.round(M.weighted_sum(MEASURES), 6).alias("reward"))
+
+
 @query(f"{R} SELECT data_source, min(k) AS gen_min, max(k) AS gen_max, round(avg(k), 6) AS gen_mean, round(avg(length), 6) AS tool_mean, arg_max(row_id, (k + length) * 1000000 - row_id) AS slowest FROM rollouts GROUP BY 1")
 def agg_agent_loop(spark, d):
     r = X.rollouts(spark, d)
@@ -139,8 +154,9 @@ def agg_agent_loop(spark, d):
 @query(f"{R}, o AS (SELECT row_id, row_number() OVER (PARTITION BY data_source ORDER BY length, row_id) - 1 AS i, count(*) OVER (PARTITION BY data_source) AS n FROM rollouts) SELECT row_id, CASE WHEN i % 2 = 0 THEN i / 2 ELSE n - 1 - (i - 1) / 2 END::BIGINT AS place FROM o")
 def win_dense_rank_len(spark, d):
     """Within a part, short and long sequences alternate ends: even ranks go up, odd ranks come back."""
-    w = Window.partitionBy("data_source").orderBy("length", "row_id")
-    o = X.rollouts(spark, d).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("data_source")))
+    r = X.rollouts(spark, d).select("row_id", "data_source", "length")
+    o = ranked(r, "data_source", ["length", "row_id"], {"_length": F.col("length"), "_ids": F.floor(F.col("row_id") / (1 << 20))}, to="i")
+    o = o.join(r.groupBy("data_source").agg(F.count("*").alias("n")), "data_source")
     place = F.when(F.col("i") % 2 == 0, F.floor(F.col("i") / 2)).otherwise(F.col("n") - 1 - F.floor((F.col("i") - 1) / 2))
     return o.select("row_id", place.cast("long").alias("place"))
 
