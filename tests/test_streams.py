@@ -54,3 +54,16 @@ def test_late_events_are_dropped(spark):
     s = stream(spark, rows, "ts string, event_type string, value double", 4).withColumn("ts", F.col("ts").cast("timestamp"))
     out = S.drained(S.windowed(s, "6 hours", late="1 hour"), "append").collect()
     assert [(r.event_type, r.n, r.total) for r in out] == [("a", 2, 2.0)]
+
+
+def test_last_rates(spark):
+    rows = [(i % 5, i, float(i * i % 3 > 0)) for i in range(100)]
+    got = {r.uid: (round(r.rate, 9), r.n) for r in S.drained(S.last_rates(stream(spark, rows, "uid long, row_id long, acc double"), 3), "update", ["uid"]).collect()}
+    assert got == {u: (round(sum([a for v, _, a in rows if v == u][-3:]) / 3, 9), 20) for u in range(5)}
+
+
+def test_accumulated_over_batches(spark):
+    rows = [(i * 7 % 23 if i < 40 else i % 31, i) for i in range(90)]
+    got = {r.uid: r.batch for r in S.accumulated(stream(spark, rows, "uid long, row_id long"), 4).collect()}
+    order = list(dict.fromkeys(u for u, _ in rows))
+    assert got == {u: k // 4 for k, u in enumerate(order) if k < len(order) // 4 * 4}

@@ -17,12 +17,12 @@ def st_tumbling(spark, d):
 
 @query("SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) o(k) GROUP BY 1, 2")
 def st_sliding(spark, d):
-    return S.windowed(X.read(spark, d, "events"), "6 hours", "3 hours")
+    return S.drained(S.windowed(S.table_stream(spark, d, "events"), "6 hours", "3 hours"), "complete")
 
 
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def st_sessions(spark, d):
-    return S.sessions(X.read(spark, d, "events"), "4 hours")
+    return S.drained(S.sessions(S.table_stream(spark, d, "events"), "4 hours"), "complete")
 
 
 RATIO = "o AS (SELECT uid, row_id, acc, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM rollouts), e AS (SELECT uid, max(n) - coalesce(max(n) FILTER (WHERE acc = 0), 0) AS streak FROM o GROUP BY 1)"
@@ -34,16 +34,33 @@ def st_replay_sampler(spark, d):
     return S.drained(S.replay_ratios(e), "update", ["uid"]).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
-def st_thought_buffer_stream(spark, d):
+@query(f"{R}, o AS (SELECT uid, acc, row_number() OVER (PARTITION BY uid ORDER BY row_id DESC) AS k FROM rollouts) SELECT uid, round(avg(acc) FILTER (WHERE k <= 3), 6) AS rate, count(*) >= 2 AND avg(acc) FILTER (WHERE k <= 3) > 46.9999 / 48 AS solved FROM o GROUP BY 1")
+def st_filter_sampler(spark, d):
+    """As a stream: a prompt's mean over its last three observations; solved ones leave the sampler."""
+    e = S.table_stream(spark, d, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), (F.col("value") > 50).cast("double").alias("acc"))
+    r = S.drained(S.last_rates(e, 3), "update", ["uid"])
+    return r.select("uid", F.round("rate", 6).alias("rate"), ((F.col("n") >= 2) & (F.col("rate") > 46.9999 / 48)).alias("solved"))
+
+
+@query(f"{R}, p AS (SELECT uid, min(row_id) AS first FROM rollouts WHERE acc = 1 GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY first) AS k FROM p) SELECT uid, floor((k - 1) / 8)::BIGINT AS batch FROM o WHERE k <= floor((SELECT count(*) FROM o) / 8) * 8")
+def st_group_accumulate(spark, d):
+    """As a stream: prompts with a right answer fill batches of eight in order of arrival."""
     e = S.table_stream(spark, d, "events").where("value > 50")
+    return S.accumulated(e.select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id")), 8)
+
+
+@query(f"{R}, f AS (SELECT uid, k, min(row_id) AS first FROM rollouts WHERE score > 0.5 GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY first) AS n FROM f) SELECT uid, string_agg(k::VARCHAR, ',' ORDER BY first) AS held FROM n WHERE n <= 5 GROUP BY 1")
+def st_thought_buffer_stream(spark, d):
+    """Buffers after one batch, which the whole table is here: the first five distinct entries of each prompt."""
+    e = S.table_stream(spark, d, "events", files=1 << 30).where("value > 50")
     e = e.select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").alias("entry"))
     return S.drained(S.buffers(e, 5), "update", ["uid"])
 
 
-@query()
+@query("WITH RECURSIVE o AS (SELECT user_id AS uid, event_id AS row_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT uid, NULL::BIGINT AS row_id, 0::BIGINT AS n, 2.0::DOUBLE AS level, 0.0::DOUBLE AS last, false AS passed FROM (SELECT DISTINCT uid FROM o) UNION ALL SELECT o.uid, o.row_id, o.n, l.level - (l.level >= 1)::INT, greatest(f.last, o.s), l.level >= 1 FROM f JOIN o ON o.uid = f.uid AND o.n = f.n + 1, LATERAL (SELECT least(2.0, f.level + greatest(0.0, o.s - f.last) * (1.0 / 7200)) AS level) l) SELECT uid, row_id, passed FROM f WHERE n > 0")
 def st_rate_limit(spark, d):
-    e = S.table_stream(spark, d, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.unix_micros("ts").cast("double").alias("us"))
+    """Each user's token bucket over the events in order of their ids, in one batch."""
+    e = S.table_stream(spark, d, "events", files=1 << 30).select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.unix_micros("ts").cast("double").alias("us"))
     return S.drained(S.rate_limited(e.select("uid", "row_id", (F.col("us") / 1e6).alias("seconds")), 1 / 7200, 2.0), "append")
 
 

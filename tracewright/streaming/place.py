@@ -1,4 +1,4 @@
-"""Where streams keep their checkpoints and results."""
+"""Where streams, written tables and files that tasks read are kept."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which must be set on a cluster; below a local one only under a local master without it."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not found.isDefined() and not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="tracewright-")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream; times without a zone become instants, which event time needs."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -> DataFrame:
+    """A table's files as a stream of batches of at most ``files``; times without a zone become instants, which event time needs."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+    df = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*")
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
@@ -52,11 +53,23 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
 
 
 def _replay(decay: float, least: float):
+    # This many successes in a row reach the least ratio, so what came before them has no effect.
+    enough = 1
+    while decay**enough > least and 0 < decay < 1:
+        enough += 1
+
     def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ratio = state.get[0] if state.exists else 1.0
-        rows = pd.concat(list(frames)).sort_values("row_id")
-        for right in rows.acc:
-            ratio = max(least, ratio * decay) if right == 1 else 1.0
+        failed, right = None, []
+        for frame in frames:  # one frame at a time: the last failure, and the newest successes after it
+            bad = frame.row_id[frame.acc != 1]
+            if len(bad):
+                failed = int(bad.max()) if failed is None else max(failed, int(bad.max()))
+            good = frame.row_id[frame.acc == 1]
+            right = sorted([r for r in (*right, *good.nlargest(enough).tolist()) if failed is None or r > failed])[-enough:]
+        ratio = ratio if failed is None else 1.0
+        for _ in right:
+            ratio = max(least, ratio * decay)
         state.update((ratio,))
         yield pd.DataFrame({"uid": [key[0]], "ratio": [ratio]})
 
@@ -68,13 +81,63 @@ def replay_ratios(feedback: DataFrame, decay: float = 0.5, least: float = 0.04)
     return feedback.select("uid", "row_id", "acc").groupBy("uid").applyInPandasWithState(_replay(decay, least), "uid long, ratio double", "ratio double", "update", GroupStateTimeout.NoTimeout)
 
 
+def _rated(keep: int):
+    def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        new: list[tuple] = []
+        for frame in frames:  # one at a time: the newest few are enough
+            n += len(frame)
+            last = frame.nlargest(keep, "row_id")
+            new = sorted([*new, *zip(last.row_id.tolist(), last.acc.tolist())])[-keep:]
+        held = [*held, *(acc for _, acc in new)][-keep:]
+        state.update((held, n))
+        yield pd.DataFrame({"uid": [key[0]], "rate": [sum(held) / len(held)], "n": [n]})
+
+    return update
+
+
+def last_rates(feedback: DataFrame, keep: int = 3) -> DataFrame:
+    """Each prompt's mean over its last ``keep`` observations (uid, row_id, acc) and how many there were; batches come in order."""
+    return feedback.select("uid", "row_id", "acc").groupBy("uid").applyInPandasWithState(_rated(keep), "uid long, rate double, n long", "held array<double>, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def accumulated(rows: DataFrame, size: int) -> DataFrame:
+    """(uid, batch): prompts in order of arrival fill batches of ``size``; those of an unfinished batch wait.
+
+    ``rows`` is a stream of (uid, row_id). Each of its batches adds the prompts that are new to a state table, numbered
+    on from those before; a batch that runs again overwrites what it wrote.
+    """
+    from tracewright.operators.order import numbered
+    from tracewright.streaming.place import shared_dir
+
+    spark, root = rows.sparkSession, shared_dir(rows.sparkSession)
+    schema = "uid long, pos long"
+    spark.createDataFrame([], schema).write.parquet(f"{root}/state/batch=-1")
+    kept = lambda: spark.read.schema(f"{schema}, batch long").option("basePath", f"{root}/state").parquet(f"{root}/state")
+
+    def add(df: DataFrame, n: int) -> None:
+        before = kept().where(F.col("batch") < n)
+        new = df.groupBy("uid").agg(F.min("row_id").alias("first")).join(before, "uid", "left_anti")
+        placed = numbered(new, "first").select("uid", (F.col("pos") + F.lit(before.count())).cast("long").alias("pos"))
+        placed.write.mode("overwrite").parquet(f"{root}/state/batch={n}")
+
+    rows.select("uid", "row_id").writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    whole = kept().count() // size * size
+    return kept().where(F.col("pos") < whole).select("uid", F.floor(F.col("pos") / size).alias("batch"))
+
+
 def _buffered(size: int):
     def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        added = 0
-        for entry in pd.concat(list(frames)).sort_values("row_id").entry:
-            if added < size and entry not in held:
-                held = [*held, entry][-size:]
+        added, codes, rows = 0, {}, []
+        for frame in frames:  # 16 bytes a row are held; texts once each
+            rows.append(np.column_stack([frame.row_id.to_numpy(np.int64), [codes.setdefault(e, len(codes)) for e in frame.entry]]))
+        names, rows = list(codes), np.concatenate(rows)
+        for code in rows[np.argsort(rows[:, 0], kind="stable"), 1].tolist():
+            if added == size:
+                break
+            if names[code] not in held:
+                held = [*held, names[code]][-size:]
                 added += 1
         state.update((held,))
         yield pd.DataFrame({"uid": [key[0]], "held": [",".join(held)]})
@@ -90,15 +153,20 @@ def buffers(entries: DataFrame, size: int) -> DataFrame:
 def _tokens(rate: float, most: float):
     def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, last = state.get if state.exists else (most, 0.0)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("row_id").itertuples():
-            level = min(most, level + max(0.0, r.seconds - last) * rate)
-            last = max(last, r.seconds)
-            passed = level >= 1
-            level -= passed
-            out.append((key[0], r.row_id, bool(passed)))
-        state.update((level, last))
-        yield pd.DataFrame(out, columns=["uid", "row_id", "passed"])
+        # Requests of one key must be taken in order: 16 bytes each are held, and answers leave in portions.
+        ids, times = zip(*[(f.row_id.to_numpy(np.int64), f.seconds.to_numpy(np.float64)) for f in frames])
+        ids, times = np.concatenate(ids), np.concatenate(times)
+        order = np.argsort(ids, kind="stable")
+        ids, out = ids[order], np.zeros(len(ids), bool)
+        for i, seconds in enumerate(times[order].tolist()):
+            level = min(most, level + max(0.0, seconds - last) * rate)
+            last = max(last, seconds)
+            out[i] = level >= 1
+            level -= bool(out[i])
+        state.update((float(level), last))
+        for at in range(0, len(ids), 10_000):
+            part = slice(at, at + 10_000)
+            yield pd.DataFrame({"uid": key[0], "row_id": ids[part], "passed": out[part]})
 
     return update
 
