@@ -225,7 +225,10 @@ def offpolicy_metrics(spark, d):
     )
 
 
-@query(f"{PAIRS}, z AS (SELECT id, ln(sum(exp(a))) AS za, ln(sum(exp(b))) AS zb FROM pairs WHERE t < 8 GROUP BY 1), q AS (SELECT p.id, a - za AS la, b - zb AS lb FROM pairs p JOIN z USING (id) WHERE t < 8) SELECT id, round(sum(exp(la) * (la - lb)), 5) AS forward, round(sum(exp(lb) * (lb - la)), 5) AS backward, round(0.5 * sum(exp(la) * (la - ln(0.5 * exp(la) + 0.5 * exp(lb)))) + 0.5 * sum(exp(lb) * (lb - ln(0.5 * exp(la) + 0.5 * exp(lb)))), 5) AS jensen, round(-sum(exp(la) * la), 5) AS entropy FROM q GROUP BY 1")
+@query(f"""{PAIRS}, z AS (SELECT id, ln(sum(exp(a))) AS za, ln(sum(exp(b))) AS zb FROM pairs GROUP BY 1), q AS (SELECT p.id, t, a - za AS la, b - zb AS lb, row_number() OVER (PARTITION BY p.id ORDER BY a DESC, t) AS k FROM pairs p JOIN z USING (id)),
+s AS (SELECT id, la, lb FROM q WHERE k <= 8 UNION ALL SELECT id, ln(1 - least(sum(exp(la)), exp(-1e-7))), ln(1 - least(sum(exp(lb)), exp(-1e-7))) FROM q WHERE k <= 8 GROUP BY 1),
+e AS (SELECT id, -sum(exp(la) * la) AS entropy FROM q GROUP BY 1)
+SELECT s.id, round(sum(exp(la) * (la - lb)), 5) AS forward, round(sum(exp(lb) * (lb - la)), 5) AS backward, round(0.5 * sum(exp(la) * (la - ln(0.5 * exp(la) + 0.5 * exp(lb)))) + 0.5 * sum(exp(lb) * (lb - ln(0.5 * exp(la) + 0.5 * exp(lb)))), 5) AS jensen, round(max(entropy), 5) AS entropy FROM s JOIN e USING (id) GROUP BY 1""")
 def topk_divergence(spark, d):
     """Divergences over the eight entries that the first of two distributions holds most likely and the tail of all others, and its entropy over all."""
     p = pairs(spark, d).select("id", K.log_softmax("a").alias("la"), K.log_softmax("b").alias("lb"))
@@ -235,7 +238,7 @@ def topk_divergence(spark, d):
     return out(p, forward=of(0.0), backward=of(1.0), jensen=of(0.5), entropy=-K.add(F.transform("la", lambda u: F.exp(u) * u)))
 
 
-@query(f"WITH RECURSIVE {X.ROLLOUTS}, o AS (SELECT data_source, length, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS i FROM rollouts WHERE row_id < 400), f AS (SELECT data_source, 0::BIGINT AS i, [0, 0, 0, 0]::INT[] AS bins FROM (SELECT DISTINCT data_source FROM o) UNION ALL SELECT o.data_source, o.i, list_transform(f.bins, lambda b, k: CASE WHEN k = list_position(f.bins, list_min(f.bins)) THEN b + o.length ELSE b END) FROM f JOIN o ON o.data_source = f.data_source AND o.i = f.i + 1) SELECT data_source, array_to_string(arg_max(bins, i), ',') AS bins FROM f GROUP BY 1")
+@query(f"WITH RECURSIVE {X.ROLLOUTS}, o AS (SELECT floor(row_id / 64)::BIGINT AS block, data_source, length, row_number() OVER (PARTITION BY floor(row_id / 64), data_source ORDER BY row_id) AS i FROM rollouts), f AS (SELECT block, data_source, 0::BIGINT AS i, [0, 0, 0, 0]::INT[] AS bins FROM (SELECT DISTINCT block, data_source FROM o) UNION ALL SELECT o.block, o.data_source, o.i, list_transform(f.bins, lambda b, k: CASE WHEN k = list_position(f.bins, list_min(f.bins)) THEN b + o.length ELSE b END) FROM f JOIN o ON o.block = f.block AND o.data_source = f.data_source AND o.i = f.i + 1) SELECT block, data_source, array_to_string(arg_max(bins, i), ',') AS bins FROM f GROUP BY 1, 2")
 def pack_greedy(spark, d):
     """Rows in order go to the least loaded of four bins: a fold over the lengths of each source's blocks of 64 ids."""
     r = X.rollouts(spark, d).withColumn("block", F.floor(F.col("row_id") / 64))

@@ -22,8 +22,10 @@ def join_precond(spark, d):
 SELECT n_nationkey, key, coalesce((SELECT app FROM names WHERE name = key), (SELECT CASE WHEN count(*) = 1 THEN min(app) END FROM names WHERE starts_with(name, key))) AS app FROM keys""")
 def join_app_map(spark, d):
     names = X.read(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("app", F.upper("name"))
-    listed = names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("n_nationkey"))
-    keys = X.read(spark, d, "nation").join(listed, "n_nationkey").select("n_nationkey", F.expr("substr(name, 1, 1 + n_nationkey % 12)").alias("key"))
+    nation = X.read(spark, d, "nation")
+    first = names.select("name").orderBy("name").limit(nation.count())  # a name for each nation, by a top-n
+    listed = first.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("n_nationkey"))
+    keys = nation.join(listed, "n_nationkey").select("n_nationkey", F.expr("substr(name, 1, 1 + n_nationkey % 12)").alias("key"))
     return J.by_prefix(keys, names, "key", "name", "app").select("n_nationkey", "key", "app")
 
 
@@ -59,7 +61,7 @@ def join_teacher_route(spark, d):
     return X.rollouts(spark, d).select("row_id", F.when(F.contains("data_source", F.lit("c")), F.col("score") * 2).otherwise(F.col("score") - 1).alias("teacher"))
 
 
-@query(f"WITH {X.STEPS} SELECT c.c_custkey, coalesce(array_to_string(q.qs, '|'), '') AS earlier FROM customer c LEFT JOIN (SELECT episode_id, list(substr(action, 1, 20) ORDER BY step) AS qs FROM steps WHERE role = 'user' GROUP BY 1) q ON q.episode_id = c.c_custkey")
+@query(f"WITH {X.STEPS} SELECT c.c_custkey, coalesce(array_to_string(q.qs, '|'), '') AS earlier FROM customer c LEFT JOIN (SELECT episode_id, list(action ORDER BY step) AS qs FROM steps WHERE role = 'user' GROUP BY 1) q ON q.episode_id = c.c_custkey")
 def join_prev_queries(spark, d):
     q = X.steps(spark, d).where("role = 'user'").groupBy(F.col("episode_id").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("step", F.col("action").alias("q")))).alias("qs"))
     return X.read(spark, d, "customer").select("c_custkey").join(q, "c_custkey", "left").select("c_custkey", F.coalesce(F.array_join("qs.q", "|"), F.lit("")).alias("earlier"))
@@ -270,12 +272,13 @@ def weighted_resample_weights(spark, d):
     return r.select("row_id", pow_p.alias("pow_p"), weight("max_min").alias("max_min_w"), weight("max_random").alias("max_random_w"))
 
 
-@query(f"""{R}, w AS (SELECT row_id, abs(score) ** 2 + 1e-8 AS w FROM rollouts) SELECT count(*) AS n, true AS heavier FROM w""")
+@query(f"""{R}, w AS (SELECT row_id, greatest(abs(score) ** 2 + 1e-8, 1e-8) AS w, md5('42:' || row_id) AS h, (('0x' || substr(md5('draw-42:' || row_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM rollouts),
+spans AS (SELECT row_id, sum(w) OVER (ORDER BY h, row_id) - w AS start, sum(w) OVER () AS total FROM w), draws AS (SELECT u * (SELECT max(total) FROM spans) AS point FROM w)
+SELECT s.row_id, count(*) AS n FROM draws d ASOF JOIN spans s ON d.point >= s.start GROUP BY 1""")
 def weighted_resample(spark, d):
-    """A resampled batch: as many rows, with heavier ones more often."""
-    r = X.rollouts(spark, d).withColumn("w", B.weights_for_resampling(F.col("score")))
-    out = B.resampled(r, "w", "row_id").agg(F.count("*").alias("n"), F.avg("score").alias("after"))
-    return out.crossJoin(F.broadcast(r.agg(F.avg("score").alias("before")))).select("n", (F.col("after") > F.col("before")).alias("heavier"))
+    """A resampled batch: as many rows, heavier ones more often; how often each row was drawn."""
+    r = X.rollouts(spark, d).select("row_id", "score").withColumn("w", B.weights_for_resampling(F.col("score")))
+    return B.resampled(r, "w", "row_id").groupBy("row_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey, string_agg(s_name, '|' ORDER BY slot) AS variants FROM (SELECT s_nationkey AS n_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS slot FROM supplier) WHERE slot <= 15 GROUP BY 1")
