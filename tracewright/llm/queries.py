@@ -36,7 +36,8 @@ def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = tiff_encoded(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    pages = tiff_pages(stored).select("doc_id", "n_bytes", "pixels", "media")
+    # Its own files: as large as a text can be.
+    pages = tiff_pages(stored, most_bytes=(1 << 31) - 1).select("doc_id", "n_bytes", "pixels", "media")
 
     def digests(batch):
         pixels, media = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -152,4 +153,47 @@ SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
 FROM keys LEFT JOIN common c ON keys.k = c.k GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op3_line_dedup": _LINES, "op8_url_filter": _URL, "op9_mixing": _MIX}
+_WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING count(*) > 1),
+late AS (SELECT r, i FROM windows JOIN firsts USING (k) WHERE doc_id > first),
+gone AS (SELECT DISTINCT r, i + j AS p FROM late, generate_series(0, 49) g(j)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT words.r, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t FROM words LEFT JOIN gone ON words.r = gone.r AND words.p = gone.p GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+_NEAR = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+_COSINES = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+valid AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM sides GROUP BY 1),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
+
+ORACLE_SQL = {
+    "op3_line_dedup": _LINES,
+    "op6_substring_dedup": _WINDOWS,
+    "op7_minhash": _NEAR,
+    "op8_url_filter": _URL,
+    "op9_mixing": _MIX,
+    "op10_embedding_dedup": _COSINES,
+}
