@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tracewright.llm.queries import op4_tiff
-from tracewright.llm.tiff import DEFLATE, LZW, NONE, PACKBITS, directories, encoded, lzw, packbits, page, payload, tiff_encoded, tiff_pages, unlzw, unpackbits
+from tracewright.llm.tiff import DEFLATE, LZW, NONE, PACKBITS, directories, encoded, inflate, lzw, packbits, page, payload, tiff_encoded, tiff_pages, unlzw, unpackbits
 
 RNG = np.random.default_rng(0)
 DATA = [b"", b"a", b"ab" * 5000, bytes(RNG.integers(0, 256, 30000, dtype=np.uint8)), bytes(RNG.integers(0, 3, 30000, dtype=np.uint8)), b"\0" * 1000, b"x" * 130 + b"yy" + b"z" * 3, bytes(range(256)) * 40]
@@ -47,6 +47,18 @@ def test_other_depths():
     assert read(file(1, bytes([0b10100000, 0b01000000]), 3, 2)) == [[1, 0, 1], [0, 1, 0]]
     assert read(file(4, bytes([0x1F, 0x20]), 3, 1)) == [[1, 15, 2]]
     assert read(file(16, struct.pack("<4H", 5, 65535, 1, 1), 4, 1, [(317, 3, 2)])) == [[5, 4, 5, 6]]
+    assert read(file(4, bytes([0x1F, 0x30]), 3, 1, [(317, 3, 2)])) == [[1, 0, 3]]
+    assert read(file(1, bytes([0b11100000]), 3, 1, [(317, 3, 2)])) == [[1, 0, 1]]
+
+
+def test_bounds(spark):
+    bomb = encoded([np.zeros((64, 64, 1), np.uint8)], DEFLATE, False)
+    huge = bytearray(bomb)
+    at = huge.find(bytes([0, 1, 4, 0, 1, 0, 0, 0]))  # the width's field
+    huge[at + 8 : at + 12] = (1 << 30).to_bytes(4, "little")
+    out = tiff_pages(spark.createDataFrame([(1, bytearray(bomb)), (2, huge)], "id long, media binary"), most_bytes=1 << 20).collect()
+    assert {r.id: (r.pixels is None, "over" in (r.error or "")) for r in out} == {1: (False, False), 2: (True, True)}
+    assert inflate(b"", 0) == b"" and len(inflate(__import__("zlib").compress(bytes(1 << 24)), 100)) == 100 and len(unlzw(lzw(bytes(100_000)), 500)) < 100_000
 
 
 def test_operator_on_rows(spark):

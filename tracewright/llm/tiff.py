@@ -61,10 +61,10 @@ def packbits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, growing one code early; 256 clears, 257 ends."""
+def unlzw(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, growing one code early; 256 clears, 257 or ``most`` bytes end."""
     table: list[bytes] = []
-    out, width, held, bits, last = [], 9, 0, 0, b""
+    out, width, held, bits, last, size = [], 9, 0, 0, b"", 0
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     table = list(first)
     for byte in data:
@@ -84,6 +84,9 @@ def unlzw(data: bytes) -> bytes:
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
         out.append(entry)
+        size += len(entry)
+        if most is not None and size >= most:
+            break
         last = entry
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
     return b"".join(out)
@@ -121,7 +124,12 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-UNPACK = {NONE: bytes, LZW: unlzw, DEFLATE: zlib.decompress, PACKBITS: unpackbits, OLD_DEFLATE: zlib.decompress}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most) if most else b""
+
+
+#: From packed bytes and the most bytes that are wanted of them; PackBits grows 64-fold at most.
+UNPACK = {NONE: lambda b, most: b, LZW: unlzw, DEFLATE: inflate, PACKBITS: lambda b, most: unpackbits(b), OLD_DEFLATE: inflate}
 PACK = {NONE: bytes, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: packbits}
 
 
@@ -151,8 +159,8 @@ def directories(file: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         (at,) = struct.unpack_from(order + "I", file, at + 2 + 12 * n)
 
 
-def page(file: bytes, order: str, f: dict[int, tuple]) -> np.ndarray:
-    """Samples of one page, shaped (rows, columns, samples)."""
+def page(file: bytes, order: str, f: dict[int, tuple], most_bytes: int = 512 << 20) -> np.ndarray:
+    """Samples of one page, shaped (rows, columns, samples); an error if they would take more than ``most_bytes``."""
     width, length = f[WIDTH][0], f[LENGTH][0]
     samples, bits = f.get(SAMPLES, (1,))[0], f.get(BITS, (1,))[0]
     separate = f.get(PLANAR, (1,))[0] == 2 and samples > 1
@@ -165,23 +173,25 @@ def page(file: bytes, order: str, f: dict[int, tuple]) -> np.ndarray:
     letter = {1: "u", 2: "i", 3: "f"}[f.get(SAMPLE_FORMAT, (1,))[0]] if bits >= 8 else "u"
     kind = np.dtype(f"{order}{letter}{max(bits, 8) // 8}")
     across, down, each = -(-width // w), -(-length // h), 1 if separate else samples
+    if down * h * across * w * samples * kind.itemsize > most_bytes:
+        raise ValueError(f"a page of over {most_bytes} bytes")
     out = np.zeros((down * h, across * w, samples), kind)
     for k, (o, n) in enumerate(zip(offsets, counts)):
         plane, place = divmod(k, across * down) if separate else (0, k)
         row, col = divmod(place, across)
         rows = h if tiled else min(h, length - row * h)
-        raw = unpack(file[o : o + n])
         line = (w * each * bits + 7) // 8
-        raw = raw[: rows * line].ljust(rows * line, b"\0")
+        raw = unpack(file[o : o + n], rows * line)[: rows * line].ljust(rows * line, b"\0")
         if bits < 8:
             octets = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : w * each * bits]
             block = octets.reshape(rows, w, each, bits) @ (1 << np.arange(bits)[::-1])
         else:
             block = np.frombuffer(raw, kind).reshape(rows, w, each)
-            if f.get(PREDICTOR, (1,))[0] == 2:
-                block = np.add.accumulate(block, axis=1, dtype=kind.newbyteorder("="))
-            elif f.get(PREDICTOR, (1,))[0] != 1:
-                raise ValueError("unknown predictor")
+        if f.get(PREDICTOR, (1,))[0] == 2:
+            block = np.add.accumulate(block, axis=1, dtype=np.uint64 if bits < 8 else kind.newbyteorder("="))
+            block = block & np.uint64((1 << bits) - 1) if bits < 8 else block
+        elif f.get(PREDICTOR, (1,))[0] != 1:
+            raise ValueError("unknown predictor")
         out[row * h : row * h + rows, col * w : (col + 1) * w, slice(plane, plane + 1) if separate else slice(None)] = block
     return out[:length, :width]
 
@@ -250,12 +260,13 @@ def tiff_encoded(docs: DataFrame, column: str = "text", media: str = "media", wi
     return arrow_map(docs, run, ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"{media} binary"]))
 
 
-def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
+def tiff_pages(files: DataFrame, media: str = "media", most_bytes: int = 512 << 20) -> DataFrame:
     """A row for each page: the file's row, page (from 0), width, length, samples, bits, compression, pixels and error.
 
     ``pixels`` are the page's samples in row order, in little-endian order of their size. A null file gives no row. A
     file, or page, that can't be read gives a row with its error and null pixels, and the file's later pages are not
-    looked for. Columns of those names are replaced; repeated rows are read each.
+    looked for; so does a page of over ``most_bytes``, which would exhaust a task. Columns of those names are
+    replaced; repeated rows are read each; an empty table gives none.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -270,7 +281,7 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
         k = -1
         try:
             for k, (order, f) in enumerate(directories(file)):
-                x = page(file, order, f)
+                x = page(file, order, f, most_bytes)
                 yield k, x.shape[1], x.shape[0], x.shape[2], f.get(BITS, (1,))[0], f.get(COMPRESSION, (NONE,))[0], x.astype(x.dtype.newbyteorder("<")).tobytes(), None
         except Exception as e:  # of the file's content; told in the row
             yield k + 1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]
