@@ -28,6 +28,15 @@ def test_both_ways_match_plain_rules(spark):
         assert sorted([tuple(r) for r in got], key=str) == want
 
 
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in ROWS], SCHEMA + ", v int, best int, c0 int, rule_host int")
+    rules = spark.createDataFrame([*RULES, (None, "/", "block"), ("net", None, "block")], "h string, p string, v string")
+    for bound in (1 << 20, 0):
+        out = url_filter(df, rules, broadcast_bytes=bound)
+        assert out.columns == ["page_id", "url", "v", "best", "c0", "rule_host", "host", "path", "rule", "verdict"]
+        assert sorted([(r.page_id, r.v, r.rule, r.verdict) for r in out.collect()], key=str) == sorted([(i, 1, *plain(u)[2:]) for i, u, _ in ROWS], key=str)
+
+
 def test_prefix_inside_a_segment_and_ties(spark):
     rules = [("a.com", "/x/fo", "allow"), ("a.com", "/x/fo", "block"), ("a.com", "/x/foo/b", "allow"), ("a.com", "", "block")]
     urls = ["http://a.com/x/foobar", "http://a.com/x/foo/bar", "http://a.com", "http://a.com/x/f"]

@@ -47,6 +47,8 @@ class Trie:
     def of(cls, rules: Iterable[tuple[str, str, str]]) -> "Trie":
         root = cls()
         for host, path, verdict in rules:
+            if host is None or path is None:
+                continue
             node = root
             for label in reversed(host.split(".")):
                 node = node.labels.setdefault(label, cls())
@@ -92,6 +94,7 @@ def url_filter(
     ``rules``: (host, path, allow or block), as rows or a table. A null url, or one without ``://``, has an empty
     host and path, fits no rule and gets ``default``, as does each URL that no rule fits. Repeated rows are judged
     each; an empty table gives an empty table. Rule tables of over ``broadcast_bytes`` are joined, not broadcast.
+    Other columns may have any names. A rule with a null host or path fits nothing.
     """
     new = ["host", "path", "rule", "verdict"]
     if isinstance(rules, DataFrame):
@@ -122,9 +125,10 @@ def _joined(pages: DataFrame, rules: DataFrame, url: str, default: str) -> DataF
     """For rules without a size bound: each distinct (host, path) meets the rules of its host's suffixes by an equi-join."""
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
     front = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
-    pages = pages.drop("host", "path", "rule", "verdict")
-    parts = pages.withColumn("host", F.translate(F.regexp_extract(front, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    parts = parts.withColumn("path", F.regexp_extract(front, r"(?s)^[^/]*(.*)$", 1))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    host = F.translate(F.regexp_extract(front, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Columns go by number until the end, so that no name of theirs can clash.
+    parts = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(kept)], host.alias("host"), F.regexp_extract(front, r"(?s)^[^/]*(.*)$", 1).alias("path"))
     keys = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -132,4 +136,5 @@ def _joined(pages: DataFrame, rules: DataFrame, url: str, default: str) -> DataF
     rank = F.struct(F.length("rule_host"), F.length("rule_path"), F.col("rule_verdict") == "block", "rule_host", "rule_path", "rule_verdict")
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
     best = best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.rule_verdict").alias("v"))
-    return parts.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("v", F.lit(default))).drop("v")
+    out = parts.join(best, ["host", "path"], "left")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
