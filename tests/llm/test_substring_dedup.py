@@ -54,6 +54,12 @@ def test_matches_brute_force(spark, keys, hot):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_greatest_id_comes_back(spark):
+    rows = [((1 << 63) - 1, "a b c d e f", "x"), (None, "a b c d e f", None), (4, "z a b c d e", None)]
+    out = substring_dedup(spark.createDataFrame(rows, SCHEMA), window=4, gram=2).collect()
+    assert sorted([(r.doc_id, r.n_removed) for r in out], key=str) == [(4, 0), ((1 << 63) - 1, 5), (None, 5)]
+
+
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 

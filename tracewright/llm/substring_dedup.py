@@ -227,11 +227,11 @@ def substring_dedup(
 
     A word goes if it lies in a window whose words also start in a row of a smaller id; windows are judged on the
     input. Words are what ASCII white space separates; the kept ones are joined by one space. Null and empty texts
-    have none. Rows that share an id don't remove each other's words; a null id is greater than any other. Other
-    columns are ignored; an empty table stays empty. ``docs`` is read three times.
+    have none. Rows that share an id don't remove each other's words; a null id counts as the greatest long, 2^63 - 1,
+    here, and comes back as null. Other columns are ignored; an empty table stays empty. ``docs`` is read three times.
     """
-    slim = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(F.col(text)).alias("rid"), F.col(text).cast("string").alias("text"))
-    members = _members(slim, window, gram, broadcast_keys)
+    slim = docs.select(F.col(ident).cast("long").alias("ident"), F.coalesce(F.col(ident).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(F.col(text)).alias("rid"), F.col(text).cast("string").alias("text"))
+    members = _members(slim.drop("ident"), window, gram, broadcast_keys)
     strings = members.groupBy("m", "h1", "h2", "packed").agg(F.min("doc_id").alias("first"))
     earlier = written(_earlier(written(strings), window, hot))
     spans = members.select("doc_id", "rid", "start", "windows", "h1", "h2").join(earlier, ["h1", "h2"])
@@ -240,7 +240,7 @@ def substring_dedup(
     spans = spans.withColumn("runs", runs).where(F.size("runs") > 0)
     span = F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (window - 1)).alias("b")))
     spans = written(spans.select("doc_id", "rid", span.alias("spans")).groupBy("doc_id", "rid").agg(F.flatten(F.collect_set("spans")).alias("spans")))
-    marked = slim.join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "spans")
+    marked = slim.join(spans, ["doc_id", "rid"], "left").select("ident", "text", "spans")
 
     def cut(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
@@ -255,7 +255,6 @@ def substring_dedup(
                 words = [words[i] for i in stays.tolist()]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words))
-        ids = [None if i == (1 << 63) - 1 else i for i in batch.column(0).to_pylist()]
-        return {"doc_id": ids, "n_words": n_words, "n_removed": n_removed, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "kept_text": [k.decode("utf-8", "replace") for k in kept]}
+        return {"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "kept_text": [k.decode("utf-8", "replace") for k in kept]}
 
     return arrow_map(marked, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
