@@ -311,7 +311,7 @@ def near_duplicates(
     percent: int = 80,
     ident: str = "doc_id",
     text: str = "text",
-    tile_rows: int = 512,
+    tile_rows: int = 256,
     tile_bytes: int = 32 << 20,
     broadcast_ids: int = 200_000,
 ) -> DataFrame:
@@ -339,7 +339,7 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, iden
     Links are those of ``near_duplicates``, but rows are told apart by id and text: rows that share an id and have
     different texts are documents of their own, and fully equal ones are copies. Rows without words all stay.
     """
-    work = _Work(_slim(docs, ident, text), k, percent, **{"tile_rows": 512, "tile_bytes": 32 << 20, "broadcast_ids": 200_000} | options)
+    work = _Work(_slim(docs, ident, text), k, percent, **{"tile_rows": 256, "tile_bytes": 32 << 20, "broadcast_ids": 200_000} | options)
     rep = F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "rid", "cid")).alias("rep")
     kept = work.classes.select("cid", "ident", "rid").join(work.components(False), "cid").groupBy("component").agg(rep)
     kept = written(kept.select(F.col("rep.ident").alias("doc_id"), F.col("rep.rid").alias("rid"), F.lit(True).alias("stays")))
