@@ -43,6 +43,24 @@ def test_targets_epochs_and_reruns(spark, n):
         assert all(r.taken >= epochs * r.size for r in mine)
 
 
+@pytest.mark.parametrize(("cells", "ordered"), [(2, 1), (3, 5), (1024, 1)])
+def test_narrowing_gives_the_same_mix(spark, cells, ordered):
+    rows = [(i % 300, " ".join("w" for _ in range(i * 7 % 23)), [None, "a", "b"][i % 3], None) for i in range(900)]
+    rows += [(None, "no id " * (i % 4), "a", None) for i in range(60)] + [(i, "!" * 60 + " w", "b", None) for i in range(2000, 2060)] + [(3000, "long " * 50_000, "c", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    take = lambda **options: sorted([tuple(r) for r in mixed(df, word_count("text"), quality=text_quality("text"), **options).select("doc_id", "source", "size", "taken", "target").collect()], key=str)
+    assert take(cells=cells, ordered=ordered) == take()
+
+
+def test_any_column_names(spark):
+    names = ["cut", "_key", "_ident", "_range", "_last", "_source", "key", "ident", "low", "rest", "c0", "a", "taken"]
+    df = spark.createDataFrame([(i, "w " * i, f"s{i % 2}", *range(len(names))) for i in range(1, 40)], ["doc_id", "text", "source", *names])
+    out = mixed(df, word_count("text"))
+    assert out.columns == ["doc_id", "text", "source", *names[:-1], "size", "source_size", "target", "epochs", "taken"]
+    assert all(r.text == "w " * r.doc_id and tuple(r)[3:15] == tuple(range(12)) for r in out.collect())
+    assert sorted(r.taken for r in out.collect()) == sorted(r.taken for r in mixed(df.select("doc_id", "text", "source"), word_count("text")).collect())
+
+
 def test_heavier_quality_is_taken_more_often(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), (F.col("id") % 2 + 0.1).alias("q"))
     out = mixed(df, word_count("text"), quality=F.col("q")).where("source = 'b'").groupBy((F.col("q") > 1).alias("good")).agg(F.sum("taken").alias("n")).collect()

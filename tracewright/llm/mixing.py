@@ -2,8 +2,9 @@
 
 Sizes, targets and keys are DataFrame expressions. A source's documents are taken in ascending order of
 -ln(u) / quality, with u from a seeded hash of the document: complete epochs first, then those documents whose sizes
-add up to the rest of the target. Order and running sums are distributed: keys fall into fixed ranges, sums of
-(source, range) give the range in which the budget ends, and only that range's rows are ordered and summed.
+add up to the rest of the target. Order and running sums are distributed: the range of a source's keys is cut into
+cells, whose sums give the cell in which the budget ends; that cell's own range is cut again, until it holds a bounded
+number of rows, and only these are ordered and summed.
 """
 
 from __future__ import annotations
@@ -46,34 +47,57 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return w.select("source", "source_size", F.when(F.col("is_bound"), F.col("bound")).otherwise(F.col("weight") * level).alias("target"))
 
 
+def _narrowed(rows: DataFrame, spans: DataFrame, cells: int) -> DataFrame:
+    """``spans`` (source, rest, low, high, before, n) cut to the cell of [low, high] in which ``rest`` ends.
+
+    ``before`` is the size of the source's rows below ``low``, ``n`` the number of rows in the span.
+    """
+    width = F.col("high") - F.col("low")
+    cell = F.when(width > 0, F.least(F.floor((F.col("key") - F.col("low")) / width * cells), F.lit(cells - 1))).otherwise(0)
+    sums = rows.groupBy("source", "rest", "before", cell.cast("int").alias("cell")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    by_cell = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("sum").over(by_cell), F.lit(0)))
+    last = sums.where("before <= rest").groupBy("source").agg(F.max_by(F.struct("rest", "low", "high", "before", "n"), "cell").alias("s"))
+    return last.select("source", "s.*")
+
+
 def mix_plan(
     rows: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     most: float = MOST,
+    cells: int = 1024,
+    ordered: int = 5_000,
 ) -> DataFrame:
-    """One row a source: source_size, target, complete epochs and the last place (key, ident, size) of the fraction.
+    """One row a source: source_size, target, complete epochs, low, and the last place (key, ident, size) of the fraction.
 
-    ``rows`` is a written table of source, _key, _ident, _size and _range. The fraction is the longest start of the
-    source in key order of which the last document still fits by half, so taken words miss the target by at most
-    half of one document.
+    ``rows`` is a table of source, key, ident and size. The fraction is the longest start of the source in key order
+    of which the last document still fits by half, so taken words miss the target by at most half of one document.
+    Rows with a key below ``low`` are in it whole. A span is cut until it holds at most ``ordered`` rows or a single
+    key; many rows share a key only by sharing an id, and those of equal size are summed before they are ordered.
     """
-    sums = written(rows.groupBy("source", "_range").agg(F.sum("_size").alias("_sum")))
-    plan = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most)
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    sums = written(sums)
+    plan = targets(sums.select("source", "source_size"), weights, most)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = written(plan.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    by_range = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    steps = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_range), F.lit(0)))
-    ends = steps.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-    ends = ends.where("_before <= _rest").groupBy("s.source").agg(F.max(F.struct("_range", "_before", "_rest")).alias("e"))
-    ends = ends.select(F.col("source").alias("_source"), "e.*").withColumnRenamed("_range", "_last")
-    border = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_last")))
-    order = Window.partitionBy("source").orderBy("_key", "_ident", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    border = border.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
-    place = F.struct("_key", "_ident", "_size")
-    cut = border.where(F.col("_at") + F.col("_size") / 2 <= F.col("_rest")).groupBy("source").agg(F.max(place).alias("cut"))
-    ends = ends.alias("e").join(cut.alias("c"), F.col("e._source").eqNullSafe(F.col("c.source")), "left").select("_source", "_last", "cut")
-    out = plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e._source")), "left")
-    return out.select("p.source", "source_size", "target", "epochs", "_last", "cut")
+    plan = written(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    spans = sums.alias("a").join(plan.select("source", "rest").alias("b"), same).select("a.source", "rest", "low", "high", F.lit(0).cast("long").alias("before"), "n")
+    in_span = lambda r, s: r.alias("a").join(s.alias("b"), same & F.col("a.key").between(F.col("low"), F.col("high")))
+    while True:
+        spans = written(spans)
+        if not spans.where((F.col("n") > ordered) & (F.col("low") < F.col("high"))).limit(1).count():
+            break
+        held = in_span(rows, spans).select("a.source", "key", "ident", "size", "rest", "before", "low", "high")
+        spans = written(_narrowed(held, spans, cells))
+        rows = written(in_span(rows, spans).select("a.source", "key", "ident", "size"))
+    border = in_span(rows, spans).select("a.source", "key", "ident", "size", "rest", "before")
+    border = border.groupBy("source", "key", "ident", "size", "rest", "before").agg(F.sum("size").alias("sum"))
+    order = Window.partitionBy("source").orderBy("key", "ident", "size").rowsBetween(Window.unboundedPreceding, -1)
+    border = border.withColumn("at", F.col("before") + F.coalesce(F.sum("sum").over(order), F.lit(0)))
+    cut = border.where(F.col("at") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "ident", "size")).alias("cut"))
+    ends = spans.alias("a").join(cut.alias("b"), same, "left").select("a.source", "low", "cut")
+    out = plan.alias("a").join(ends.alias("b"), same, "left")
+    return out.select("a.source", "source_size", "target", "epochs", "low", "cut")
 
 
 def mixed(
@@ -85,30 +109,34 @@ def mixed(
     weights: tuple[float, ...] = WEIGHTS,
     most: float = MOST,
     seed: str = "mix",
-    ranges: int = 1024,
+    cells: int = 1024,
+    ordered: int = 5_000,
 ) -> DataFrame:
     """``docs`` (all columns) with size, source_size, target, epochs and taken, the words the mix takes of each row.
 
-    Columns of those names are replaced. A row of size 0 or null is never taken. A null or non-positive quality
-    counts as the least positive weight. Rows that tie on the key follow by ident and size; fully equal rows at the
-    budget's end are all taken. No row is taken more than ``most`` times, rounded up to whole documents. A null
-    source is a source of its own. An empty table stays empty. The rows' sizes and keys are written once; the
-    texts are read twice and never shuffled while the sources' table is small enough for Spark to broadcast it.
+    Columns of those names are replaced; others may have any names. A row of size 0 or null is never taken. A null or
+    non-positive quality counts as the least positive weight. Rows that tie on the key follow by ident and size; fully
+    equal rows at the budget's end are all taken. No row is taken more than ``most`` times, rounded up to whole
+    documents. A null source is a source of its own. An empty table stays empty. The rows' sizes and keys are written
+    once; whole texts are read twice and never shuffled while the sources' table is small enough for Spark to
+    broadcast it.
     """
+    new = ["size", "source_size", "target", "epochs", "taken"]
+    kept = [c for c in docs.columns if c not in new]
     w = F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-6)) if quality is not None else F.lit(1.0)
-    key = -F.log(uniform(ident, seed=seed)) / w
-    sized = docs.drop("source_size", "target", "taken", "epochs").withColumn("size", F.coalesce(size.cast("long"), F.lit(0)))
-    sized = sized.withColumn("_key", key).withColumn("_ident", F.col(ident))
-    # 1 - exp(-key) is in (0, 1) and grows with the key: equal ranges of it hold about equal numbers of rows.
-    sized = sized.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * ranges).cast("int"))
-    slim = sized.select(F.col(source).alias("source"), "_key", "_ident", F.col("size").alias("_size"), "_range")
-    plan = written(mix_plan(written(slim), weights, most)).withColumnRenamed("source", "_source")
-    rows = sized.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left")
-    place = F.struct("_key", "_ident", F.col("size").alias("_size"))
-    more = (F.col("_range") < F.col("_last")) | ((F.col("_range") == F.col("_last")) & F.coalesce(place <= F.col("cut"), F.lit(False)))
+    # Columns go by number until the end, so that no name of theirs can clash.
+    sized = docs.select(
+        *[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], docs[source].alias("source"), docs[ident].alias("ident"),
+        (-F.log(uniform(ident, seed=seed)) / w).alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
+    )
+    slim = sized.select("source", "key", "ident", "size")
+    plan = written(mix_plan(written(slim), weights, most, cells, ordered))
+    rows = sized.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
+    place = F.struct(F.col("key"), F.col("ident"), F.col("size"))
+    more = (F.col("key") < F.col("low")) | F.coalesce(place <= F.col("cut"), F.lit(False))
     extra = F.when(F.coalesce(more, F.lit(False)), F.col("size")).otherwise(0)
-    rows = rows.withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
-    return rows.drop("_source", "_key", "_ident", "_range", "_last", "cut")
+    taken = (F.col("epochs") * F.col("size") + extra).cast("long")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "epochs", taken.alias("taken"))
 
 
 def word_count(text: str) -> Column:
