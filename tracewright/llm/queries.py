@@ -99,7 +99,39 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_line_dedup, op4_tiff, op5_toxicity, op6_substring_dedup, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.decontamination import decontaminated
+
+    items = F.array_join(F.array_sort("items"), ",")
+    out = decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    out = out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.conversation_repair import damaged, repaired
+
+    rows = table(spark, sf_dir, "conversations")
+    out = repaired(damaged(rows), rows.select("conv_id"))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.periodic_runs import periodic_runs, with_periodic_tails
+
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    # The greatest length comes first, of those the least start, of those the least period.
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    out = found.withColumn("best", F.array_min(order))
+    listed = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    length, period = -F.col("best.l"), F.col("best.p")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_line_dedup, op4_tiff, op5_toxicity, op6_substring_dedup, op7_minhash, op8_url_filter, op9_mixing, op10_embedding_dedup, op11_decontamination, op12_conversation_repair, op13_periodic_runs)}
 
 _URL = r"""
 WITH cut AS (
@@ -189,6 +221,98 @@ least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
 """
 
+#: CRC-32 of short ASCII texts: a table of its 256 steps, then a fold over the bytes.
+_CRC = r"""
+steps AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS b)))"""
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END"
+
+
+_RUNS = rf"""
+WITH {_CRC},
+crcs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc("coalesce(doc_id::VARCHAR, '')")} AS h FROM documents, steps),
+sized AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM crcs),
+cut AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM cut),
+words AS (SELECT r, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+best AS (SELECT DISTINCT ON (r) r, start, length, period FROM runs ORDER BY r, length DESC, start, period),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS t FROM words ANTI JOIN gone ON words.r = gone.r AND words.i = gone.i GROUP BY words.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+#: A fold over rows in order: the best (cost, audit, lines) of each state, a state being the initial of what came last.
+_REPAIR = rf"""
+WITH RECURSIVE {_CRC},
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+ways AS (SELECT *, {_crc("place")} % 20 AS way FROM given, steps),
+hit AS (
+  SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+         CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN way = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM ways WHERE way <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before,
+         regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS t FROM hit),
+faults AS (SELECT *, role[1:1] AS x, CASE WHEN t = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN t[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+adds(state, role) AS (VALUES ('', 'user'), ('s', 'user'), ('u', 'assistant'), ('a', 'user')),
+runs AS (
+  SELECT state, state AS after, '' AS audit, '' AS lines, 0 AS cost FROM adds
+  UNION ALL SELECT state, role[1:1], 'I', role || ':' || chr(10), 2 FROM adds
+  UNION ALL SELECT x.state, y.role[1:1], 'II', x.role || ':' || chr(10) || y.role || ':' || chr(10), 4 FROM adds x JOIN adds y ON y.state = x.role[1:1]),
+done AS (
+  SELECT conv_id, 0::BIGINT AS i, '' AS state, {{'cost': 0, 'audit': '', 'lines': ''}} AS best FROM facts
+  UNION ALL
+  SELECT conv_id, i, state, min(best) FROM (
+    SELECT f.conv_id, f.i, CASE edit WHEN 'D' THEN r.after WHEN 'K' THEN f.x ELSE a.role[1:1] END AS state,
+           {{'cost': d.best.cost + r.cost + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END,
+             'audit': d.best.audit || r.audit || edit,
+             'lines': d.best.lines || r.lines || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE a.role || ':' || f.text || chr(10) END}} AS best
+    FROM done d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1 JOIN runs r ON r.state = d.state JOIN adds a ON a.state = r.after, (VALUES ('D'), ('K'), ('R')) e(edit)
+    WHERE edit = 'D' OR fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR f.x <> '' AND r.after || f.x IN ('s', 'u', 'su', 'au', 'ua')))
+  GROUP BY conv_id, i, state),
+ended AS (
+  SELECT d.conv_id, min({{'cost': d.best.cost + r.cost, 'audit': d.best.audit || r.audit, 'lines': d.best.lines || r.lines}}) AS best
+  FROM done d JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.i JOIN runs r ON r.state = d.state WHERE r.after IN ('', 'a') GROUP BY d.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.lines[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+_LEAKS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_starts AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0),
+item_windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM item_starts),
+widths AS (SELECT DISTINCT k FROM item_windows),
+starts AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, widths WHERE len(w) >= k),
+windows AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS t FROM starts),
+met AS (SELECT r, i, windows.k, item_id FROM windows JOIN item_windows ON windows.k = item_windows.k AND windows.t = item_windows.t),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM met) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS t FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""
+
 ORACLE_SQL = {
     "op3_line_dedup": _LINES,
     "op6_substring_dedup": _WINDOWS,
@@ -196,4 +320,7 @@ ORACLE_SQL = {
     "op8_url_filter": _URL,
     "op9_mixing": _MIX,
     "op10_embedding_dedup": _COSINES,
+    "op11_decontamination": _LEAKS,
+    "op12_conversation_repair": _REPAIR,
+    "op13_periodic_runs": _RUNS,
 }
