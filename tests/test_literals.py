@@ -107,17 +107,6 @@ def test_messages(spark):
     assert column(spark, [r[0] for r in MESSAGES], T.valid_message) == [r[1] for r in MESSAGES]
 
 
-MATH = [(r"x = \frac{1}{2}", "1/2", 0.5), (r"\text{3 dollars}", "3", 3.0), ("1,234.0", "1234", 1234.0), (r"\boxed{7}", "7", 7.0), (r"50\%", "50", 50.0), ("$12.$", "12", 12.0), (r"\sqrt{2}", "sqrt(2)", None)]
-EQUALS = [("0.5", r"\frac{1}{2}", True), ("50\\%", "0.5", True), ("3", "4", False), ("x+1", "x + 1", True), ("x", "y", False), ("1,000", "1000.0", True)]
-
-
-def test_math(spark):
-    assert column(spark, [r[0] for r in MATH], T.math_normalized) == [r[1] for r in MATH]
-    assert column(spark, [r[1] for r in MATH], T.math_value) == [r[2] for r in MATH]
-    df = spark.createDataFrame(EQUALS, "a string, b string, same boolean")
-    assert all(r[0] == r[1] for r in df.select("same", T.math_equal(F.col("a"), F.col("b"))).collect())
-
-
 PYTHON = [(r"so \boxed{\frac{1}{2}} and \boxed{a{b}c}", "a{b}c", None, None, False), ("```json\n{\"b\": 1, \"a\": {\"c\": 2}}\n```", None, '{"b": 1, "a": {"c": 2}}', None, False), ('{"b":1,"a":2}', None, '{"b": 1, "a": 2}', '{"a": 2, "b": 1}', False), (r"\boxed{open", None, None, None, False), ("ab" * 40, None, None, None, True)]
 
 

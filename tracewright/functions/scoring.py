@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions import answers as A
 from tracewright.functions import text as X
 from tracewright.functions.geometry import any_collinear, point_in_box
 from tracewright.functions.once import bound
@@ -103,13 +104,13 @@ def qa_score(text: Column, golden: Column, contained: bool = False, wrong: float
 
 
 def minerva_answer(text: Column) -> Column:
-    """What follows the last ``Answer:`` in the last 300 characters, in plain form; [INVALID] without one."""
+    """What follows the last ``Answer:`` in the last 300 characters, in final form; [INVALID] without one."""
     hits = F.regexp_extract_all(F.right(text, F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1))
-    return F.when(F.size(hits) > 0, X.math_normalized(F.element_at(hits, -1))).otherwise("[INVALID]")
+    return F.when(F.size(hits) > 0, A.final_form(F.element_at(hits, -1))).otherwise("[INVALID]")
 
 
 def math_dapo_score(text: Column, truth: Column) -> Column:
-    return F.when(minerva_answer(text) == X.math_normalized(truth), 1.0).otherwise(-1.0)
+    return F.when(minerva_answer(text) == A.final_form(truth), 1.0).otherwise(-1.0)
 
 
 def step_error_score(predicted: Column, truth: Column, total: Column) -> Column:

@@ -400,29 +400,3 @@ def repeatness(text: str) -> float:
 def is_repetitive(texts: pd.Series) -> pd.Series:
     """Whether neighbouring suffixes share over a fifth; of whole texts, in time that grows with n log² n."""
     return texts.map(lambda t: repeatness(t or "") > 0.2)
-
-
-def math_normalized(text: Column) -> Column:
-    r"""A final answer in plain form: without units, text commands, spacing and dollar signs; a/b for \frac{a}{b}; no thousands' commas."""
-    out = F.trim(F.split(text, "=")[F.size(F.split(text, "=")) - 1])
-    for pattern, to in (
-        (r"\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}", "$1"), (r"\\boxed\{([^{}]*)\}", "$1"), (r"\\d?t?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2"), (r"\\frac(\d)(\d)", "$1/$2"),
-        (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\\(?:left|right|!|,|;|:|quad|qquad)", ""), (r"(?<=\d),(?=\d{3}\b)", ""), (r"\\%|%|\$|\^\{?\\circ\}?|\\ ", ""),
-        (r"(?i)\b(?:degrees?|dollars?|cents?|units?|square|inches|inch|feet|meters?|cm|miles|hours?|minutes?|points?)\b", ""), (r"\s+", ""), (r"\.0+$", ""), (r"^\+", ""), (r"\.$", ""),
-    ):
-        out = F.regexp_replace(out, pattern, to)
-    return out
-
-
-def math_value(text: Column) -> Column:
-    """The number of a plain answer: a decimal or a fraction; else null."""
-    top, bottom = F.regexp_extract(text, r"^(-?[\d.]+)/(-?[\d.]+)$", 1).try_cast("double"), F.regexp_extract(text, r"^(-?[\d.]+)/(-?[\d.]+)$", 2).try_cast("double")
-    return F.coalesce(text.try_cast("double"), F.try_divide(top, bottom))
-
-
-def math_equal(a: Column, b: Column) -> Column:
-    """Equal in plain form or as numbers, a hundredfold of one counting for a percentage."""
-    x, y = math_normalized(a), math_normalized(b)
-    u, v = math_value(x), math_value(y)
-    near = lambda p, q: F.abs(p - q) <= 1e-4 * F.greatest(F.abs(q), F.lit(1e-9))
-    return F.coalesce(x == y, F.lit(False)) | F.coalesce(near(u, v) | near(u * 100, v) | near(u / 100, v), F.lit(False))

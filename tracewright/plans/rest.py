@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import answers, symbolic
 from tracewright.functions import scoring as S
 from tracewright.functions import text as T
 from tracewright.operators import advantage as A
@@ -102,15 +103,15 @@ GRADED = r"""CASE l_linenumber % 5 WHEN 0 THEN concat('<think>x</think> \\boxed{
 TRUTH = "CASE l_linenumber % 5 WHEN 0 THEN concat(l_partkey, '.5') WHEN 4 THEN 'True' ELSE string(2 * l_partkey + 1) END"
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 IN (0, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS math, CASE l_linenumber % 5 WHEN 0 THEN 1.0 WHEN 3 THEN 0.1 WHEN 4 THEN 0.9 ELSE 0.0 END::DOUBLE AS geo3k, CASE WHEN l_linenumber % 5 IN (0, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS genrm_or_math FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 = 4 OR l_linenumber % 5 = 0 AND l_partkey = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS math, CASE l_linenumber % 5 WHEN 0 THEN 1.0 WHEN 3 THEN 0.1 WHEN 4 THEN 0.9 ELSE 0.0 END::DOUBLE AS geo3k, CASE WHEN l_linenumber % 5 IN (0, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS genrm_or_math FROM lineitem")
 def score_math(spark, d):
-    """The last boxed answer against the truth: right or not; 0.9 for that and 0.1 for the form; a judge's boxed verdict."""
+    """The last boxed answer against the truth: the same in boxed form; 0.9 for one value and 0.1 for the form; a judge's boxed verdict."""
     t = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(GRADED).alias("t"), F.expr(TRUTH).alias("truth")).withColumn("b", T.boxed("t"))
-    right = F.when(F.col("b").isNotNull() & T.math_equal(F.col("b"), F.col("truth")), 1.0).otherwise(0.0)
-    form = F.when(F.regexp_like("t", F.lit(r"(?s)<think>.*</think>.*\\boxed\{.*\}.*")), 1.0).otherwise(0.0)
-    t = t.withColumn("right", right)
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    t = t.withColumn("math", flag(F.col("b").isNotNull() & answers.same_boxed(F.col("b"), F.col("truth")))).withColumn("right", flag(symbolic.right_answer(F.col("b"), F.col("truth"))))
+    form = flag(F.regexp_like("t", F.lit(r"(?s)<think>.*</think>.*\\boxed\{.*\}.*")))
     verdict = F.when(F.col("b") == "True", 1.0).otherwise(F.col("right"))
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.col("right").alias("math"), F.round(F.col("right") * 0.9 + form * 0.1, 6).alias("geo3k"), verdict.alias("genrm_or_math"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "math", F.round(F.col("right") * 0.9 + form * 0.1, 6).alias("geo3k"), verdict.alias("genrm_or_math"))
 
 
 @query(f"{R} SELECT row_id, 1 + (row_number() OVER (PARTITION BY row_id ORDER BY h, c) - 1) AS place, c AS choice FROM (SELECT row_id, c, md5('9:' || row_id || ':' || c) AS h FROM rollouts, (VALUES ('gold'), ('w1'), ('w2'), ('w3')) v(c))")

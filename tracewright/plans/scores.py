@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scoring as S
+from tracewright.functions import symbolic as Y
 from tracewright.functions import text as T
 from tracewright.plans.registry import query
 from tracewright.sources import fixtures as X
@@ -96,13 +97,29 @@ def score_qa_em(spark, d):
     return b.select("item_id", S.qa_score(F.col("t"), golden, wrong=0.1).alias("em"), S.qa_score(F.col("t"), golden, contained=True, wrong=0.1).alias("sub"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 OR l_linenumber % 2 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS score FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber IN (1, 3) THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM lineitem")
 def score_math_dapo(spark, d):
+    """Two units that go, a wrong number, a decimal, a percentage and a unit that stay, no answer."""
     line = X.read(spark, d, "lineitem")
-    text = F.expr(r"CASE WHEN l_linenumber = 7 THEN 'nothing' ELSE concat('Answer: 1\nso answer : $', l_partkey + CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END, '$') END")
+    said = "CASE l_linenumber WHEN 1 THEN concat(l_partkey, ' ways') WHEN 2 THEN concat('$', l_partkey + 1, '$') WHEN 3 THEN concat('$', l_partkey, ' km$') WHEN 4 THEN concat(l_partkey, '.0') WHEN 5 THEN concat(l_partkey, '%') ELSE concat(l_partkey, ' miles') END"
+    text = F.when(F.col("l_linenumber") == 7, "nothing").otherwise(F.concat(F.lit("Answer: 1\nso answer : "), F.expr(said)))
     return line.select("l_orderkey", "l_linenumber", "l_partkey", S.math_dapo_score(text, F.col("l_partkey").cast("string")).alias("score"))
 
 
+STATED = r"""CASE k WHEN 0 THEN concat('Step 2: so the answer is \\boxed{(x+', n, ')^2}. Done') WHEN 1 THEN concat('Answer: [', n, ', ', n + 1, ')') WHEN 2 THEN concat('The answer is (', n, ', ', n + 1, ')')
+ WHEN 3 THEN concat('we get \\boxed{\\frac{', n, '}{\\sqrt{2}}}') WHEN 4 THEN concat('\\boxed{\\begin{pmatrix} ', n, ' & 1 \\\\ 2 & 3 \\end{pmatrix}}') WHEN 5 THEN concat('The answers are ', n, ', ', n + 1) WHEN 6 THEN concat('\\boxed{', 2 * n, '/4}')
+ WHEN 7 THEN 'no number' WHEN 8 THEN concat('The answer is ', n, '\\pi') ELSE concat('the final answer is ', n, ' miles') END"""
+KNOWN = r"""CASE k WHEN 0 THEN concat('x^2+', 2 * n, 'x+', n * n) WHEN 1 THEN concat('[', n, ',', n + 1, ')') WHEN 2 THEN concat('[', n, ',', n + 1, ')') WHEN 3 THEN concat('\\frac{', n, '\\sqrt{2}}{2}')
+ WHEN 4 THEN concat('\\begin{pmatrix}', n, '&1\\\\\\frac{4}{2}&3\\end{pmatrix}') WHEN 5 THEN concat(n, ', ', n + 2) WHEN 6 THEN concat(n, '/2') WHEN 8 THEN string(cast(n * 3.14 AS decimal(20, 2))) ELSE string(n) END"""
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey + l_linenumber) % 10 IN (0, 1, 3, 4, 6, 8, 9) AS correct FROM lineitem")
+def score_prime_math(spark, d):
+    """Stated answers against truths as formulas: a square, intervals, roots, matrices, lists, fractions, pi, units."""
+    t = X.read(spark, d, "lineitem").withColumn("k", ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).cast("int")).withColumn("n", F.col("l_partkey") % 50 + 1)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", Y.right_answer(Y.stated_answer(F.expr(STATED)), F.expr(KNOWN)).alias("correct"))
+
+
 @query("SELECT event_id, round(CASE WHEN p IS NULL THEN -1 WHEN g = -1 THEN CASE WHEN p = -1 THEN 1 ELSE -1 END WHEN p = -1 THEN -1 ELSE 1 - abs(p - g) / 10.0 END, 6)::DOUBLE AS score FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 5 - 1 END AS p, event_id % 4 - 1 AS g FROM events)")
 def score_fapo_genrm(spark, d):
     e = X.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 5 - 1).alias("p"), (F.col("event_id") % 4 - 1).alias("g"))

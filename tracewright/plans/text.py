@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry as G
+from tracewright.functions import answers as A
+from tracewright.functions import symbolic as Y
 from tracewright.functions import text as T
 from tracewright.plans.registry import query
 from tracewright.sources import fixtures as X
@@ -216,15 +218,17 @@ def prj_reasoning_split(spark, d):
     return docs.select("doc_id", T.found(F.col("t"), r"(?s)<think>(.*?)</think>").alias("reasoning"), T.without_thought(F.col("t")).alias("content"))
 
 
-MATH = r"""CASE l_linenumber % 7 WHEN 0 THEN concat('x = \\frac{', l_partkey, '}{', l_suppkey + 1, '}') WHEN 1 THEN concat('\\text{', l_partkey, ' dollars}') WHEN 2 THEN concat(1 + l_partkey % 9, ',', lpad(l_suppkey % 1000, 3, '0'), '.0')
- WHEN 3 THEN concat('\\boxed{', l_partkey, '}') WHEN 4 THEN concat(l_partkey, '\\%') WHEN 5 THEN concat('$', l_partkey, '.$') ELSE concat('\\sqrt{', l_partkey, '}') END"""
+MATH = r"""CASE l_linenumber % 7 WHEN 0 THEN concat('x = \\frac{', l_partkey, '}{', l_suppkey + 1, '}') WHEN 1 THEN concat('\\text{', l_partkey, ' dollars}') WHEN 2 THEN concat(1 + l_partkey % 9, ',', lpad(l_suppkey % 1000, 3, '0'), CASE WHEN l_partkey % 2 = 0 THEN '' ELSE '.0' END)
+ WHEN 3 THEN concat('\\boxed{', l_partkey, '}') WHEN 4 THEN concat(l_partkey, '\\%') WHEN 5 THEN concat('$', l_partkey, '.$') ELSE concat('\\sqrt', l_partkey, ' km') END"""
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 7 WHEN 0 THEN l_partkey || '/' || (l_suppkey + 1) WHEN 2 THEN (1 + l_partkey % 9) || lpad((l_suppkey % 1000)::VARCHAR, 3, '0') WHEN 6 THEN 'sqrt(' || l_partkey || ')' ELSE l_partkey::VARCHAR END AS plain,
- round(CASE l_linenumber % 7 WHEN 0 THEN l_partkey / (l_suppkey + 1)::DOUBLE WHEN 2 THEN 1000 * (1 + l_partkey % 9) + l_suppkey % 1000 WHEN 6 THEN NULL ELSE l_partkey END, 6)::DOUBLE AS number FROM lineitem""")
+@query(r"""WITH t AS (SELECT *, '\frac{' || l_partkey || '}{' || (l_suppkey + 1) || '}' AS f, (1 + l_partkey % 9) || ',' || lpad((l_suppkey % 1000)::VARCHAR, 3, '0') AS n, '\sqrt{' || substr(l_partkey::VARCHAR, 1, 1) || '}' || substr(l_partkey::VARCHAR, 2) AS r FROM lineitem)
+ SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 7 WHEN 0 THEN f WHEN 2 THEN CASE WHEN l_partkey % 2 = 0 THEN replace(n, ',', '') ELSE n || '.0' END WHEN 4 THEN l_partkey || '\%' WHEN 6 THEN r ELSE l_partkey::VARCHAR END AS final,
+ CASE l_linenumber % 7 WHEN 0 THEN f WHEN 1 THEN '\text{' || l_partkey || 'dollars}' WHEN 2 THEN n || CASE WHEN l_partkey % 2 = 0 THEN '' ELSE '.0' END WHEN 3 THEN '\boxed{' || l_partkey || '}' WHEN 4 THEN l_partkey::VARCHAR WHEN 5 THEN '$' || l_partkey || '.$' ELSE r || 'km' END AS boxed FROM t""")
 def fn_math_normalize(spark, d):
-    t = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.math_normalized(F.expr(MATH)).alias("plain"))
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", "plain", F.round(T.math_value(F.col("plain")), 6).alias("number"))
+    """An answer in two graders' normal forms."""
+    t = F.expr(MATH)
+    return X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", A.final_form(t).alias("final"), A.boxed_form(t).alias("boxed"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 6 IN (0, 1, 3, 5) AS same FROM lineitem")
@@ -232,7 +236,7 @@ def fn_math_equal(spark, d):
     """A fraction and its decimal, a percentage and its share, other numbers, other spacing, other names, thousands."""
     a = F.expr(r"CASE l_linenumber % 6 WHEN 0 THEN concat(l_partkey, '.5') WHEN 1 THEN concat(l_partkey, '\\%') WHEN 2 THEN string(l_partkey) WHEN 3 THEN concat('x+', l_partkey) WHEN 4 THEN concat('x', l_partkey) ELSE concat(1 + l_partkey % 9, ',', lpad(l_suppkey % 1000, 3, '0')) END")
     b = F.expr(r"CASE l_linenumber % 6 WHEN 0 THEN concat('\\frac{', 2 * l_partkey + 1, '}{2}') WHEN 1 THEN string(cast(l_partkey / 100 AS decimal(20, 2))) WHEN 2 THEN string(2 * l_partkey + 1) WHEN 3 THEN concat('x + ', l_partkey) WHEN 4 THEN concat('y', l_partkey) ELSE concat(1 + l_partkey % 9, lpad(l_suppkey % 1000, 3, '0'), '.0') END")
-    return X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.math_equal(a, b).alias("same"))
+    return X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", Y.right_answer(a, b).alias("same"))
 
 
 PYTHON = r"""CASE p_partkey % 5 WHEN 0 THEN concat('so \\boxed{\\frac{1}{2}} and \\boxed{', p_partkey, '{b}c}') WHEN 1 THEN concat('```json\n{"b": ', p_partkey, ', "a": {"c": 2}}\n```') WHEN 2 THEN concat('{"b":', p_partkey, ',"a":2}')
