@@ -1,3 +1,8 @@
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tracewright.streaming import stateful as S
@@ -22,30 +27,77 @@ def test_replay_ratios(spark):
     assert got == want
 
 
-def test_buffers(spark):
-    rows = [(i % 3, i, f"t{i * i % 7}") for i in range(90)]
-    out = S.drained(S.buffers(stream(spark, rows, "uid long, row_id long, entry string"), 2), "update", ["uid"]).collect()
-    held = {}
-    for k in range(3):
-        added = {}
-        for uid, _, entry in rows[k * 30 : k * 30 + 30]:
-            mine = held.setdefault(uid, [])
-            if added.get(uid, 0) < 2 and entry not in mine:
-                mine.append(entry)
-                del mine[:-2]
-                added[uid] = added.get(uid, 0) + 1
-    assert {r.uid: r.held for r in out} == {u: ",".join(h) for u, h in held.items()}
-
-
-def test_rate_limit(spark):
-    rows = [(0, i, float(i)) for i in range(30)]
-    out = S.drained(S.rate_limited(stream(spark, rows, "uid long, row_id long, seconds double"), 0.25, 2.0), "append").collect()
-    level, last, want = 2.0, 0.0, {}
-    for _, i, s in rows:
-        level, last = min(2.0, level + (s - last) * 0.25), s
-        want[i] = level >= 1
-        level -= want[i]
-    assert {r.row_id: r.passed for r in out} == want
+DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
+TIMED = "uid long, ts timestamp, row_id long, entry string"
+
+
+def timed(spark, rows, parts):
+    """Rows (uid, seconds, row_id, entry), dealt in order of row_id to so many arrivals, with a last row that closes all."""
+    rows = [(u, DAY + timedelta(seconds=s), i, e) for u, s, i, e in rows]
+    size = -(-len(rows) // parts)
+    cut = [rows[k * size : (k + 1) * size] for k in range(parts)] + [[(99, DAY + timedelta(days=40), 10**6, None)]]
+    return [spark.createDataFrame(c, TIMED) for c in cut if c]
+
+
+def told(out):
+    return {r.row_id: r.answer for r in out.collect() if r.uid != 99}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_buffers(spark, parts):
+    rng = random.Random(1)
+    rows = [(i % 3 or None, 600 * i + rng.randrange(-3000, 3000) + 4000, i, rng.choice(["a", "b", "c", "d", None])) for i in range(200)]
+    got = told(S.after_arrivals(timed(spark, rows, parts), lambda e: S.buffers(e, 2, 86_400_000, "3 hours")))
+    held, added, want = {}, {}, {}
+    for uid, at, i, entry in sorted(rows, key=lambda r: (r[1], r[2])):
+        mine, key = held.setdefault(uid, []), (uid, at // 86_400)
+        if entry and entry not in mine and added.get(key, 0) < 2:
+            mine.append(entry)
+            del mine[:-2]
+            added[key] = added.get(key, 0) + 1
+        want[i] = ",".join(mine)
+    assert got == want
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_rate_limit(spark, parts):
+    rng = random.Random(2)
+    rows = [(i % 2, 40 * i + rng.randrange(1000) + (200_000 if i > 90 else 0), i, None) for i in range(180)]
+    progress = []
+    got = told(S.after_arrivals(timed(spark, rows, parts), lambda e: S.rate_limited(e, 1 / 90, 2.0, 3_600_000, "1 hour"), progress=progress))
+    level, last, want = {}, {}, {}
+    for uid, at, i, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        s = DAY.timestamp() + at
+        level[uid] = min(2.0, level.get(uid, 2.0) + (s - last.get(uid, 0.0)) / 90)
+        last[uid] = max(last.get(uid, 0.0), s)
+        want[i] = level[uid] >= 1
+        level[uid] -= want[i]
+    assert got == want and len(set(want.values())) == 2
+    # All that waited has left the state, and idle keys are forgotten; the last row's wait stays.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) > progress[-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_windows_leave_the_state_and_late_rows_go(spark):
+    at = lambda h, m=0: DAY + timedelta(hours=h, minutes=m)
+    parts = [[(at(1), "a", 1.0), (at(2), "a", 2.0), (at(8), "b", 4.0), (at(20), "a", 8.0)], [(at(3), "a", 16.0), (at(18, 30), "a", 32.0), (at(17, 59), "b", 64.0), (at(50), "a", 1.0)]]
+    progress = []
+    frames = [spark.createDataFrame(p, "ts timestamp, event_type string, value double") for p in parts]
+    out = S.after_arrivals(frames, lambda e: S.windowed(e, "6 hours", late="1 hour"), progress=progress)
+    assert sorted((r.start.hour, r.event_type, r.n, r.total) for r in out.collect()) == [(0, "a", 2, 3.0), (6, "b", 1, 4.0), (18, "a", 2, 40.0)]
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 2
+
+
+def test_a_run_that_is_cut_off_loses_and_repeats_nothing(spark):
+    rows = [(i % 5, i, 1.0) for i in range(60)]
+    sums = stream(spark, rows, "uid long, row_id long, acc double", 6).groupBy("uid").agg(F.count("*").alias("n"), F.sum("row_id").alias("total"))
+    root = shared_dir(spark)
+    for at in (0, 2, 3, 5):
+        with pytest.raises(StreamingQueryException):
+            S.run(sums, root, "update", at)
+    assert len(S.run(sums, root, "update")) == 1
+    got = {r.uid: (r.n, r.total) for r in S.written_batches(sums, root, "update", ["uid"]).collect()}
+    assert got == {u: (12, sum(i for i in range(60) if i % 5 == u)) for u in range(5)}
 
 
 def test_late_events_are_dropped(spark):

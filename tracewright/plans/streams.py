@@ -1,5 +1,6 @@
 """Queries of streams: what a stream gives once its input has run through, against the same in batch."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tracewright.plans.registry import query
@@ -10,19 +11,56 @@ from tracewright.streaming import stateful as S
 R = "WITH " + X.ROLLOUTS
 
 
-@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+# The stream arrives in two parts; the second has the later days and one in ten of the earlier rows, late.
+LATER = "(event_id % 10 = 0 OR ts >= TIMESTAMP '2024-01-16 00:00:00')"
+# Watermarks after the first part and at the end, an hour behind the latest row.
+MARKS = f"marks AS (SELECT max(ts) FILTER (WHERE NOT {LATER}) - INTERVAL 1 HOUR AS first, max(ts) - INTERVAL 1 HOUR AS last FROM events)"
+
+
+def arrivals(spark, d):
+    e = X.read(spark, d, "events")
+    e = e.withColumns({c: e[c].cast("timestamp") for c, kind in e.dtypes if kind == "timestamp_ntz"})
+    return [e.where(f"NOT {LATER}"), e.where(LATER)]
+
+
+@query(f"WITH {MARKS}, e AS (SELECT *, {LATER} AS late, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e, marks WHERE start + INTERVAL 6 HOUR <= last AND NOT (late AND start + INTERVAL 6 HOUR <= first) GROUP BY 1, 2")
 def st_tumbling(spark, d):
-    return S.drained(S.windowed(S.table_stream(spark, d, "events"), "6 hours"), "complete")
+    """Windows that the watermark has closed; rows that come after their window was closed go."""
+    return S.after_arrivals(arrivals(spark, d), lambda e: S.windowed(e, "6 hours"))
 
 
-@query("SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) o(k) GROUP BY 1, 2")
+@query(f"WITH {MARKS}, e AS (SELECT *, {LATER} AS late, time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR * k AS start FROM events, (VALUES (0), (1)) o(k)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e, marks WHERE start + INTERVAL 6 HOUR <= last AND NOT (late AND start + INTERVAL 6 HOUR <= first) GROUP BY 1, 2")
 def st_sliding(spark, d):
-    return S.drained(S.windowed(S.table_stream(spark, d, "events"), "6 hours", "3 hours"), "complete")
+    return S.after_arrivals(arrivals(spark, d), lambda e: S.windowed(e, "6 hours", "3 hours"))
 
 
-@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def _sessions(rows, name):
+    edge = "CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new"
+    return f"{name}_o AS (SELECT *, {edge} FROM {rows}), {name}_k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {name}_o), {name} AS (SELECT *, min(ts) OVER w AS start, max(ts) OVER w + INTERVAL 4 HOUR AS stop FROM {name}_k WINDOW w AS (PARTITION BY user_id, k))"
+
+
+@query(f"WITH {MARKS}, early AS (SELECT user_id, event_id, ts FROM events WHERE NOT {LATER}), {_sessions('early', 'a')}, closed AS (SELECT * FROM a, marks WHERE stop <= first), still AS (SELECT user_id, event_id, ts FROM a, marks WHERE stop > first UNION ALL SELECT user_id, event_id, ts FROM events, marks WHERE {LATER} AND ts + INTERVAL 4 HOUR > first), {_sessions('still', 'b')}, done AS (SELECT user_id, start FROM closed UNION ALL SELECT user_id, start FROM b, marks WHERE stop <= last) SELECT user_id, start, count(*) AS n FROM done GROUP BY 1, 2")
 def st_sessions(spark, d):
-    return S.drained(S.sessions(S.table_stream(spark, d, "events"), "4 hours"), "complete")
+    """Sessions that the watermark has closed; a late row whose own session would be closed goes, another begins or joins an open one."""
+    return S.after_arrivals(arrivals(spark, d), lambda e: S.sessions(e, "4 hours"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def st_restart(spark, d):
+    """Sums by user over a stream that is cut off after it wrote its third batch, and again later, and started anew."""
+    from tracewright.streaming.place import shared_dir
+
+    root = shared_dir(spark)
+    for k in range(6):
+        X.read(spark, d, "events").where(f"event_id % 6 = {k}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    sums = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    for at in (2, 4, None):
+        try:
+            S.run(sums, root, "update", at)
+        except StreamingQueryException:
+            continue
+    return S.written_batches(sums, root, "update", ["user_id"]).select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 RATIO = "o AS (SELECT uid, row_id, acc, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM rollouts), e AS (SELECT uid, max(n) - coalesce(max(n) FILTER (WHERE acc = 0), 0) AS streak FROM o GROUP BY 1)"
@@ -49,19 +87,21 @@ def st_group_accumulate(spark, d):
     return S.accumulated(e.select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id")), 8)
 
 
-@query(f"{R}, f AS (SELECT uid, k, min(row_id) AS first FROM rollouts WHERE score > 0.5 GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY first) AS n FROM f) SELECT uid, string_agg(k::VARCHAR, ',' ORDER BY first) AS held FROM n WHERE n <= 5 GROUP BY 1")
+KEPT = f"kept AS (SELECT user_id AS uid, event_id AS row_id, ts, value, props, time_bucket(INTERVAL 1 DAY, ts) AS day FROM events, marks WHERE NOT ({LATER} AND ts <= first)), days AS (SELECT *, day + INTERVAL 1 DAY <= last AS told FROM kept, marks)"
+
+
+@query(f"WITH RECURSIVE {MARKS}, {KEPT}, o AS (SELECT *, json_extract_string(props, '$.k') AS entry, row_number() OVER (PARTITION BY uid ORDER BY ts, row_id) AS n FROM days WHERE value > 50 AND told), f AS (SELECT uid, NULL::BIGINT AS row_id, 0::BIGINT AS n, NULL::TIMESTAMP AS day, 0 AS added, []::VARCHAR[] AS held FROM (SELECT DISTINCT uid FROM o) UNION ALL SELECT o.uid, o.row_id, o.n, o.day, a.added + a.new, CASE WHEN a.new = 0 THEN f.held WHEN len(f.held) < 3 THEN f.held || [o.entry] ELSE f.held[2:] || [o.entry] END FROM f JOIN o ON o.uid = f.uid AND o.n = f.n + 1, LATERAL (SELECT CASE WHEN f.day = o.day THEN f.added ELSE 0 END AS added, (CASE WHEN f.day = o.day THEN f.added ELSE 0 END < 3 AND o.entry IS NOT NULL AND NOT list_contains(f.held, o.entry))::INT AS new) a) SELECT uid, row_id, array_to_string(held, ',') AS held FROM f WHERE n > 0")
 def st_thought_buffer_stream(spark, d):
-    """Buffers after one batch, which the whole table is here: the first five distinct entries of each prompt."""
-    e = S.table_stream(spark, d, "events", files=1 << 30).where("value > 50")
-    e = e.select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").alias("entry"))
-    return S.drained(S.buffers(e, 5), "update", ["uid"])
+    """Each prompt's buffer of three entries after each right answer, in order of time, over two arrivals."""
+    e = [p.where("value > 50").select(F.col("user_id").alias("uid"), "ts", F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").alias("entry")) for p in arrivals(spark, d)]
+    return S.after_arrivals(e, lambda s: S.buffers(s, 3)).select("uid", "row_id", F.col("answer").alias("held"))
 
 
-@query("WITH RECURSIVE o AS (SELECT user_id AS uid, event_id AS row_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT uid, NULL::BIGINT AS row_id, 0::BIGINT AS n, 2.0::DOUBLE AS level, 0.0::DOUBLE AS last, false AS passed FROM (SELECT DISTINCT uid FROM o) UNION ALL SELECT o.uid, o.row_id, o.n, l.level - (l.level >= 1)::INT, greatest(f.last, o.s), l.level >= 1 FROM f JOIN o ON o.uid = f.uid AND o.n = f.n + 1, LATERAL (SELECT least(2.0, f.level + greatest(0.0, o.s - f.last) * (1.0 / 7200)) AS level) l) SELECT uid, row_id, passed FROM f WHERE n > 0")
+@query(f"WITH RECURSIVE {MARKS}, {KEPT}, o AS (SELECT uid, row_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY uid ORDER BY ts, row_id) AS n FROM days WHERE told), f AS (SELECT uid, NULL::BIGINT AS row_id, 0::BIGINT AS n, 2.0::DOUBLE AS level, 0.0::DOUBLE AS last, false AS passed FROM (SELECT DISTINCT uid FROM o) UNION ALL SELECT o.uid, o.row_id, o.n, l.level - (l.level >= 1)::INT, greatest(f.last, o.s), l.level >= 1 FROM f JOIN o ON o.uid = f.uid AND o.n = f.n + 1, LATERAL (SELECT least(2.0, f.level + greatest(0.0, o.s - f.last) * (1.0 / 7200)) AS level) l) SELECT uid, row_id, passed FROM f WHERE n > 0")
 def st_rate_limit(spark, d):
-    """Each user's token bucket over the events in order of their ids, in one batch."""
-    e = S.table_stream(spark, d, "events", files=1 << 30).select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"), F.unix_micros("ts").cast("double").alias("us"))
-    return S.drained(S.rate_limited(e.select("uid", "row_id", (F.col("us") / 1e6).alias("seconds")), 1 / 7200, 2.0), "append")
+    """Each user's token bucket over the events in order of time, over two arrivals."""
+    e = [p.select(F.col("user_id").alias("uid"), "ts", F.col("event_id").alias("row_id")) for p in arrivals(spark, d)]
+    return S.after_arrivals(e, lambda s: S.rate_limited(s, 1 / 7200, 2.0)).select("uid", "row_id", F.col("answer").alias("passed"))
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents) ORDER BY doc_id LIMIT 50")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -18,17 +19,31 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-def drained(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
-    """All that a stream gives for the input there is, in a table in the folder that executors share.
+def run(stream: DataFrame, root: str, mode: str, fail_at: int | None = None) -> list[dict]:
+    """Runs a stream to the end of the input there is, on from where the checkpoint under ``root`` stands; its progress by batch.
 
-    Batches are written by number, so a batch that runs again overwrites itself; of updates to a key the last stays.
+    Batches are written by number under ``root``, so a batch that runs again overwrites itself: a run that was cut off
+    anywhere, started again, gives each row once. ``fail_at`` cuts a run off when that batch is written but not yet
+    committed, for tests of just that.
     """
-    spark = stream.sparkSession
-    from tracewright.streaming.place import shared_dir
 
-    root = shared_dir(spark)
-    save = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    def save(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+        if n == fail_at:
+            raise CutOff(n)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
+
+
+class CutOff(RuntimeError):
+    """A run that ``fail_at`` ended."""
+
+
+def written_batches(stream: DataFrame, root: str, mode: str, key: list[str] | None = None) -> DataFrame:
+    """What the runs under ``root`` gave; of updates to a key the last stays."""
+    spark = stream.sparkSession
     out = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{root}/out").parquet(f"{root}/out")
     if mode == "complete":
         return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
@@ -39,6 +54,34 @@ def drained(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataF
     return last.select(*key, *[F.col(f"_r.{c}").alias(c) for c in out.columns if c not in (*key, "batch")])
 
 
+def drained(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """All that a stream gives for the input there is, in a table in the folder that executors share."""
+    from tracewright.streaming.place import shared_dir
+
+    root = shared_dir(stream.sparkSession)
+    run(stream, root, mode)
+    return written_batches(stream, root, mode, key)
+
+
+def after_arrivals(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append", key: list[str] | None = None, progress: list[dict] | None = None) -> DataFrame:
+    """What a stream gives whose input arrives in parts, with a run of its own for each, on from the checkpoint of the last.
+
+    A run ends with its watermark at work: what it closes is written and leaves the state, and a later part's rows
+    behind it are late and go. ``build`` makes the stream of its input; ``progress`` gets the runs' progress.
+    """
+    from tracewright.streaming.place import shared_dir
+
+    spark = parts[0].sparkSession
+    root = shared_dir(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+        found = run(stream, root, mode)
+        if progress is not None:
+            progress += found
+    return written_batches(stream, root, mode, key)
+
+
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums by event type in tumbling or sliding windows, dropping what comes later than the watermark."""
     e = events.withWatermark("ts", late)
@@ -126,51 +169,106 @@ def accumulated(rows: DataFrame, size: int) -> DataFrame:
     return kept().where(F.col("pos") < whole).select("uid", F.floor(F.col("pos") / size).alias("batch"))
 
 
-def _buffered(size: int):
-    def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        added, codes, rows = 0, {}, []
-        for frame in frames:  # 16 bytes a row are held; texts once each
-            rows.append(np.column_stack([frame.row_id.to_numpy(np.int64), [codes.setdefault(e, len(codes)) for e in frame.entry]]))
-        names, rows = list(codes), np.concatenate(rows)
-        for code in rows[np.argsort(rows[:, 0], kind="stable"), 1].tolist():
-            if added == size:
-                break
-            if names[code] not in held:
-                held = [*held, names[code]][-size:]
-                added += 1
-        state.update((held,))
-        yield pd.DataFrame({"uid": [key[0]], "held": [",".join(held)]})
+class InOrder(StatefulProcessor):
+    """Folds each key's rows in order of event time, whatever batches they come in.
 
-    return update
+    Rows wait in the state in buckets of time. A timer at a bucket's end fires once the watermark has passed it, so that
+    no row of it can come any more; then its rows are sorted and folded, and leave. At most a bucket of a key is held in
+    memory. Where ``idle`` is given, a key's fold is forgotten after as long without rows.
+    """
 
+    def __init__(self, columns: str, state: str, begin: tuple, step: Callable, width: int, idle: int | None) -> None:
+        self.columns, self.state, self.begin, self.step, self.width, self.idle = columns, state, begin, step, width, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "bucket long", ", ".join(f"{n} array<{t}>" for n, t in (c.split() for c in self.columns.split(", "))))
+        self.fold = handle.getValueState("fold", f"{self.state}, until long")
+        self.names = [c.split()[0] for c in self.columns.split(", ")]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for bucket, part in frame.groupby(frame["micros"] // (self.width * 1000)):
+                at = (int(bucket),)
+                before = self.held.getValue(at) if self.held.containsKey(at) else None
+                if before is None:
+                    self.handle.registerTimer((at[0] + 1) * self.width)
+                self.held.updateValue(at, tuple([*(before[i] if before else ()), *part[n].tolist()] for i, n in enumerate(self.names)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        state = self.fold.get() if self.fold.exists() else None
+        at = (end // self.width - 1,)
+        if end % self.width or not self.held.containsKey(at):
+            # An idle key's timer: what came since has put its end off.
+            if state and state[-1] <= end:
+                self.fold.clear()
+            return
+        rows = self.held.getValue(at)
+        self.held.removeKey(at)
+        order = sorted(zip(*rows))
+        fold, answers = tuple(state[:-1]) if state else self.begin, []
+        for row in order:
+            fold, answer = self.step(fold, row, at[0])
+            answers.append(answer)
+        until = end + (self.idle or 0) + 1
+        self.fold.update((*fold, until))
+        if self.idle is not None:
+            self.handle.registerTimer(until)
+        for i in range(0, len(order), 10_000):
+            part = order[i : i + 10_000]
+            yield pd.DataFrame({"uid": [key[0]] * len(part), "row_id": [r[1] for r in part], "bucket": [at[0]] * len(part), "answer": answers[i : i + 10_000]})
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, columns: str, state: str, begin: tuple, step: Callable, answer: str, width: int, late: str, idle: int | None = None) -> DataFrame:
+    """(uid, row_id, bucket, answer): each row's answer from a fold over its key's rows in order of (ts, row_id).
+
+    ``rows`` is a stream of uid, ts, row_id and what ``columns`` names after micros and row_id; ``step`` goes from
+    (fold, row, bucket) to (fold, answer). Answers come once the watermark, ``late`` behind the latest row, has passed
+    the end of the row's bucket of ``width`` milliseconds; rows behind the watermark go. A null uid is a key of its own.
+    """
+    columns = f"micros long, row_id long{columns}"
+    names = [c.split()[0] for c in columns.split(", ")]
+    timed = rows.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts")).select("uid", "ts", *names)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return timed.groupBy("uid").transformWithStateInPandas(InOrder(columns, state, begin, step, width, idle), f"uid {dict(rows.dtypes)['uid']}, row_id long, bucket long, answer {answer}", "Append", "eventTime")
 
-def buffers(entries: DataFrame, size: int) -> DataFrame:
-    """Each prompt's newest distinct entries (uid, row_id, entry), at most ``size`` new ones a batch, the oldest leaving first."""
-    return entries.select("uid", "row_id", "entry").groupBy("uid").applyInPandasWithState(_buffered(size), "uid long, held string", "held array<string>", "update", GroupStateTimeout.NoTimeout)
 
+DAY = 86_400_000
 
-def _tokens(rate: float, most: float):
-    def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, last = state.get if state.exists else (most, 0.0)
-        # Requests of one key must be taken in order: 16 bytes each are held, and answers leave in portions.
-        ids, times = zip(*[(f.row_id.to_numpy(np.int64), f.seconds.to_numpy(np.float64)) for f in frames])
-        ids, times = np.concatenate(ids), np.concatenate(times)
-        order = np.argsort(ids, kind="stable")
-        ids, out = ids[order], np.zeros(len(ids), bool)
-        for i, seconds in enumerate(times[order].tolist()):
-            level = min(most, level + max(0.0, seconds - last) * rate)
-            last = max(last, seconds)
-            out[i] = level >= 1
-            level -= bool(out[i])
-        state.update((float(level), last))
-        for at in range(0, len(ids), 10_000):
-            part = slice(at, at + 10_000)
-            yield pd.DataFrame({"uid": key[0], "row_id": ids[part], "passed": out[part]})
 
-    return update
+def buffers(entries: DataFrame, size: int, width: int = DAY, late: str = "1 hour") -> DataFrame:
+    """(uid, row_id, bucket, answer): each prompt's newest distinct entries after each row, joined by commas.
+
+    ``entries`` is a stream of uid, ts, row_id, entry. A buffer takes at most ``size`` new entries in a bucket of time
+    (of ``width`` milliseconds), and the oldest leave first.
+    """
+
+    def step(fold: tuple, row: tuple, bucket: int) -> tuple:
+        held, added, last = list(fold[0]), fold[1], fold[2]
+        added = added if last == bucket else 0
+        if added < size and row[2] is not None and row[2] not in held:
+            held, added = [*held, row[2]][-size:], added + 1
+        return (held, added, bucket), ",".join(held)
+
+    return in_order(entries, ", entry string", "held array<string>, added long, last long", ([], 0, -1), step, "string", width, late)
+
+
+def rate_limited(requests: DataFrame, rate: float, most: float, width: int = DAY, late: str = "1 hour") -> DataFrame:
+    """(uid, row_id, bucket, answer): whether each request passes its key's token bucket, which fills by event time.
+
+    ``requests`` is a stream of uid, ts, row_id. A key that was idle until its bucket is full again is forgotten.
+    """
 
+    def step(fold: tuple, row: tuple, bucket: int) -> tuple:
+        level, last = fold
+        seconds = row[0] / 1e6
+        level = min(most, level + max(0.0, seconds - last) * rate)
+        passed = level >= 1
+        return (level - passed, max(last, seconds)), passed
 
-def rate_limited(requests: DataFrame, rate: float, most: float) -> DataFrame:
-    """Whether each request (uid, row_id, seconds) passes its key's token bucket, which fills by event time."""
-    return requests.select("uid", "row_id", "seconds").groupBy("uid").applyInPandasWithState(_tokens(rate, most), "uid long, row_id long, passed boolean", "level double, last double", "append", GroupStateTimeout.NoTimeout)
+    return in_order(requests, "", "level double, last double", (most, 0.0), step, "boolean", width, late, int(most / rate * 1000) + 1)
