@@ -4,8 +4,8 @@ import pytest
 
 from tracewright.plans import registry
 
-PYTHON = {"fn_math_equal", "score_prime_math", "fn_tool_calls", "fn_tool_calls_channels", "fn_python_text", "pack_karmarkar_karp", "balance_batch", "score_math", "retrieve_topk", "st_replay_sampler", "st_thought_buffer_stream", "st_rate_limit", "st_filter_sampler"}
-STREAMS = {"st_restart", "scan_task_json", "scan_jsonl_lenient", "scan_rollout_dumps", "scan_annotations", "scan_csv_tasks", "scan_two_level", "scan_traj_json", "scan_result_score", "scan_screenshots", "scan_app_definitions", "scan_jsonl_strict", "checkpoint_state", "st_dynamic_dataset", "st_tumbling", "st_sliding", "st_sessions", "st_group_accumulate", "sink_metrics", "sink_parquet"}
+PYTHON = {"dispatch_ranks", "score_custom", "fn_math_equal", "score_prime_math", "fn_tool_calls", "fn_tool_calls_channels", "fn_python_text", "pack_karmarkar_karp", "balance_batch", "score_math", "retrieve_topk", "st_replay_sampler", "st_thought_buffer_stream", "st_rate_limit", "st_filter_sampler"}
+STREAMS = {"scan_generated_dataset", "st_generated_dataset", "st_restart", "scan_task_json", "scan_jsonl_lenient", "scan_rollout_dumps", "scan_annotations", "scan_csv_tasks", "scan_two_level", "scan_traj_json", "scan_result_score", "scan_screenshots", "scan_app_definitions", "scan_jsonl_strict", "checkpoint_state", "st_dynamic_dataset", "st_tumbling", "st_sliding", "st_sessions", "st_group_accumulate", "sink_metrics", "sink_parquet"}
 
 
 def plan(df):

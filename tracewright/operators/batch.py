@@ -99,7 +99,7 @@ def resampled(df: DataFrame, weight: str, key: str, seed: object = 42) -> DataFr
     """
     from pyspark.sql import Window
 
-    from tracewright.operators.order import _in_cells, seeded
+    from tracewright.operators.order import in_cells, seeded
 
     h = seeded(key, seed=seed)
     rows = df.select(key, F.coalesce(F.col(weight), F.lit(0.0)).alias("_w"), h.alias("_h"), F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("_part")).where("_w > 0")
@@ -114,7 +114,7 @@ def resampled(df: DataFrame, weight: str, key: str, seed: object = 42) -> DataFr
     starts = df.sparkSession.createDataFrame([(p, s) for s, p, _ in known], "_part int, _start double")
     spans = rows.join(F.broadcast(starts), "_part").withColumn("_at", F.col("_start") + F.sum("_w").over(inside) - F.col("_w")).select("_part", "_at", F.col(key).alias("_k"))
     u = (F.conv(F.substring(seeded(key, seed=f"draw-{seed}"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    draws = _in_cells(df.select((u * F.lit(total)).alias("_at")), "_at", [s for s, _, _ in known[1:]], "_cell")
+    draws = in_cells(df.select((u * F.lit(total)).alias("_at")), "_at", [s for s, _, _ in known[1:]], "_cell")
     place = F.array(*[F.lit(p) for _, p, _ in known])
     draws = draws.select(place[F.col("_cell")].alias("_part"), "_at", F.lit(None).cast(df.schema[key].dataType).alias("_k"))
     both = spans.withColumn("_draw", F.lit(0)).unionByName(draws.withColumn("_draw", F.lit(1)))

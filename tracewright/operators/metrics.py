@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.order import ranked
+from tracewright.operators.order import MOST_CELLS, in_cells, quantiles, ranked
 
 
 def share(hit: Column) -> Column:
@@ -44,20 +46,83 @@ def mean_and_deviation(df: DataFrame, by: list[str], *columns: str) -> DataFrame
 def best_and_worst_of(df: DataFrame, by: str, value: str, draws: list[int]) -> DataFrame:
     """Expected maximum and minimum of n draws with replacement from a group's values, for each n.
 
-    The i-th smallest of c values is the maximum with probability (i/c)^n - ((i-1)/c)^n. Places are counted in ranges of
-    the values, so a group's values are never gathered.
+    Values i to j in order, of c, are the maximum with probability (j/c)^n - ((i-1)/c)^n. Equal values are one row with a
+    count; places are counted in ranges between quantiles of the values, so a group's values are never gathered.
     """
-    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
-    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
-    placed = ranked(rows, by, ["_v"], {"_range": F.floor((F.col("_v") - F.lit(low or 0.0)) / F.lit(width))}, to="_i")
-    placed = placed.join(rows.groupBy(by).agg(F.count("*").alias("_c")), by).withColumn("n", F.explode(F.array(*[F.lit(k) for k in draws])))
-    i, c, n = F.col("_i").cast("double"), F.col("_c"), F.col("n")
-    best = F.col("_v") * (F.pow((i + 1) / c, n) - F.pow(i / c, n))
-    worst = F.col("_v") * (F.pow((c - i) / c, n) - F.pow((c - i - 1) / c, n))
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    cells = min(MOST_CELLS, -(-counts.count() // 100_000))
+    bounds = quantiles(counts, "_v", cells) if cells > 1 else []
+    counts = in_cells(counts, "_v", bounds, "_cell") if bounds else counts.withColumn("_cell", F.lit(0))
+    earlier = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy(by, "_cell").agg(F.sum("_k").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    lower = Window.partitionBy(by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_below", F.coalesce(F.sum("_k").over(lower), F.lit(0))).join(starts, [by, "_cell"])
+    placed = placed.join(counts.groupBy(by).agg(F.sum("_k").alias("_c")), by).withColumn("n", F.explode(F.array(*[F.lit(k) for k in draws])))
+    i, c, n = (F.col("_start") + F.col("_below")).cast("double"), F.col("_c"), F.col("n")
+    j = i + F.col("_k")
+    best = F.col("_v") * (F.pow(j / c, n) - F.pow(i / c, n))
+    worst = F.col("_v") * (F.pow((c - i) / c, n) - F.pow((c - j) / c, n))
     return placed.groupBy(by, "n").agg(F.round(F.sum(best), 6).alias("best"), F.round(F.sum(worst), 6).alias("worst"))
 
 
+#: A draw: its place among its replicate's draws, and the columns of its row.
+Drawn = Callable[[Column], Column]
+
+
+def highest(value: str) -> Drawn:
+    return lambda d: F.array_max(F.transform(d, lambda x: x[value]))
+
+
+def lowest(value: str) -> Drawn:
+    return lambda d: F.array_min(F.transform(d, lambda x: x[value]))
+
+
+def average(value: str) -> Drawn:
+    return lambda d: F.aggregate(d, F.lit(0.0), lambda a, x: a + x[value]) / F.size(d)
+
+
+def voted(answer: str, value: str) -> Drawn:
+    """The value of the first draw of the most common answer; of equally common ones the first drawn counts."""
+    votes = lambda d: F.transform(d, lambda x: F.struct(F.size(F.filter(d, lambda y: y[answer].eqNullSafe(x[answer]))).alias("n"), (-x["draw"]).alias("first"), x[value].alias("value")))
+    return lambda d: F.array_max(votes(d))["value"]
+
+
+def bootstrapped(df: DataFrame, by: str, order: str, columns: list[str], size: int, replicates: int, reduce: dict[str, Drawn], seed: object = 42) -> DataFrame:
+    """(``by``, mean and deviation of each reduce function) over replicates of ``size`` draws with replacement from a group.
+
+    A reduce function goes from the array of draws (structs of draw and ``columns``, in order) to a value. Draws are
+    hashes of seed, group, replicate and draw, so reruns and other engines agree; they meet a group's rows by place, so
+    a group of any size is never gathered, and of each only what is drawn moves on. ``order`` is a whole number that
+    differs within a group.
+    """
+    rows = ranked(df.select(by, order, *columns), by, [order], {"_range": F.floor(F.col(order) / 65_536)}, to="_place")
+    drawn = df.groupBy(by).agg(F.count("*").alias("_c"))
+    drawn = drawn.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string"), "_b", "draw")), 1, 8), 16, 10).cast("long")
+    met = drawn.select(by, "_b", "draw", (number % F.col("_c")).alias("_place")).join(rows, [by, "_place"])
+    sets = met.groupBy(by, "_b").agg(F.array_sort(F.collect_list(F.struct("draw", *columns))).alias("_d"))
+    values = sets.select(by, *[f(F.col("_d")).cast("double").alias(f"_{n}") for n, f in reduce.items()])
+    return values.groupBy(by).agg(*[g(f"_{n}").alias(f"{n}_{kind}") for n in reduce for kind, g in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def bleu(df: DataFrame, key: str, hypothesis: str, reference: str, most: int = 4) -> DataFrame:
+    """(``key``, bleu): clipped n-gram precision of characters, of 1 to ``most``, with the brevity penalty; ``key`` differs in each row.
+
+    Each n-gram of both texts is a row, counted before the shuffle, so texts may be long. A length of n-grams without a
+    match, and an empty hypothesis, give 0; null texts are empty.
+    """
+    slim = df.select(F.col(key).alias("_key"), F.coalesce(hypothesis, F.lit("")).alias("h"), F.coalesce(reference, F.lit("")).alias("r"))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("h").alias("t")), F.struct(F.lit(0).alias("own"), F.col("r").alias("t"))))
+    each = slim.select("_key", sides.alias("s")).select("_key", "s.own", "s.t", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).where(F.length("t") >= F.col("n"))
+    grams = each.select("_key", "own", "n", "t", F.explode(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1)).alias("i")).select("_key", "n", "own", F.substring("t", F.col("i"), F.col("n")).alias("gram"))
+    counts = grams.groupBy("_key", "n", "gram").agg(F.sum("own").alias("h"), F.sum(1 - F.col("own")).alias("r"))
+    hits = counts.groupBy("_key", "n").agg(F.sum(F.least("h", "r")).alias("hit"), F.sum("h").alias("all"))
+    scores = hits.groupBy("_key").agg(F.sum(F.when(F.col("hit") > 0, F.log(F.col("hit") / F.col("all")))).alias("logs"), F.count_if(F.col("hit") > 0).alias("n")).withColumnRenamed("_key", "_mine")
+    out = slim.join(scores, F.col("_key").eqNullSafe(F.col("_mine")), "left")
+    short = F.when(F.length("h") > F.length("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.length("r"), F.length("h"))))
+    return out.select(F.col("_key").alias(key), F.when(F.col("n") == most, short * F.exp(F.col("logs") / most)).otherwise(0.0).alias("bleu"))
+
+
 def majority(df: DataFrame, by: str, answer: str, value: str, order: str) -> DataFrame:
     """The most common answer of each group (the first seen of equals) and the value of its first row."""
     c = df.groupBy(by, answer).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by(value, order).alias("v"))

@@ -15,12 +15,12 @@ def seeded(*columns: str, seed: object = 42) -> Column:
 MOST_CELLS = 4096
 
 
-def _quantiles(df: DataFrame, key: str, cells: int) -> list[float]:
+def quantiles(df: DataFrame, key: str, cells: int) -> list[float]:
     found = df.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / cells for i in range(1, cells)], 1 / (8 * cells))
     return sorted({v for v in found if v == v and abs(v) != float("inf")})
 
 
-def _in_cells(df: DataFrame, key: str, bounds: list[float], to: str) -> DataFrame:
+def in_cells(df: DataFrame, key: str, bounds: list[float], to: str) -> DataFrame:
     """Numbers the range a key falls into; nulls are in -1, NaN in the last."""
     from pyspark.ml.feature import Bucketizer
 
@@ -41,14 +41,14 @@ def numbered(df: DataFrame, key: str, *ties: str, to: str = "pos", each: int = 1
     order = [F.asc_nulls_first(key), *ties]
     if cells <= 1:
         return _numbered(df.withColumn("_cell", F.lit(0)), ["_cell"], order, to)
-    df = _in_cells(df, key, _quantiles(df, key, cells), "_cell")
+    df = in_cells(df, key, quantiles(df, key, cells), "_cell")
     numeric = ties and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
     stats = df.groupBy("_cell").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
     crowded = stats.where(F.col("low").eqNullSafe(F.col("high")) & (F.col("n") > 2 * each)).collect() if numeric else []
     sub = F.lit(0)
     for row in crowded:
         inside = df.where(F.col("_cell") == row["_cell"])
-        bounds = _quantiles(inside, ties[0], min(MOST_CELLS, -(-row.n // each)))
+        bounds = quantiles(inside, ties[0], min(MOST_CELLS, -(-row.n // each)))
         above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda v: v <= F.col(ties[0]).cast("double"))) if bounds else F.lit(0)
         sub = F.when(F.col("_cell") == row["_cell"], F.greatest(above, F.lit(0))).otherwise(sub)
     return _numbered(df.withColumn("_sub", sub), ["_cell", "_sub"], order, to)

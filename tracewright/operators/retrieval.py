@@ -32,6 +32,25 @@ def _by_length(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray,
     return out
 
 
+def _top(ids: np.ndarray, x: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, width: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, cosine) of each query's k best, by score, then id; vectors are met in slices, a running top k is kept."""
+    row, found, score = np.zeros(0, np.int64), np.zeros(0, vid.dtype), np.zeros(0)
+    for at in range(0, len(vid), width):
+        mine = vid[at : at + width]
+        c = x @ v[at : at + width].T
+        c[ids[:, None] == mine[None, :]] = -np.inf
+        # All that reach a slice's k-th score, so that ties are not cut off by chance.
+        least = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(c), -np.inf)
+        new, place = np.nonzero((c >= least[:, None]) & np.isfinite(c))
+        row, found, score = np.concatenate([row, new]), np.concatenate([found, mine[place]]), np.concatenate([score, c[new, place]])
+        order = np.lexsort((found, -score, row))
+        row, found, score = row[order], found[order], score[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        row, found, score = row[keep], found[keep], score[keep]
+    return row, found, score
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, portion: int = 65_536) -> DataFrame:
     """(query_id, vec_id, rank): the k vectors of greatest cosine of each query, itself left out; ties by id.
 
@@ -63,15 +82,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, p
                 for size, (ids, x) in _by_length(asked.column(0).combine_chunks(), asked.column(1).combine_chunks()).items():
                     if size not in sides:
                         continue
-                    vid, v = sides[size]
-                    c = x @ v.T
-                    c[ids[:, None] == vid[None, :]] = -np.inf
-                    # By score, then by id: what ties with the last place may not be cut off by chance.
-                    order = np.argsort(vid, kind="stable")
-                    top = order[np.argsort(-c[:, order], axis=1, kind="stable")[:, :k]]
-                    score = np.take_along_axis(c, top, 1).ravel()
-                    keep = np.isfinite(score)
-                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, top.shape[1])[keep], "vec_id": vid[top.ravel()][keep], "c": score[keep]})
+                    row, vid, score = _top(ids, x, *sides[size], k)
+                    yield pa.RecordBatch.from_pydict({"query_id": ids[row], "vec_id": vid, "c": score})
 
         held, n = [], 0
         for batch in batches:

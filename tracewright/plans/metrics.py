@@ -71,6 +71,20 @@ def boot_best_worst(spark, d):
     return M.best_and_worst_of(X.rollouts(spark, d), "uid", "score", [2, 4, 8])
 
 
+@query(f"""{R}, o AS (SELECT uid, row_id, score, k % 5 AS pred, row_number() OVER (PARTITION BY uid ORDER BY row_id) - 1 AS place, count(*) OVER (PARTITION BY uid) AS c FROM rollouts),
+ d AS (SELECT uid, b, j, ('0x' || substr(md5('7:' || uid || ':' || b || ':' || j), 1, 8))::BIGINT % c AS place FROM (SELECT DISTINCT uid, c FROM o), range(20) r(b), range(4) s(j)),
+ m AS (SELECT d.uid, b, j, score, pred, count(*) OVER (PARTITION BY d.uid, b, pred) AS n FROM d JOIN o ON o.uid = d.uid AND o.place = d.place),
+ v AS (SELECT uid, b, max(score) AS best, min(score) AS worst, avg(score) AS mean, arg_min(score, n * -100 + j) AS maj FROM m GROUP BY 1, 2)
+ SELECT uid, round(avg(best), 6) AS best_mean, round(stddev_pop(best), 6) AS best_std, round(avg(worst), 6) AS worst_mean, round(stddev_pop(worst), 6) AS worst_std, round(avg(mean), 6) AS mean_mean, round(stddev_pop(mean), 6) AS mean_std,
+ round(avg(maj), 6) AS maj_mean, round(stddev_pop(maj), 6) AS maj_std FROM v GROUP BY 1""")
+def boot_reduce(spark, d):
+    """Best, worst, mean and majority vote of four draws, over twenty replicates of each group."""
+    reduce = {"best": M.highest("score"), "worst": M.lowest("score"), "mean": M.average("score"), "maj": M.voted("pred", "score")}
+    r = X.rollouts(spark, d).withColumn("pred", F.col("k") % 5)
+    out = M.bootstrapped(r, "uid", "row_id", ["score", "pred"], size=4, replicates=20, reduce=reduce, seed=7)
+    return out.select("uid", *[F.round(c, 6).alias(c) for c in out.columns if c != "uid"])
+
+
 @query(f"{R}, c AS (SELECT uid, k % 5 AS pred, count(*) AS n, min(row_id) AS first FROM rollouts GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, first) AS r FROM c) SELECT w.uid, w.pred, round(x.score, 6) AS value FROM w JOIN rollouts x ON x.row_id = w.first WHERE w.r = 1")
 def maj_vote(spark, d):
     return M.majority(X.rollouts(spark, d).withColumn("pred", F.col("k") % 5), "uid", "pred", "score", "row_id")
@@ -134,13 +148,31 @@ def agg_token_amount(spark, d):
 MEASURES = {"accuracy": 1.0, "bleu": 0.5, "pass_rate": 1.0, "interactivity": 0.3, "token_amount": -0.001}
 
 
-@query(f"""WITH {X.STEPS}, m AS (SELECT episode_id, sum(CASE WHEN step > 1 THEN len(regexp_extract_all(action, '\\S+')) ELSE 0 END)::DOUBLE AS token_amount, avg((role = 'assistant')::INT) AS interactivity FROM steps GROUP BY 1)
-SELECT episode_id, round((episode_id % 2) + 0.5 * (episode_id % 11) / 10.0 + 1.0 * (episode_id % 5) / 4.0 + 0.3 * interactivity - 0.001 * token_amount, 6)::DOUBLE AS reward FROM m""")
+def _bleu_sql(pairs):
+    """BLEU of texts h against r by id, n-gram by n-gram."""
+    return f"""{pairs}, sides AS (SELECT id, 1 AS own, h AS t FROM pairs UNION ALL SELECT id, 0, r FROM pairs), grams AS (SELECT id, own, n, substr(t, i::INT, n::INT) AS gram FROM (SELECT *, unnest(generate_series(1, length(t) - n + 1)) AS i FROM sides, generate_series(1, 4) g(n))),
+ counts AS (SELECT id, n, gram, sum(own) AS h, sum(1 - own) AS r FROM grams GROUP BY 1, 2, 3), hits AS (SELECT id, n, sum(least(h, r)) AS hit, sum(h) AS total FROM counts GROUP BY 1, 2), logs AS (SELECT id, sum(ln(hit / total)) / 4 AS l FROM hits WHERE hit > 0 GROUP BY 1 HAVING count(*) = 4),
+ bleus AS (SELECT id, coalesce(exp(l) * CASE WHEN length(h) > length(r) THEN 1 ELSE exp(1 - length(r) / length(h)) END, 0.0)::DOUBLE AS bleu FROM pairs LEFT JOIN logs USING (id))"""
+
+
+@query("WITH " + _bleu_sql("pairs AS (SELECT conv_id * 1000 + turn AS id, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations QUALIFY r IS NOT NULL)") + " SELECT id // 1000 AS conv_id, id % 1000 AS turn, round(bleu, 6) AS bleu FROM bleus")
+def bleu_turns(spark, d):
+    """BLEU of each turn against the turn before."""
+    c = X.read(spark, d, "conversations")
+    t = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
+    t = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "before")
+    return M.bleu(t, "id", "text", "before").select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"WITH {X.STEPS}, " + _bleu_sql("pairs AS (SELECT episode_id AS id, arg_max(action, step) AS h, arg_min(action, step) AS r FROM steps GROUP BY 1)") + r""", m AS (SELECT episode_id, sum(CASE WHEN step > 1 THEN len(regexp_extract_all(action, '\S+')) ELSE 0 END)::DOUBLE AS token_amount, avg((role = 'assistant')::INT) AS interactivity FROM steps GROUP BY 1)
+SELECT episode_id, round((episode_id % 2) + 0.5 * bleu + 1.0 * (episode_id % 5) / 4.0 + 0.3 * interactivity - 0.001 * token_amount, 6)::DOUBLE AS reward FROM m JOIN bleus ON id = episode_id""")
 def agg_pass_rates(spark, d):
-    """A conversation's reward: the weighted sum of its measures. Judges' measures are input columns, the tokens are counted."""
+    """A conversation's reward: the weighted sum of its measures. Judges' measures are input columns; the tokens are counted, BLEU is that of the last turn against the first."""
     words = F.when(F.col("step") > 1, F.size(F.regexp_extract_all("action", F.lit(r"\S+"), 0))).otherwise(0)
-    m = X.steps(spark, d).groupBy("episode_id").agg(F.sum(words).cast("double").alias("token_amount"), F.avg((F.col("role") == "assistant").cast("int")).alias("interactivity"))
-    m = m.withColumns({"accuracy": F.col("episode_id") % 2, "bleu": F.col("episode_id") % 11 / 10.0, "pass_rate": F.col("episode_id") % 5 / 4.0})
+    ends = [F.max_by("action", "step").alias("h"), F.min_by("action", "step").alias("r")]
+    m = X.steps(spark, d).groupBy("episode_id").agg(F.sum(words).cast("double").alias("token_amount"), F.avg((F.col("role") == "assistant").cast("int")).alias("interactivity"), *ends)
+    m = m.join(M.bleu(m, "episode_id", "h", "r"), "episode_id")
+    m = m.withColumns({"accuracy": F.col("episode_id") % 2, "pass_rate": F.col("episode_id") % 5 / 4.0})
     return m.select("episode_id", F.round(M.weighted_sum(MEASURES), 6).alias("reward"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("trajectories", "tables", "text", "tools", "scores", "metrics", "advantages", "arrays", "streams", "rest")
+MODULES = ("trajectories", "tables", "text", "tools", "scores", "metrics", "advantages", "arrays", "streams", "plugins", "rest")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -12,7 +12,7 @@ from tracewright.operators import tokenwise as K
 from tracewright.operators import trajectory as Y
 from tracewright.operators.order import numbered, seeded
 from tracewright.plans.advantages import R as GROUPS
-from tracewright.plans.advantages import rows
+from tracewright.plans.advantages import STATS, rows
 from tracewright.plans.registry import query
 from tracewright.sources import files
 from tracewright.sources import fixtures as X
@@ -177,12 +177,20 @@ def adv_rf_pp(spark, d):
     return t.select("id", F.round(K.masked_sum(F.transform("g", lambda v: (v - F.col("mean")) / F.col("sd")), F.col("m")), 3).alias("total"))
 
 
-@query("SELECT unnest(['gpg', 'grpo', 'grpo_passk', 'grpo_vectorized', 'opo', 'rloo']) AS name, (SELECT count(*) FROM events) AS n")
+GRPO = "(score - mean) / (sd + 1e-6)"
+ADVANTAGES = {
+    "gpg": "(SELECT count(*)::DOUBLE / greatest(count(*) FILTER (WHERE score <> 0), 1) FROM g) * (score - mean)", "grpo": GRPO, "grpo_vectorized": "(score - mean) / (CASE WHEN n = 1 THEN 1 ELSE sqrt(greatest(v, 1e-6)) END + 1e-6)",
+    "grpo_passk": "CASE WHEN rn = 1 THEN (score - next) / (sqrt(v) + 1e-6) WHEN n > 1 THEN 0 END", "opo": "score - base", "rloo": "CASE WHEN n > 1 THEN (score - m) * n / (n - 1) ELSE score END",
+}
+DISPATCHED = f"{STATS}, r AS (SELECT *, row_number() OVER o AS rn, lead(score) OVER o AS next, avg(score) OVER w AS m, sum(score * length) OVER w / sum(length) OVER w AS base FROM s WINDOW o AS (PARTITION BY uid ORDER BY score DESC, row_id), w AS (PARTITION BY uid)) "
+
+
+@query(DISPATCHED + " UNION ALL ".join(f"SELECT '{k}' AS name, row_id, round({v}, 6) AS advantage FROM r" for k, v in ADVANTAGES.items()))
 def adv_dispatch(spark, d):
-    """Every estimator by its name, over the same rows."""
+    """Every estimator by its name: each row's advantage."""
     r, out = rows(spark, d), None
     for name, make in sorted(A.ESTIMATORS.items()):
-        one = make(r).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        one = make(r).select(F.lit(name).alias("name"), "row_id", F.round("advantage", 6).alias("advantage"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracewright.plans.registry import query
 from tracewright.sources import files
 from tracewright.sources import fixtures as X
+from tracewright.sources.dataset import register_dataset
 from tracewright.streaming import stateful as S
 
 R = "WITH " + X.ROLLOUTS
@@ -63,6 +64,42 @@ def st_restart(spark, d):
     return S.written_batches(sums, root, "update", ["user_id"]).select("user_id", "n", F.round("total", 4).alias("total"))
 
 
+def _halved(rows, step):
+    """Of each step the orders whose key it divides, at half the price."""
+    import pyarrow.compute as pc
+
+    keys = rows.column("o_orderkey")
+    mine = rows.filter(pc.equal(pc.subtract(keys, pc.multiply(pc.divide(keys, step + 1), step + 1)), 0))
+    at = mine.schema.get_field_index("o_totalprice")
+    return mine.set_column(at, "o_totalprice", pc.divide(mine.column(at), 2.0))
+
+
+GENERATED = "SELECT o_orderkey, round(CASE WHEN step = 0 THEN o_totalprice ELSE o_totalprice / 2.0 END, 4)::DOUBLE AS price, step FROM orders, (VALUES (0), (1), (2), (3)) s(step) WHERE (step = 0 OR o_orderkey % (step + 1) = 0)"
+
+
+@query(f"{GENERATED} AND o_custkey > 20 AND step <> 1 AND step < 3 AND o_orderstatus IN ('F', 'O')")
+def scan_generated_dataset(spark, d):
+    """A table and what steps generate from its rows, read as a data source; its filters are made where rows are read."""
+    register_dataset(spark, "halved", _halved)
+    o = spark.read.format("halved").option("path", f"{d}/orders.parquet").option("steps", 3).load()
+    o = o.where((F.col("o_custkey") > 20) & F.col("step").isin(0, 2) & (F.col("step") < 3) & F.col("o_orderstatus").isin("F", "O"))
+    return o.select("o_orderkey", F.round("o_totalprice", 4).cast("double").alias("price"), "step")
+
+
+@query(GENERATED)
+def st_generated_dataset(spark, d):
+    """The same as a stream, stopped after one step and started again for the others."""
+    from tracewright.streaming.place import shared_dir
+
+    register_dataset(spark, "halved", _halved)
+    root = shared_dir(spark)
+    for steps in (1, 3):
+        s = spark.readStream.format("halved").option("path", f"{d}/orders.parquet").option("steps", steps).load()
+        s = s.select("o_orderkey", F.round("o_totalprice", 4).cast("double").alias("price"), "step")
+        S.run(s, root, "append")
+    return S.written_batches(s, root, "append")
+
+
 RATIO = "o AS (SELECT uid, row_id, acc, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM rollouts), e AS (SELECT uid, max(n) - coalesce(max(n) FILTER (WHERE acc = 0), 0) AS streak FROM o GROUP BY 1)"
 
 

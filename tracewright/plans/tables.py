@@ -184,7 +184,7 @@ def unfold_batch(spark, d):
 
 @query("SELECT vec_id, chunk, round(sum(x), 5) AS total FROM (SELECT vec_id, floor((generate_subscripts(embedding, 1) - 1) / 16)::INT AS chunk, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 def unfold_column_chunks(spark, d):
-    e = X.tokens(spark, d).select(F.col("id").alias("vec_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk"), "x")
+    e = X.tokens(spark, d).select(F.col("id").alias("vec_id"), F.explode(F.sequence(F.lit(0), ((F.size("x") - 1) / 16).cast("int"))).alias("chunk"), "x").where(F.size("x") > 0)
     return e.select("vec_id", "chunk", F.round(F.aggregate(F.slice("x", F.col("chunk") * 16 + 1, 16), F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
