@@ -72,3 +72,18 @@ def test_repeated_rows_and_ties(spark):
     df = spark.createDataFrame([(1, "a b", "s", None)] * 6 + [(None, "a", "s", None), (3, "", "t", None)], SCHEMA)
     out = mixed(df, word_count("text")).collect()
     assert len(out) == 8 and all(r.taken <= 3 * r.size for r in out)
+
+
+def test_rows_of_one_id_and_of_none_meet_the_target(spark):
+    rows = [(7, f"{i} " + "w " * (4 + i % 3), "a", None) for i in range(60)] + [(None, f"{i} " + "w " * 9, "b", None) for i in range(40)]
+    rows += [(None, "same of all " * 3, "c", None)] * 30 + [(5, "one " * 11, "c", None)]
+    out = mixed(spark.createDataFrame(rows, SCHEMA), word_count("text"), tie=F.md5("text")).collect()
+    for source, most in (("a", 8), ("b", 10), ("c", 9 * 30)):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= most / 2 and all(r.taken <= 3 * r.size for r in mine)
+
+
+def test_names_with_dots_and_other_case(spark):
+    df = spark.createDataFrame([(i, "w " * i, "s", i, i) for i in range(1, 30)], "doc_id long, `my.text` string, source string, Size int, `a.b``c` int")
+    out = mixed(df, F.size(F.split("`my.text`", " ")) - 1)
+    assert out.columns == ["doc_id", "my.text", "source", "a.b`c", "size", "source_size", "target", "epochs", "taken"] and out.count() == 29

@@ -18,9 +18,9 @@ from tracewright.llm.common import WORD, written
 WEIGHTS, MOST = (5, 2, 1), 3
 
 
-def uniform(*columns: str, seed: str = "mix") -> Column:
+def uniform(*columns: str | Column, seed: str = "mix") -> Column:
     """A number in (0, 1) from the md5 of the columns: the same on each run and in other engines."""
-    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns])
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -71,9 +71,11 @@ def mix_plan(
     """One row a source: source_size, target, complete epochs, low, and the last place (key, ident, size) of the fraction.
 
     ``rows`` is a table of source, key, ident and size. The fraction is the longest start of the source in key order
-    of which the last document still fits by half, so taken words miss the target by at most half of one document.
+    of which the last document still fits by half, so taken words miss the target by at most half of one document
+    (or of equal ones).
     Rows with a key below ``low`` are in it whole. A span is cut until it holds at most ``ordered`` rows or a single
-    key; many rows share a key only by sharing an id, and those of equal size are summed before they are ordered.
+    key; rows share a key only by sharing id and tie, and those of equal size are summed before they are ordered and
+    stay together: they miss the target by at most half of their sum.
     """
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
     sums = written(sums)
@@ -94,7 +96,7 @@ def mix_plan(
     border = border.groupBy("source", "key", "ident", "size", "rest", "before").agg(F.sum("size").alias("sum"))
     order = Window.partitionBy("source").orderBy("key", "ident", "size").rowsBetween(Window.unboundedPreceding, -1)
     border = border.withColumn("at", F.col("before") + F.coalesce(F.sum("sum").over(order), F.lit(0)))
-    cut = border.where(F.col("at") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "ident", "size")).alias("cut"))
+    cut = border.where(F.col("at") + F.col("sum") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "ident", "size")).alias("cut"))
     ends = spans.alias("a").join(cut.alias("b"), same, "left").select("a.source", "low", "cut")
     out = plan.alias("a").join(ends.alias("b"), same, "left")
     return out.select("a.source", "source_size", "target", "epochs", "low", "cut")
@@ -106,6 +108,7 @@ def mixed(
     source: str = "source",
     ident: str = "doc_id",
     quality: Column | None = None,
+    tie: Column | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     most: float = MOST,
     seed: str = "mix",
@@ -114,20 +117,23 @@ def mixed(
 ) -> DataFrame:
     """``docs`` (all columns) with size, source_size, target, epochs and taken, the words the mix takes of each row.
 
-    Columns of those names are replaced; others may have any names. A row of size 0 or null is never taken. A null or
-    non-positive quality counts as the least positive weight. Rows that tie on the key follow by ident and size; fully
-    equal rows at the budget's end are all taken. No row is taken more than ``most`` times, rounded up to whole
+    Columns of those names, in any case, are replaced; others may have any names. A row of size 0 or null is never taken. A null or
+    non-positive quality counts as the least positive weight. ``tie`` tells rows of one ident, or of none, apart (the
+    text's digest, say): a row's key is a hash of both. Rows equal in ident, ``tie`` and size are taken or left
+    together, as is nearer to the target. No row is taken more than ``most`` times, rounded up to whole
     documents. A null source is a source of its own. An empty table stays empty. The rows' sizes and keys are written
     once; whole texts are read twice and never shuffled while the sources' table is small enough for Spark to
     broadcast it.
     """
     new = ["size", "source_size", "target", "epochs", "taken"]
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c.lower() not in new]
+    quoted = lambda c: docs["`" + c.replace("`", "``") + "`"]
     w = F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-6)) if quality is not None else F.lit(1.0)
+    tie = F.lit("") if tie is None else F.coalesce(tie.cast("string"), F.lit(""))
     # Columns go by number until the end, so that no name of theirs can clash.
     sized = docs.select(
-        *[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], docs[source].alias("source"), docs[ident].alias("ident"),
-        (-F.log(uniform(ident, seed=seed)) / w).alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
+        *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], quoted(source).alias("source"), F.struct(quoted(ident).alias("id"), tie.alias("tie")).alias("ident"),
+        (-F.log(uniform(quoted(ident), tie, seed=seed)) / w).alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
     )
     slim = sized.select("source", "key", "ident", "size")
     plan = written(mix_plan(written(slim), weights, most, cells, ordered))

@@ -88,8 +88,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.mixing import mixed, text_quality, word_count
 
     docs = table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", word_count("text").alias("words"), text_quality("text").alias("quality")))
-    out = mixed(sized, F.col("words"), quality=F.col("quality"))
+    sized = written(docs.select("doc_id", "source", word_count("text").alias("words"), text_quality("text").alias("quality"), F.md5("text").alias("tie")))
+    out = mixed(sized, F.col("words"), quality=F.col("quality"), tie=F.col("tie"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -152,11 +152,11 @@ FROM parts p LEFT JOIN met m ON p.page_id = m.page_id AND m.k = 1
 
 _MIX = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(md5(text), '') AS tie, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          greatest(coalesce(1 - length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 0.0), 1e-6) AS q
   FROM documents),
 keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / q AS k FROM sized),
+  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || tie), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / q AS k FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM sources),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][(rank - 1) % 3 + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS bound FROM ranked),
@@ -167,11 +167,11 @@ targets AS (
   SELECT source, source_size, CASE WHEN weight * level >= bound THEN bound
          ELSE weight * max(level) FILTER (WHERE weight * level < bound) OVER () END::DOUBLE AS target FROM levels),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS e FROM targets),
-placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.e, t.target - t.e * t.source_size AS rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM keyed d JOIN epochs t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (e * size + CASE WHEN place + size / 2.0 <= rest THEN size ELSE 0 END)::BIGINT AS taken FROM placed
+blocks AS (SELECT source, k, doc_id, tie, size, sum(size) AS block FROM keyed GROUP BY ALL),
+placed AS (SELECT *, coalesce(sum(block) OVER (PARTITION BY source ORDER BY k, doc_id, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM blocks)
+SELECT d.doc_id, d.size, t.source_size, t.target, (t.e * d.size + CASE WHEN p.place + p.block / 2.0 <= t.target - t.e * t.source_size THEN d.size ELSE 0 END)::BIGINT AS taken
+FROM keyed d JOIN epochs t ON d.source IS NOT DISTINCT FROM t.source
+JOIN placed p ON p.source IS NOT DISTINCT FROM d.source AND p.k = d.k AND p.doc_id IS NOT DISTINCT FROM d.doc_id AND p.tie = d.tie AND p.size = d.size
 """
 
 _LINES = r"""
