@@ -52,10 +52,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """A document comes as often as the mix takes it; those it doesn't take go.
 
     Rows without words (null and empty texts) have no size and go. A null source is one of its own. Repeated rows are
-    documents of their own; rows that tie on the key follow by id and size, and equal ones at the end of a budget are
-    all taken. An empty table stays empty.
+    documents of their own; those of one id are told apart by their texts, and equal ones at the end of a budget are
+    taken or left together. An empty table stays empty.
     """
-    out = mixed(docs.select(COLUMNS), word_count("text"), quality=text_quality("text")).where("taken > 0")
+    out = mixed(docs.select(COLUMNS), word_count("text"), quality=text_quality("text"), tie=F.md5("text")).where("taken > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(COLUMNS)
 
 
