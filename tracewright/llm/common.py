@@ -86,6 +86,11 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str, total: int, size:
     return met.select(*rows.columns, *[F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(f"_usual_{c}")).alias(c) for c in others])
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by place, for steps that must not depend on a user's names (dots, other case)."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
     """mapInArrow for functions from a batch to columns by name, with one output type check."""
     from pyspark.sql.pandas.types import to_arrow_schema

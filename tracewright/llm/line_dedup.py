@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import SPACE, opened, shared_dir, sliced, texts, written
+from tracewright.llm.common import SPACE, numbered_columns, opened, shared_dir, sliced, texts, written
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A count's form and the most it holds.
@@ -243,8 +243,10 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_key:
         raise ValueError("min_docs must be at least 2")
     new = [("n_lines", "long"), ("n_dropped", "long"), ("kept_sha256", "string"), ("kept_text", "string")]
     docs = docs.drop(*[n for n, _ in new])
-    files, shards = line_index(docs, text, min_key, shard_keys)
-    schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"{n} {t}" for n, t in new])
+    names, docs = docs.columns, numbered_columns(docs)
+    at = names.index(text)
+    files, shards = line_index(docs, docs.columns[at], min_key, shard_keys)
+    schema = ", ".join(f"{n} {t}" for n, t in docs.dtypes + new)
     kinds = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
-    run = _probe(files, shards, docs.columns.index(text), min_docs, min_key, docs.columns + [n for n, _ in new], kinds, held_bytes)
-    return docs.mapInArrow(run, schema)
+    run = _probe(files, shards, at, min_docs, min_key, docs.columns + [n for n, _ in new], kinds, held_bytes)
+    return docs.mapInArrow(run, schema).toDF(*names, *[n for n, _ in new])

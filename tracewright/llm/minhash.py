@@ -347,11 +347,14 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, iden
     rows, stay = work.rows.select("doc_id", "rid").alias("a"), kept.alias("b")
     counted = rows.join(stay, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.rid") == F.col("b.rid")), "left").groupBy("a.doc_id", "a.rid").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays"))
     counted = written(counted.select(F.col("doc_id").alias("_i"), F.col("rid").alias("_r"), "n", F.coalesce("stays", F.lit(False)).alias("stays")))
-    found = docs.withColumn("_rid", _rid(ident, text))
-    one = lambda them: found[ident].cast("long").eqNullSafe(them["_i"]) & (found["_rid"] == them["_r"])
+    mark = "_rid"
+    while mark in map(str.lower, docs.columns):
+        mark += "_"
+    found = docs.withColumn(mark, _rid(ident, text))
+    one = lambda them: found[ident].cast("long").eqNullSafe(them["_i"]) & (found[mark] == them["_r"])
     gone = counted.where("not stays").select("_i", "_r")
     again = counted.where("stays and n > 1").select("_i", "_r")
     out = found.join(gone, one(gone), "left_anti")
     if again.isEmpty():
-        return out.drop("_rid")
-    return out.join(again, one(again), "left_anti").unionByName(found.join(again, one(again), "left_semi").dropDuplicates([ident, "_rid"])).drop("_rid")
+        return out.drop(mark)
+    return out.join(again, one(again), "left_anti").unionByName(found.join(again, one(again), "left_semi").dropDuplicates([ident, mark])).drop(mark)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewright.llm.common import arrow_map, sliced
+from tracewright.llm.common import arrow_map, numbered_columns, sliced
 
 # Tag numbers, field sizes and compression codes of the TIFF 6.0 format (fixed values).
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS_PER_STRIP, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -248,16 +248,16 @@ def tiff_encoded(docs: DataFrame, column: str = "text", media: str = "media", wi
     counts as empty. A column named ``media`` is replaced. Equal values make equal files.
     """
     docs = docs.drop(media)
-    at = docs.columns.index(column)
+    at, names, docs = docs.columns.index(column), docs.columns, numbered_columns(docs)
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []
         for value in batch.column(at).cast(pa.binary()).to_pylist():
             image = np.frombuffer(payload(value or b"", width), np.uint8).reshape(-1, width, 1)
             out.append(encoded([image], tile=(256, width) if len(image) >= 1024 else None))
-        return {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {media: out}
+        return {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {"media": out}
 
-    return arrow_map(docs, run, ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"{media} binary"]))
+    return arrow_map(docs, run, ", ".join([f"{n} {t}" for n, t in docs.dtypes] + ["media binary"])).toDF(*names, media)
 
 
 def tiff_pages(files: DataFrame, media: str = "media", most_bytes: int = 512 << 20) -> DataFrame:
@@ -273,8 +273,9 @@ def tiff_pages(files: DataFrame, media: str = "media", most_bytes: int = 512 <<
 
     new = [("page", "int"), ("width", "int"), ("length", "int"), ("samples", "int"), ("bits", "int"), ("compression", "int"), ("pixels", "binary"), ("error", "string")]
     files = files.drop(*[n for n, _ in new if n != media])
-    at, names = files.columns.index(media), files.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes + new)
+    at, own, files = files.columns.index(media), files.columns, numbered_columns(files)
+    names = files.columns
+    schema = ", ".join(f"{n} {t}" for n, t in files.dtypes + new)
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def read(file: bytes) -> Iterator[tuple]:
@@ -293,7 +294,7 @@ def tiff_pages(files: DataFrame, media: str = "media", most_bytes: int = 512 <<
             columns = {n: taken.column(i) for i, n in enumerate(names)}
             yield pa.RecordBatch.from_pydict(columns | {n: [p[k] for _, p in rows] for k, (n, _) in enumerate(new)}, schema=kinds)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema).toDF(*own, *[n for n, _ in new])
 
 
 def features(pixels: bytes) -> str:

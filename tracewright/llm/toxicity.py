@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_map, texts
+from tracewright.llm.common import arrow_map, numbered_columns, texts
 
 # Closed word classes in English, German, French and Spanish.
 TARGET = set("you your you're u ya he she they them him her people du dich dir ihr euch sie er tu te toi vous ils elle il usted ustedes tú ti ellos él ella".split())
@@ -301,7 +301,7 @@ def toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], text:
     words, weights = model
     w = np.array(weights)
     docs = docs.drop("toxicity")
-    at = docs.columns.index(text)
+    at, names, docs = docs.columns.index(text), docs.columns, numbered_columns(docs)
     cell: list[Grammar] = []
 
     def score(batch: pa.RecordBatch) -> dict:
@@ -311,4 +311,4 @@ def toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], text:
         s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
         return {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {"toxicity": s}
 
-    return arrow_map(docs, score, ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ["toxicity double"]))
+    return arrow_map(docs, score, ", ".join([f"{n} {t}" for n, t in docs.dtypes] + ["toxicity double"])).toDF(*names, "toxicity")

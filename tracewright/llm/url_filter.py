@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_map
+from tracewright.llm.common import arrow_map, numbered_columns
 
 #: (host, path, verdict); fixed values of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -89,7 +89,7 @@ def url_filter(
     default: str = "allow",
     broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """Each row of ``pages`` with host, path, rule and verdict (columns of those names are replaced).
+    """Each row of ``pages`` with host, path, rule and verdict (columns of those names, in any case, are replaced).
 
     ``rules``: (host, path, allow or block), as rows or a table. A null url, or one without ``://``, has an empty
     host and path, fits no rule and gets ``default``, as does each URL that no rule fits. Repeated rows are judged
@@ -103,13 +103,13 @@ def url_filter(
         if size > broadcast_bytes:
             return _joined(pages, rules, url, default)
         rules = [tuple(r) for r in rules.collect()]
-    trie = Trie.of(rules)
+    trie, at, kept = Trie.of(rules), pages.columns.index(url), [i for i, c in enumerate(pages.columns) if c.lower() not in new]
 
     def judge(batch: pa.RecordBatch) -> dict:
-        urls = batch.column(batch.schema.get_field_index(url)).to_pylist()
+        urls = batch.column(at).to_pylist()
         parts = [split_url(u) for u in urls]
         hits = [trie.match(h, p) for h, p in parts]
-        out = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name not in new}
+        out = {f"_c{i}": batch.column(i) for i in kept}
         return out | {
             "host": [h for h, _ in parts],
             "path": [p for _, p in parts],
@@ -117,18 +117,20 @@ def url_filter(
             "verdict": [x[1] if x else default for x in hits],
         }
 
-    kept = [f"`{n}` {t}" for n, t in pages.dtypes if n not in new]
-    return arrow_map(pages.select(*[pages[c] for c in pages.columns]), judge, ", ".join(kept + [f"{c} string" for c in new]))
+    schema = ", ".join([f"_c{i} {pages.dtypes[i][1]}" for i in kept] + [f"{c} string" for c in new])
+    return arrow_map(numbered_columns(pages), judge, schema).toDF(*[pages.columns[i] for i in kept], *new)
 
 
 def _joined(pages: DataFrame, rules: DataFrame, url: str, default: str) -> DataFrame:
     """For rules without a size bound: each distinct (host, path) meets the rules of its host's suffixes by an equi-join."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
+    names, pages = pages.columns, numbered_columns(pages)
+    url = f"_c{names.index(url)}"
+    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
     front = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [i for i, c in enumerate(names) if c.lower() not in ("host", "path", "rule", "verdict")]
     host = F.translate(F.regexp_extract(front, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # Columns go by number until the end, so that no name of theirs can clash.
-    parts = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(kept)], host.alias("host"), F.regexp_extract(front, r"(?s)^[^/]*(.*)$", 1).alias("path"))
+    parts = pages.select(*[F.col(f"_c{i}").alias(f"c{i}") for i in kept], host.alias("host"), F.regexp_extract(front, r"(?s)^[^/]*(.*)$", 1).alias("path"))
     keys = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -137,4 +139,4 @@ def _joined(pages: DataFrame, rules: DataFrame, url: str, default: str) -> DataF
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
     best = best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.rule_verdict").alias("v"))
     out = parts.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
+    return out.select(*[F.col(f"c{i}").alias(names[i]) for i in kept], "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
