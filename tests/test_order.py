@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators.batch import resampled
-from tracewright.operators.order import numbered, numbered_by_hash, ranked, seeded
+from tracewright.operators.order import numbered, numbered_by_hash, ranked, running, seeded
 from tracewright.operators.retrieval import nearest
 
 
@@ -16,7 +16,7 @@ def test_positions(spark, each):
     assert {r.id: r.pos for r in numbered(df, "v", "id", each=each).collect()} == want
     assert numbered(df, "v", "id", each=each).columns == ["id", "v", "pos"]
     assert numbered(df.limit(0), "v").collect() == []
-    hashed = numbered_by_hash(df.withColumn("h", seeded("id", seed=3)), "h", "id").collect()
+    hashed = numbered_by_hash(df.withColumn("h", seeded("id", seed=3)), "h", "id", each=each).collect()
     assert [r.id for r in sorted(hashed, key=lambda r: r.pos)] == [r.id for r in sorted(hashed, key=lambda r: (r.h, r.id))]
 
 
@@ -31,6 +31,19 @@ def test_ranks_within_a_key(spark):
     assert got.columns == ["id", "g", "v", "pos"] and {r.id: r.pos for r in got.collect()} == want
 
 
+def test_sums_within_a_key(spark):
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 3 else "b", None if i % 11 == 0 else float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, v double").repartition(4)
+    want, total = {}, {}
+    for i, g, v in rows:
+        want[i] = total[g] = total.get(g, 0.0) + (v or 0.0)
+    ranges = {"_a": F.floor(F.col("id") / 16)}
+    got = running(df, "g", "v", ["id"], ranges)
+    assert got.columns == ["id", "g", "v", "sum"] and {r.id: r.sum for r in got.collect()} == want
+    assert running(df.limit(0), "g", "v", ["id"], ranges).collect() == []
+    assert sorted(r.pos for r in ranked(df.where("g is null"), "g", ["id"], ranges).collect()) == list(range(60))
+
+
 def test_heavier_rows_are_drawn_more_often(spark):
     df = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("w"))
     out = resampled(df, "w", "id").groupBy("w").count().collect()

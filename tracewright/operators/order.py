@@ -54,18 +54,24 @@ def numbered(df: DataFrame, key: str, *ties: str, to: str = "pos", each: int = 1
     return _numbered(df.withColumn("_sub", sub), ["_cell", "_sub"], order, to)
 
 
-def numbered_by_hash(df: DataFrame, hex_key: str, *ties: str, to: str = "pos") -> DataFrame:
-    """The same in order of a hexadecimal digest, whose first digits deal out rows evenly."""
-    cell = F.conv(F.substring(hex_key, 1, 3), 16, 10).cast("int")
-    return _numbered(df.withColumn("_cell", cell), ["_cell"], [hex_key, *ties], to)
+def numbered_by_hash(df: DataFrame, hex_key: str, *ties: str, to: str = "pos", each: int = 100_000) -> DataFrame:
+    """The same in order of a hexadecimal digest, whose first digits deal out rows evenly, about ``each`` to a range.
+
+    ``df`` is read to be counted; up to five digits are used, a million ranges.
+    """
+    n, digits = df.count(), 0
+    while 16**digits * each < n and digits < 5:
+        digits += 1
+    cell = F.conv(F.substring(hex_key, 1, digits), 16, 10).cast("int") if digits else F.lit(0)
+    return _numbered(df.withColumn("_cell", cell), ["_cell"], [hex_key, *ties], to, few=16**digits <= MOST_CELLS)
 
 
-def _numbered(df: DataFrame, cells: list[str], order: list, to: str) -> DataFrame:
+def _numbered(df: DataFrame, cells: list[str], order: list, to: str, few: bool = True) -> DataFrame:
     counts = df.groupBy(*cells).count()
     before = Window.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*cells, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*cells).orderBy(*order)))
-    return rows.join(F.broadcast(starts), cells).withColumn(to, F.col("_start") + F.col("_row") - 1).drop(*cells, "_row", "_start")
+    return rows.join(F.broadcast(starts) if few else starts, cells).withColumn(to, F.col("_start") + F.col("_row") - 1).drop(*cells, "_row", "_start")
 
 
 def ranked(df: DataFrame, by: str, order: list, cells: dict[str, Column], to: str = "pos") -> DataFrame:
@@ -79,7 +85,26 @@ def ranked(df: DataFrame, by: str, order: list, cells: dict[str, Column], to: st
     before = Window.partitionBy(by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*keys).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return rows.join(starts, keys).select(*columns, (F.col("_start") + F.col("_row") - 1).alias(to))
+    return _met(rows, starts, keys).select(*columns, (F.col("_start") + F.col("_row") - 1).alias(to))
+
+
+def running(df: DataFrame, by: str, value: str, order: list, cells: dict[str, Column], to: str = "sum") -> DataFrame:
+    """Adds the sum of ``value`` over a row and those before it within its ``by``; nulls add nothing. ``cells`` as in ``ranked``."""
+    columns, df = df.columns, df.withColumns(cells)
+    keys = [by, *cells]
+    before = Window.partitionBy(by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return _met(rows, starts, keys).select(*columns, (F.col("_start") + F.col("_run")).alias(to))
+
+
+def _met(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their range's start; a null key meets itself."""
+    starts = starts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return rows.join(starts, same)
 
 
 def first_n(df: DataFrame, n: int, *order) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import advantage as A
+from tracewright.operators.order import numbered, running
 from tracewright.plans.registry import query
 from tracewright.sources import fixtures as X
 
@@ -93,8 +94,6 @@ def kl_masks(spark, d):
 @query(f"{R}, p AS (SELECT uid, min(row_id) AS first FROM g WHERE acc = 1 GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY first) AS k FROM p) SELECT uid, floor((k - 1) / 32)::BIGINT AS batch FROM o WHERE k <= floor((SELECT count(*) FROM o) / 32) * 32")
 def accumulate_batches(spark, d):
     """Prompts in order of arrival fill batches of 32; an unfinished batch waits."""
-    from tracewright.operators.order import numbered
-
     p = rows(spark, d).where("acc = 1").groupBy("uid").agg(F.min("row_id").alias("first"))
     whole = p.count() // 32 * 32
     return numbered(p, "first").where(F.col("pos") < whole).select("uid", F.floor(F.col("pos") / 32).alias("batch"))
@@ -103,8 +102,6 @@ def accumulate_batches(spark, d):
 @query(f"{R}, b AS (SELECT uid, avg(acc) AS m, max(length) AS longest, min(row_id) AS first, count(*) AS n FROM g GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY NOT (m BETWEEN 0.2 AND 0.6 AND longest < 99), first) AS k FROM b) SELECT uid, m BETWEEN 0.2 AND 0.6 AND longest < 99 AS passed FROM o WHERE k <= (SELECT count(*) FROM o) // 4")
 def flt_oversample_prime(spark, d):
     """Groups that pass come first; the first quarter stays, by positions: neither a sorted partition nor a quarter of all in one task."""
-    from tracewright.operators.order import numbered
-
     b = rows(spark, d).groupBy("uid").agg(F.avg("acc").alias("m"), F.max("length").alias("longest"), F.min("row_id").alias("first"))
     b = b.withColumn("passed", F.col("m").between(0.2, 0.6) & (F.col("longest") < 99))
     low, high, n = b.agg(F.min("first"), F.max("first"), F.count("*")).first()
@@ -129,8 +126,8 @@ def win_last3_passrate(spark, d):
 
 @query(f"{R}, o AS (SELECT uid, row_id, acc, sum(acc) OVER (PARTITION BY uid ORDER BY row_id) AS island FROM g), z AS (SELECT uid, row_id, row_number() OVER (PARTITION BY uid, island ORDER BY row_id) AS k, acc, island FROM o WHERE acc = 0) SELECT uid, count(*) FILTER (WHERE k % 3 = 0) AS fired FROM z GROUP BY 1")
 def st_passrate0_counter(spark, d):
-    """How often three zeros in a row came up, counting anew after each: gaps and islands."""
-    o = rows(spark, d).withColumn("island", F.sum("acc").over(Window.partitionBy("uid").orderBy("row_id")))
+    """How often three zeros in a row came up, counting anew after each: gaps and islands, whose numbers are sums by ranges of ids."""
+    o = running(rows(spark, d).select("uid", "row_id", "acc"), "uid", "acc", ["row_id"], {"_range": F.floor(F.col("row_id") / 65_536)}, to="island")
     runs = o.where("acc = 0").groupBy("uid", "island").agg(F.floor(F.count("*") / 3).alias("f"))
     return runs.groupBy("uid").agg(F.sum("f").alias("fired"))
 
@@ -138,10 +135,9 @@ def st_passrate0_counter(spark, d):
 @query(f"{R}, f AS (SELECT uid, k, min(row_id) AS first FROM g WHERE acc = 1 GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY first DESC) AS n FROM f) SELECT uid, string_agg(k::VARCHAR, ',' ORDER BY first) AS buffer FROM l WHERE n <= 5 GROUP BY 1")
 def st_thought_buffer(spark, d):
     """The last five distinct entries of right answers, by first occurrence, for each prompt."""
-    f = rows(spark, d).where("acc = 1").groupBy("uid", "k").agg(F.min("row_id").alias("first"))
-    l = f.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "k"))).alias("l"))
-    last = F.slice("l", F.greatest(F.size("l") - 4, F.lit(1)), 5)
-    return l.select("uid", F.array_join(F.transform(last, lambda v: v["k"].cast("string")), ",").alias("buffer"))
+    f = rows(spark, d).where("acc = 1").groupBy("uid", "k").agg(F.min("row_id").alias("row_id"))
+    l = newest(f, "uid", 5).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("row_id", "k"))).alias("l"))
+    return l.select("uid", F.array_join(F.transform("l", lambda v: v["k"].cast("string")), ",").alias("buffer"))
 
 
 @query(f"{R}, q AS (SELECT data_source, row_id, row_number() OVER (PARTITION BY data_source ORDER BY row_id DESC) AS n FROM rollouts) SELECT data_source, count(*) AS produced, count(*) FILTER (WHERE n <= 100) AS held, count(*) FILTER (WHERE n > 100) AS dropped, min(row_id) FILTER (WHERE n <= 100) AS oldest FROM q GROUP BY 1")

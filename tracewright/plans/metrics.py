@@ -195,14 +195,20 @@ def win_dense_rank_len(spark, d):
 
 @query(f"{R}, r AS (SELECT uid, score, row_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_id) AS rn FROM rollouts) SELECT uid, round(max(score) FILTER (WHERE rn = 1) - max(score) FILTER (WHERE rn = 2), 6) AS gap, max(row_id) FILTER (WHERE rn = 1) AS winner FROM r GROUP BY 1")
 def win_topk_gap(spark, d):
-    r = X.rollouts(spark, d)
-    top = r.groupBy("uid").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", -F.col("row_id"))), asc=False), 1, 2).alias("t"))
-    return top.select("uid", F.round(F.col("t")[0]["score"] - F.try_element_at("t", F.lit(2))["score"], 6).alias("gap"), (-F.col("t")[0]["col2"]).alias("winner"))
+    """The gap between a prompt's two best scores, and the best one's row; each task keeps two rows of a prompt before the shuffle."""
+    best = Window.partitionBy("uid").orderBy(F.desc("score"), "row_id")
+    two = X.rollouts(spark, d).select("uid", "row_id", "score").withColumn("rn", F.row_number().over(best)).where("rn <= 2")
+    of = lambda place, column: F.max(F.when(F.col("rn") == place, F.col(column)))
+    return two.groupBy("uid").agg(F.round(of(1, "score") - of(2, "score"), 6).alias("gap"), of(1, "row_id").alias("winner"))
 
 
 @query(f"{R}, d AS (SELECT row_id, uid, score, lead(score) OVER (PARTITION BY uid ORDER BY row_id) AS other, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM rollouts) SELECT row_id, score >= other AS wins, round(-ln(1 / (1 + exp(-0.1 * (abs(score - other))))), 6) AS loss FROM d WHERE n % 2 = 1 AND other IS NOT NULL")
 def dpo_pref_loss(spark, d):
-    """Pairs of neighbouring responses: who wins (ties go to the first) and the preference loss of the gap."""
-    w = Window.partitionBy("uid").orderBy("row_id")
-    p = X.rollouts(spark, d).withColumn("other", F.lead("score").over(w)).withColumn("n", F.row_number().over(w)).where("n % 2 = 1 AND other IS NOT NULL")
+    """Pairs of neighbouring responses: who wins (ties go to the first) and the preference loss of the gap.
+
+    Rows are numbered in ranges of ids and paired by number, so that no task holds a prompt with very many responses.
+    """
+    o = ranked(X.rollouts(spark, d).select("uid", "row_id", "score"), "uid", ["row_id"], {"_range": F.floor(F.col("row_id") / 65_536)})
+    of = lambda odd, column: F.max(F.when(F.col("pos") % 2 == odd, F.col(column)))
+    p = o.groupBy("uid", F.floor(F.col("pos") / 2).alias("pair")).agg(of(0, "row_id").alias("row_id"), of(0, "score").alias("score"), of(1, "score").alias("other")).where("other IS NOT NULL")
     return p.select("row_id", (F.col("score") >= F.col("other")).alias("wins"), F.round(F.log1p(F.exp(-0.1 * F.abs(F.col("score") - F.col("other")))), 6).alias("loss"))
