@@ -86,3 +86,12 @@ def test_components_with_hot_nodes(spark, monkeypatch, hot, each):
     edges = [(0, i) for i in range(5, 60)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7), (None, 8), (130, 101), (90, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), each=each).collect()
     assert {r.node: r.component for r in got} == {i: 0 for i in [0, *range(5, 60), 90]} | {i: 100 for i in range(100, 131)}
+
+
+def test_hot_class_and_hot_component(spark):
+    """600 equal vectors, 600 different ones of one component, and 600 without a vector are spread, with equal results."""
+    rng = np.random.default_rng(3)
+    near = [(600 + i, (np.eye(8)[1] + 0.01 * rng.standard_normal(8)).tolist()) for i in range(600)]
+    rows = [(i, np.eye(8)[0].tolist()) for i in range(600)] + near + [(1200 + i, None) for i in range(600)] + [(1800, np.eye(8)[2].tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (599, i // 600 * 600, i % 600 == 0) if i < 1200 else (0, i, True) for i, _ in rows}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_map, opened, shared_dir, sliced, written
+from tracewright.llm.common import arrow_map, join_totals, opened, shared_dir, sliced, written
 from tracewright.llm.components import connected_components, join_roots
 
 #: Vectors of a strip, the unit in which products are ruled out.
@@ -312,7 +312,8 @@ def embedding_dedup(
     link by their vectors alone, and each has its own component. Other columns are ignored; an empty table stays
     empty. Products grow with the square of the number of different vectors, less the strips that centres and radii
     rule out; what is read for them does so too, by an int8 value in place of each component and n / ``block``
-    times; the shuffle doesn't.
+    times. The shuffle grows with the input, except that a tile of a block with repeated vectors carries that block's
+    weights, 8 bytes a vector. A class or component with very many rows is met in many tasks.
     """
     element = dict(vectors.dtypes)[embedding]
     kind = "<f4" if element == "array<float>" else "<f8"
@@ -339,11 +340,15 @@ def embedding_dedup(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select("node", "root"))
     of_class = nodes.select("digest", "node", "ident", "weight").join(links, "node", "left").join(components, "node", "left")
-    of_class = of_class.select("digest", "ident", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_class = of_class.select("digest", "ident", "weight", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     of_class = written(of_class)
-    least = of_class.groupBy("component").agg(F.min("ident").alias("component_id"))
-    of_class = of_class.join(least, "component").select("digest", "n_links", "component_id")
-    out = rows.select("vec_id", "digest").join(of_class, "digest", "left")
-    valid = F.col("digest").isNotNull()
-    out = out.select("vec_id", F.when(valid, F.col("n_links")).otherwise(0).alias("n_links"), F.when(valid, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    total = nodes.agg(F.sum("weight")).first()[0] or 0
+    least = written(of_class.groupBy("component").agg(F.min("ident").alias("component_id"), F.count("*").alias("n")))
+    of_class = join_totals(of_class.drop("ident"), least, "component", total)
+    of_class = written(of_class.select("digest", "weight", "n_links", "component_id"))
+    # Rows without a valid vector meet a row of their own, which is always taken for hot.
+    invalid = spark.range(1).select(F.expr("X''").alias("digest"), F.lit(1 << 62).alias("weight"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    rows = rows.select("vec_id", F.coalesce("digest", F.expr("X''")).alias("digest"))
+    out = join_totals(rows, of_class.unionByName(invalid), "digest", total, "weight")
+    out = out.select("vec_id", "n_links", F.when(F.length("digest") > 0, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
