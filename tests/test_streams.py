@@ -77,6 +77,14 @@ def test_rate_limit(spark, parts):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) > progress[-1]["stateOperators"][0]["numRowsTotal"]
 
 
+def test_rows_that_wait_keep_a_fold_from_being_forgotten(spark):
+    # The watermark, at 4,000 s, is past the idle time of the first hour's rows; the third row waits for its hour's end.
+    rows = [(0, 3590, 0, None), (0, 3591, 1, None), (0, 3605, 2, None), (1, 7600, 3, None)]
+    progress = []
+    got = told(S.after_arrivals(timed(spark, rows, 1), lambda e: S.rate_limited(e, 1 / 90, 2.0, 3_600_000, "1 hour"), progress=progress))
+    assert got == {0: True, 1: True, 2: False, 3: True}
+
+
 def test_windows_leave_the_state_and_late_rows_go(spark):
     at = lambda h, m=0: DAY + timedelta(hours=h, minutes=m)
     parts = [[(at(1), "a", 1.0), (at(2), "a", 2.0), (at(8), "b", 4.0), (at(20), "a", 8.0)], [(at(3), "a", 16.0), (at(18, 30), "a", 32.0), (at(17, 59), "b", 64.0), (at(50), "a", 1.0)]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -172,53 +173,101 @@ def accumulated(rows: DataFrame, size: int) -> DataFrame:
 class InOrder(StatefulProcessor):
     """Folds each key's rows in order of event time, whatever batches they come in.
 
-    Rows wait in the state in buckets of time. A timer at a bucket's end fires once the watermark has passed it, so that
-    no row of it can come any more; then its rows are sorted and folded, and leave. At most a bucket of a key is held in
-    memory. Where ``idle`` is given, a key's fold is forgotten after as long without rows.
+    Rows wait in the state in spans of buckets of time, apart from each other and of at most ``most`` rows, or of one
+    bucket. A timer at the first bucket's end fires once the watermark has passed it, so that no row of it can come any
+    more; then the rows of all buckets that have ended are folded, span by span, and leave. At most a span of a key is
+    held in memory. Where ``idle`` is given, a key's fold is forgotten after as long without rows, waiting ones included.
     """
 
-    def __init__(self, columns: str, state: str, begin: tuple, step: Callable, width: int, idle: int | None) -> None:
-        self.columns, self.state, self.begin, self.step, self.width, self.idle = columns, state, begin, step, width, idle
+    def __init__(self, columns: str, state: str, begin: tuple, step: Callable, width: int, idle: int | None, most: int = 4096) -> None:
+        self.columns, self.state, self.begin, self.step, self.width, self.idle, self.most = columns, state, begin, step, width, idle, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "bucket long", ", ".join(f"{n} array<{t}>" for n, t in (c.split() for c in self.columns.split(", "))))
-        self.fold = handle.getValueState("fold", f"{self.state}, until long")
+        self.kept = handle.getValueState("kept", f"{self.state}, until long, firsts array<long>, lasts array<long>")
         self.names = [c.split()[0] for c in self.columns.split(", ")]
 
+    def _bucket(self, row: tuple) -> int:
+        return row[0] // (self.width * 1000)
+
+    def _read(self) -> tuple:
+        """The fold, until when it counts, and the first and the last bucket of each span."""
+        *fold, until, firsts, lasts = self.kept.get() or (*self.begin, 0, [], [])
+        return tuple(fold), until, list(firsts), list(lasts)
+
+    def _taken(self, first: int) -> list[tuple]:
+        rows = self.held.getValue((first,))
+        self.held.removeKey((first,))
+        return list(zip(*rows))
+
+    def _put(self, rows: list[tuple]) -> list[tuple[int, int]]:
+        """Rows in order as spans of whole buckets."""
+        spans, at = [], 0
+        while at < len(rows):
+            end = len(rows)
+            if end - at > self.most:
+                cut = self._bucket(rows[at + self.most])
+                end = bisect_left(rows, cut, at, key=self._bucket)
+                end = end if end > at else bisect_right(rows, cut, at, key=self._bucket)
+            spans.append((self._bucket(rows[at]), self._bucket(rows[end - 1])))
+            self.held.updateValue((spans[-1][0],), tuple(map(list, zip(*rows[at:end]))))
+            at = end
+        return spans
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fold, until, firsts, lasts = self._read()
+        timer = firsts[:1]
         for frame in rows:
-            for bucket, part in frame.groupby(frame["micros"] // (self.width * 1000)):
-                at = (int(bucket),)
-                before = self.held.getValue(at) if self.held.containsKey(at) else None
-                if before is None:
-                    self.handle.registerTimer((at[0] + 1) * self.width)
-                self.held.updateValue(at, tuple([*(before[i] if before else ()), *part[n].tolist()] for i, n in enumerate(self.names)))
+            new = sorted(zip(*[frame[n].tolist() for n in self.names]), key=lambda r: r[:2])
+            spans, at = [], 0
+            for first, last in zip(firsts, lasts):
+                low = bisect_left(new, first, at, key=self._bucket)
+                high = bisect_right(new, last, low, key=self._bucket)
+                spans += self._put(new[at:low])
+                spans += self._put(sorted(self._taken(first) + new[low:high], key=lambda r: r[:2])) if high > low else [(first, last)]
+                at = high
+            spans += self._put(new[at:])
+            firsts, lasts = [s[0] for s in spans], [s[1] for s in spans]
+        if firsts[:1] != timer:
+            self.handle.registerTimer((firsts[0] + 1) * self.width)
+        self.kept.update((*fold, until, firsts, lasts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        state = self.fold.get() if self.fold.exists() else None
-        at = (end // self.width - 1,)
-        if end % self.width or not self.held.containsKey(at):
-            # An idle key's timer: what came since has put its end off.
-            if state and state[-1] <= end:
-                self.fold.clear()
-            return
-        rows = self.held.getValue(at)
-        self.held.removeKey(at)
-        order = sorted(zip(*rows))
-        fold, answers = tuple(state[:-1]) if state else self.begin, []
-        for row in order:
-            fold, answer = self.step(fold, row, at[0])
-            answers.append(answer)
-        until = end + (self.idle or 0) + 1
-        self.fold.update((*fold, until))
-        if self.idle is not None:
-            self.handle.registerTimer(until)
-        for i in range(0, len(order), 10_000):
-            part = order[i : i + 10_000]
-            yield pd.DataFrame({"uid": [key[0]] * len(part), "row_id": [r[1] for r in part], "bucket": [at[0]] * len(part), "answer": answers[i : i + 10_000]})
+        fold, until, firsts, lasts = self._read()
+        ended, out = timerValues.getCurrentWatermarkInMs() // self.width, []
+        folded = bool(firsts) and firsts[0] < ended
+        while firsts and firsts[0] < ended:
+            rows = self._taken(firsts.pop(0))
+            last, n = lasts.pop(0), len(rows)
+            if last >= ended:
+                n = bisect_left(rows, ended, key=self._bucket)
+                rest = self._put(rows[n:])
+                firsts, lasts = [s[0] for s in rest] + firsts, [s[1] for s in rest] + lasts
+            for row in rows[:n]:
+                bucket = self._bucket(row)
+                fold, answer = self.step(fold, row, bucket)
+                out.append((key[0], row[1], bucket, answer))
+            until = (self._bucket(rows[n - 1]) + 1) * self.width + (self.idle or 0) + 1
+            if len(out) >= 10_000:
+                yield self._frame(out)
+                out = []
+        if not firsts and self.idle is not None and until <= timerValues.getCurrentWatermarkInMs():
+            # Idle, and nothing waits; a fold that was put off by later rows has a later timer.
+            self.kept.clear()
+        elif folded:
+            if firsts:
+                self.handle.registerTimer((firsts[0] + 1) * self.width)
+            elif self.idle is not None:
+                self.handle.registerTimer(until)
+            self.kept.update((*fold, until, firsts, lasts))
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("uid", "row_id", "bucket", "answer"), map(list, zip(*out)))))
 
     def close(self) -> None:
         pass
