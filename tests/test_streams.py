@@ -85,6 +85,18 @@ def test_rows_that_wait_keep_a_fold_from_being_forgotten(spark):
     assert got == {0: True, 1: True, 2: False, 3: True}
 
 
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_spans_of_any_size_fold_in_order(spark, most, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i % 2, 900 * i + rng.randrange(-5000, 5000) + 6000, i, None) for i in range(60)]
+    monkeypatch.setattr(S.InOrder.__init__, "__defaults__", (most,))
+    step = lambda fold, row, bucket: ((fold[0] + 1,), fold[0])
+    fold = lambda e: S.in_order(e, "", "n long", (0,), step, "long", 3_600_000, "3 hours")
+    got = told(S.after_arrivals(timed(spark, rows, 3), fold))
+    want = {i: n for u in (0, 1) for n, (_, i) in enumerate(sorted((s, i) for v, s, i, _ in rows if v == u))}
+    assert got == want
+
+
 def test_windows_leave_the_state_and_late_rows_go(spark):
     at = lambda h, m=0: DAY + timedelta(hours=h, minutes=m)
     parts = [[(at(1), "a", 1.0), (at(2), "a", 2.0), (at(8), "b", 4.0), (at(20), "a", 8.0)], [(at(3), "a", 16.0), (at(18, 30), "a", 32.0), (at(17, 59), "b", 64.0), (at(50), "a", 1.0)]]
