@@ -188,11 +188,14 @@ def unfold_column_chunks(spark, d):
     return e.select("vec_id", "chunk", F.round(F.aggregate(F.slice("x", F.col("chunk") * 16 + 1, 16), F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-@query("SELECT c_nationkey, floor(c_custkey / 1024)::BIGINT AS block, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS keys, string_agg(c_mktsegment, ',' ORDER BY c_custkey) AS segments FROM customer GROUP BY 1, 2")
+@query("SELECT c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS keys, string_agg(c_mktsegment, ',' ORDER BY c_custkey) AS segments FROM customer GROUP BY 1")
 def list_dict_transpose(spark, d):
-    """Rows to lists by column, a list for each nation and block of 1,024 keys, so that a list is bounded whatever a nation holds."""
-    rows = X.read(spark, d, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1024).alias("block")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("r"))
-    return rows.select("c_nationkey", "block", F.array_join(F.col("r.c_custkey").cast("array<string>"), ",").alias("keys"), F.array_join("r.c_mktsegment", ",").alias("segments"))
+    """Rows to lists by column, one list for each nation: texts of blocks of 1,024 keys are made first, and a nation's texts are joined in order."""
+    joined = lambda c: F.when(F.exists(c, lambda v: v.isNotNull()), F.array_join(c, ","))
+    blocks = X.read(spark, d, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1024).alias("block")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("r"))
+    blocks = blocks.select("c_nationkey", F.struct("block", joined(F.col("r.c_custkey").cast("array<string>")).alias("keys"), joined(F.col("r.c_mktsegment")).alias("segments")).alias("b"))
+    rows = blocks.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return rows.select("c_nationkey", joined(F.col("b.keys")).alias("keys"), joined(F.col("b.segments")).alias("segments"))
 
 
 @query("WITH p AS (SELECT c_custkey, e, row_number() OVER (PARTITION BY e ORDER BY md5(e || ':' || c_custkey), c_custkey) - 1 AS pos FROM customer, (VALUES (1), (2)) t(e)) SELECT e AS epoch, floor(pos / 100)::BIGINT AS batch, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM p GROUP BY 1, 2")
