@@ -102,6 +102,13 @@ def test_bleu(spark):
     assert len(got) == 64 and all(math.isclose(got[i], plain_bleu(h or "", r or ""), abs_tol=1e-12) for i, h, r in rows) and got[60] == 1
 
 
+def test_bleu_shuffles_no_grams_and_knows_any_character(spark):
+    rows = [(0, "a\0\0b\0\0\0", "\0\0\0b\0"), (1, "\0" * 6, "\0" * 5), (2, "\U0001f600éa\x01" * 3, "a\x01\U0001f600é" * 2)]
+    out = M.bleu(spark.createDataFrame(rows, "i long, h string, r string"), "i", "h", "r")
+    assert all(math.isclose(r.bleu, plain_bleu(*rows[r.i][1:]), abs_tol=1e-12) for r in out.collect())
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_with_ties_over_slices(spark):
     rng = random.Random(4)
     vectors = [(i, rng.choice([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [rng.random(), rng.random()]])) for i in range(3000)]

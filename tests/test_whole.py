@@ -88,3 +88,11 @@ def test_divergence_of_unequal_shares(spark):
 def test_newest_rows_are_limited_before_the_shuffle(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_a_nation_has_one_list(spark, sf_dir):
+    from tracewright.plans import registry
+
+    got = registry.queries()["list_dict_transpose"](spark, sf_dir).collect()
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    assert len(got) == keys.select("c_nationkey").distinct().count() and sum(len(r["keys"].split(",")) for r in got) == keys.count()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.once import bound
 from tracewright.operators.order import MOST_CELLS, in_cells, quantiles, ranked
 
 
@@ -105,22 +106,40 @@ def bootstrapped(df: DataFrame, by: str, order: str, columns: list[str], size: i
     return values.groupBy(by).agg(*[g(f"_{n}").alias(f"{n}_{kind}") for n in reduce for kind, g in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
+def _shared_grams(h: Column, r: Column, n: int) -> Column:
+    """How many n-grams of the characters ``h`` are in ``r`` too, each as often as it is in both: one walk over all in order, of equal ones those of ``h`` first."""
+    mine, theirs = "\x00", "\x01"
+
+    def grams(chars: Column, side: str) -> Column:
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda c, i: F.concat(c, *[chars[i + k] for k in range(1, n)], F.lit(side)))
+
+    def step(a: Column, g: Column) -> Column:
+        same, own = F.startswith(g, a["gram"]), F.endswith(g, F.lit(mine))
+        state = lambda gram, left, hit: F.struct(gram.alias("gram"), left.alias("left"), hit.alias("hit"))
+        new = state(F.when(same, a["gram"]).otherwise(F.substring(g, 1, n)), F.when(same, a["left"] + 1).otherwise(1), a["hit"])
+        return F.when(own, new).when(same & (a["left"] > 0), state(a["gram"], a["left"] - 1, a["hit"] + 1)).otherwise(a)
+
+    start = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("left"), F.lit(0).alias("hit"))
+    return F.aggregate(F.sort_array(F.concat(grams(h, mine), grams(r, theirs))), start, step, lambda a: a["hit"])
+
+
 def bleu(df: DataFrame, key: str, hypothesis: str, reference: str, most: int = 4) -> DataFrame:
-    """(``key``, bleu): clipped n-gram precision of characters, of 1 to ``most``, with the brevity penalty; ``key`` differs in each row.
+    """(``key``, bleu): clipped n-gram precision of characters, of 1 to ``most``, with the brevity penalty.
 
-    Each n-gram of both texts is a row, counted before the shuffle, so texts may be long. A length of n-grams without a
-    match, and an empty hypothesis, give 0; null texts are empty.
+    A row's n-grams are sorted and counted within the row, in time that grows with n log n of its texts; none is
+    shuffled. A length of n-grams without a match, and an empty hypothesis, give 0; null texts are empty.
     """
-    slim = df.select(F.col(key).alias("_key"), F.coalesce(hypothesis, F.lit("")).alias("h"), F.coalesce(reference, F.lit("")).alias("r"))
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("h").alias("t")), F.struct(F.lit(0).alias("own"), F.col("r").alias("t"))))
-    each = slim.select("_key", sides.alias("s")).select("_key", "s.own", "s.t", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).where(F.length("t") >= F.col("n"))
-    grams = each.select("_key", "own", "n", "t", F.explode(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1)).alias("i")).select("_key", "n", "own", F.substring("t", F.col("i"), F.col("n")).alias("gram"))
-    counts = grams.groupBy("_key", "n", "gram").agg(F.sum("own").alias("h"), F.sum(1 - F.col("own")).alias("r"))
-    hits = counts.groupBy("_key", "n").agg(F.sum(F.least("h", "r")).alias("hit"), F.sum("h").alias("all"))
-    scores = hits.groupBy("_key").agg(F.sum(F.when(F.col("hit") > 0, F.log(F.col("hit") / F.col("all")))).alias("logs"), F.count_if(F.col("hit") > 0).alias("n")).withColumnRenamed("_key", "_mine")
-    out = slim.join(scores, F.col("_key").eqNullSafe(F.col("_mine")), "left")
-    short = F.when(F.length("h") > F.length("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.length("r"), F.length("h"))))
-    return out.select(F.col("_key").alias(key), F.when(F.col("n") == most, short * F.exp(F.col("logs") / most)).otherwise(0.0).alias("bleu"))
+    slim = df.select(F.col(key), F.coalesce(hypothesis, F.lit("")).alias("h"), F.coalesce(reference, F.lit("")).alias("r"))
+    chars = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
+
+    def score(h: Column, r: Column) -> Column:
+        rates = F.array(*[_shared_grams(h, r, n) / F.greatest(F.size(h) - (n - 1), F.lit(1)) for n in range(1, most + 1)])
+        short = F.when(F.size(h) > F.size(r), 1.0).otherwise(F.exp(1 - F.try_divide(F.size(r), F.size(h))))
+        mean = lambda x: F.exp(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.log(v)) / most)
+        return bound(rates, lambda x: F.when(F.forall(x, lambda v: v > 0), short * mean(x)).otherwise(0.0))
+
+    return slim.select(key, bound(chars(F.col("h")), lambda h: bound(chars(F.col("r")), lambda r: score(h, r))).alias("bleu"))
 
 
 def majority(df: DataFrame, by: str, answer: str, value: str, order: str) -> DataFrame:
