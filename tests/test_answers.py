@@ -110,3 +110,14 @@ def test_stated_and_right_answers(spark):
     assert all(r[0] == r[1] for r in df.select("want", Y.right_answer(F.col("a"), F.col("b"))).collect())
     boxes = [(r"\boxed{a{b}} \boxed{c}", "c"), (r"\fbox{x}", "x"), (r"\boxed }", None), (r"\boxed{", None), (None, None), (r"\boxed {y}", "y")]
     assert column(spark, [x for x, _ in boxes], Y.last_box) == [y for _, y in boxes]
+
+
+def test_numbers_are_read_without_products_of_terms(monkeypatch):
+    # Most answers are numbers or short sums: reading one costs no product of sums, term by term.
+    from tracewright.functions import symbolic
+
+    made = []
+    monkeypatch.setattr(symbolic, "product", lambda *x: made.append(x) or [(i, j) for i in x[0] for j in x[1]])
+    symbolic.read.cache_clear()
+    assert symbolic.same_answer("1234.5", r"\frac{2469}{2}") and symbolic.same_answer("x+77", "77 + x") and not symbolic.graded("8", r"\frac{7}{2}") and not made
+    assert symbolic.same_answer("(x+1)(x+2)", "x^2+3x+2") and made
