@@ -73,3 +73,15 @@ def test_empty_table(spark, tmp_path):
     pq.write_table(pa.table({"i": pa.array([], pa.int64()), "x": pa.array([], pa.int64())}), tmp_path / "0.parquet")
     register(spark)
     assert rows(load(spark, str(tmp_path))) == []
+
+
+def test_a_row_group_is_read_in_parts(tmp_path, monkeypatch):
+    from tracewright.sources import dataset
+
+    pq.write_table(pa.table({"i": range(10)}), tmp_path / "0.parquet")
+    monkeypatch.setattr(dataset, "MOST_ROWS", 4, raising=False)
+    sizes = []
+    generate = lambda rows, step: sizes.append(rows.num_rows) or rows
+    share = dataset.Share(f"file://{tmp_path}/0.parquet", [0], 1)
+    got = [x for b in dataset._read(share, pa.schema([("i", pa.int64()), ("step", pa.int32())]), generate, None) for x in b.column(0).to_pylist()]
+    assert got == list(range(10)) and sizes == [4, 4, 2]
