@@ -24,8 +24,15 @@ def by_prefix(df: DataFrame, names: DataFrame, key: str, name: str, value: str)
     return df.join(exact, key, "left").join(unique, key, "left").withColumn(value, F.coalesce("_exact", "_prefix")).drop("_exact", "_prefix")
 
 
-def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
-    """Points with the spans that hold them, both ends included: an equi-join on buckets of ``width`` that a span covers."""
-    p = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    s = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(s, "_bucket").where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
+def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float, parts: int = 16) -> DataFrame:
+    """Points with the spans that hold them, both ends included: an equi-join on buckets of ``width`` that a span covers.
+
+    A bucket's points are dealt to ``parts``, each of which meets the bucket's spans, and both sides are dealt by bucket
+    and part to as many tasks as shuffles have: rows in are few for the pairs that come out, so neither files nor bytes
+    tell how much work a task gets. A width of a fraction of a span makes few pairs that don't hold.
+    """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = points.where(F.col(at).isNotNull()).withColumn("_bucket", F.floor(F.col(at) / width)).withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.lit(parts)).cast("int"))
+    s = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    p, s = (x.repartition(tasks, "_bucket", "_part") for x in (p, s))
+    return p.join(s, ["_bucket", "_part"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket", "_part")

@@ -38,7 +38,7 @@ def join_category(spark, d):
 @query("SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON p.p_retailprice BETWEEN s.s_acctbal AND s.s_acctbal + 40")
 def join_range(spark, d):
     s = X.read(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 40).alias("high"))
-    return J.range_join(X.read(spark, d, "part").select("p_partkey", "p_retailprice"), s, "p_retailprice", "low", "high", 50).select("p_partkey", "s_suppkey")
+    return J.range_join(X.read(spark, d, "part").select("p_partkey", "p_retailprice"), s, "p_retailprice", "low", "high", 5).select("p_partkey", "s_suppkey")
 
 
 @query(f"WITH {X.BOXES} SELECT l_orderkey, l_linenumber, l_partkey, px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AS hit FROM boxes")
