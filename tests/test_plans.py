@@ -43,3 +43,8 @@ def test_texts_are_parsed_once_for_share_and_score(spark, sf_dir):
     parses = lambda name: q[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
     # A table's responses and labels; responses alone where the label is a constant.
     assert parses("rw_rules") == 2 and parses("score_gui") == parses("score_gui_planb") == 1
+
+
+
+def test_texts_are_dealt_to_tasks_before_python(spark, sf_dir):
+    assert "hashpartitioning(p_partkey" in plan(registry.queries()["fn_python_text"](spark, sf_dir))

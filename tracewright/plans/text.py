@@ -247,7 +247,8 @@ PYTHON = r"""CASE p_partkey % 5 WHEN 0 THEN concat('so \\boxed{\\frac{1}{2}} and
  CASE WHEN p_partkey % 5 = 2 THEN '{"a": 2, "b": ' || p_partkey || '}' END AS canonical, p_partkey % 5 = 4 AS repetitive FROM part""")
 def fn_python_text(spark, d):
     """Balanced braces, fenced JSON, sorted keys and repetitiveness: the text functions that run as pandas UDFs."""
-    t = X.read(spark, d, "part").select("p_partkey", F.expr(PYTHON).alias("t"))
+    # Dealt to tasks by key: a file's bytes don't tell how much work its texts are.
+    t = X.read(spark, d, "part").select("p_partkey", F.expr(PYTHON).alias("t")).repartition("p_partkey")
     return t.select("p_partkey", T.boxed("t").alias("boxed"), T.first_json("t").alias("first_json"), T.canonical_json("t").alias("canonical"), T.is_repetitive("t").alias("repetitive"))
 
 
