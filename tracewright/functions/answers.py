@@ -6,6 +6,8 @@ latter with a lone ``\text{...}`` opened. Each is a fixed order of fixed replace
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-def _stripped(text: Column) -> Column:
+def python_stripped(text: Column) -> Column:
+    """Without what Python takes for white space at both ends."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
@@ -47,7 +50,7 @@ def final_form(text: Column) -> Column:
     for pattern, to in OPENED:
         out = F.regexp_replace(out, pattern, to)
     digits = lambda v: F.when(F.regexp_like(F.replace(v, F.lit(","), F.lit("")), F.lit(r"^\p{Nd}+\z")), F.replace(v, F.lit(","), F.lit(""))).otherwise(v)
-    return _stripped(bound(F.replace(out, F.lit("$"), F.lit("")), digits))
+    return python_stripped(bound(F.replace(out, F.lit("$"), F.lit("")), digits))
 
 
 def _fractions(text: Column) -> Column:
@@ -63,27 +66,43 @@ def _roots(text: Column) -> Column:
     return F.when(~F.regexp_like(text, F.lit(r"\\sqrt(?:\\sqrt|\z)")), F.regexp_replace(text, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"))
 
 
+def plain_number(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(r"\A[0-9]{1,15}(?:\.[0-9]{1,15})?\z"))
+
+
+def _with(mark: str, rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A rule that leaves texts without the mark as they are."""
+    return lambda v: F.when(F.contains(v, F.lit(mark)), rule(v)).otherwise(v)
+
+
 def boxed_form(text: Column) -> Column:
     r"""Without spacing, units on the right, percent and degrees; \frac and \sqrt with braces, a/b as \frac. Null where the rules fail."""
+    # No rule but that of 0.5 changes a plain number.
+    return bound(text, lambda v: F.when(plain_number(v) & (v != "0.5"), v).otherwise(_boxed_rules(v)))
+
+
+def _boxed_rules(text: Column) -> Column:
     out = _replaced(text, PLAIN)
     # Units are what the one "\text{ " begins; two of them are an error.
     count = lambda v: F.size(F.split(v, r"\\text\{ ", -1))
-    out = bound(out, lambda v: F.when(count(v) <= 2, F.substring_index(v, UNITS, 1)))
+    out = bound(out, _with(UNITS, lambda v: F.when(count(v) <= 2, F.substring_index(v, UNITS, 1))))
     out = bound(_replaced(out, POINTS), lambda v: F.when(F.startswith(v, F.lit(".")), F.concat(F.lit("0"), v)).otherwise(v))
     name = lambda v: F.when(F.regexp_like(v, F.lit(r"(?s)^[^=]{0,2}=[^=]*\z")), F.substring_index(v, "=", -1)).otherwise(v)
-    out = bound(bound(out, name), lambda v: F.when(v == "", v).otherwise(_roots(v)))
-    out = bound(F.replace(out, F.lit(" "), F.lit("")), _fractions)
+    out = bound(bound(out, _with("=", name)), _with("\\sqrt", _roots))
+    out = bound(F.replace(out, F.lit(" "), F.lit("")), _with("\\frac", _fractions))
     out = bound(out, lambda v: F.when(v == "0.5", r"\frac{1}{2}").otherwise(v))
-    return F.regexp_replace(out, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)\z", r"\\frac{$1}{$2}")
+    return bound(out, _with("/", lambda v: F.regexp_replace(v, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)\z", r"\\frac{$1}{$2}")))
 
 
 def graded_form(text: Column) -> Column:
     r"""The boxed form of a stripped answer, a ``\text{...}`` around all of it opened; the answer itself where the rules fail."""
-    opened = bound(_stripped(text), lambda v: F.when(F.regexp_like(v, F.lit(r"(?d)^\\text\{(.+?)\}$")), _stripped(F.regexp_extract(v, r"(?d)^\\text\{(.+?)\}$", 1))).otherwise(v))
+    # White space is below ! or above ~.
+    strip = lambda v: F.when(v.between("!", "~") & F.right(v, F.lit(1)).between("!", "~"), v).otherwise(python_stripped(v))
+    opened = bound(bound(text, strip), _with("\\text{", lambda v: F.when(F.regexp_like(v, F.lit(r"(?d)^\\text\{(.+?)\}$")), python_stripped(F.regexp_extract(v, r"(?d)^\\text\{(.+?)\}$", 1))).otherwise(v)))
     return bound(opened, lambda v: F.coalesce(boxed_form(v), v))
 
 
 def same_boxed(a: Column, b: Column) -> Column:
     """Equal in boxed form; as they are, where the rules fail for one; two nulls are equal."""
     x, y = boxed_form(a), boxed_form(b)
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(x == y, a == b))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(a == b, True).otherwise(F.coalesce(x == y, F.lit(False)))

@@ -282,23 +282,28 @@ def valid_message(text: Column) -> Column:
 # ---- beyond regular expressions: balanced braces, suffix arrays, JSON in Python's form ----
 
 
-def _last_balanced(text: str, opening: str) -> str | None:
-    """What a command's braces hold at its last place, or null if they don't close."""
-    at = text.rfind(opening)
-    if at < 0:
-        return None
-    depth = 0
-    for k in range(at + len(opening) - 1, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[k], 0)
-        if depth == 0:
-            return text[at + len(opening) : k]
-    return None
+# Text with two levels of braces in it, up to the brace that closes all; possessive, so that no text is tried twice.
+_FLAT = r"[^{}]*+"
+_NESTED = rf"{_FLAT}(?:\{{{_FLAT}(?:\{{{_FLAT}\}}{_FLAT})*+\}}{_FLAT})*+"
+CLOSED = rf"(?s)\A({_NESTED})\}}"
 
 
-@F.pandas_udf(StringType())
-def boxed(texts: pd.Series) -> pd.Series:
+def closed(rest: Column) -> Column:
+    """What comes before the brace that closes one opened before the text; null if none does."""
+
+    def deep(text: Column) -> Column:
+        # More levels: the pieces that end in a brace are counted through.
+        pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*+[{}]"), F.lit(0))
+        step = lambda a, p: F.when(a["depth"] == 0, a).otherwise(F.struct((a["depth"] + F.when(F.endswith(p, F.lit("{")), 1).otherwise(-1)).alias("depth"), (a["n"] + F.length(p)).alias("n")))
+        return F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step, lambda a: F.when(a["depth"] == 0, F.substr(text, F.lit(1), a["n"] - 1)))
+
+    return bound(rest, lambda r: F.when(F.regexp_like(r, F.lit(CLOSED)), F.regexp_extract(r, CLOSED, 1)).otherwise(deep(r)))
+
+
+def boxed(text) -> Column:
     r"""The last ``\boxed{...}`` with balanced braces."""
-    return texts.map(lambda t: None if t is None else _last_balanced(t, "\\boxed{"))
+    text = F.col(text) if isinstance(text, str) else text
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("\\boxed{")), closed(F.substring_index(t, "\\boxed{", -1))))
 
 
 def _candidates(text: str, at: int, end: int) -> tuple[list[int], int]:

@@ -236,7 +236,8 @@ def fn_math_equal(spark, d):
     """A fraction and its decimal, a percentage and its share, other numbers, other spacing, other names, thousands."""
     a = F.expr(r"CASE l_linenumber % 6 WHEN 0 THEN concat(l_partkey, '.5') WHEN 1 THEN concat(l_partkey, '\\%') WHEN 2 THEN string(l_partkey) WHEN 3 THEN concat('x+', l_partkey) WHEN 4 THEN concat('x', l_partkey) ELSE concat(1 + l_partkey % 9, ',', lpad(l_suppkey % 1000, 3, '0')) END")
     b = F.expr(r"CASE l_linenumber % 6 WHEN 0 THEN concat('\\frac{', 2 * l_partkey + 1, '}{2}') WHEN 1 THEN string(cast(l_partkey / 100 AS decimal(20, 2))) WHEN 2 THEN string(2 * l_partkey + 1) WHEN 3 THEN concat('x + ', l_partkey) WHEN 4 THEN concat('y', l_partkey) ELSE concat(1 + l_partkey % 9, lpad(l_suppkey % 1000, 3, '0'), '.0') END")
-    return X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", Y.right_answer(a, b).alias("same"))
+    t = X.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), b.alias("b"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", Y.right_answer(F.col("a"), F.col("b")).alias("same"))
 
 
 PYTHON = r"""CASE p_partkey % 5 WHEN 0 THEN concat('so \\boxed{\\frac{1}{2}} and \\boxed{', p_partkey, '{b}c}') WHEN 1 THEN concat('```json\n{"b": ', p_partkey, ', "a": {"c": 2}}\n```') WHEN 2 THEN concat('{"b":', p_partkey, ',"a":2}')
