@@ -45,6 +45,18 @@ def test_texts_are_parsed_once_for_share_and_score(spark, sf_dir):
     assert parses("rw_rules") == 2 and parses("score_gui") == parses("score_gui_planb") == 1
 
 
+def test_parsed_calls_score_as_their_texts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tracewright.functions import scoring as S
+    from tracewright.functions import text as T
+    from tracewright.plans.scores import _ruled
+
+    c = _ruled(spark, sf_dir).withColumn("p", T.tool_call(F.col("response"))).withColumn("q", T.tool_call(F.col("truth")))
+    box = F.col("box")
+    got = c.select(S.call_score(F.col("p"), F.col("q"), box, box).alias("x"), S.gui_score(F.col("response"), F.col("truth"), box, box).alias("y")).groupBy("x", "y").count().collect()
+    assert {r["x"] for r in got} == {1.0, -0.5, -1.0} and all(r["x"] == r["y"] for r in got)
+
 
 def test_texts_are_dealt_to_tasks_before_python(spark, sf_dir):
     assert "hashpartitioning(p_partkey" in plan(registry.queries()["fn_python_text"](spark, sf_dir))

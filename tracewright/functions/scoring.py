@@ -83,6 +83,15 @@ def gui_score(response: Column, truth: Column, box: Column, box2: Column) -> Col
     return bound(X.tool_call(response), lambda p: bound(X.tool_call(truth), lambda q: _score(_share(p, q, box, box2))))
 
 
+def call_score(p: Column, q: Column, box: Column, box2: Column) -> Column:
+    """``gui_score`` of parsed calls, which should be columns of their own: without lambdas, so that it is compiled and a constant label's parts go."""
+    each, counted = parts(p, q, box, box2), counted_parts(q)
+    held = F.lit(True)
+    for i, n in enumerate(HELD):
+        held &= ~F.array_contains(counted, 1 + i) | _sure(each[n])
+    return F.when(p.isNull() | q.isNull() | counted.isNull(), -1.0).when(held, 1.0).otherwise(-0.5)
+
+
 def gui_score_with_other(response: Column, truth: Column, box: Column, box2: Column, other: Column, other_box: Column, other_box2: Column) -> Column:
     """The second label can only lift a score to 1; its boxes stand in where it has them. The response is parsed once for both."""
 
